@@ -113,21 +113,42 @@ def fullest(lengths: list[int], counts: dict[int, int], room: int) -> dict[int,
     return used
 
 
-def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int, int, int, int]]:
+Slots = list[tuple[int, int, int, int, int, int]]
+
+
+def plan(histogram: dict[int, int], size: int = SIZE) -> Slots:
     """Rows (length, first rank, last rank + 1, copies in a sequence, first sequence, offset of the first copy).
 
     Each step uses up at least one length, or leaves fewer of one than a sequence of its kind takes; so the rows depend
-    on ``size`` alone, not on how many pieces there are.
+    on ``size`` alone, not on how many pieces there are. The whole room by subset sum wastes short pieces when most are
+    of middling length, so plans that first take the longest that fit, and sum the last part only, are tried as well.
     """
+    best: tuple[int, Slots] | None = None
+    least = -(-sum(n * c for n, c in histogram.items()) // size)
+    for summed in (size, size // 2, size // 4, size // 8):
+        found = bins(histogram, size, summed)
+        if best is None or found[0] < best[0]:
+            best = found
+        if best[0] <= least:
+            break
+    return best[1]
+
+
+def bins(histogram: dict[int, int], size: int, summed: int) -> tuple[int, Slots]:
+    """Number of sequences, and their slots, when the last ``summed`` tokens of a sequence are filled by subset sum."""
     counts, taken = {n: c for n, c in histogram.items() if c > 0}, dict.fromkeys(histogram, 0)
     rows, sequence = [], 0
     while counts:
         lengths = sorted(counts, reverse=True)
-        top = lengths[0]
-        counts[top] -= 1
-        used = fullest([n for n in lengths if counts[n]], counts, size - top)
-        counts[top] += 1
-        used[top] = used.get(top, 0) + 1
+        free, room, used = dict(counts), size, {}
+        for n in lengths:
+            k = min(free[n], room // n) if room > summed else not used
+            if k:
+                used[n], free[n], room = k, free[n] - k, room - n * k
+            if room <= summed and used:
+                break
+        for n, k in fullest([n for n in lengths if free[n]], free, room).items():
+            used[n] = used.get(n, 0) + k
         times, offset = min(counts[n] // k for n, k in used.items()), 0
         for n in sorted(used, reverse=True):
             k = used[n]
@@ -138,7 +159,7 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, int, in
             if not counts[n]:
                 del counts[n]
         sequence += times
-    return rows
+    return sequence, rows
 
 
 def placed(spark: SparkSession, cut: DataFrame, size: int = SIZE) -> DataFrame:
