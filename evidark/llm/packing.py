@@ -12,6 +12,8 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,8 +27,8 @@ from evidark.llm.common import as_bytes, table, written
 
 SIZE = 2048
 END = 0
-#: Token ids of words are kept for so many words, each of at most so many bytes; then the store starts anew.
-KEPT_WORDS, KEPT_BYTES = 300_000, 48
+#: Token ids are kept for about so many words, twice, each of at most so many bytes.
+KEPT_WORDS, KEPT_BYTES = 250_000, 48
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
@@ -38,35 +40,106 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit bytes.
+    """Token ids of whole texts as little-endian 32-bit bytes, equal to the tokenizer's for the whole text.
 
-    The vocabulary's pre-tokens never hold white space, so a text's ids are its words' ids in a row; each word is
-    encoded once while it stays in the store.
+    The vocabulary's pre-tokens never hold white space, so a text's ids are its words' ids in a row. A word of plain
+    characters (to U+017F, where lower case and composition are simple) is split into pre-tokens here, and those not
+    seen lately go to the tokenizer's model together; the model marks the last token of each. Other words go through
+    the whole tokenizer.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+    #: The tokenizer file's own pre-token pattern.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    PLAIN = r"[\x21-\x7e\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]+"
 
-    def learn(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)):
-            into[w] = np.array(e.ids, "<u4").tobytes()
+    def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        import regex
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.plain = regex.compile(self.PLAIN).fullmatch
+        self.split = regex.compile(self.SPLIT).findall
+        self.model = Tokenizer(self.whole.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {chr(c): byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x180) if self.plain(chr(c))}
+        self.letters = str.maketrans(self.letters)
+        self.last = np.zeros(self.whole.get_vocab_size(), bool)
+        self.last[[i for t, i in self.whole.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
+        self.words = Lately(KEPT_WORDS)
+        self.parts = Lately(KEPT_WORDS)
+
+    def whole_ids(self, word: str) -> bytes:
+        return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def model_ids(self, parts: list[str]) -> list[bytes]:
+        joined = " ".join(parts).translate(self.letters)
+        ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        if len(ends) != len(parts):  # a character that the model does not know
+            return [self.whole_ids(p) for p in parts]
+        data = ids.tobytes()
+        return [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
+
+    def learn(self, missing: list[bytes]) -> None:
+        """Put the ids of ``missing`` in ``words.now``."""
+        single, several, needed = [], [], set()
+        for w in missing:
+            word = w.decode()
+            if "<|" in word or not (word.isascii() and word.isprintable() or self.plain(word)):
+                self.words.now[w] = self.whole_ids(word)
+                continue
+            word = word.lower()
+            if word.isalpha():
+                single.append((w, word))
+                needed.add(word)
+            else:
+                parts = self.split(word)
+                several.append((w, parts))
+                needed.update(parts)
+        new = self.parts.missing(needed)
+        for at in range(0, len(new), 4096):
+            self.parts.now.update(zip(new[at : at + 4096], self.model_ids(new[at : at + 4096])))
+        ids = self.parts.now
+        self.words.now.update([(w, ids[p]) for w, p in single])
+        self.words.now.update([(w, b"".join([ids[p] for p in parts])) for w, parts in several])
+        self.parts.forget(new)
 
     def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.split() if text else []
-            missing = set(words).difference(self.known)
-            if not missing:
-                yield b"".join(map(self.known.__getitem__, words))
-                continue
-            if len(self.known) + len(missing) > KEPT_WORDS:
-                self.known, missing = {}, set(words)
-            new: dict[bytes, bytes] = {}
-            self.learn(list(missing), new)
-            self.known |= {w: x for w, x in new.items() if len(w) <= KEPT_BYTES}
-            get, own = self.known.get, new
-            yield b"".join([get(w) if w in self.known else own[w] for w in words])
+        for at in range(0, len(texts), 64):
+            split = [t.split() if t else [] for t in texts[at : at + 64]]
+            missing = self.words.missing(set().union(*split))
+            self.learn(missing)
+            ids = self.words.now
+            for words in split:
+                yield b"".join(map(ids.__getitem__, words))
+            self.words.forget(missing)
+
+
+class Lately:
+    """What was used lately: ``now`` becomes ``before`` when it holds ``most``, and used entries come over."""
+
+    def __init__(self, most: int):
+        self.most, self.now, self.before = most, {}, {}
+
+    def missing(self, keys: set) -> list:
+        """Those of ``keys`` that are not there; the others are in ``now`` afterwards."""
+        out, old = [], self.before
+        for k in keys.difference(self.now):
+            x = old.get(k)
+            if x is None:
+                out.append(k)
+            else:
+                self.now[k] = x
+        return out
+
+    def forget(self, new: list) -> None:
+        for k in new:
+            if len(k) > KEPT_BYTES:
+                self.now.pop(k, None)
+        if len(self.now) > self.most:
+            self.now, self.before = {}, self.now
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
@@ -74,6 +147,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> Data
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # the stores are large and hold no cycles
         encode, task, seen = Encoder(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
