@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from evidark.llm import bilinear, host_rules, mixing, nbsvm, packing, simhash
+from evidark.llm import bilinear, hilbert, host_rules, mixing, nbsvm, packing, simhash
 
 QUERIES = {
     "op1_host_quality_rules": host_rules.op1_host_quality_rules,
     "op2_bilinear_lm": bilinear.op2_bilinear_lm,
     "op3_nbsvm_quality": nbsvm.op3_nbsvm_quality,
+    "op6_hilbert_neighbours": hilbert.op6_hilbert_neighbours,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op10_pareto_mixing": mixing.op10_pareto_mixing,
