@@ -24,8 +24,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         first = near.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "b").alias("h"), F.col("b").alias("id"))).alias("m"))
         own = F.struct(F.xxhash64(F.lit(turn), "a").alias("h"), F.col("a").alias("id"))
         to = written(spark, first.select(F.col("a").alias("node"), F.least("m", own)["id"].alias("root")), f"to{turn}")
-        moved = edges.join(to, edges.a == to.node).select(to.root.alias("a"), "b")
-        moved = moved.join(to, moved.b == to.node).select("a", to.root.alias("b"))
+        for end in ("a", "b"):
+            moved = (edges if end == "a" else moved).join(to.select(F.col("node").alias(end), F.col("root").alias("new")), end).drop(end).withColumnRenamed("new", end)
         moved = moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         edges = written(spark, moved, f"edges{turn}")
         if labels is None:

@@ -22,6 +22,7 @@ null if a component has no other). Exact copies are one fingerprint from the sta
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -101,10 +102,12 @@ def chains(fp: np.ndarray) -> list[tuple[int, int]]:
         group = least
 
 
-def collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def collisions(batches: Iterator[pa.RecordBatch], most: int = LARGE) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of sorted ``half_variants``; b is null for fingerprints whose variant is shared by too many."""
     key, first, held, large = None, False, [], False  # the variant at hand: is its half there, fingerprints so far
     for batch in batches:
+        if not batch.num_rows:
+            continue
         variant, probe, fp = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
         a: list = []
         b: list = []
@@ -120,7 +123,7 @@ def collisions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not first:
                 continue
             held.append(fp[at:to])
-            if large or sum(map(len, held)) > LARGE:
+            if large or sum(map(len, held)) > most:
                 large = True
                 a.extend(np.concatenate(held).tolist())
                 b.extend([None] * sum(map(len, held)))
@@ -182,19 +185,19 @@ def by_variant(df: DataFrame, *then: str) -> DataFrame:
     return df.repartition(n, "variant").sortWithinPartitions("variant", *then)
 
 
-def links(spark: SparkSession, distinct: DataFrame) -> DataFrame:
+def links(spark: SparkSession, distinct: DataFrame, most: int = LARGE) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that give the components of all links."""
     found = by_variant(distinct.select("fp").mapInArrow(half_variants, "variant long, probe byte, fp long"), "probe", "fp")
-    found = written(spark, found.mapInArrow(collisions, "a long, b long").distinct(), "collisions")
+    found = written(spark, found.mapInArrow(partial(collisions, most=most), "a long, b long").distinct(), "collisions")
     crowded = found.where("b IS NULL").select("a")
     rest = by_variant(crowded.mapInArrow(balls, "variant long, far byte, fp long"), "far", "fp").mapInArrow(ball_chains, "a long, b long")
     return found.where("b IS NOT NULL").union(rest)
 
 
-def near_duplicates(spark: SparkSession, prints: DataFrame) -> DataFrame:
+def near_duplicates(spark: SparkSession, prints: DataFrame, most: int = LARGE) -> DataFrame:
     """fp, least_id, component_id for each distinct fingerprint of ``prints`` (written; columns doc_id, fp)."""
     distinct = written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fingerprints")
-    roots = components(spark, links(spark, distinct))
+    roots = components(spark, links(spark, distinct, most))
     linked = distinct.join(roots, distinct.fp == roots.node)
     least = linked.groupBy("root").agg(F.min("least_id").alias("component"))
     named = roots.join(least, "root").select("node", "component")
