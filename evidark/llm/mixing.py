@@ -108,6 +108,13 @@ def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("row.doc_id", "row.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("row.size")).alias("taken"))
 
 
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it; all columns of ``docs``."""
+    row = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    copies = F.col("mix.copies").cast("int")
+    return mix(spark, row).where(copies > 0).select(F.col("row.doc").alias("doc"), F.explode(F.array_repeat(F.lit(0), copies))).select("doc.*")
+
+
 ORACLE = f"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,

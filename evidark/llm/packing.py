@@ -274,3 +274,8 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, size: in
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences of all documents: one row for each piece, with its place."""
+    return pack(spark, docs)

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from evidark.llm import bilinear, hilbert, host_rules, mixing, nbsvm, packing, simhash
+from evidark.llm import bilinear, chat, extraction, hilbert, host_rules, mixing, nbsvm, packing, simhash, url_lists
 
 QUERIES = {
     "op1_host_quality_rules": host_rules.op1_host_quality_rules,
     "op2_bilinear_lm": bilinear.op2_bilinear_lm,
     "op3_nbsvm_quality": nbsvm.op3_nbsvm_quality,
+    "op4_block_labeller": extraction.op4_block_labeller,
+    "op5_preference_formatting": chat.op5_preference_formatting,
     "op6_hilbert_neighbours": hilbert.op6_hilbert_neighbours,
     "op7_simhash_near_dedup": simhash.op7_simhash_near_dedup,
     "op8_best_fit_packing": packing.op8_best_fit_packing,
+    "op9_url_list_asof": url_lists.op9_url_list_asof,
     "op10_pareto_mixing": mixing.op10_pareto_mixing,
 }
 
 ORACLE_SQL = {
     "op1_host_quality_rules": host_rules.oracle(),
+    "op5_preference_formatting": chat.ORACLE,
+    "op9_url_list_asof": url_lists.ORACLE,
     "op10_pareto_mixing": mixing.ORACLE,
 }

@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -195,16 +195,33 @@ def links(spark: SparkSession, distinct: DataFrame, most: int = LARGE) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, prints: DataFrame, most: int = LARGE) -> DataFrame:
-    """fp, least_id, component_id for each distinct fingerprint of ``prints`` (written; columns doc_id, fp)."""
+    """fp, least_id, component_id, group (the component's smallest fp) for each distinct fingerprint of ``prints`` (written; columns doc_id, fp)."""
     distinct = written(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "fingerprints")
     roots = components(spark, links(spark, distinct, most))
-    linked = distinct.join(roots, distinct.fp == roots.node)
-    least = linked.groupBy("root").agg(F.min("least_id").alias("component"))
-    named = roots.join(least, "root").select("node", "component")
-    return distinct.join(named, distinct.fp == named.node, "left").select("fp", "least_id", F.when(F.col("node").isNull(), F.col("least_id")).otherwise(F.col("component")).alias("component_id"))
+    least = roots.join(distinct, roots.node == distinct.fp).groupBy("root").agg(F.min("least_id").alias("component"), F.min("fp").alias("group"))
+    named = roots.join(least, "root").select("node", "component", "group")
+    alone = F.col("node").isNull()
+    return distinct.join(named, distinct.fp == named.node, "left").select("fp", "least_id", F.when(alone, F.col("least_id")).otherwise(F.col("component")).alias("component_id"), F.when(alone, F.col("fp")).otherwise(F.col("group")).alias("group"))
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prints = written(spark, docs.select("doc_id", fingerprints(F.col("text").cast("string")).alias("fp")), "prints")
     return prints.join(near_duplicates(spark, prints), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, the one with the smallest id; all columns of ``docs``.
+
+    Of rows with one id, one stays. Where no document of a group has an id, one of the group's smallest fingerprint does.
+    """
+    fp = fingerprints(F.col("text").cast("string"))
+    prints = written(spark, docs.select("doc_id", fp.alias("fp")), "prints")
+    groups = written(spark, near_duplicates(spark, prints), "groups")
+    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    any_order = F.xxhash64("row")
+    stay = groups.where("component_id IS NOT NULL AND least_id = component_id").select(F.col("component_id").alias("id")).distinct()
+    named = row.select("row", "id").join(stay, "id", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(any_order)))
+    bare = groups.where("component_id IS NULL AND fp = group").select("fp")
+    unnamed = row.where("id IS NULL").select("row", fingerprints(F.col("text")).alias("fp")).join(bare, "fp", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("fp").orderBy(any_order)))
+    return named.where("nth = 1").select("row.*").union(unnamed.where("nth = 1").select("row.*"))
