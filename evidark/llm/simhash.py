@@ -207,7 +207,8 @@ def near_duplicates(spark: SparkSession, prints: DataFrame, most: int = LARGE) -
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     prints = written(spark, docs.select("doc_id", fingerprints(F.col("text").cast("string")).alias("fp")), "prints")
-    return prints.join(near_duplicates(spark, prints), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    groups = written(spark, near_duplicates(spark, prints), "groups")  # so that the join with many copies can be split
+    return prints.join(groups, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
