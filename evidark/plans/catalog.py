@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from evidark.plans import span_queries  # noqa: F401
 from evidark.plans.registry import ORACLES, QUERIES, Query
 
 
