@@ -16,9 +16,20 @@ _WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a batch that goes to Python at once, where the session has Spark's default: texts can be very long.
+BATCH_KEY, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds of its input, unless the session has a bound of its own."""
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all machines share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
     place = spark.conf.get("spark.checkpoint.dir", None)
@@ -30,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: lineage ends here and lost executors cost no rework."""
+    small_batches(spark)
     path = f"{shared_dir(spark)}/evidark-{uuid.uuid4().hex[:12]}-{name}"
     df.write.parquet(path)
     _WRITTEN.append(path)

@@ -30,7 +30,7 @@ MOST_LABELLED = 8000
 THRESHOLD = 0.3
 COST, PASSES = 4.0, 20
 #: Words whose hash and shape are kept at a time.
-KEPT = 300_000
+KEPT = 100_000
 
 _SHAPE = bytes(65 if 65 <= c <= 90 else 97 if 97 <= c <= 122 or c >= 128 else 48 if 48 <= c <= 57 else c for c in range(256))
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]

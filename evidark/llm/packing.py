@@ -28,7 +28,7 @@ from evidark.llm.common import as_bytes, table, written
 SIZE = 2048
 END = 0
 #: Token ids are kept for about so many words, twice, each of at most so many bytes.
-KEPT_WORDS, KEPT_BYTES = 250_000, 48
+KEPT_WORDS, KEPT_BYTES = 120_000, 48
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
