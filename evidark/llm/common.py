@@ -63,6 +63,11 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no column of the input can clash with a stage's own."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
 def remainder(doc_id: Column, by: int = 5) -> Column:
     """crc32 of an id written as text, modulo ``by``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % by

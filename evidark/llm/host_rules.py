@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidark.llm.common import as_bytes, table, written
+from evidark.llm.common import as_bytes, table, whole_row, written
 
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent of words
@@ -143,7 +143,7 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """The documents that pass: all columns of ``docs``."""
     counted = written(spark, docs.select(F.col("source").alias("host"), text_counts(F.col("text").cast("string")).alias("counts")), "counts")
     bad = written(spark, rejected_hosts(spark, counted), "rejected")
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("host"), text_counts(F.col("text").cast("string")).alias("counts"))
+    row = docs.select(whole_row(docs).alias("row"), F.col("source").alias("host"), text_counts(F.col("text").cast("string")).alias("counts"))
     return with_verdict(row.where(~base_failed("counts")), bad).where(~F.col("rejected")).select("row.*")
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidark.llm.common import n_words, table, written
+from evidark.llm.common import n_words, table, whole_row, written
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -94,7 +94,7 @@ def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS
     """``docs`` (with doc_id, source and size) with source_size, target and copies, in the struct ``mix``."""
     narrow = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").alias("id"), "size")
     points = written(spark, cut_points(narrow, weights, most), "cuts")  # one row a source; broadcast if it is small
-    row = docs.select(F.struct(*docs.columns).alias("row"))
+    row = docs.select(whole_row(docs).alias("row"))
     u, in_bin = unit(F.col("row.doc_id")), bin_of(unit(F.col("row.doc_id")))
     here = F.struct(odds(u, F.col("p")).alias("odds"), F.col("row.doc_id").alias("id"), F.col("row.size").alias("size"))
     sampled = (in_bin < F.col("cut_bin")) | ((in_bin == F.col("cut_bin")) & F.coalesce(here <= F.col("last"), F.lit(False)))
@@ -110,7 +110,7 @@ def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; all columns of ``docs``."""
-    row = docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    row = docs.select(whole_row(docs).alias("doc"), "doc_id", "source", n_words(F.col("text")).alias("size"))
     copies = F.col("mix.copies").cast("int")
     return mix(spark, row).where(copies > 0).select(F.col("row.doc").alias("doc"), F.explode(F.array_repeat(F.lit(0), copies))).select("doc.*")
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidark.llm.common import as_bytes, table, written
+from evidark.llm.common import as_bytes, table, whole_row, written
 from evidark.llm.components import components
 
 SHINGLE = 3
@@ -219,7 +219,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     fp = fingerprints(F.col("text").cast("string"))
     prints = written(spark, docs.select("doc_id", fp.alias("fp")), "prints")
     groups = written(spark, near_duplicates(spark, prints), "groups")
-    row = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
+    row = docs.select(whole_row(docs).alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
     any_order = F.xxhash64("row")
     stay = groups.where("component_id IS NOT NULL AND least_id = component_id").select(F.col("component_id").alias("id")).distinct()
     named = row.select("row", "id").join(stay, "id", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(any_order)))

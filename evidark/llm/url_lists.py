@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidark.llm.common import table, written
+from evidark.llm.common import table, whole_row, written
 
 PERIOD = 30 * 86_400
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
@@ -67,7 +67,7 @@ def judge(spark: SparkSession, captures: DataFrame, changes: DataFrame) -> DataF
     met = asked.join(dealt, ["pattern", "period"]).where((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
     best = F.max(F.struct(F.length("pattern").alias("n"), (F.col("list") == "allow").alias("allow"), "pattern")).alias("best")
     found = met.groupBy("url", "fetched").agg(best, F.count(F.lit(1)).alias("n_active"))
-    row = captures.select(F.struct(*captures.columns).alias("row")).alias("c")
+    row = captures.select(whole_row(captures).alias("row")).alias("c")
     joined = row.join(found.alias("f"), (F.col("c.row.url") == F.col("f.url")) & (F.col("c.row.fetched").cast("long") == F.col("f.fetched")), "left")
     verdict = F.when(F.col("best").isNull(), "none").when(F.col("best.allow"), "allow").otherwise("block")
     return joined.select("row", F.struct(verdict.alias("verdict"), F.col("best.pattern").alias("pattern"), F.coalesce("n_active", F.lit(0)).alias("n_active")).alias("judged"))
