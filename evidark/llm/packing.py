@@ -28,7 +28,7 @@ from evidark.llm.common import as_bytes, table, written
 SIZE = 2048
 END = 0
 #: Token ids are kept for about so many words, twice, each of at most so many bytes.
-KEPT_WORDS, KEPT_BYTES = 120_000, 48
+KEPT_WORDS, KEPT_BYTES = 250_000, 48
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
@@ -108,7 +108,7 @@ class Encoder:
 
     def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 64):
-            split = [t.split() if t else [] for t in texts[at : at + 64]]
+            split = [folded(t).split() if t else [] for t in texts[at : at + 64]]
             missing = self.words.missing(set().union(*split))
             self.learn(missing)
             ids = self.words.now
@@ -117,6 +117,15 @@ class Encoder:
             self.words.forget(missing)
 
 
+def folded(text: bytes) -> bytes:
+    """A-Z in lower case, as the tokenizer will have it, where that changes nothing else.
+
+    It composes letters before it lowers them, and A-Z compose with U+0300 to U+037F alone; its special tokens are
+    looked for before either.
+    """
+    return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
+
+
 class Lately:
     """What was used lately: ``now`` becomes ``before`` when it holds ``most``, and used entries come over."""
 

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 from evidark.llm import packing
 
-TEXTS = ["", None, "the cat\tsat\x0bon", "it's 12 o'clock ΣΑΣ <|endoftext|> x y", "a b c " * 2000, "same", "same", "  \n ", "é ́ ü"]
+TEXTS = ["", None, "THE Cat H\u0331 \u1e96 A\u030a <|STARTOFTEXT|>", "THE\u00c9 End", "the cat\tsat\x0bon", "it's 12 o'clock ΣΑΣ <|endoftext|> x y", "a b c " * 2000, "same", "same", "  \n ", "é ́ ü"]
 
 
 def docs(spark, texts):
