@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,8 @@ from evidark.llm.common import as_bytes, table, written
 
 SIZE = 2048
 END = 0
-#: Token ids are kept for about so many words, twice, each of at most so many bytes.
-KEPT_WORDS, KEPT_BYTES = 250_000, 48
+#: Token ids are kept for about so many pre-tokens, twice, each of at most so many characters.
+KEPT, KEPT_LENGTH = 250_000, 48
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
@@ -39,36 +41,38 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+LETTERS = "a-zA-Z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+SPACES = "\\x20\\x09-\\x0d"
+
+
 class Encoder:
     """Token ids of whole texts as little-endian 32-bit bytes, equal to the tokenizer's for the whole text.
 
-    The vocabulary's pre-tokens never hold white space, so a text's ids are its words' ids in a row. A word of plain
-    characters (to U+017F, where lower case and composition are simple) is split into pre-tokens here, and those not
-    seen lately go to the tokenizer's model together; the model marks the last token of each. Other words go through
-    the whole tokenizer.
+    The vocabulary's pre-tokens never hold white space, so ids of a text are ids of its pre-tokens in a row. Text of
+    plain characters (to U+017F, where lower case and composition are simple) is split into pre-tokens here by the
+    tokenizer file's own pattern, written for these characters; those not seen lately go to the tokenizer's model
+    together, and the model marks the last token of each. Words with other characters go through the whole tokenizer.
     """
 
-    #: The tokenizer file's own pre-token pattern.
-    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-    PLAIN = r"[\x21-\x7e\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]+"
+    PLAIN = f"[{SPACES}\\x21-\\x7e\u00a1-\u00ac\u00ae-\u012f\u0131-\u017f]*"
+    SPLIT = f"[{LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{NUMBERS}]|[^{SPACES}{LETTERS}{NUMBERS}]+"
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_file(path)
-        self.plain = regex.compile(self.PLAIN).fullmatch
-        self.split = regex.compile(self.SPLIT).findall
+        self.plain = re.compile(self.PLAIN).fullmatch
+        self.split = re.compile(self.SPLIT).findall
         self.model = Tokenizer(self.whole.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {chr(c): byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x180) if self.plain(chr(c))}
-        self.letters = str.maketrans(self.letters)
+        self.letters = str.maketrans({chr(c): byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x180) if self.plain(chr(c))})
         self.last = np.zeros(self.whole.get_vocab_size(), bool)
         self.last[[i for t, i in self.whole.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
-        self.words = Lately(KEPT_WORDS)
-        self.parts = Lately(KEPT_WORDS)
+        self.now: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def whole_ids(self, word: str) -> bytes:
         return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -82,73 +86,63 @@ class Encoder:
         data = ids.tobytes()
         return [data[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
 
-    def learn(self, missing: list[bytes]) -> None:
-        """Put the ids of ``missing`` in ``words.now``."""
-        single, several, needed = [], [], set()
-        for w in missing:
-            word = w.decode()
-            if "<|" in word or not (word.isascii() and word.isprintable() or self.plain(word)):
-                self.words.now[w] = self.whole_ids(word)
-                continue
-            word = word.lower()
-            if word.isalpha():
-                single.append((w, word))
-                needed.add(word)
+    def parts(self, text: bytes) -> list[str]:
+        """Pre-tokens; a word that is not plain is one part, behind a zero."""
+        said = text.decode()
+        if "<|" not in said and self.plain(said):
+            return self.split(said.lower())
+        out: list[str] = []
+        for word in text.split():
+            said = word.decode()
+            if "<|" not in said and self.plain(said):
+                out += self.split(said.lower())
+            else:
+                out.append("\0" + said)
+        return out
+
+    def learn(self, missing: set[str]) -> None:
+        now, before, new = self.now, self.before, []
+        for p in missing:
+            known = before.get(p)
+            if known is not None:
+                now[p] = known
+            elif p[0] == "\0":
+                now[p] = self.whole_ids(p[1:])
             else:
-                parts = self.split(word)
-                several.append((w, parts))
-                needed.update(parts)
-        new = self.parts.missing(needed)
+                new.append(p)
         for at in range(0, len(new), 4096):
-            self.parts.now.update(zip(new[at : at + 4096], self.model_ids(new[at : at + 4096])))
-        ids = self.parts.now
-        self.words.now.update([(w, ids[p]) for w, p in single])
-        self.words.now.update([(w, b"".join([ids[p] for p in parts])) for w, parts in several])
-        self.parts.forget(new)
+            now.update(zip(new[at : at + 4096], self.model_ids(new[at : at + 4096])))
 
     def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
         for at in range(0, len(texts), 64):
-            split = [folded(t).split() if t else [] for t in texts[at : at + 64]]
-            missing = self.words.missing(set().union(*split))
-            self.learn(missing)
-            ids = self.words.now
-            for words in split:
-                yield b"".join(map(ids.__getitem__, words))
-            self.words.forget(missing)
-
-
-def folded(text: bytes) -> bytes:
-    """A-Z in lower case, as the tokenizer will have it, where that changes nothing else.
-
-    It composes letters before it lowers them, and A-Z compose with U+0300 to U+037F alone; its special tokens are
-    looked for before either.
-    """
-    return text if b"\xcc" in text or b"\xcd" in text or b"<|" in text else text.lower()
-
-
-class Lately:
-    """What was used lately: ``now`` becomes ``before`` when it holds ``most``, and used entries come over."""
-
-    def __init__(self, most: int):
-        self.most, self.now, self.before = most, {}, {}
-
-    def missing(self, keys: set) -> list:
-        """Those of ``keys`` that are not there; the others are in ``now`` afterwards."""
-        out, old = [], self.before
-        for k in keys.difference(self.now):
-            x = old.get(k)
-            if x is None:
-                out.append(k)
-            else:
-                self.now[k] = x
-        return out
-
-    def forget(self, new: list) -> None:
-        for k in new:
-            if len(k) > KEPT_BYTES:
-                self.now.pop(k, None)
-        if len(self.now) > self.most:
-            self.now, self.before = {}, self.now
+            get, found, holes, missing = self.now.get, [], [], set()
+            for text in texts[at : at + 64]:
+                parts = self.parts(text) if text else []
+                ids = list(map(get, parts))
+                if None in ids:
+                    open_ = [(i, p) for i, (p, x) in enumerate(zip(parts, ids)) if x is None]
+                    missing.update([p for _, p in open_])
+                    holes.append((ids, open_))
+                found.append(ids)
+            if missing:
+                self.learn(missing)
+                now = self.now
+                for ids, open_ in holes:
+                    for i, p in open_:
+                        ids[i] = now[p]
+            yield from map(b"".join, found)
+            for p in missing:
+                if len(p) > KEPT_LENGTH:
+                    del self.now[p]
+            if len(self.now) > KEPT:
+                self.now, self.before = {}, self.now
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for a worker process: its store serves all tasks there."""
+    gc.disable()  # the store is large and holds no cycles
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> DataFrame:
@@ -156,8 +150,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END) -> Data
     last = np.array([end], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # the stores are large and hold no cycles
-        encode, task, seen = Encoder(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
+        encode, task, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(size + 1, np.int64)
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             for doc, ids in zip(batch.column(0).to_pylist(), encode(as_bytes(batch.column(1)))):
