@@ -109,5 +109,6 @@ def greedy_match(findings: DataFrame, truths: DataFrame) -> DataFrame:
                     break
         return pd.DataFrame(out, columns=["case_id", "finding_id", "truth_id"])
 
-    columns = ["case_id", "file", "line_start", "line_end", "id"]
-    return findings.select(*columns, "score").groupBy("case_id").cogroup(truths.select(*columns).groupBy("case_id")).applyInPandas(match, "case_id long, finding_id string, truth_id string")
+    columns, kinds = ["case_id", "file", "line_start", "line_end", "id"], dict(findings.dtypes)
+    out = f"case_id {kinds['case_id']}, finding_id {kinds['id']}, truth_id {dict(truths.dtypes)['id']}"
+    return findings.select(*columns, "score").groupBy("case_id").cogroup(truths.select(*columns).groupBy("case_id")).applyInPandas(match, out)
