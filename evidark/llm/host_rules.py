@@ -89,14 +89,13 @@ def rejected_hosts(spark: SparkSession, counted: DataFrame) -> DataFrame:
     failed = failures("counts")
     hosts = counted.groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.count_if(failed[r]).cast("double").alias(r) for r in RULES])
     hosts = written(spark, hosts, "hosts")
-    n, every = F.col("n"), None
+    n = F.col("n")
     moments = [F.sum(n).alias("n"), F.sum(n * n).alias("nn"), F.count(F.lit(1)).cast("double").alias("hosts")]
     for r in RULES:
         moments += [F.sum(r).alias(f"{r}_f"), F.sum(F.col(r) * F.col(r) / n).alias(f"{r}_ff")]
-    every = hosts.agg(*moments)
-    return hosts.crossJoin(F.broadcast(every.select(*[prior(r).alias(f"prior_{r}") for r in RULES]))).where(
-        any_of([shrunk(F.col(r), n, f"prior_{r}") > MOST for r in RULES])
-    ).select("host", F.lit(True).alias("rejected"))
+    row = hosts.agg(*moments).select(*[prior(r).alias(r) for r in RULES]).first()  # one row of sums over hosts
+    over = [shrunk(F.col(r), n, row[r]["alpha"], row[r]["strength"]) > MOST for r in RULES]
+    return hosts.where(any_of(over)).select("host", F.lit(True).alias("rejected"))
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -122,8 +121,8 @@ def prior(rule: str) -> Column:
     return F.struct((strength * m).alias("alpha"), strength.alias("strength"))
 
 
-def shrunk(failed: Column, n: Column, prior_column: str) -> Column:
-    return (failed + F.col(f"{prior_column}.alpha")) / (n + F.col(f"{prior_column}.strength"))
+def shrunk(failed: Column, n: Column, alpha: float | None, strength: float | None) -> Column:
+    return (failed + F.lit(alpha).cast("double")) / (n + F.lit(strength).cast("double"))
 
 
 def with_verdict(docs: DataFrame, hosts: DataFrame) -> DataFrame:
