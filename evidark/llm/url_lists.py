@@ -59,8 +59,8 @@ def judge(spark: SparkSession, captures: DataFrame, changes: DataFrame) -> DataF
     """``captures`` (with url and fetched, in seconds) with verdict, pattern and n_active in the struct ``judged``."""
     valid = written(spark, intervals(changes), "intervals")
     distinct = written(spark, captures.select("url", F.col("fetched").cast("long").alias("fetched")).where("url IS NOT NULL AND fetched IS NOT NULL").distinct(), "captures")
-    bounds = valid.agg(F.max(F.size(F.split("pattern", "/")) - 1).alias("depth")).crossJoin(distinct.agg(F.max("fetched").alias("latest"))).first()  # one row
-    depth, latest = bounds["depth"] or 0, bounds["latest"] or 0
+    depth = valid.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
+    latest = distinct.agg(F.max("fetched")).first()[0] or 0
     period = lambda c: F.floor(c / PERIOD)
     dealt = valid.where(F.col("since") <= latest).withColumn("period", F.explode(F.sequence(period(F.col("since")), period(F.least(F.coalesce("until", F.lit(latest)), F.lit(latest))))))
     asked = distinct.withColumn("pattern", F.explode(keys(host(F.col("url")), segments(F.col("url")), F.lit(depth)))).withColumn("period", period(F.col("fetched")))
