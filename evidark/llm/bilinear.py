@@ -118,7 +118,7 @@ def head_of(vocab: DataFrame) -> tuple[Head, int, int]:
     """The frequent words with what scoring needs; training tokens and distinct training tokens."""
     sums = vocab.groupBy("class").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum("every").alias("every")).collect()  # a row a class
     n, v, every = (sum(r[x] for r in sums) for x in ("n", "v", "every"))
-    frequent = vocab.where(F.col("every") * F.lit(FREQUENT) >= F.lit(every)).toArrow()
+    frequent = vocab.where(F.col("every").cast("double") * FREQUENT >= float(every)).toArrow()
     keys, c, classes = as_bytes(frequent["key"]), frequent["c"].to_numpy(), frequent["class"].to_numpy()
     order = sorted(range(len(keys)), key=lambda i: (keys[i] != END, -c[i], keys[i]))
     keys, c, classes = [keys[i] for i in order], c[order].astype(float), classes[order]
