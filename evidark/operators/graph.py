@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -60,32 +62,42 @@ def distances(edges: DataFrame, sources: DataFrame, depth: int, passable: Column
     return found
 
 
+def dominator_sets(nodes: list, edges: list[tuple]) -> dict:
+    """Nodes that dominate each node; those not reachable from the entry are dominated by all."""
+    every = sorted(set(nodes))
+    before: dict = {x: set() for x in every}
+    for a, b in edges:
+        before[b].add(a)
+    entry = next((x for x in every if not before[x]), every[0])
+    dom = {x: set(every) for x in every}
+    dom[entry] = {entry}
+    changed = True
+    while changed:
+        changed = False
+        for x in every:
+            if x == entry:
+                continue
+            new = set.intersection(*[dom[p] for p in before[x]]) if before[x] else set(every)
+            new = new | {x}
+            if new != dom[x]:
+                dom[x], changed = new, True
+    return dom
+
+
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("node", T.LongType()), T.StructField("dominator", T.LongType())])))
+def dominator_pairs(nodes: pa.Array, edges: pa.Array) -> pa.Array:
+    out = []
+    for n, e in zip(nodes.to_pylist(), edges.to_pylist()):
+        dom = dominator_sets(n, [(x["src"], x["dst"]) for x in e or []])
+        out.append([{"node": x, "dominator": d} for x in sorted(dom) for d in sorted(dom[x])])
+    return pa.array(out, pa.list_(pa.struct([("node", pa.int64()), ("dominator", pa.int64())])))
+
+
 def dominators(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """fn, node, dominator for each function's control-flow graph; the entry is the node without predecessors that is smallest.
 
-    One function is a small graph, and its fixpoint one Arrow group; unreachable nodes are dominated by all.
+    One function is a small graph: its nodes and edges are two arrays, and the fixpoint runs on them in Arrow batches.
     """
-    import pandas as pd
-
-    def fixpoint(key, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        every = sorted(n["node"].tolist())
-        before: dict = {x: set() for x in every}
-        for a, b in zip(e["src"], e["dst"]):
-            before[b].add(a)
-        entry = next((x for x in every if not before[x]), every[0])
-        dom = {x: set(every) for x in every}
-        dom[entry] = {entry}
-        changed = True
-        while changed:
-            changed = False
-            for x in every:
-                if x == entry:
-                    continue
-                new = set.intersection(*[dom[p] for p in before[x]]) if before[x] else set(every)
-                new = new | {x}
-                if new != dom[x]:
-                    dom[x], changed = new, True
-        return pd.DataFrame([(key[0], x, d) for x in every for d in sorted(dom[x])], columns=["fn", "node", "dominator"])
-
-    kinds = dict(nodes.dtypes)
-    return nodes.groupBy("fn").cogroup(edges.groupBy("fn")).applyInPandas(fixpoint, f"fn {kinds['fn']}, node {kinds['node']}, dominator {kinds['node']}")
+    n = nodes.groupBy("fn").agg(F.array_sort(F.collect_set(F.col("node").cast("long"))).alias("n"))
+    e = edges.groupBy("fn").agg(F.collect_list(F.struct(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))).alias("e"))
+    return n.join(e, "fn", "left").select("fn", F.explode(dominator_pairs("n", "e")).alias("x")).select("fn", "x.node", "x.dominator")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KEYS = ("case_id", "file")
 
@@ -93,22 +95,35 @@ def ordered_pairs(calls: DataFrame, symbol: str, place: str, first: Column, seco
     return a.join(b, "symbol").where("pa < pb").select("symbol", "first_id", "second_id")
 
 
+PAIRS = T.ArrayType(T.StructType([T.StructField("finding", T.IntegerType()), T.StructField("truth", T.IntegerType())]))
+
+
+def first_free(findings: list[dict] | None, truths: list[dict] | None) -> list[dict]:
+    """Places of matched findings and truths: each finding in order takes the first free truth it overlaps."""
+    free, out = list(enumerate(truths or [])), []
+    for i, x in enumerate(findings or []):
+        for k, (j, y) in enumerate(free):
+            if x["file"] == y["file"] and x["line_start"] <= y["line_end"] and x["line_end"] >= y["line_start"]:
+                out.append({"finding": i, "truth": j})
+                del free[k]
+                break
+    return out
+
+
+@F.arrow_udf(PAIRS)
+def match_first_free(findings: pa.Array, truths: pa.Array) -> pa.Array:
+    kind = pa.list_(pa.struct([("finding", pa.int32()), ("truth", pa.int32())]))
+    return pa.array([first_free(f, t) for f, t in zip(findings.to_pylist(), truths.to_pylist())], kind)
+
+
 def greedy_match(findings: DataFrame, truths: DataFrame) -> DataFrame:
     """case_id, finding_id, truth_id: findings in order each take the first truth of their case that is still free.
 
-    Sequential inside a case, so one Arrow group a case; cases run apart. Matches need an overlap in one file.
+    Sequential inside a case, whose spans are one array; cases run apart. Matches need an overlap in one file.
     """
-    import pandas as pd
-
-    def match(key, f: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        free, out = t.sort_values(["line_start", "id"]).to_dict("records"), []
-        for x in f.sort_values(["score", "id"], ascending=[False, True]).to_dict("records"):
-            for i, y in enumerate(free):
-                if x["file"] == y["file"] and x["line_start"] <= y["line_end"] and x["line_end"] >= y["line_start"]:
-                    out.append((key[0], x["id"], free.pop(i)["id"]))
-                    break
-        return pd.DataFrame(out, columns=["case_id", "finding_id", "truth_id"])
-
-    columns, kinds = ["case_id", "file", "line_start", "line_end", "id"], dict(findings.dtypes)
-    out = f"case_id {kinds['case_id']}, finding_id {kinds['id']}, truth_id {dict(truths.dtypes)['id']}"
-    return findings.select(*columns, "score").groupBy("case_id").cogroup(truths.select(*columns).groupBy("case_id")).applyInPandas(match, out)
+    span = ["file", "line_start", "line_end", "id"]
+    f = findings.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("down"), F.col("id").alias("order"), *span))).alias("f"))
+    t = truths.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct(F.col("line_start").alias("at"), F.col("id").alias("order"), *span))).alias("t"))
+    bare = lambda c: F.transform(c, lambda x: F.struct(x["file"].alias("file"), x["line_start"].alias("line_start"), x["line_end"].alias("line_end")))
+    both = f.join(t, "case_id").withColumn("m", match_first_free(bare("f"), bare("t")))
+    return both.select("case_id", "f", "t", F.explode("m").alias("m")).select("case_id", F.col("f")[F.col("m.finding")]["id"].alias("finding_id"), F.col("t")[F.col("m.truth")]["id"].alias("truth_id"))
