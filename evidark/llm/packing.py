@@ -30,7 +30,7 @@ from evidark.llm.common import as_bytes, table, written
 SIZE = 2048
 END = 0
 #: Token ids are kept for about so many pre-tokens, twice, each of at most so many characters.
-KEPT, KEPT_LENGTH = 250_000, 48
+KEPT, KEPT_LENGTH = 150_000, 48
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
