@@ -41,7 +41,7 @@ class RoutingModel:
         names = [f"_x{i}" for i in range(len(self.names))]
         wide = with_vector.select("*", *[F.col("_v")[i].alias(n) for i, n in enumerate(names)])
         got = self.model.transform(VectorAssembler(inputCols=names, outputCol="_f").transform(wide))
-        p = vector_to_array("probability")
+        p = vector_to_array("_probability")
         pairs = [x for i, k in enumerate(self.labels) for x in (F.lit(k), p[i])]
         return got.withColumn(out, F.create_map(*pairs)).select(*rows.columns, out)
 
@@ -82,7 +82,7 @@ def fit(rows: DataFrame, names: list[str], label: str, features: str = "features
     ready = wide.select(at[F.col("_label")].alias("label"), weight[F.col("_label")].alias("weight"), *[(F.col(f"_x{i}") / s).alias(f"_x{i}") for i, s in enumerate(scale)])
     ready = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(names))], outputCol="_f").transform(ready).select("label", "weight", "_f")
     family = "binomial" if len(labels) == 2 else "multinomial"
-    lr = LogisticRegression(featuresCol="_f", labelCol="label", weightCol="weight", family=family, regParam=1.0 / (penalty * n), elasticNetParam=0.0, standardization=False, maxIter=most_iterations, tol=1e-8)
+    lr = LogisticRegression(featuresCol="_f", labelCol="label", weightCol="weight", family=family, regParam=1.0 / (penalty * n), elasticNetParam=0.0, standardization=False, maxIter=most_iterations, tol=1e-8, probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction")
     return RoutingModel(names, scale, labels, lr.fit(ready))
 
 
