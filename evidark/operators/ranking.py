@@ -91,7 +91,7 @@ def budget_admission(df: DataFrame, by: str, limit: float) -> DataFrame:
     """
     import pandas as pd
 
-    def admit(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def admit(key, rows):
         rows = rows.sort_values(["first", "priority", "id"], ascending=[False, False, True])
         left, out = limit, []
         for cost in rows["cost"]:
@@ -106,11 +106,9 @@ def budget_admission(df: DataFrame, by: str, limit: float) -> DataFrame:
 
 def quota_sample(df: DataFrame, caps: dict[str, int], by: str) -> DataFrame:
     """Rows of each ``by`` group taken in order while no column's running count passes its cap."""
-    import pandas as pd
-
     columns = list(caps)
 
-    def take(rows: pd.DataFrame) -> pd.DataFrame:
+    def take(rows):
         rows, seen, kept = rows.sort_values("id"), {}, []
         for values in rows[columns].itertuples(index=False):
             ks = list(zip(columns, values))

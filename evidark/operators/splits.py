@@ -91,7 +91,7 @@ def deficit_assignment(clusters: DataFrame, by: str, shares: dict[str, float]) -
     """split of each cluster: the largest first, each to the split that is furthest below its share of the group's rows."""
     import pandas as pd
 
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
+    def assign(rows):
         rows = rows.sort_values(["size", "cluster"], ascending=[False, True])
         total, have, out = rows["size"].sum(), dict.fromkeys(shares, 0), []
         for size in rows["size"]:
