@@ -31,7 +31,7 @@ from evidark.llm.page_samples import Maker
 PATHS, WORDS, NUMBERS = 512, 64, 8
 WIDTH = PATHS + WORDS + NUMBERS
 HIDDEN = 24
-PAGES, PASSES, BATCH, RATE = 900, 9, 24, 0.012
+PAGES, PASSES, BATCH, RATE = 3000, 9, 24, 0.012
 #: Pages that are labelled together.
 TOGETHER = 128
 
@@ -191,7 +191,7 @@ def sample(maker: Maker) -> tuple[list[Block], np.ndarray]:
 @cache
 def trained(pages: int = PAGES, passes: int = PASSES, seed: int = 20) -> Labeller:
     maker, rng, model = Maker(seed), np.random.default_rng(seed), Labeller()
-    data = [(vectors(b), l) for b, l in (sample(maker) for _ in range(pages)) if b]
+    data = [(vectors(b).astype(np.float16), l) for b, l in (sample(maker) for _ in range(pages)) if b]
     params = model.params()
     m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
     total = passes * -(-len(data) // BATCH)
