@@ -10,11 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidark.sources.session import reachable
+
 #: Experts in their fixed order, by code.
 FAMILIES = ("memory_bounds", "lifetime_resource", "integer_overflow", "taint_api", "control_state", "concurrency")
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
