@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidark.sources.session import reachable
+
 #: A word: a run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,6 +18,7 @@ _WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reachable(spark)
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
