@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidark.operators import graph
 from evidark.operators.ranking import hash_order
 
 
@@ -53,6 +54,18 @@ def template_group(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(name, r"[_#]?[0-9]+.*$", ""), r"[^A-Za-z0-9_.]+", "_"))
 
 
+def leakage_clusters(rows: DataFrame, key: str, template: Column, digest: Column) -> DataFrame:
+    """key, cluster (its smallest key): rows of one template or one digest, and what those link, are one cluster.
+
+    Each value's rows link to its first, so no pairs are made; a row with neither value stands alone.
+    """
+    keys = F.explode(F.array(F.concat(F.lit("t:"), template), F.concat(F.lit("h:"), digest)))
+    linked = rows.select(F.col(key).alias("a"), keys.alias("k")).where("k IS NOT NULL")
+    edges = linked.join(linked.groupBy("k").agg(F.min("a").alias("b")), "k").select("a", "b")
+    alone = rows.select(F.col(key).alias("a"), F.col(key).alias("b"))
+    return graph.components(edges.union(alone)).select(F.col("node").alias(key), F.col("root").alias("cluster"))
+
+
 def matrix(selected: DataFrame, assignments: DataFrame) -> DataFrame:
     """Every selected candidate with every assignment: the keys an outcome matrix must have.
 

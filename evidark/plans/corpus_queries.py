@@ -103,6 +103,13 @@ def fingerprint_dedup(spark, sf):
     return d.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
+@query("fingerprint_dedup_whole", r"WITH f AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[ \t\r\n\f\v]+', ' ', 'g'))) AS fingerprint FROM documents) SELECT fingerprint, min(doc_id) AS doc_id, count(*) AS copies FROM f GROUP BY fingerprint")
+def fingerprint_dedup_whole(spark, sf):
+    """Whole texts alike after white space is collapsed: the first id of each."""
+    d = read(spark, sf, "documents").select("doc_id", splits.fingerprint(F.lower("text")).alias("fingerprint"))
+    return d.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+
+
 @query("template_group", "SELECT template, count(*) AS n, count(DISTINCT p_brand) AS brands FROM (SELECT lower(regexp_replace(regexp_replace(p_brand || '_' || p_name, '[_#]?[0-9]+.*$', ''), '[^A-Za-z0-9_.]+', '_', 'g')) AS template, p_brand FROM part) GROUP BY template")
 def template_group(spark, sf):
     p = read(spark, sf, "part").select(splits.template_group(F.concat_ws("_", "p_brand", "p_name")).alias("template"), "p_brand")
@@ -119,6 +126,13 @@ def leakage_clusters(spark, sf):
     return graph.components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
 
 
+@query("leakage_clusters_whole")
+def leakage_clusters_whole(spark, sf):
+    """Pages joined by an equal template of the address or an equal whole page."""
+    p = read(spark, sf, "pages").select("page_id", "url", "html")
+    return splits.leakage_clusters(p, "page_id", splits.template_group(F.col("url")), text.canonical_hash(F.col("html")))
+
+
 @query("combined_hash", "SELECT conv_id, sha256(string_agg(sha256(text), chr(1) ORDER BY sha256(text))) AS combined, count(*) AS files FROM conversations GROUP BY conv_id")
 def combined_hash(spark, sf):
     """One digest of a set of files, whatever their order."""
