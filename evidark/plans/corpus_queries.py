@@ -242,6 +242,32 @@ def backward_slice(spark, sf):
     return graph.distances(back, spark.createDataFrame([(7,)], "node long"), 8).select("node", "distance")
 
 
+def _whole_edges(spark, sf):
+    """Every part and supplier that a line names, both ways; a part's node is twice its key, a supplier's one more than that."""
+    line = read(spark, sf, "lineitem").select((F.col("l_partkey").cast("long") * 2).alias("src"), (F.col("l_suppkey").cast("long") * 2 + 1).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+    both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")
+    return line.distinct().select(both).select("e.src", "e.dst")
+
+
+@query("shortest_path_whole")
+def shortest_path_whole(spark, sf):
+    """From part 1 over all lines, no node folded into another."""
+    return graph.distances(_whole_edges(spark, sf), spark.createDataFrame([(2,)], "node long"), 6).select("node", "distance")
+
+
+@query("path_without_definition_whole")
+def path_without_definition_whole(spark, sf):
+    """Nodes divisible by three define the symbol: paths may end there, not pass."""
+    return graph.distances(_whole_edges(spark, sf), spark.createDataFrame([(2,)], "node long"), 6, F.col("node") % 3 != 0).select("node", "distance")
+
+
+@query("backward_slice_whole")
+def backward_slice_whole(spark, sf):
+    """Back from supplier 7 over all lines."""
+    back = _whole_edges(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.distances(back, spark.createDataFrame([(15,)], "node long"), 8).select("node", "distance")
+
+
 @query("dominators")
 def dominators(spark, sf):
     """Flow graphs made from orders: an order is a function, its lines are nodes in a chain with jumps by part."""
