@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VERSION = "routing-model-v1"
@@ -45,6 +46,16 @@ class RoutingModel:
         pairs = [x for i, k in enumerate(self.labels) for x in (F.lit(k), p[i])]
         return got.withColumn(out, F.create_map(*pairs)).select(*rows.columns, out)
 
+    def predict_vectors(self, rows: DataFrame, vector: str, out: str = "scores") -> DataFrame:
+        """``rows`` with a map of label to probability; ``vector`` is an array that has the features in the order of the names."""
+        if self.model is None:
+            return self.predict(rows, vector, out)
+        by = F.array(*map(F.lit, self.scale))
+        got = self.model.transform(rows.withColumn("_f", array_to_vector(F.zip_with(padded(vector, len(self.names)), by, lambda x, s: x / s))))
+        p = vector_to_array("_probability")
+        pairs = [x for i, k in enumerate(self.labels) for x in (F.lit(k), p[i])]
+        return got.withColumn(out, F.create_map(*pairs)).select(*rows.columns, out)
+
     def save(self, path: str) -> None:
         spark = SparkSession.active()
         head = {"version": VERSION, "names": self.names, "scale": self.scale, "labels": self.labels, "constant": self.constant, "fitted": self.model is not None}
@@ -64,6 +75,36 @@ def scaled(features: str, names: list[str], scale: list[float]):
     return F.array(*[F.coalesce(F.try_element_at(features, F.lit(n)), F.lit(0.0)) / F.lit(s) for n, s in zip(names, scale)])
 
 
+def padded(vector: str, width: int) -> Column:
+    """An array of ``width`` doubles: those of ``vector``, and 0 where it is null or ends."""
+    given = F.transform(F.coalesce(F.col(vector).cast("array<double>"), F.array().cast("array<double>")), lambda x: F.coalesce(x, F.lit(0.0)))
+    return F.slice(F.concat(given, F.array_repeat(F.lit(0.0), width)), 1, width)
+
+
+def fit_vectors(rows: DataFrame, vector: str, label: str, penalty: float = 1.0, most_iterations: int = 200) -> RoutingModel:
+    """As ``fit``, on all components of an array column; the longest array gives their number. Rows without a label teach nothing."""
+    rows = rows.where(F.col(label).isNotNull()).select(F.col(label).alias("_label"), F.col(vector).alias("_a"))
+    counts, width = {}, 0
+    for r in rows.groupBy("_label").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce(F.size("_a"), F.lit(0))).alias("width")).collect():  # labels are few
+        counts[r["_label"]], width = r["n"], max(width, r["width"])
+    names, labels, n = [f"x{i}" for i in range(width)], sorted(counts), sum(counts.values())
+    if len(labels) < 2 or not width:
+        return RoutingModel(names, [1.0] * width, labels, None, 1.0 / max(1, len(labels)))
+    ready = rows.select("_label", array_to_vector(padded("_a", width)).alias("_v"))
+    deviation = ready.agg(Summarizer.std(F.col("_v")).alias("std")).first()["std"].toArray() * ((n - 1) / n) ** 0.5
+    scale = [float(s) if s else 1.0 for s in deviation]
+    by = F.array(*map(F.lit, scale))
+    at = F.create_map(*[F.lit(x) for i, k in enumerate(labels) for x in (k, float(i))])
+    weight = F.create_map(*[F.lit(x) for k in labels for x in (k, n / (len(labels) * counts[k]))])
+    ready = rows.select(at[F.col("_label")].alias("label"), weight[F.col("_label")].alias("weight"), array_to_vector(F.zip_with(padded("_a", width), by, lambda x, s: x / s)).alias("_f"))
+    return RoutingModel(names, scale, labels, logistic(len(labels), n, penalty, most_iterations).fit(ready))
+
+
+def logistic(labels: int, n: int, penalty: float, most_iterations: int) -> LogisticRegression:
+    family = "binomial" if labels == 2 else "multinomial"
+    return LogisticRegression(featuresCol="_f", labelCol="label", weightCol="weight", family=family, regParam=1.0 / (penalty * n), elasticNetParam=0.0, standardization=False, maxIter=most_iterations, tol=1e-8, probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction")
+
+
 def fit(rows: DataFrame, names: list[str], label: str, features: str = "features", penalty: float = 1.0, most_iterations: int = 200) -> RoutingModel:
     """Balanced logistic regression; two labels give the binomial model, more the multinomial one.
 
@@ -81,9 +122,7 @@ def fit(rows: DataFrame, names: list[str], label: str, features: str = "features
     weight = F.create_map(*[F.lit(x) for k in labels for x in (k, n / (len(labels) * counts[k]))])
     ready = wide.select(at[F.col("_label")].alias("label"), weight[F.col("_label")].alias("weight"), *[(F.col(f"_x{i}") / s).alias(f"_x{i}") for i, s in enumerate(scale)])
     ready = VectorAssembler(inputCols=[f"_x{i}" for i in range(len(names))], outputCol="_f").transform(ready).select("label", "weight", "_f")
-    family = "binomial" if len(labels) == 2 else "multinomial"
-    lr = LogisticRegression(featuresCol="_f", labelCol="label", weightCol="weight", family=family, regParam=1.0 / (penalty * n), elasticNetParam=0.0, standardization=False, maxIter=most_iterations, tol=1e-8, probabilityCol="_probability", rawPredictionCol="_raw", predictionCol="_prediction")
-    return RoutingModel(names, scale, labels, lr.fit(ready))
+    return RoutingModel(names, scale, labels, logistic(len(labels), n, penalty, most_iterations).fit(ready))
 
 
 def fit_binary(rows: DataFrame, names: list[str], positive: str, features: str = "features") -> RoutingModel:

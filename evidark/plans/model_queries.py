@@ -11,19 +11,14 @@ from evidark.sources.tables import labelled, outcomes, read
 from evidark.streaming.replay import windowed_counts
 
 
-def _vectors(spark, sf, width: int = 12):
-    """Embeddings as maps of named features, the first coordinates of each."""
-    e = read(spark, sf, "embeddings")
-    pairs = [x for i in range(width) for x in (F.lit(f"x{i}"), F.col("embedding")[i].cast("double"))]
-    return e.select("vec_id", F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"), F.create_map(*pairs).alias("features"))
-
-
 @query("softmax_router")
 def softmax_router(spark, sf):
-    rows = _vectors(spark, sf)
-    model = models.fit(rows.where("vec_id % 5 <> 0"), [f"x{i}" for i in range(12)], "label", most_iterations=25)
+    """Fitted on all components of four fifths of the vectors; every vector gets a prediction."""
+    held_out = F.coalesce(F.col("vec_id") % 5 == 0, F.lit(False))
+    rows = read(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("c"), F.col("label").cast("string")).alias("label"), held_out.alias("held_out"), "embedding")
+    model = models.fit_vectors(rows.where("NOT held_out"), "embedding", "label", most_iterations=25)
     top = F.array_max(F.transform(F.map_entries("scores"), lambda e: F.struct(e["value"], e["key"])))
-    return model.predict(rows.where("vec_id % 5 = 0")).select("vec_id", "label", top["key"].alias("predicted"), top["value"].alias("p"))
+    return model.predict_vectors(rows, "embedding").select("vec_id", "label", "held_out", top["key"].alias("predicted"), top["value"].alias("p"))
 
 
 @query("binary_router")
