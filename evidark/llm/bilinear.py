@@ -1,19 +1,25 @@
 """Language-model scores: a log-bilinear neural model trained by noise-contrastive estimation, and a unigram base.
 
 Tokens are lower-cased (A-Z) words and one end for each text. Every distinct token of the corpus is counted, without a
-cap. The model predicts a unit from the unit before it; units are the most frequent words, the end, and classes of all
-other words by their last two bytes. A word of a class has its share of the class by count, (c + 0.5) out of
+cap. The neural model predicts a unit from the unit before it; units are the most frequent words, the end, and classes of
+all other words by their last two bytes. A word of a class has its share of the class by count, (c + 0.5) out of
 (n + 0.5 (v + 1)) for n tokens and v words of the class, so every token has a probability and unseen words share what
 0.5 leaves them.
 
+That is the prior of what is learnt of whole words: the probability of w after h is (c(h, w) + PRIOR p(w | h)) out of
+(c(h) + PRIOR), p being the neural model's and c counting words and pairs of neighbouring words in the training texts,
+every one of them, however many there are. It sums to one as p does.
+
 Training sees every pair of neighbouring tokens of the training texts: the pairs are summed to a table of units by
 units on the executors (at most ``UNITS`` squared numbers, whatever the corpus), and noise-contrastive estimation on
 that table takes the noise by expectation instead of by sampling; numpy matrix products give all scores and gradients.
 Scoring normalises the model exactly: products of context and unit vectors give the log-probabilities of all pairs of
 units, from which a text's are looked up.
 
-Words that make up a ``FREQUENT``-th of all tokens or more (so at most ``FREQUENT`` words) have their counts broadcast;
-for the others, (text, word) rows join the vocabulary, where none can be hot.
+Words that make up a ``FREQUENT``-th of all tokens or more (so at most ``FREQUENT`` words) have their counts broadcast, and
+pairs of words that are units of their own are in the table of units. Every other pair of a text is a row, dealt by its
+word where that is not frequent and by the pair where it is, so that none can be hot: windows over those rows give c(w)
+and c(h, w). Such words go by 62 bits of a digest.
 
 Null texts are empty: the end alone. Rows are scored one by one, so repeated rows and null ids are kept; a null id is
 learnt from as crc32 of the empty text says. An empty table gives no rows.
@@ -30,7 +36,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidark.llm.common import as_bytes, remainder, table, written
@@ -39,6 +45,8 @@ FREQUENT = 500_000
 WORDS, CLASSES = 768, 256
 UNITS = WORDS + CLASSES
 DIM, NOISE, STEPS, RATE = 48, 8, 160, 0.05
+#: What the neural model's probability weighs against counts of pairs, in tokens.
+PRIOR = 5000.0
 END = b"\n"
 #: Distinct words that a task counts before it passes them on; longer words travel as a digest.
 COUNTED, LONGEST = 400_000, 64
@@ -94,6 +102,7 @@ class Head:
     within: np.ndarray
     base_rest: float  # log10 of the base's denominator
     class_rest: np.ndarray  # log10 of each class's denominator
+    count: np.ndarray  # in training
 
     def units(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Of a text: units, places of the frequent words (-1: none) and the other words."""
@@ -132,7 +141,7 @@ def head_of(vocab: DataFrame) -> tuple[Head, int, int]:
     unit = np.where(np.arange(len(keys)) < own, np.arange(len(keys)), WORDS + classes).astype(np.int64)
     within = np.where(unit < WORDS, 0.0, np.log10(c + 0.5) - class_rest[classes] if len(keys) else 0.0)
     base_rest = float(np.log10(n + 0.5 * (v + 1)))
-    return Head({k: i for i, k in enumerate(keys)}, unit, c > 0, np.log10(c + 0.5) - base_rest, within, base_rest, class_rest), n, v
+    return Head({k: i for i, k in enumerate(keys)}, unit, c > 0, np.log10(c + 0.5) - base_rest, within, base_rest, class_rest, c), n, v
 
 
 def pair_counts(docs: DataFrame, head) -> np.ndarray:
@@ -195,64 +204,99 @@ def log_table(model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     return (s - np.log(np.exp(s).sum(1, keepdims=True))) / LOG10
 
 
-SCORED = "rid long, key string, times long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+def digests(words: list[bytes]) -> np.ndarray:
+    """Numbers of words that are not frequent: negative and odd, so that they meet no place and no pair's number."""
+    joined = b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words])
+    return np.frombuffer(joined, np.int64) | np.int64(-(2**63) + 1)
+
+
+def pair_numbers(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Even numbers of pairs; for one ``before`` they differ as the words do but for the lowest bit."""
+    z = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (z ^ (z >> np.uint64(32))).astype(np.int64) & np.int64(-2)
+
+
+def raised(counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
+    """log10 of what the count of a pair makes of its prior, for words that are units of their own."""
+    return np.log10(1 + counts[:WORDS, :WORDS] / (PRIOR * 10.0 ** logp[:WORDS, :WORDS]))
+
+
+SCORED = "rid long, deal long, before long, training boolean, prior float, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+NAMES = [x.split()[0] for x in SCORED.split(", ")]
 
 
 def score(docs: DataFrame, head, model) -> DataFrame:
-    """A row for each text (key null), and one for each of its words that is not frequent (rid, key, times)."""
+    """A row for each text (prior null), and one for each token with the word before it, unless both are units of their own."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, logp, rid = head.value, log_table(model.value), TaskContext.get().partitionId() << 40
+        h, (vectors, counts), rid = head.value, model.value, TaskContext.get().partitionId() << 40
+        logp = log_table(vectors)
+        more = raised(counts, logp)
+        less = np.log10(PRIOR) - np.log10(h.count + PRIOR)
         for batch in batches:
             ids, training, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
             own: list[tuple] = []
-            keys, times, of = [], [], []
+            held, some = [], 0
             for doc, learnt, text in zip(ids, training, texts):
                 words = tokens(text)
                 words.append(END)
                 units, at, rare = h.units(words)
-                there = at[at >= 0]
-                before = np.r_[0, units[:-1]]
-                classes = units[at < 0] - WORDS
-                model_score = logp[before, units].sum() + h.within[there].sum() - h.class_rest[classes].sum()
-                own.append((rid, doc, not learnt, len(words), int(h.known[there].sum()), float(h.base[there].sum() - len(rare) * h.base_rest), float(model_score)))
-                for w, n in Counter(rare).items():
-                    keys.append(w)
-                    times.append(n)
-                    of.append(rid)
+                there = at >= 0
+                if rare:
+                    number = at.copy()
+                    number[~there] = digests(rare)
+                else:
+                    number = at
+                unit_before, before = np.r_[0, units[:-1]], np.r_[0, number[:-1]]
+                prior = logp[unit_before, units]
+                prior[there] += h.within[at[there]]
+                prior[~there] -= h.class_rest[units[~there] - WORDS]
+                near = (unit_before < WORDS) & (units < WORDS)
+                total = prior.sum() + less[at[there]].sum() + len(rare) * np.log10(PRIOR) + more[unit_before[near], units[near]].sum()
+                own.append((rid, doc, not learnt, len(words), int(h.known[at[there]].sum()), float(h.base[at[there]].sum() - len(rare) * h.base_rest), float(total)))
+                far = np.flatnonzero(~near)
+                deal = np.where(there[far], pair_numbers(before[far], number[far]), number[far])
+                held.append((np.full(len(far), rid), deal, before[far], np.full(len(far), bool(learnt)), prior[far].astype(np.float32)))
+                some += len(far)
                 rid += 1
-                if len(keys) > 100_000:
-                    yield tail(of, keys, times)
-                    keys, times, of = [], [], []
-            yield tail(of, keys, times)
+                if some > 100_000:
+                    yield tail(held)
+                    held, some = [], 0
+            if some:
+                yield tail(held)
             columns = list(zip(*own)) or [()] * 7
             n = len(own)
-            yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_()), *[pa.array(c, pa.int64()) for c in columns[3:5]], *[pa.array(c, pa.float64()) for c in columns[5:]]], NAMES)
+            number = np.array(columns[0], np.int64)
+            yield pa.record_batch([pa.array(number), pa.array(pair_numbers(number, number)), pa.array(number), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.float32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_()), *[pa.array(c, pa.int64()) for c in columns[3:5]], *[pa.array(c, pa.float64()) for c in columns[5:]]], NAMES)
 
-    def tail(of: list, keys: list, times: list) -> pa.RecordBatch:
-        n = len(of)
-        return pa.record_batch([pa.array(of, pa.int64()), strings(keys), pa.array(times, pa.int64()), *[pa.nulls(n, t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]], NAMES)
+    def tail(held: list) -> pa.RecordBatch:
+        columns = [pa.array(np.concatenate(c)) for c in zip(*held)]
+        return pa.record_batch([*columns, *[pa.nulls(len(columns[0]), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]], NAMES)
 
     return docs.select("doc_id", "training", "text").mapInArrow(rows, SCORED)
 
 
-NAMES = [x.split()[0] for x in SCORED.split(", ")]
-
-
 def lm_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` has doc_id, text and training; see ``op2_bilinear_lm`` for the columns that come back."""
     vocab = vocabulary(spark, docs)
     head, n, _ = head_of(vocab)
     shared = spark.sparkContext.broadcast(head)
-    model = spark.sparkContext.broadcast(train(pair_counts(docs, shared)))
-    scored = written(spark, score(docs, shared, model), "scores")
-    seen = F.coalesce("c", F.lit(0))
-    rare = scored.where("key IS NOT NULL").select("rid", "key", "times").join(vocab.select("key", "c"), "key", "left")
-    rare = rare.groupBy("rid").agg(F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10(seen + 0.5)).alias("logs"))
-    return scored.where("key IS NULL").drop("key", "times").join(rare, "rid", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("logs", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("logs", F.lit(0.0))).alias("score"),
+    counts = pair_counts(docs, shared)
+    model = spark.sparkContext.broadcast((train(counts), counts))
+    learnt = F.when(F.col("training"), 1).otherwise(0)
+    rows = score(docs, shared, model).repartition("deal")
+    rows = rows.withColumn("pair", F.sum(learnt).over(Window.partitionBy("deal", "before"))).withColumn("c", F.sum(learnt).over(Window.partitionBy("deal")))
+    rare = F.col("prior").isNotNull() & (F.col("deal") % 2 != 0)
+    seen = F.log10(F.col("c") + 0.5)
+    prior = F.col("prior").cast("double") + F.when(rare, seen).otherwise(0.0)
+    more = F.when(F.col("prior").isNotNull() & (F.col("pair") > 0), F.log10(1 + F.col("pair") / (PRIOR * F.pow(F.lit(10.0), prior)))).otherwise(0.0)
+    rows = rows.select(
+        "rid", "doc_id", "held_out", "n_tokens", F.when(rare, (F.col("c") > 0).cast("long")).otherwise(F.col("n_known")).alias("n_known"),
+        F.when(rare, seen).otherwise(F.col("base")).alias("base"), (F.coalesce("score", F.lit(0.0)) + F.when(rare, seen - F.log10(F.col("c") + PRIOR)).otherwise(0.0) + more).alias("score"),
     )
+    sums = rows.groupBy("rid").agg(*[F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens")], *[F.sum(x).alias(x) for x in ("n_known", "base", "score")])
+    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def op2_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
