@@ -9,8 +9,9 @@ from html import unescape
 # Fixed values of HTML: elements that break lines, that have no end, that hold raw text, and that end open ones.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noframes noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title xmp iframe noembed noframes svg math template object".split())
-DROPPED = frozenset("script style xmp iframe noembed noframes svg math template object".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes svg template".split())
+DROPPED = frozenset("script style xmp iframe noembed noframes svg template".split())
+FOREIGN = frozenset("svg math".split())  # empty where the tag ends in a slash; never the rest of a page
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "thead": {"tr", "td", "th", "thead", "tbody"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "thead", "tbody"}, "body": {"head"}}
 SCOPE = frozenset("table ul ol dl select button".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
@@ -100,10 +101,12 @@ def leaf_blocks(page: str) -> list[Block]:
                     leave(depth)
                 elif tags[depth] in SCOPE:
                     break
-        if tag in VOID:
+        if tag in VOID or (tag in FOREIGN and (m[3] or m[6] or "").endswith("/")):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if end is None and tag in FOREIGN:
+                continue
             inside, at = (page[at : end.start()], end.end()) if end else (page[at:], len(page))
             if tag not in DROPPED:
                 tags.append(tag)
