@@ -135,7 +135,7 @@ def fit_binary(rows: DataFrame, names: list[str], positive: str, features: str =
 
 def fit_by_assignment(outcomes: DataFrame, names: list[str], assignments: list[str]) -> dict[str, RoutingModel]:
     """A success model for each of a few assignments; one that is missing raises."""
-    have = {r[0] for r in outcomes.select("assignment").distinct().limit(1000).collect()}
+    have = {r[0] for r in outcomes.select("assignment").distinct().collect()}
     if missing := sorted(set(assignments) - have):
         raise ValueError(f"no outcomes for {missing}")
     return {a: fit_binary(outcomes.where(F.col("assignment") == a), names, "success") for a in assignments}

@@ -31,7 +31,7 @@ def binary_router(spark, sf):
 @query("utility_models")
 def utility_models(spark, sf):
     o = outcomes(spark, sf).withColumn("features", F.create_map(F.lit("tokens"), F.col("tokens").cast("double"), F.lit("p"), F.col("probability")))
-    names = sorted(r[0] for r in o.select("assignment").distinct().limit(64).collect())
+    names = sorted(r[0] for r in o.select("assignment").distinct().collect())
     fitted = models.fit_by_assignment(o, ["tokens", "p"], names)
     out = None
     for a, m in fitted.items():

@@ -233,7 +233,7 @@ def suspicion_score(spark, sf):
 @query("matrix_cross_join", "WITH u AS (SELECT DISTINCT user_id AS candidate_id FROM events), a AS (SELECT DISTINCT event_type AS assignment FROM events) SELECT * FROM u, a")
 def matrix_cross_join(spark, sf):
     e = read(spark, sf, "events")
-    return splits.matrix(e.select(F.col("user_id").alias("candidate_id")).distinct(), F.broadcast(e.select(F.col("event_type").alias("assignment")).distinct().limit(64)))
+    return splits.matrix(e.select(F.col("user_id").alias("candidate_id")).distinct(), e.select(F.col("event_type").alias("assignment")).distinct())
 
 
 _WEEK = """cells AS (SELECT user_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 AS INTEGER) AS week, event_type AS assignment FROM events),
@@ -243,7 +243,7 @@ a AS (SELECT DISTINCT assignment FROM cells), u AS (SELECT DISTINCT user_id, wee
 def _weeks(spark, sf):
     week = F.floor(F.datediff(F.to_date("ts"), F.to_date(F.lit("2024-01-01"))) / 7).cast("int")
     cells = read(spark, sf, "events").select("user_id", week.alias("week"), F.col("event_type").alias("assignment"))
-    names = F.broadcast(cells.select("assignment").distinct().limit(64))
+    names = cells.select("assignment").distinct()
     return splits.matrix(cells.where("week % 5 <> 0").select("user_id", "week").distinct(), names), cells.where("week % 5 <> 1").distinct()
 
 
