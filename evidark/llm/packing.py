@@ -12,7 +12,6 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import zlib
@@ -29,8 +28,12 @@ from evidark.llm.common import as_bytes, table, written
 
 SIZE = 2048
 END = 0
-#: Token ids are kept for about so many pre-tokens, twice, each of at most so many characters.
-KEPT, KEPT_LENGTH = 150_000, 48
+#: Bytes that a worker process keeps of token ids by pre-token, in two generations; longer pre-tokens are not kept.
+KEPT_BYTES, KEPT_LENGTH = 64 << 20, 48
+#: Bytes of text that are split at a time.
+TOGETHER = 256 << 10
+#: Of an entry, beside its characters and ids: the two objects and a dict's slot.
+ENTRY_BYTES = 240
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
@@ -73,6 +76,7 @@ class Encoder:
         self.last[[i for t, i in self.whole.get_vocab(with_added_tokens=False).items() if t.endswith("</w>")]] = True
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.held = 0  # bytes of ``now``
 
     def whole_ids(self, word: str) -> bytes:
         return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
@@ -112,36 +116,65 @@ class Encoder:
                 new.append(p)
         for at in range(0, len(new), 4096):
             now.update(zip(new[at : at + 4096], self.model_ids(new[at : at + 4096])))
+        self.held += sum(ENTRY_BYTES + len(p) + len(now[p]) for p in missing)
 
     def __call__(self, texts: list[bytes | None]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 64):
-            get, found, holes, missing = self.now.get, [], [], set()
-            for text in texts[at : at + 64]:
-                parts = self.parts(text) if text else []
-                ids = list(map(get, parts))
-                if None in ids:
-                    open_ = [(i, p) for i, (p, x) in enumerate(zip(parts, ids)) if x is None]
-                    missing.update([p for _, p in open_])
-                    holes.append((ids, open_))
-                found.append(ids)
-            if missing:
-                self.learn(missing)
-                now = self.now
-                for ids, open_ in holes:
-                    for i, p in open_:
-                        ids[i] = now[p]
-            yield from map(b"".join, found)
-            for p in missing:
-                if len(p) > KEPT_LENGTH:
-                    del self.now[p]
-            if len(self.now) > KEPT:
-                self.now, self.before = {}, self.now
+        """Ids of each text. About ``TOGETHER`` bytes are split at a time; longer texts in parts that end at white space."""
+        some: list[bytes | None] = []
+        size = 0
+        for text in texts:
+            if text and len(text) > TOGETHER:
+                yield from self.some(some)
+                yield b"".join(x for part in parts_of(text, TOGETHER) for x in self.some([part]))
+                some, size = [], 0
+                continue
+            some.append(text)
+            size += len(text or b"")
+            if size > TOGETHER:
+                yield from self.some(some)
+                some, size = [], 0
+        yield from self.some(some)
+
+    def some(self, texts: list[bytes | None]) -> list[bytes]:
+        get, found, holes, missing = self.now.get, [], [], set()
+        for text in texts:
+            parts = self.parts(text) if text else []
+            ids = list(map(get, parts))
+            if None in ids:
+                open_ = [(i, p) for i, (p, x) in enumerate(zip(parts, ids)) if x is None]
+                missing.update([p for _, p in open_])
+                holes.append((ids, open_))
+            found.append(ids)
+        if missing:
+            self.learn(missing)
+            for ids, open_ in holes:
+                for i, p in open_:
+                    ids[i] = self.now[p]
+        out = list(map(b"".join, found))
+        for p in missing:
+            if len(p) > KEPT_LENGTH:
+                self.held -= ENTRY_BYTES + len(p) + len(self.now.pop(p))
+        if 2 * self.held > KEPT_BYTES:
+            self.now, self.before, self.held = {}, self.now, 0
+        return out
+
+
+WHITE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def parts_of(text: bytes, size: int) -> Iterator[bytes]:
+    """Parts of about ``size`` bytes that end at white space, or where the text ends."""
+    at = 0
+    while at < len(text):
+        white = WHITE.search(text, at + size)
+        to = white.end() if white else len(text)
+        yield text[at:to]
+        at = to
 
 
 @cache
 def encoder(path: str) -> Encoder:
     """One for a worker process: its store serves all tasks there."""
-    gc.disable()  # the store is large and holds no cycles
     return Encoder(path)
 
 

@@ -43,6 +43,17 @@ def test_sequences_are_gapless_and_few(spark):
     assert got.sequence_id.nunique() <= len(room)
 
 
+def test_long_texts_and_a_full_store(monkeypatch):
+    tok = Tokenizer.from_file(packing.tokenizer_path())
+    monkeypatch.setattr(packing, "TOGETHER", 40)
+    monkeypatch.setattr(packing, "KEPT_BYTES", 4000)
+    encode = packing.Encoder(packing.tokenizer_path())
+    texts = [" ".join(f"word{i} it's <|endoftext|>\té{i % 7}" for i in range(200)), "x" * 300, None, "", "a b", "a\x0bb " * 50] * 2
+    got = list(encode([t if t is None else t.encode() for t in texts]))
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert encode.held <= 4000 and 2 * len(encode.before) * packing.ENTRY_BYTES < 3 * 4000 + 2 * 60 * 300
+
+
 def test_empty_table(spark):
     assert packing.pack(spark, docs(spark, TEXTS).where("false")).count() == 0
 
