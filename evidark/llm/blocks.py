@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import zlib
+from collections import Counter
 from dataclasses import dataclass
 from html import unescape
 
@@ -21,10 +23,45 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-@dataclass
+#: Bins of tags, tag pairs and names.
+PATHS = 512
+
+_bits: dict[str, int] = {}
+
+
+def path_bit(token: str) -> int:
+    """One bit out of PATHS, by the token's hash."""
+    bit = _bits.get(token)
+    if bit is None:
+        if len(_bits) > 50_000:
+            _bits.clear()
+        bit = 1 << zlib.crc32(token.encode()) % PATHS
+        if len(token) < 100:
+            _bits[token] = bit
+    return bit
+
+
+class Node:
+    """An open element. Elements share their ancestors' bits, so a deep page costs no more for each element than a flat one."""
+
+    __slots__ = ("tag", "depth", "bits", "paragraph")
+
+    def __init__(self, tag: str, names: tuple[str, ...], above: Node | None):
+        self.tag = tag
+        self.depth = above.depth + 1 if above else 1
+        bits = path_bit("t:" + tag)
+        if above:
+            bits |= above.bits | path_bit(f"p:{above.tag}>{tag}")
+        for n in names:
+            bits |= path_bit("n:" + n)
+        self.bits = bits  # tags and tag pairs from the root down, and the words of class, id and role on that path
+        # depth of the open p that a block element ends, 0 if none does
+        self.paragraph = self.depth if tag == "p" else above.paragraph if above and tag not in SCOPE else 0
+
+
+@dataclass(slots=True)
 class Block:
-    path: tuple[str, ...]  # tags from the root down
-    names: tuple[str, ...]  # words of class, id and role on that path, each with its tag's depth lost
+    leaf: Node | None  # the innermost open element
     text: str
     linked: int  # characters inside links
 
@@ -39,33 +76,37 @@ def names_of(attributes: str) -> tuple[str, ...]:
 def leaf_blocks(page: str) -> list[Block]:
     """Blocks with text, in page order, with white space and character references resolved."""
     out: list[Block] = []
-    tags: list[str] = []
-    names: list[tuple[str, ...]] = []
+    nodes: list[Node] = []
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
-    linked = links = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(tuple(tags), tuple(n for x in names for n in x), text, linked))
+                out.append(Block(nodes[-1] if nodes else None, text, linked))
             parts.clear()
         linked = 0
 
+    def enter(tag: str, attributes: str) -> None:
+        nodes.append(Node(tag, names_of(attributes), nodes[-1] if nodes else None))
+        open_tags[tag] += 1
+
     def leave(depth: int) -> None:
-        nonlocal links
-        if any(t in BLOCK for t in tags[depth:]):
+        if any(n.tag in BLOCK for n in nodes[depth:]):
             flush()
-        links -= tags[depth:].count("a")
-        del tags[depth:], names[depth:]
+        for n in nodes[depth:]:
+            open_tags[n.tag] -= 1
+        del nodes[depth:]
 
     def add(text: str) -> None:
         nonlocal linked
         if text:
             text = unescape(text) if "&" in text else text
             parts.append(text)
-            if links:
+            if open_tags["a"]:
                 linked += len(text)
 
     at = 0
@@ -80,8 +121,10 @@ def leaf_blocks(page: str) -> list[Block]:
         if not tag:
             continue
         if m[1] or m[4]:
-            if tag in tags:
-                depth = len(tags) - 1 - tags[::-1].index(tag)
+            if open_tags[tag]:
+                depth = len(nodes) - 1
+                while nodes[depth].tag != tag:
+                    depth -= 1
                 leave(depth)
             elif tag in BLOCK:
                 flush()
@@ -91,17 +134,16 @@ def leaf_blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             flush()
-            if tag in ENDS_P and "p" in tags:
-                depth = len(tags) - 1 - tags[::-1].index("p")
-                if not SCOPE.intersection(tags[depth:]):
-                    leave(depth)
-        if tag in CLOSES:
-            for depth in range(len(tags) - 1, -1, -1):
-                if tags[depth] in CLOSES[tag]:
+            if tag in ENDS_P and nodes and nodes[-1].paragraph:
+                leave(nodes[-1].paragraph - 1)
+        if tag in CLOSES and any(open_tags[t] for t in CLOSES[tag]):
+            for depth in range(len(nodes) - 1, -1, -1):
+                if nodes[depth].tag in CLOSES[tag]:
                     leave(depth)
-                elif tags[depth] in SCOPE:
+                elif nodes[depth].tag in SCOPE:
                     break
-        if tag in VOID or (tag in FOREIGN and (m[3] or m[6] or "").endswith("/")):
+        attributes = m[3] or m[6] or ""
+        if tag in VOID or (tag in FOREIGN and attributes.endswith("/")):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -109,14 +151,11 @@ def leaf_blocks(page: str) -> list[Block]:
                 continue
             inside, at = (page[at : end.start()], end.end()) if end else (page[at:], len(page))
             if tag not in DROPPED:
-                tags.append(tag)
-                names.append(names_of(m[3] or m[6] or ""))
+                enter(tag, attributes)
                 add(inside)
-                leave(len(tags) - 1)
+                leave(len(nodes) - 1)
             continue
-        tags.append(tag)
-        names.append(names_of(m[3] or m[6] or ""))
-        links += tag == "a"
+        enter(tag, attributes)
     leave(0)
     flush()
     return out

@@ -5,8 +5,10 @@ pairs, words of class, id and role), a hashed bag of its words, and its length,
 bidirectional LSTM in numpy reads the whole sequence, so every block is judged with all others in view, and blocks
 labelled main text are joined in page order.
 
-The labeller is trained here on made-up pages whose main text is known (``page_samples``), a fixed number from a fixed
-seed, so it depends on no table. All of every page is read; no block is cut or dropped but by its label.
+The labeller is trained on made-up pages whose main text is known (``page_samples``), a fixed number from a fixed seed, so
+it depends on no table; ``train_labeller`` does it and stores the weights in this package, so no query pays for it. All of
+every page is read; no block is cut or dropped but by its label. Elements share their ancestors' path and long pages are
+labelled in steps with carried state, so time grows with the page alone and memory with little beside its text.
 
 Null or empty html gives an empty text. Rows are read one by one, so repeated rows, null ids and urls are kept. An
 empty table gives no rows.
@@ -16,7 +18,10 @@ from __future__ import annotations
 
 import re
 import zlib
+from dataclasses import dataclass
 from functools import cache
+from importlib.resources import files
+from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
@@ -24,47 +29,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidark.llm.blocks import Block, leaf_blocks
+from evidark.llm.blocks import PATHS, Block, leaf_blocks, path_bit
 from evidark.llm.common import as_bytes, table
-from evidark.llm.page_samples import Maker
 
-PATHS, WORDS, NUMBERS = 512, 64, 8
+WORDS, NUMBERS = 64, 7
 WIDTH = PATHS + WORDS + NUMBERS
 HIDDEN = 24
-PAGES, PASSES, BATCH, RATE = 3000, 9, 24, 0.012
-#: Pages that are labelled together.
-TOGETHER = 128
+#: Blocks of one page whose vectors are opened at a time, and pages and blocks that are labelled together.
+STEPS, TOGETHER, BLOCKS = 1024, 128, 6000
 
-_bins: dict[str, int] = {}
 
+@dataclass
+class Features:
+    """A page's blocks: bits of the path packed eight to a byte, and the other inputs as half-precision numbers."""
 
-def path_bin(token: str) -> int:
-    if token not in _bins:
-        if len(_bins) > 50_000:
-            _bins.clear()
-        _bins[token] = zlib.crc32(token.encode()) % PATHS
-    return _bins[token]
+    path: np.ndarray
+    rest: np.ndarray
 
+    def __len__(self) -> int:
+        return len(self.path)
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    """One row for each block."""
-    out = np.zeros((len(blocks), WIDTH), np.float32)
+    def opened(self, at: int = 0, to: int | None = None) -> np.ndarray:
+        """Vectors of blocks ``at`` to ``to``, one row each."""
+        bits = np.unpackbits(self.path[at:to], axis=1, bitorder="little")
+        return np.concatenate([bits, self.rest[at:to]], 1, dtype=np.float32)
+
+
+def features(blocks: list[Block]) -> Features:
+    packed = b"".join([(b.leaf.bits | path_bit("l:" + b.leaf.tag) if b.leaf else 0).to_bytes(PATHS // 8, "little") for b in blocks])
+    rest = np.zeros((len(blocks), WORDS + NUMBERS), np.float16)
     for i, b in enumerate(blocks):
-        row, path = out[i], b.path
-        for t in path:
-            row[path_bin("t:" + t)] = 1
-        for a, c in zip(path, path[1:]):
-            row[path_bin(f"p:{a}>{c}")] = 1
-        for n in b.names:
-            row[path_bin("n:" + n)] = 1
-        if path:
-            row[path_bin("l:" + path[-1])] = 1
         words = b.text.lower().split()
-        bins = np.bincount([PATHS + zlib.crc32(w.encode()) % WORDS for w in words], minlength=PATHS + WORDS)[PATHS:]
-        row[PATHS : PATHS + WORDS] = bins / len(words)
         size = len(b.text)
-        row[-NUMBERS:] = (min(1.5, np.log1p(size) / 5), min(1.5, np.log1p(len(words)) / 4), b.linked / size, size < 25, b.text[-1] in ".!?:;…", len(path) / 10, i == 0, i / len(blocks))
-    return out
+        rest[i, :WORDS] = np.bincount([zlib.crc32(w.encode("utf-8", "replace")) % WORDS for w in words], minlength=WORDS) / len(words)
+        depth = b.leaf.depth if b.leaf else 0
+        rest[i, WORDS:] = (min(1.5, np.log1p(size) / 5), min(1.5, np.log1p(len(words)) / 4), b.linked / size, size < 25, b.text[-1] in ".!?:;…", min(6.0, depth / 10), i / len(blocks))
+    return Features(np.frombuffer(packed, np.uint8).reshape(len(blocks), PATHS // 8), rest)
 
 
 class Lstm:
@@ -79,11 +79,11 @@ class Lstm:
     def params(self) -> list[np.ndarray]:
         return [self.wx, self.wh, self.b]
 
-    def forward(self, x: np.ndarray, mask: np.ndarray, keep: bool = False):
+    def forward(self, x: np.ndarray, mask: np.ndarray, state: tuple[np.ndarray, np.ndarray] | None = None, keep: bool = False):
         """x: steps, pages, WIDTH; mask: steps, pages (0 beyond a page's end, where the state stands still)."""
         steps, pages, _ = x.shape
         given = x @ self.wx + self.b
-        h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
+        h, c = state or (np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32))
         out, tape = np.zeros((steps, pages, HIDDEN), np.float32), []
         for t in range(steps):
             z = given[t] + h @ self.wh
@@ -97,7 +97,7 @@ class Lstm:
                 tape.append((h, c, i, f, o, g, th, m))
             h, c = m * o * th + (1 - m) * h, m * new + (1 - m) * c
             out[t] = h
-        return out, tape
+        return out, tape, (h, c)
 
     def backward(self, x: np.ndarray, tape: list, dout: np.ndarray) -> list[np.ndarray]:
         steps, pages, _ = x.shape
@@ -128,27 +128,45 @@ class Labeller:
         return [*self.ahead.params(), *self.back.params(), self.out, self.straight, self.bias]
 
     @staticmethod
-    def batch(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Padded steps in both directions, and the mask."""
-        steps = max(map(len, pages))
-        x, r, mask = np.zeros((steps, len(pages), WIDTH), np.float32), np.zeros((steps, len(pages), WIDTH), np.float32), np.zeros((steps, len(pages)), np.float32)
+    def batch(pages: list[np.ndarray], steps: int) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors padded to ``steps``, and the mask."""
+        x, mask = np.zeros((steps, len(pages), WIDTH), np.float32), np.zeros((steps, len(pages)), np.float32)
         for k, p in enumerate(pages):
-            x[: len(p), k], r[: len(p), k], mask[: len(p), k] = p, p[::-1], 1
-        return x, r, mask
-
-    def scores(self, pages: list[np.ndarray], keep: bool = False):
-        x, r, mask = self.batch(pages)
-        a, a_tape = self.ahead.forward(x, mask, keep)
-        b, b_tape = self.back.forward(r, mask, keep)
+            x[: len(p), k], mask[: len(p), k] = p, 1
+        return x, mask
+
+    def taped(self, pages: list[Features]):
+        """Scores with all that ``step`` needs."""
+        opened, steps = [p.opened() for p in pages], max(map(len, pages))
+        x, mask = self.batch(opened, steps)
+        r, _ = self.batch([p[::-1] for p in opened], steps)
+        a, a_tape, _ = self.ahead.forward(x, mask, keep=True)
+        b, b_tape, _ = self.back.forward(r, mask, keep=True)
         turned = np.zeros_like(b)
         for k, p in enumerate(pages):
             turned[: len(p), k] = b[: len(p), k][::-1]
         s = a @ self.out[:HIDDEN] + turned @ self.out[HIDDEN:] + x @ self.straight + self.bias
-        return (s, mask, x, r, a, a_tape, turned, b_tape) if keep else s
+        return s, mask, x, r, a, a_tape, turned, b_tape
+
+    def scores(self, pages: list[Features]) -> list[np.ndarray]:
+        """A score for each block, above 0 for main text. Both directions run over ``STEPS`` blocks at a time, their state
+        carried on, so memory beside ``pages`` does not grow with a page's length."""
+        out = [np.full(len(p), self.bias[0], np.float32) for p in pages]
+        for lstm, own, straight, turn in ((self.ahead, self.out[:HIDDEN], self.straight, 1), (self.back, self.out[HIDDEN:], None, -1)):
+            state = None
+            for at in range(0, max(map(len, pages)), STEPS):
+                bounds = [(min(at, len(p)), min(at + STEPS, len(p))) for p in pages]
+                spans = [(a, b) if turn > 0 else (len(p) - b, len(p) - a) for p, (a, b) in zip(pages, bounds)]
+                x, mask = self.batch([p.opened(a, b)[::turn] for p, (a, b) in zip(pages, spans)], max(b - a for a, b in spans))
+                h, _, state = lstm.forward(x, mask, state)
+                s = h @ own if straight is None else h @ own + x @ straight
+                for k, (a, b) in enumerate(spans):
+                    out[k][a:b] += s[: b - a, k][::turn]
+        return out
 
-    def step(self, pages: list[np.ndarray], labels: list[np.ndarray]) -> list[np.ndarray]:
+    def step(self, pages: list[Features], labels: list[np.ndarray]) -> list[np.ndarray]:
         """Gradients of the mean cross-entropy."""
-        s, mask, x, r, a, a_tape, turned, b_tape = self.scores(pages, True)
+        s, mask, x, r, a, a_tape, turned, b_tape = self.taped(pages)
         y = np.zeros_like(s)
         for k, l in enumerate(labels):
             y[: len(l), k] = l
@@ -166,48 +184,24 @@ class Labeller:
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
         at = 0
         while at < len(order):
-            most = max(1, min(TOGETHER, 6000 // len(pages[order[min(at + TOGETHER, len(order)) - 1]])))
+            most = max(1, min(TOGETHER, BLOCKS // len(pages[order[min(at + TOGETHER, len(order)) - 1]])))
             some = order[at : at + most]
-            s = self.scores([vectors(pages[i]) for i in some])
-            for k, i in enumerate(some):
-                out[i] = (s[: len(pages[i]), k] > 0).tolist()
+            for i, s in zip(some, self.scores([features(pages[i]) for i in some])):
+                out[i] = (s > 0).tolist()
             at += most
         return out
 
 
-KEEP, DROP = "\ue001", "\ue000"
-
-
-def sample(maker: Maker) -> tuple[list[Block], np.ndarray]:
-    """A made-up page's blocks and labels: marks in its texts tell which are main text."""
-    page = "".join(part if keep is None else (KEEP if keep else DROP) + part for part, keep in maker.page())
-    blocks, labels = leaf_blocks(page), []
-    for b in blocks:
-        labels.append(KEEP in b.text)
-        b.text = b.text.replace(KEEP, "").replace(DROP, "") or "."
-    return blocks, np.array(labels, np.float32)
+WEIGHTS = "labeller.npz"
 
 
 @cache
-def trained(pages: int = PAGES, passes: int = PASSES, seed: int = 20) -> Labeller:
-    maker, rng, model = Maker(seed), np.random.default_rng(seed), Labeller()
-    data = [(vectors(b).astype(np.float16), l) for b, l in (sample(maker) for _ in range(pages)) if b]
-    params = model.params()
-    m, v, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-    total = passes * -(-len(data) // BATCH)
-    for _ in range(passes):
-        # pages of about one length share a batch; batches come in random order
-        order = sorted(range(len(data)), key=lambda i: len(data[i][1]) + rng.random() * 8)
-        batches = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
-        for n in rng.permutation(len(batches)):
-            grads = model.step([data[i][0] for i in batches[n]], [data[i][1] for i in batches[n]])
-            t += 1
-            size = np.sqrt(sum(float((g * g).sum()) for g in grads))
-            for k, g in enumerate(grads):
-                g = g * min(1.0, 1.0 / (size + 1e-9))
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.999 * v[k] + 0.001 * g * g
-                params[k] -= RATE * (1 - 0.95 * t / total) * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8) + 1e-5 * params[k]
+def trained() -> Labeller:
+    """The labeller with the weights that ``python -m evidark.llm.train_labeller`` has fitted."""
+    model = Labeller()
+    with np.load(BytesIO(files("evidark.llm").joinpath(WEIGHTS).read_bytes())) as stored:
+        for n, p in enumerate(model.params()):
+            p[:] = stored[f"p{n}"]
     return model
 
 

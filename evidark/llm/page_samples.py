@@ -137,12 +137,16 @@ class Maker:
 
     def article(self) -> list:
         out = []
-        if self.chance(0.85):
+        brief = self.chance(0.15)  # short blocks from the start, one text again and again at times
+        again = self.words(1, 4).capitalize() + "." if self.chance(0.3) else ""
+        if self.chance(0.6 if brief else 0.85):
             title = self.leaf("h1", self.words(1, 12), 1) if self.chance(0.8) else self.leaf("h2", self.words(1, 12), 1)
             out += self.within("header", title) if self.chance(0.1) else title
-        for _ in self.some(1, 14):
+        for _ in self.some(1, 60 if brief and self.chance(0.2) else 14):
             kind = self.rng.random()
-            if kind < 0.75:
+            if brief and kind < 0.85:
+                out += self.leaf("p" if self.chance(0.8) else self.one(["div", "li"]), again or self.words(1, 6).capitalize() + self.one([".", ".", "", "!"]), 1)
+            elif kind < 0.75:
                 out += self.leaf("p" if self.chance(0.9) else "div", self.sentences(1, 6), 1)
             elif kind < 0.8:
                 out += self.leaf(self.one(["h2", "h3", "h4"]), self.words(1, 8), 1)
@@ -171,10 +175,15 @@ class Maker:
 
     def page(self) -> list:
         """(markup, None), (text, keep) in page order."""
-        out = [("<!DOCTYPE html><html><head><meta charset='utf-8'>", None), ("<title>", None), (self.words(1, 9), 0), ("</title>", None)]
-        out += [("<style>p{margin:0}</style><script>var t='</p>';</script></head><body>", None)]
-        before = [f for f, p in ((self.notice, 0.2), (self.header, 0.5), (self.menu, 0.7), (self.advert, 0.45), (self.side, 0.2), (self.form, 0.1)) if self.chance(p)]
-        after = [f for f, p in ((self.share, 0.2), (self.comments, 0.35), (self.side, 0.4), (self.advert, 0.25), (self.form, 0.15), (self.footer, 0.85), (self.notice, 0.12)) if self.chance(p)]
+        out = [("<!DOCTYPE html><html><head><meta charset='utf-8'>", None)] if self.chance(0.85) else []
+        if self.chance(0.8):
+            out += [("<title>", None), (self.words(1, 9), 0), ("</title>", None)]
+        if self.chance(0.8):
+            out += [("<style>p{margin:0}</style><script>var t='</p>';</script></head><body>", None)]
+        bare = self.chance(0.12)  # the article with little or nothing around it
+        share = 0.1 if bare else 1.0
+        before = [f for f, p in ((self.notice, 0.2), (self.header, 0.5), (self.menu, 0.7), (self.advert, 0.45), (self.side, 0.2), (self.form, 0.1)) if self.chance(p * share)]
+        after = [f for f, p in ((self.share, 0.2), (self.comments, 0.35), (self.side, 0.4), (self.advert, 0.25), (self.form, 0.15), (self.footer, 0.85), (self.notice, 0.12)) if self.chance(p * (0.4 if bare else 1.0))]
         if self.chance(0.3):
             self.rng.shuffle(before)
         body = [x for f in before for x in f()]

@@ -1,9 +1,11 @@
 """Main text of pages, preference pairs and dated lists against plain Python."""
 
+import time
+
 import numpy as np
 import pytest
 
-from evidark.llm import chat, extraction, url_lists
+from evidark.llm import chat, extraction, train_labeller, url_lists
 from evidark.llm.blocks import leaf_blocks
 from evidark.llm.page_samples import Maker
 
@@ -33,11 +35,82 @@ def test_labels_on_unseen_pages():
     model, maker = extraction.trained(), Maker(4242)
     right = []
     for _ in range(150):
-        blocks, labels = extraction.sample(maker)
+        blocks, labels = train_labeller.sample(maker)
         right += [bool(a) == bool(b) for a, b in zip(model.keep([blocks])[0], labels)]
     assert np.mean(right) > 0.98
 
 
+@pytest.mark.parametrize("head", ["", "<title>A page</title>", "<html><head><title>A page of ours</title></head><body>"])
+@pytest.mark.parametrize("n", [1, 2, 10, 100, 1000, 5000])
+def test_short_blocks_from_the_start(head, n):
+    got = extraction.main_texts(extraction.trained(), [f"{head}<article>" + "<p>Some words here.</p>" * n + "</article>"])
+    assert got == ["\n".join(["Some words here."] * n)]
+
+
+@pytest.mark.parametrize("head", ["", "<title>A page</title>"])
+@pytest.mark.parametrize("body", ["<h1>Title</h1><p>Short news item.</p>", "<main><h1>Title</h1><p>Short news item.</p></main>", "<div class='content'><h1>Title</h1><p>Short news item.</p></div>"])
+def test_short_pages(head, body):
+    assert extraction.main_texts(extraction.trained(), [f"{head}<body>{body}</body>"]) == ["Title\nShort news item."]
+
+
+def test_deep_and_long_pages():
+    began = time.process_time()
+    assert texts("<div class='a b'>" * 4000 + "deep") == ["deep"] and len(leaf_blocks("<div>x" * 4000)) == 4000
+    assert time.process_time() - began < 1
+    assert texts("<p><table><tr><td>a" + "<div>" * 3000 + "b") == ["a", "b"]
+    model = extraction.trained()
+    long = extraction.features(leaf_blocks("<article>" + "<p>Some words here.</p><p>And others, which say a little more.</p>" * 3000 + "</article><footer>x</footer>"))
+    short = [extraction.features(leaf_blocks(PAGE.format(PROSE))), extraction.features(leaf_blocks("<p>one</p>"))]
+    together = model.scores([long, *short])
+    for page, s in zip([long, *short], together):
+        whole = model.taped([page])[0][:, 0]  # all steps at once
+        assert np.allclose(s, whole, atol=1e-3)
+
+
+def test_one_step_by_hand():
+    """Gates and state of one step, number by number."""
+    rng = np.random.default_rng(3)
+    lstm = extraction.Lstm(rng)
+    x = (rng.random((2, 1, extraction.WIDTH)) < 0.1).astype(np.float32)
+    got, _, _ = lstm.forward(x, np.ones((2, 1), np.float32))
+    n, sigmoid = extraction.HIDDEN, lambda z: 1 / (1 + np.exp(-z))
+    h, c = np.zeros(n), np.zeros(n)
+    for t in range(2):
+        z = [sum(x[t, 0, k] * lstm.wx[k, j] for k in range(extraction.WIDTH)) + sum(h[k] * lstm.wh[k, j] for k in range(n)) + lstm.b[j] for j in range(4 * n)]
+        new_h, new_c = np.zeros(n), np.zeros(n)
+        for j in range(n):
+            new_c[j] = sigmoid(z[n + j]) * c[j] + sigmoid(z[j]) * np.tanh(z[3 * n + j])
+            new_h[j] = sigmoid(z[2 * n + j]) * np.tanh(new_c[j])
+        h, c = new_h, new_c
+        assert np.allclose(got[t, 0], h, atol=1e-5)
+
+
+def test_gradients_by_differences():
+    maker = train_labeller.Maker(9)
+    data = [d for d in (train_labeller.sample(maker) for _ in range(3)) if d[0]]
+    pages, labels = [extraction.features(b) for b, _ in data], [l for _, l in data]
+    model = extraction.Labeller()
+    grads = model.step(pages, labels)
+
+    def loss() -> float:
+        s, mask = model.taped(pages)[:2]
+        y = np.zeros_like(s)
+        for k, l in enumerate(labels):
+            y[: len(l), k] = l
+        return float(((np.logaddexp(0, s.astype(np.float64)) - s * y) * mask).sum() / mask.sum())
+
+    rng = np.random.default_rng(1)
+    for p, g in zip(model.params(), grads):
+        at = tuple(int(rng.integers(n)) for n in p.shape) if g.size < 100 else np.unravel_index(np.abs(g).argmax(), g.shape)
+        kept, e = p[at], 1e-2
+        p[at] = kept + e
+        up = loss()
+        p[at] = kept - e
+        down = loss()
+        p[at] = kept
+        assert abs((up - down) / (2 * e) - g[at]) < 2e-3 + 0.03 * abs(g[at])
+
+
 def test_query_on_edges(spark, tmp_path):
     rows = [(1, "u", PAGE.format("<article>" + PROSE + "</article>"), "x"), (1, "u", None, "x"), (None, None, "", None), (2, None, "<p>" * 3000 + "deep", "y"), (3, "v", "<article>" + "<p>Some words here.</p>" * 5000 + "</article>", "z")]
     spark.createDataFrame(rows, "page_id long, url string, html string, text string").write.parquet(f"{tmp_path}/pages.parquet")
