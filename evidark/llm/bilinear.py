@@ -1,179 +1,216 @@
-"""Language-model scores: a log-bilinear neural model trained by noise-contrastive estimation, and a unigram base.
-
-Tokens are lower-cased (A-Z) words and one end for each text. Every distinct token of the corpus is counted, without a
-cap. The neural model predicts a unit from the unit before it; units are the most frequent words, the end, and classes of
-all other words by their last two bytes. A word of a class has its share of the class by count, (c + 0.5) out of
-(n + 0.5 (v + 1)) for n tokens and v words of the class, so every token has a probability and unseen words share what
-0.5 leaves them.
-
-That is the prior of what is learnt of whole words: the probability of w after h is (c(h, w) + PRIOR p(w | h)) out of
-(c(h) + PRIOR), p being the neural model's and c counting words and pairs of neighbouring words in the training texts,
-every one of them, however many there are. It sums to one as p does.
-
-Training sees every pair of neighbouring tokens of the training texts: the pairs are summed to a table of units by
-units on the executors (at most ``UNITS`` squared numbers, whatever the corpus), and noise-contrastive estimation on
-that table takes the noise by expectation instead of by sampling; numpy matrix products give all scores and gradients.
-Scoring normalises the model exactly: products of context and unit vectors give the log-probabilities of all pairs of
-units, from which a text's are looked up.
-
-Words that make up a ``FREQUENT``-th of all tokens or more (so at most ``FREQUENT`` words) have their counts broadcast, and
-pairs of words that are units of their own are in the table of units. Every other pair of a text is a row, dealt by its
-word where that is not frequent and by the pair where it is, so that none can be hot: windows over those rows give c(w)
-and c(h, w). Such words go by 62 bits of a digest.
+"""Language-model scores: log-bilinear neural models trained by noise-contrastive estimation, and a unigram base.
+
+Tokens are lower-cased (A-Z) words and one end for each text; a word goes by 64 bits, 56 of a digest and 8 for the class of
+its last two bytes. Nothing is cut from what is learnt: every distinct word and every pair of neighbouring words of the
+training texts is counted, however many there are.
+
+The neural models predict a unit from the unit one place before and from the unit two places before. Units are the most
+frequent words, the end, and classes of all other words; a word has its share of its class by count, (c + 0.5) out of
+(n + 0.5 (v + 1)) for n tokens and v words of the class, so unseen words have what 0.5 leaves them. Training sees all pairs
+of units of all training texts at both distances, summed on the executors (at most ``UNITS`` squared numbers for each
+distance, whatever the corpus); noise-contrastive estimation on those sums takes the noise by expectation instead of by
+sampling, and numpy matrix products give all scores, gradients and the normalised log-probabilities of all units. The
+places' weights, which sum to one, are fitted by expectation-maximisation over all training tokens. Their mixture p(w | h)
+is the prior of what is learnt of whole words: the probability of w after h is (c(h, w) + PRIOR p(w | h)) out of
+(c(h) + PRIOR). It sums to one as p does.
+
+Texts are encoded once, in rows of up to ``ROW`` tokens with their distinct words. Words that make up a ``FREQUENT``-th of
+all tokens or more (so at most ``FREQUENT`` words) have their counts broadcast, and pairs of words that are units of their
+own are in the sums of units. Counts of all other words and pairs are asked for by row: a row sends each key once, with its
+count, to the bucket of that key, and gets the sums back. So a hot key sends one number for a row, and a bucket holds about
+``KEYS`` numbers.
 
 Null texts are empty: the end alone. Rows are scored one by one, so repeated rows and null ids are kept; a null id is
-learnt from as crc32 of the empty text says. An empty table gives no rows.
+learnt from as crc32 of the empty text says. Long texts are read in pieces with the words before them. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidark.llm.common import as_bytes, remainder, table, written
 
-FREQUENT = 500_000
+FREQUENT = 2_000_000
 WORDS, CLASSES = 768, 256
 UNITS = WORDS + CLASSES
+PLACES = 2
 DIM, NOISE, STEPS, RATE = 48, 8, 160, 0.05
-#: What the neural model's probability weighs against counts of pairs, in tokens.
+#: What the neural models' probability weighs against counts of pairs, in tokens.
 PRIOR = 5000.0
 END = b"\n"
-#: Distinct words that a task counts before it passes them on; longer words travel as a digest.
-COUNTED, LONGEST = 400_000, 64
+#: Tokens of a row, and numbers that a bucket holds on average.
+ROW, KEYS = 400_000, 2_000_000
 LOG10 = np.log(10.0)
 
+ROWS = "row long, rid array<long>, doc_id array<long>, training array<boolean>, n array<int>, lead array<int>, key array<long>, c array<int>, at array<int>"
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words of a text; those too long to travel as keys are replaced by a digest that no word can equal."""
-    words = text.lower().split() if text else []
-    if words and len(max(words, key=len)) > LONGEST:
-        words = [w if len(w) <= LONGEST else b"\x0b" + hashlib.sha256(w).hexdigest().encode() + w[-2:].decode(errors="ignore").encode() for w in words]
-    return words
 
+def number(word: bytes) -> int:
+    """64 bits of a word; the lowest 8 are its class."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=7).digest() + bytes([zlib.crc32(word[-2:]) % CLASSES]), "big", signed=True)
 
-def word_class(word: bytes) -> int:
-    return zlib.crc32(word[-2:]) % CLASSES
 
+END_NUMBER = number(END)
 
-def strings(keys: list[bytes]) -> pa.Array:
-    return pa.array(keys, pa.binary()).cast(pa.string())
 
+def encoded(batches: Iterator[pa.RecordBatch], size: int = ROW) -> Iterator[pa.RecordBatch]:
+    """ROWS: distinct words, their counts in training, and each token's place among them. ``lead`` has two words for each text, those before it."""
+    task, rows, rid = TaskContext.get().partitionId() << 36, count(), count()
 
-def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, in_training, n: partial counts."""
-    held: dict[bool, Counter] = {True: Counter(), False: Counter()}
+    def fresh():
+        place = defaultdict(count().__next__)
+        place[END]
+        return place, [], ([], [], [], [], [])
 
-    def out() -> Iterator[pa.RecordBatch]:
-        for training, words in held.items():
-            keys = list(words)
-            for at in range(0, len(keys), 50_000):
-                some = keys[at : at + 50_000]
-                yield pa.record_batch([strings(some), pa.array([training] * len(some)), pa.array([words[k] for k in some], pa.int64()), pa.array([word_class(k) for k in some], pa.int32())], ["key", "training", "n", "class"])
-            words.clear()
+    def row(place: dict, at: list[np.ndarray], columns: tuple) -> pa.RecordBatch:
+        texts, ids, learnt, n, lead = columns
+        joined = np.concatenate(at)
+        c = np.bincount(joined[np.repeat(np.array(learnt, bool), n)], minlength=len(place))
+        values = (np.array(texts, np.int64), pa.array(ids, pa.int64()), pa.array(learnt), np.array(n, np.int32), np.array(lead, np.int32), np.array([number(w) for w in place], np.int64), c.astype(np.int32), joined)
+        names = ["row", "rid", "doc_id", "training", "n", "lead", "key", "c", "at"]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v)) for v in values]
+        return pa.record_batch([pa.array([task + next(rows)], pa.int64()), *lists], names)
 
+    place, at, columns = fresh()
+    held = 0
     for batch in batches:
-        for training, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
-            words = held[training]
-            words.update(tokens(text))
-            words[END] += 1
-            if len(words) > COUNTED:
-                yield from out()
-    yield from out()
+        for doc, learnt, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))):
+            words = text.lower().split() if text else []
+            words.append(END)
+            text_number, before = task + next(rid), [END, END]
+            for start in range(0, len(words), size):
+                part = words[start : start + size]
+                at.append(np.fromiter(map(place.__getitem__, part), np.int32, len(part)))
+                for column, x in zip(columns, (text_number, doc, learnt, len(part))):
+                    column.append(x)
+                columns[4].extend([place[w] for w in before])
+                before, held = (before + part[-2:])[-2:], held + len(part)
+                if held >= size:
+                    yield row(place, at, columns)
+                    place, at, columns = fresh()
+                    held = 0
+    if held:
+        yield row(place, at, columns)
+
+
+@dataclass
+class Row:
+    """One row of ROWS as arrays."""
+
+    row: int
+    rid: np.ndarray
+    doc_id: list
+    training: np.ndarray
+    n: np.ndarray
+    lead: np.ndarray
+    key: np.ndarray
+    c: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch | pa.Table) -> Iterator[Row]:
+        for i in range(batch.num_rows):
+            f = {name: batch.column(batch.schema.get_field_index(name))[i] for name in cls.__dataclass_fields__}
+            plain = {name: f[name].values.to_numpy(zero_copy_only=False) for name in ("rid", "training", "n", "lead", "key", "c", "at")}
+            yield cls(row=f["row"].as_py(), doc_id=f["doc_id"].values.to_pylist(), **plain)
+
+    def before(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the words one and two before each token."""
+        starts = np.cumsum(self.n) - self.n
+        one = np.empty_like(self.at)
+        one[1:] = self.at[:-1]
+        one[starts] = self.lead[1::2]
+        two = np.empty_like(self.at)
+        two[1:] = one[:-1]
+        two[starts] = self.lead[::2]
+        return one, two
 
 
 @dataclass
 class Head:
-    """Frequent words, by word: place in the arrays. ``unit`` of each, whether known, log10 of base and within its unit."""
+    """Frequent words in the order of their numbers, with counts in training and units; what classes share."""
 
-    place: dict[bytes, int]
+    key: np.ndarray
+    c: np.ndarray
     unit: np.ndarray
-    known: np.ndarray
-    base: np.ndarray
-    within: np.ndarray
-    base_rest: float  # log10 of the base's denominator
     class_rest: np.ndarray  # log10 of each class's denominator
-    count: np.ndarray  # in training
-
-    def units(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Of a text: units, places of the frequent words (-1: none) and the other words."""
-        get = self.place.get
-        at = np.array([get(w, -1) for w in words], np.int64)
-        others = at < 0
-        units = self.unit[at]
-        rare = [words[i] for i in np.flatnonzero(others)]
-        if rare:
-            units[others] = [WORDS + zlib.crc32(w[-2:]) % CLASSES for w in rare]
-        return units, at, rare
-
-
-def vocabulary(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """key, c (count in training), every (count), class. ``docs`` has training and text."""
-    parts = docs.select("training", "text").mapInArrow(count_words, "key string, training boolean, n long, class int")
-    summed = parts.groupBy("key").agg(F.sum(F.when(F.col("training"), F.col("n")).otherwise(0)).alias("c"), F.sum("n").alias("every"), F.min("class").alias("class"))
-    return written(spark, summed, "vocabulary")
-
-
-def head_of(vocab: DataFrame) -> tuple[Head, int, int]:
-    """The frequent words with what scoring needs; training tokens and distinct training tokens."""
-    sums = vocab.groupBy("class").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum("every").alias("every")).collect()  # a row a class
-    n, v, every = (sum(r[x] for r in sums) for x in ("n", "v", "every"))
-    frequent = vocab.where(F.col("every").cast("double") * FREQUENT >= float(every)).toArrow()
-    keys, c, classes = as_bytes(frequent["key"]), frequent["c"].to_numpy(), frequent["class"].to_numpy()
-    order = sorted(range(len(keys)), key=lambda i: (keys[i] != END, -c[i], keys[i]))
-    keys, c, classes = [keys[i] for i in order], c[order].astype(float), classes[order]
+    tokens: int
+    distinct: int
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places in the arrays; -1 for words that are not there."""
+        if not len(self.key):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        return np.where(self.key[at] == keys, at, -1)
+
+    def units(self, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+        other = WORDS + (keys & (CLASSES - 1))
+        return np.where(at >= 0, self.unit[at], other) if len(self.key) else other
+
+    def share(self, c: np.ndarray, unit: np.ndarray) -> np.ndarray:
+        """log10 of a word's share of its unit."""
+        return np.where(unit < WORDS, 0.0, np.log10(c + 0.5) - self.class_rest[np.maximum(unit - WORDS, 0)])
+
+
+def head_of(spark: SparkSession, rows: DataFrame) -> Head:
+    """From counts of every distinct word; the units are chosen by counts in training."""
+    words = rows.select(F.explode(F.arrays_zip("key", "c")).alias("w")).groupBy(F.col("w.key").alias("key")).agg(F.sum("w.c").alias("c"))
+    words = written(spark, words, "words").where("c > 0")
+    sums = words.groupBy((F.col("key").bitwiseAND(F.lit(CLASSES - 1))).alias("class")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # a row a class
+    n, v = (sum(r[x] for r in sums) for x in ("n", "v"))
+    frequent = words.where(F.col("c").cast("double") * FREQUENT >= float(n)).toArrow()
+    key, c = frequent["key"].to_numpy(), frequent["c"].to_numpy()
+    own = np.lexsort((key, -c, key != END_NUMBER))[:WORDS]  # the end is the first unit
     size, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in sums:
         size[r["class"]], distinct[r["class"]] = r["n"], r["v"]
-    own = min(WORDS, len(keys))  # units of their own; the end is the first
-    np.subtract.at(size, classes[:own], c[:own])
-    np.subtract.at(distinct, classes[:own], (c[:own] > 0).astype(float))
-    class_rest = np.log10(size + 0.5 * (distinct + 1))
-    unit = np.where(np.arange(len(keys)) < own, np.arange(len(keys)), WORDS + classes).astype(np.int64)
-    within = np.where(unit < WORDS, 0.0, np.log10(c + 0.5) - class_rest[classes] if len(keys) else 0.0)
-    base_rest = float(np.log10(n + 0.5 * (v + 1)))
-    return Head({k: i for i, k in enumerate(keys)}, unit, c > 0, np.log10(c + 0.5) - base_rest, within, base_rest, class_rest, c), n, v
+    np.subtract.at(size, key[own] & (CLASSES - 1), c[own].astype(float))
+    np.subtract.at(distinct, key[own] & (CLASSES - 1), 1.0)
+    unit = WORDS + (key & (CLASSES - 1))
+    unit[own] = np.arange(len(own))
+    order = np.argsort(key)
+    return Head(key[order], c[order], unit[order], np.log10(size + 0.5 * (distinct + 1)), n, v)
 
 
-def pair_counts(docs: DataFrame, head) -> np.ndarray:
-    """Table of units by next units over all training texts. Every text starts and ends with an end."""
+def unit_pairs(rows: DataFrame, head) -> np.ndarray:
+    """Sums of pairs of units over all training texts, for each place: place, unit before, unit."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, total = head.value, np.zeros(UNITS * UNITS, np.int64)
+        h, total = head.value, np.zeros(PLACES * UNITS * UNITS, np.int64)
         for batch in batches:
-            seen, some = [np.zeros(1, np.int64)], 0
-            for text in as_bytes(batch.column(0)):
-                seen += [h.units(tokens(text))[0], np.zeros(1, np.int64)]
-                some += len(seen[-2]) + 1
-                if some > 2_000_000:
-                    add(total, np.concatenate(seen))
-                    seen, some = [np.zeros(1, np.int64)], 0
-            add(total, np.concatenate(seen))
+            for r in Row.of(batch):
+                unit, learnt = h.units(r.key, h.find(r.key)), np.repeat(r.training, r.n)
+                now = unit[r.at[learnt]]
+                for place, before in enumerate(r.before()):
+                    total += np.bincount((place * UNITS + unit[before[learnt]]) * UNITS + now, minlength=len(total))
         at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], ["pair", "n"])
-
-    def add(total: np.ndarray, units: np.ndarray) -> None:
-        at, n = np.unique(units[:-1] * UNITS + units[1:], return_counts=True)
-        total[at] += n
+        for start in range(0, len(at), 500_000):
+            some = at[start : start + 500_000]
+            yield pa.record_batch([pa.array(some), pa.array(total[some])], ["pair", "n"])
 
-    found = docs.where("training").select("text").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most UNITS squared rows
-    out = np.zeros(UNITS * UNITS)
+    found = rows.select("row", "rid", "doc_id", "training", "n", "lead", "key", "c", "at").mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most PLACES times UNITS squared rows
+    out = np.zeros(PLACES * UNITS * UNITS)
     out[found["pair"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(UNITS, UNITS)
+    return out.reshape(PLACES, UNITS, UNITS)
 
 
-def train(counts: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int = STEPS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def train(counts: np.ndarray, dim: int = DIM, noise: int = NOISE, steps: int | None = None, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors of contexts (by the context matrix) and units, and biases: Adam on the expected NCE objective."""
-    rng, k = np.random.default_rng(seed), noise
+    rng, k, steps = np.random.default_rng(seed), noise, steps or STEPS
     joint = (counts / max(1.0, counts.sum())).astype(np.float32)
     context = joint.sum(1, keepdims=True)
     noise_p = counts.sum(0) + 0.5
@@ -204,99 +241,146 @@ def log_table(model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
     return (s - np.log(np.exp(s).sum(1, keepdims=True))) / LOG10
 
 
-def digests(words: list[bytes]) -> np.ndarray:
-    """Numbers of words that are not frequent: negative and odd, so that they meet no place and no pair's number."""
-    joined = b"".join([hashlib.blake2b(w, digest_size=8).digest() for w in words])
-    return np.frombuffer(joined, np.int64) | np.int64(-(2**63) + 1)
+@dataclass
+class Model:
+    """Probabilities of units by place, the places' weights, and how often a unit follows another."""
+
+    chance: np.ndarray
+    weight: np.ndarray
+    pairs: np.ndarray
 
+    def prior(self, unit: np.ndarray, now: np.ndarray, before: tuple[np.ndarray, ...]) -> np.ndarray:
+        return sum(w * p[unit[b], unit[now]] for w, p, b in zip(self.weight, self.chance, before))
 
-def pair_numbers(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Even numbers of pairs; for one ``before`` they differ as the words do but for the lowest bit."""
-    z = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + words.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (z ^ (z >> np.uint64(32))).astype(np.int64) & np.int64(-2)
 
+def place_weights(rows: DataFrame, head, chance, turns: int = 8) -> np.ndarray:
+    """Weights of the places: expectation-maximisation over each row's training tokens, averaged by tokens."""
 
-def raised(counts: np.ndarray, logp: np.ndarray) -> np.ndarray:
-    """log10 of what the count of a pair makes of its prior, for words that are units of their own."""
-    return np.log10(1 + counts[:WORDS, :WORDS] / (PRIOR * 10.0 ** logp[:WORDS, :WORDS]))
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, total, n = head.value, np.zeros(PLACES), 0
+        for batch in batches:
+            for r in Row.of(batch):
+                unit, learnt = h.units(r.key, h.find(r.key)), np.repeat(r.training, r.n)
+                now = unit[r.at[learnt]]
+                p = np.stack([t[unit[b[learnt]], now] for t, b in zip(chance.value, r.before())])
+                w = np.full(PLACES, 1.0 / PLACES, np.float32)
+                for _ in range(turns if p.shape[1] else 0):
+                    given = w[:, None] * p
+                    w = (given / given.sum(0)).mean(1)
+                total, n = total + w * p.shape[1], n + p.shape[1]
+        yield pa.record_batch([pa.array([float(n)]), pa.array([total.tolist()], pa.list_(pa.float64()))], ["n", "w"])
 
+    said = rows.mapInArrow(fit, "n double, w array<double>").agg(F.sum("n").alias("n"), *[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(PLACES)]).first()
+    return np.array([said[f"w{i}"] for i in range(PLACES)]) / said["n"] if said["n"] else np.full(PLACES, 1.0 / PLACES)
 
-SCORED = "rid long, deal long, before long, training boolean, prior float, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-NAMES = [x.split()[0] for x in SCORED.split(", ")]
 
+def mixed(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """64 bits of two numbers in order."""
+    b = b.astype(np.uint64) if isinstance(b, np.ndarray) else np.uint64(b)
+    z = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (b ^ b >> np.uint64(29)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    z = (z ^ (z >> np.uint64(31))) * np.uint64(0x165667B19E3779F9)
+    return z ^ (z >> np.uint64(29))
 
-def score(docs: DataFrame, head, model) -> DataFrame:
-    """A row for each text (prior null), and one for each token with the word before it, unless both are units of their own."""
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, (vectors, counts), rid = head.value, model.value, TaskContext.get().partitionId() << 40
-        logp = log_table(vectors)
-        more = raised(counts, logp)
-        less = np.log10(PRIOR) - np.log10(h.count + PRIOR)
+@dataclass
+class Asked:
+    """A row's keys in order, each once: pairs of words, and words that are not frequent."""
+
+    keys: np.ndarray
+    counts: np.ndarray
+    far: np.ndarray  # tokens whose pair is asked for
+    pair_at: np.ndarray  # its place among the keys
+    rare: np.ndarray  # words that are asked for
+    rare_at: np.ndarray
+
+    @classmethod
+    def of(cls, r: Row, known: np.ndarray, unit: np.ndarray, before: np.ndarray) -> Asked:
+        far = np.flatnonzero((unit[before] >= WORDS) | (unit[r.at] >= WORDS))
+        rare = np.flatnonzero(known < 0)
+        asked = np.concatenate([mixed(r.key[before[far]], r.key[r.at[far]]), mixed(r.key[rare], 1)])
+        n = np.concatenate([np.repeat(r.training, r.n)[far].astype(np.int64), r.c[rare].astype(np.int64)])
+        order = np.argsort(asked)
+        some = asked[order]
+        first = np.r_[True, some[1:] != some[:-1]] if len(some) else np.empty(0, bool)
+        starts, place = np.flatnonzero(first), np.empty(len(some), np.int64)
+        place[order] = np.cumsum(first) - 1
+        return cls(some[starts], np.add.reduceat(n[order], starts) if len(starts) else n, far, place[: len(far)], rare, place[len(far) :])
+
+
+def asked_sums(spark: SparkSession, rows: DataFrame, head, buckets: int) -> DataFrame:
+    """row, bucket, sums: for each row the sums of its keys in that bucket, in the keys' order."""
+    width = np.uint64(2**64 // buckets + 1)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = head.value
         for batch in batches:
-            ids, training, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_bytes(batch.column(2))
-            own: list[tuple] = []
-            held, some = [], 0
-            for doc, learnt, text in zip(ids, training, texts):
-                words = tokens(text)
-                words.append(END)
-                units, at, rare = h.units(words)
-                there = at >= 0
-                if rare:
-                    number = at.copy()
-                    number[~there] = digests(rare)
-                else:
-                    number = at
-                unit_before, before = np.r_[0, units[:-1]], np.r_[0, number[:-1]]
-                prior = logp[unit_before, units]
-                prior[there] += h.within[at[there]]
-                prior[~there] -= h.class_rest[units[~there] - WORDS]
-                near = (unit_before < WORDS) & (units < WORDS)
-                total = prior.sum() + less[at[there]].sum() + len(rare) * np.log10(PRIOR) + more[unit_before[near], units[near]].sum()
-                own.append((rid, doc, not learnt, len(words), int(h.known[at[there]].sum()), float(h.base[at[there]].sum() - len(rare) * h.base_rest), float(total)))
-                far = np.flatnonzero(~near)
-                deal = np.where(there[far], pair_numbers(before[far], number[far]), number[far])
-                held.append((np.full(len(far), rid), deal, before[far], np.full(len(far), bool(learnt)), prior[far].astype(np.float32)))
-                some += len(far)
-                rid += 1
-                if some > 100_000:
-                    yield tail(held)
-                    held, some = [], 0
-            if some:
-                yield tail(held)
-            columns = list(zip(*own)) or [()] * 7
-            n = len(own)
-            number = np.array(columns[0], np.int64)
-            yield pa.record_batch([pa.array(number), pa.array(pair_numbers(number, number)), pa.array(number), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.float32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_()), *[pa.array(c, pa.int64()) for c in columns[3:5]], *[pa.array(c, pa.float64()) for c in columns[5:]]], NAMES)
-
-    def tail(held: list) -> pa.RecordBatch:
-        columns = [pa.array(np.concatenate(c)) for c in zip(*held)]
-        return pa.record_batch([*columns, *[pa.nulls(len(columns[0]), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]], NAMES)
-
-    return docs.select("doc_id", "training", "text").mapInArrow(rows, SCORED)
+            for r in Row.of(batch):
+                known = h.find(r.key)
+                a = Asked.of(r, known, h.units(r.key, known), r.before()[0])
+                bucket = (a.keys // width).astype(np.int64)
+                starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
+                bounds = pa.array(np.r_[starts, len(bucket)].astype(np.int32))
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (a.keys.view(np.int64), a.counts.astype(np.int32))]
+                yield pa.record_batch([pa.array(np.full(len(starts), r.row)), pa.array(bucket[starts]), *lists], ["row", "bucket", "key", "c"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        lengths = np.diff([0, *np.cumsum([len(x) for x in group["key"]])])
+        keys = group["key"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        c = group["c"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(keys)
+        some = keys[order]
+        first = np.r_[True, some[1:] != some[:-1]]
+        sums = np.add.reduceat(c[order], np.flatnonzero(first))
+        back = np.empty(len(keys), np.int64)
+        back[order] = sums[np.cumsum(first) - 1]
+        bounds = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
+        return pa.table({"row": group["row"], "bucket": group["bucket"], "sums": pa.ListArray.from_arrays(bounds, pa.array(back))})
+
+    sent = rows.mapInArrow(ask, "row long, bucket long, key array<long>, c array<int>")
+    return sent.groupBy("bucket").applyInArrow(answer, "row long, bucket long, sums array<long>")
+
+
+SCORES = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+
+
+def row_scores(r: Row, h: Head, m: Model, sums: np.ndarray) -> pa.Table:
+    """SCORES of the texts of one row; ``sums`` are of its ``Asked.keys``."""
+    known, before = h.find(r.key), r.before()
+    unit = h.units(r.key, known)
+    a = Asked.of(r, known, unit, before[0])
+    c = np.where(known >= 0, h.c[known], 0).astype(np.float64) if len(h.key) else np.zeros(len(known))
+    c[a.rare] = sums[a.rare_at]
+    now, ahead = r.at, before[0]
+    pair = m.pairs[unit[ahead], unit[now]]  # of units of their own; the others' follow
+    pair[a.far] = sums[a.pair_at]
+    prior = m.prior(unit, now, before) * (10.0 ** h.share(c, unit))[now]
+    score = np.log10(pair + PRIOR * prior) - np.log10(c + PRIOR)[ahead]
+    base = (np.log10(c + 0.5) - np.log10(h.tokens + 0.5 * (h.distinct + 1)))[now]
+    starts = np.cumsum(r.n) - r.n
+    by_text = lambda x: np.add.reduceat(x, starts)
+    return pa.table({"rid": r.rid, "doc_id": pa.array(r.doc_id, pa.int64()), "held_out": ~r.training, "n_tokens": r.n.astype(np.int64), "n_known": by_text((c > 0)[now].astype(np.int64)), "base": by_text(base), "score": by_text(score)})
 
 
 def lm_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """``docs`` has doc_id, text and training; see ``op2_bilinear_lm`` for the columns that come back."""
-    vocab = vocabulary(spark, docs)
-    head, n, _ = head_of(vocab)
-    shared = spark.sparkContext.broadcast(head)
-    counts = pair_counts(docs, shared)
-    model = spark.sparkContext.broadcast((train(counts), counts))
-    learnt = F.when(F.col("training"), 1).otherwise(0)
-    rows = score(docs, shared, model).repartition("deal")
-    rows = rows.withColumn("pair", F.sum(learnt).over(Window.partitionBy("deal", "before"))).withColumn("c", F.sum(learnt).over(Window.partitionBy("deal")))
-    rare = F.col("prior").isNotNull() & (F.col("deal") % 2 != 0)
-    seen = F.log10(F.col("c") + 0.5)
-    prior = F.col("prior").cast("double") + F.when(rare, seen).otherwise(0.0)
-    more = F.when(F.col("prior").isNotNull() & (F.col("pair") > 0), F.log10(1 + F.col("pair") / (PRIOR * F.pow(F.lit(10.0), prior)))).otherwise(0.0)
-    rows = rows.select(
-        "rid", "doc_id", "held_out", "n_tokens", F.when(rare, (F.col("c") > 0).cast("long")).otherwise(F.col("n_known")).alias("n_known"),
-        F.when(rare, seen).otherwise(F.col("base")).alias("base"), (F.coalesce("score", F.lit(0.0)) + F.when(rare, seen - F.log10(F.col("c") + PRIOR)).otherwise(0.0) + more).alias("score"),
-    )
-    sums = rows.groupBy("rid").agg(*[F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens")], *[F.sum(x).alias(x) for x in ("n_known", "base", "score")])
-    return sums.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
+    rows = written(spark, docs.select("doc_id", "training", "text").mapInArrow(partial(encoded, size=ROW), ROWS), "tokens")
+    found = head_of(spark, rows)
+    head = spark.sparkContext.broadcast(found)
+    pairs = unit_pairs(rows, head)
+    chance = spark.sparkContext.broadcast([(10.0 ** log_table(train(p))).astype(np.float32) for p in pairs])
+    model = spark.sparkContext.broadcast(Model(chance.value, place_weights(rows, head, chance), pairs[0]))
+    every = rows.select(F.sum(F.size("at"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), every // KEYS + 1)
+    sums = asked_sums(spark, rows, head, buckets)
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("bucket")
+        got = right["sums"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if right.num_rows else np.empty(0, np.int64)
+        return pa.concat_tables([row_scores(r, head.value, model.value, got) for r in Row.of(left.combine_chunks())])
+
+    parts = rows.groupBy("row").cogroup(sums.groupBy("row")).applyInArrow(finish, SCORES)
+    texts = parts.groupBy("rid").agg(*[F.max(x).alias(x) for x in ("doc_id", "held_out")], *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
+    return texts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(found.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def op2_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

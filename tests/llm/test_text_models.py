@@ -18,17 +18,6 @@ def test_log_table_is_normalised_and_learns_pairs():
     assert (joint * table).sum() > (joint * unigram[None]).sum() + 0.5
 
 
-def test_token_probabilities_sum_to_one(spark):
-    texts = ["the cat sat on the mat", "the dog sat on a log", "a cat and a dog"] * 3
-    docs = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, training boolean")
-    vocab = bilinear.vocabulary(spark, docs)
-    head, n, v = bilinear.head_of(vocab)
-    words = {r.key.encode(): r.c for r in vocab.collect()}
-    assert n == sum(words.values()) and v == len(words)
-    base = sum(10 ** head.base[head.place[w]] for w in words) + 0.5 / 10**head.base_rest  # and one unseen word
-    assert abs(base - 1) < 1e-9
-
-
 def test_classifier_on_held_out_rows():
     rng = np.random.default_rng(2)
     word = lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(2, 8)))
