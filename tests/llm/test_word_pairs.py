@@ -1,6 +1,7 @@
 """The language model counts every pair of neighbouring words, against a count by hand."""
 
 from collections import Counter
+from functools import partial
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from evidark.llm import bilinear
 
 def parts_of(spark, df):
     """What scoring learns of ``df``: head, probabilities of units, places' weights, and all of its words and their numbers."""
-    rows = bilinear.written(spark, df.select("doc_id", "training", "text").mapInArrow(bilinear.encoded, bilinear.ROWS), "tokens")
+    rows = bilinear.written(spark, df.select("doc_id", "training", "text").mapInArrow(partial(bilinear.encoded, size=bilinear.ROW), bilinear.ROWS), "tokens")
     head = bilinear.head_of(spark, rows)
     shared = spark.sparkContext.broadcast(head)
     chance = [(10.0 ** bilinear.log_table(bilinear.train(p))).astype(np.float32) for p in bilinear.unit_pairs(rows, shared)]
@@ -92,7 +93,7 @@ def test_chances_sum_to_one(spark, monkeypatch):
 def test_units_come_from_training_counts(spark, monkeypatch):
     monkeypatch.setattr(bilinear, "WORDS", 3)
     docs = [(1, "a a b b c", True), (2, "z z z z z z z z", False), (3, "b", True)]
-    rows = bilinear.written(spark, spark.createDataFrame(docs, "doc_id long, text string, training boolean").select("doc_id", "training", "text").mapInArrow(bilinear.encoded, bilinear.ROWS), "tokens")
+    rows = bilinear.written(spark, spark.createDataFrame(docs, "doc_id long, text string, training boolean").select("doc_id", "training", "text").mapInArrow(partial(bilinear.encoded, size=bilinear.ROW), bilinear.ROWS), "tokens")
     head = bilinear.head_of(spark, rows)
     assert bilinear.number(b"z") not in head.key.tolist() and (head.tokens, head.distinct) == (8, 4)
     assert sorted(head.unit.tolist())[:3] == [0, 1, 2] and unit_of(head, b"c") >= 3
