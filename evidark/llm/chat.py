@@ -6,7 +6,8 @@ the text and end mark of each assistant turn, as code-point ranges "from:to" of
 
 A null role is "unknown" and a null text is empty; equal turns are equal after that. A null conversation is an empty
 one. When one conversation continues the other, or both are equal, the shorter completion is empty. Further columns
-stay as they are.
+stay as they are; one with the name of a result's column gets ``_input`` behind its name. A conversation is one array in
+one task, so it must fit there, as any record must.
 """
 
 from __future__ import annotations
@@ -21,6 +22,14 @@ TRAINED = "assistant"
 TURNS = "array<struct<role:string,text:string>>"
 
 
+MADE = ("n_prompt_turns", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask")
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def clean(turns: Column) -> Column:
     made = F.transform(turns, lambda t: F.struct(F.coalesce(t["role"], F.lit("unknown")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
     return F.coalesce(made, F.array().cast(TURNS))
@@ -49,14 +58,24 @@ def trained_ranges(turns: Column) -> Column:
 
 def preference_rows(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """``pairs`` with prompt, n_prompt_turns, and text and mask of both completions in place of the conversations."""
-    kept = [c for c in pairs.columns if c not in (chosen, rejected)]
-    rows = pairs.select(F.struct(*kept).alias("kept"), clean(F.col(chosen)).alias("c"), clean(F.col(rejected)).alias("r"))
+    kept, taken = [], {*MADE, *pairs.columns}
+    for c in pairs.columns:
+        if c in (chosen, rejected):
+            continue
+        name = c
+        while name in MADE or (name != c and name in taken):
+            name += "_input"
+        taken.add(name)
+        kept.append(quoted(c).alias(name))
+    kept = F.struct(*kept) if kept else F.lit(None)
+    rows = pairs.select(kept.alias("kept"), clean(quoted(chosen)).alias("c"), clean(quoted(rejected)).alias("r"))
+    others = ["kept.*"] if len(pairs.columns) > len({chosen, rejected}) else []
     differ = F.array_position(F.zip_with("c", "r", lambda a, b: a.eqNullSafe(b)), False)
     n = F.when(differ > 0, differ - 1).otherwise(F.size("c")).cast("int")  # none differ: equal, and of one length
     rows = rows.withColumn("n", n)
     after = [F.slice(x, F.col("n") + 1, F.greatest(F.size(x), F.lit(1))).alias(x) for x in ("c", "r")]
     rows = rows.select("kept", "n", F.slice("c", 1, F.col("n")).alias("p"), *after)
-    return rows.select("kept.*", F.col("n").alias("n_prompt_turns"), render(F.col("p")).alias("prompt"), render(F.col("c")).alias("chosen"), render(F.col("r")).alias("rejected"), trained_ranges(F.col("c")).alias("chosen_mask"), trained_ranges(F.col("r")).alias("rejected_mask"))
+    return rows.select(*others, F.col("n").alias("n_prompt_turns"), render(F.col("p")).alias("prompt"), render(F.col("c")).alias("chosen"), render(F.col("r")).alias("rejected"), trained_ranges(F.col("c")).alias("chosen_mask"), trained_ranges(F.col("r")).alias("rejected_mask"))
 
 
 def reply_pairs(spark: SparkSession, conversations: DataFrame) -> DataFrame:

@@ -34,9 +34,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder that all machines share: ``spark.checkpoint.dir``; one of our own only where that is unset and all runs in one process."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if place is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = "file://" + tempfile.mkdtemp(prefix="evidark-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")

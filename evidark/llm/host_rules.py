@@ -84,8 +84,8 @@ def base_failed(c: str) -> Column:
     return failed["short"] | failed["repeats"]
 
 
-def rejected_hosts(spark: SparkSession, counted: DataFrame) -> DataFrame:
-    """The hosts to reject, one row each: host, rejected = true. ``counted`` has host and the struct counts."""
+def host_verdicts(spark: SparkSession, counted: DataFrame) -> DataFrame:
+    """host, rejected and the struct rates (by rule, shrunk), one row a host. ``counted`` has host and the struct counts."""
     failed = failures("counts")
     hosts = counted.groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.count_if(failed[r]).cast("double").alias(r) for r in RULES])
     hosts = written(spark, hosts, "hosts")
@@ -94,8 +94,8 @@ def rejected_hosts(spark: SparkSession, counted: DataFrame) -> DataFrame:
     for r in RULES:
         moments += [F.sum(r).alias(f"{r}_f"), F.sum(F.col(r) * F.col(r) / n).alias(f"{r}_ff")]
     row = hosts.agg(*moments).select(*[prior(r).alias(r) for r in RULES]).first()  # one row of sums over hosts
-    over = [shrunk(F.col(r), n, row[r]["alpha"], row[r]["strength"]) > MOST for r in RULES]
-    return hosts.where(any_of(over)).select("host", F.lit(True).alias("rejected"))
+    rates = {r: shrunk(F.col(r), n, row[r]["alpha"], row[r]["strength"]) for r in RULES}
+    return hosts.select("host", any_of([rate > MOST for rate in rates.values()]).alias("rejected"), F.struct(*[rate.alias(r) for r, rate in rates.items()]).alias("rates"))
 
 
 def any_of(conditions: list[Column]) -> Column:
@@ -126,24 +126,26 @@ def shrunk(failed: Column, n: Column, alpha: float | None, strength: float | Non
 
 
 def with_verdict(docs: DataFrame, hosts: DataFrame) -> DataFrame:
-    """``docs`` (with host) and rejected, null if the host is not. A hot host is split by adaptive execution if ``hosts`` is too large to broadcast."""
+    """``docs`` (with host) with their host's rejected and rates. A hot host is split by adaptive execution if ``hosts`` is too large to broadcast."""
     docs, hosts = docs.alias("d"), hosts.alias("h")
-    return docs.join(hosts, F.col("d.host").eqNullSafe(F.col("h.host")), "left").select("d.*", F.coalesce("h.rejected", F.lit(False)).alias("rejected"))
+    return docs.join(hosts, F.col("d.host").eqNullSafe(F.col("h.host"))).select("d.*", "h.rejected", "h.rates")
 
 
 def op1_host_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     counted = written(spark, docs.select("doc_id", F.col("source").alias("host"), text_counts(F.col("text").cast("string")).alias("counts")), "counts")
-    judged = with_verdict(counted, written(spark, rejected_hosts(spark, counted), "rejected"))
-    return judged.select("doc_id", *[f"counts.{f}" for f in FIELDS], base_failed("counts").alias("base_failed"), (~base_failed("counts") & ~F.col("rejected")).alias("kept"))
+    judged = with_verdict(counted, written(spark, host_verdicts(spark, counted), "verdicts"))
+    rates = [F.round(f"rates.{r}", 6).alias(f"host_{r}") for r in RULES]
+    return judged.select("doc_id", *[f"counts.{f}" for f in FIELDS], base_failed("counts").alias("base_failed"), (~base_failed("counts") & ~F.col("rejected")).alias("kept"), *rates)
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass: all columns of ``docs``."""
-    counted = written(spark, docs.select(F.col("source").alias("host"), text_counts(F.col("text").cast("string")).alias("counts")), "counts")
-    bad = written(spark, rejected_hosts(spark, counted), "rejected")
-    row = docs.select(whole_row(docs).alias("row"), F.col("source").alias("host"), text_counts(F.col("text").cast("string")).alias("counts"))
-    return with_verdict(row.where(~base_failed("counts")), bad).where(~F.col("rejected")).select("row.*")
+    counted = docs.select(whole_row(docs).alias("row"), F.col("source").alias("host"), text_counts(F.col("text").cast("string")).alias("counts"))
+    counted = written(spark, counted, "counted")
+    hosts = written(spark, host_verdicts(spark, counted), "verdicts").where("rejected").select("host", "rejected").alias("h")
+    passed = counted.where(~base_failed("counts")).alias("d").join(hosts, F.col("d.host").eqNullSafe(F.col("h.host")), "left_anti")
+    return passed.select("row.*")
 
 
 def oracle(docs: str = "documents") -> str:
@@ -156,7 +158,9 @@ def oracle(docs: str = "documents") -> str:
         least(greatest(({r}_f / n) * (1 - {r}_f / n) / (({r}_ff - {r}_f * {r}_f / n - (hosts - 1) * ({r}_f - {r}_ff) / (n - hosts)) / (n - nn / n)) - 1, 1.0), 1000.0) ELSE 1000.0 END AS {r}_s, {r}_f / n AS {r}_m"""
         for r in RULES
     )
-    bad = " OR ".join(f"({r} + {r}_s * {r}_m) / (n + {r}_s) > {MOST}" for r in RULES)
+    rates = ", ".join(f"({r} + {r}_s * {r}_m) / (n + {r}_s) AS {r}" for r in RULES)
+    bad = " OR ".join(f"r.{r} > {MOST}" for r in RULES)
+    told = ", ".join(f"round(r.{r}, 6) AS host_{r}" for r in RULES)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM {docs}),
 w AS (SELECT rid, regexp_extract_all(text, '{word}') AS ws FROM d),
@@ -171,9 +175,9 @@ tried AS (SELECT *, n_words < {LEAST_WORDS} AS short, 100 * n_repeat_words > {MO
   100 * n_symbols > {MOST_SYMBOLS} * word_chars AS symbols, 100 * n_dup_lines > {MOST_DUP_LINES} * n_words AS lines FROM base),
 hosts AS (SELECT source, count(*)::DOUBLE AS n, {sums} FROM tried GROUP BY source),
 every AS (SELECT sum(n) AS n, sum(n * n) AS nn, count(*)::DOUBLE AS hosts, {moments} FROM hosts),
-priors AS (SELECT {priors} FROM every),
-bad AS (SELECT source FROM hosts, priors WHERE {bad})
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
-  NOT (short OR repeats) AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM tried.source) AS kept
-FROM tried
+priors AS (SELECT n, {priors} FROM every),
+rates AS (SELECT source, {rates} FROM (SELECT hosts.*, priors.* EXCLUDE (n) FROM hosts, priors))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, t.short OR t.repeats AS base_failed,
+  NOT (t.short OR t.repeats) AND NOT ({bad}) AS kept, {told}
+FROM tried t JOIN rates r ON r.source IS NOT DISTINCT FROM t.source
 """

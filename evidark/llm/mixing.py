@@ -7,9 +7,10 @@ their random odds u / (1 - u) over their inclusion odds p / (1 - p), and the sam
 words come nearest to the rest of the target. The cut is found from sums over 4096 bins of each source's order, and
 only the rows of the cut's bin are ranked row by row, so a source with most rows is never sorted in one task.
 
-u is a digest of the document's id, so reruns agree. Null text has size 0; documents of size 0 take none. Null sources
-are one source, after the others. Rows with equal ids are ranked by size, then stand for each other. An empty table
-gives no rows.
+u is a digest of the document's id and size, and of its number among the source's rows that are alike in both, so reruns
+agree, and rows without an id, or of one id, are sampled one by one as any others. Only rows that are not alone in their
+kind are numbered (by task, so that a kind may hold most rows). Null text has size 0; documents of size 0 take none. Null
+sources are one source, after the others. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ MOST = 3
 BINS = 4096
 
 
-def unit(doc_id: Column) -> Column:
-    """A number in (0, 1) from the digest of the id."""
-    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 13)
+def unit(doc_id: Column, size: Column, nth: Column) -> Column:
+    """A number in (0, 1) from the digest of id, size and number."""
+    said = F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), size.cast("string"), nth.cast("string"))
+    digits = F.substring(F.md5(said.cast("binary")), 1, 13)
     return (F.conv(digits, 16, 10).cast("long").cast("double") + 0.5) / F.lit(float(2**52))
 
 
@@ -51,13 +53,31 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return per.select("source", "source_size", F.least(most * F.col("source_size").cast("double"), F.col("level") * F.col("weight")).alias("target"))
 
 
+def numbered(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` as row, source, id, size and nth: 1, 2, ... among the rows that are alike in source, id and size."""
+    kind = ["source", "id", "size"]
+    rows = docs.select(whole_row(docs).alias("row"), F.col("source").cast("string").alias("source"), F.col("doc_id").alias("id"), "size")
+    many = written(spark, rows.groupBy(*kind).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*kind), "kinds")
+    same = lambda a, b: [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in kind]
+    met = lambda a, b: same(a, b)[0] & same(a, b)[1] & same(a, b)[2]
+    if many.isEmpty():
+        return rows.withColumn("nth", F.lit(1).cast("long"))
+    alone = rows.alias("r").join(many.alias("m"), met("r", "m"), "left_anti").withColumn("nth", F.lit(1).cast("long"))
+    alike = rows.alias("r").join(many.alias("m"), met("r", "m"), "left_semi").withColumn("task", F.spark_partition_id())
+    alike = written(spark, alike.withColumn("here", F.row_number().over(Window.partitionBy("task", *kind).orderBy(F.lit(1)))), "alike")
+    by_task = alike.groupBy("task", *kind).agg(F.count(F.lit(1)).alias("n"))
+    before = by_task.select("task", *kind, F.coalesce(F.sum("n").over(Window.partitionBy(*kind).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = alike.alias("a").join(before.alias("b"), met("a", "b") & (F.col("a.task") == F.col("b.task")))
+    return alone.union(placed.select("a.row", "a.source", "a.id", "a.size", (F.col("before") + F.col("here")).cast("long").alias("nth")))
+
+
 def cut_points(narrow: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """One row for each source: its target, whole copies and where its sample ends in Pareto order.
 
-    ``narrow`` has source, size, id. A document is in the sample if its bin is below ``cut_bin``, or is ``cut_bin`` and
-    its (odds, id, size) is not after ``last`` (null: none of that bin).
+    ``narrow`` has source, size, id, nth. A document is in the sample if its bin is below ``cut_bin``, or is ``cut_bin``
+    and its (odds, id, size, nth) is not after ``last`` (null: none of that bin).
     """
-    keyed = narrow.withColumn("u", unit(F.col("id"))).withColumn("bin", bin_of(F.col("u")))
+    keyed = narrow.withColumn("u", unit(F.col("id"), F.col("size"), F.col("nth"))).withColumn("bin", bin_of(F.col("u")))
     bins = keyed.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
     goal = targets(bins.select("source", F.col("bin_size").alias("size")), weights, most)
     some = F.col("source_size") > 0
@@ -70,7 +90,7 @@ def cut_points(narrow: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int
     found = found.where((F.col("rest") > 0) & (F.col("up_to") >= F.col("rest")) & (F.col("up_to") - F.col("bin_size") < F.col("rest")))
     found = found.select("b.source", F.col("bin").alias("cut_bin"), (F.col("up_to") - F.col("bin_size")).alias("before"), "rest", "p")
     there = keyed.alias("k").join(found.alias("c"), F.col("k.source").eqNullSafe(F.col("c.source")) & (F.col("k.bin") == F.col("c.cut_bin")))
-    there = there.select("c.source", "cut_bin", "before", "rest", F.struct(odds(F.col("u"), F.col("p")).alias("odds"), "id", "size").alias("last"))
+    there = there.select("c.source", "cut_bin", "before", "rest", F.struct(odds(F.col("u"), F.col("p")).alias("odds"), "id", "size", "nth").alias("last"))
     ends = there.withColumn("end", F.col("before") + F.sum("last.size").over(Window.partitionBy("source").orderBy("last")))  # peers together
     ends = ends.groupBy("source").agg(
         F.first("cut_bin").alias("cut_bin"),
@@ -92,14 +112,14 @@ def odds(u: Column, p: Column) -> Column:
 
 def mix(spark: SparkSession, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``docs`` (with doc_id, source and size) with source_size, target and copies, in the struct ``mix``."""
-    narrow = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").alias("id"), "size")
-    points = written(spark, cut_points(narrow, weights, most), "cuts")  # one row a source; broadcast if it is small
-    row = docs.select(whole_row(docs).alias("row"))
-    u, in_bin = unit(F.col("row.doc_id")), bin_of(unit(F.col("row.doc_id")))
-    here = F.struct(odds(u, F.col("p")).alias("odds"), F.col("row.doc_id").alias("id"), F.col("row.size").alias("size"))
-    sampled = (in_bin < F.col("cut_bin")) | ((in_bin == F.col("cut_bin")) & F.coalesce(here <= F.col("last"), F.lit(False)))
+    rows = numbered(spark, docs)
+    points = written(spark, cut_points(rows.select("source", "id", "size", "nth"), weights, most), "cuts")  # one row a source; broadcast if it is small
+    u = unit(F.col("r.id"), F.col("r.size"), F.col("r.nth"))
+    here = F.struct(odds(u, F.col("p")).alias("odds"), F.col("r.id").alias("id"), F.col("r.size").alias("size"), F.col("r.nth").alias("nth"))
+    sampled = (bin_of(u) < F.col("cut_bin")) | ((bin_of(u) == F.col("cut_bin")) & F.coalesce(here <= F.col("last"), F.lit(False)))
     copies = F.col("whole") + F.when(sampled, 1).otherwise(0)
-    return row.join(points, F.col("row.source").cast("string").eqNullSafe(F.col("source"))).select("row", F.struct("source_size", "target", F.when(F.col("row.size") > 0, copies).otherwise(0).cast("long").alias("copies")).alias("mix"))
+    joined = rows.alias("r").join(points.alias("c"), F.col("r.source").eqNullSafe(F.col("c.source")))
+    return joined.select("r.row", F.struct("source_size", "target", F.when(F.col("r.size") > 0, copies).otherwise(0).cast("long").alias("copies")).alias("mix"))
 
 
 def op10_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,14 +132,15 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Each document as often as the mix takes it; all columns of ``docs``."""
     row = docs.select(whole_row(docs).alias("doc"), "doc_id", "source", n_words(F.col("text")).alias("size"))
     copies = F.col("mix.copies").cast("int")
-    return mix(spark, row).where(copies > 0).select(F.col("row.doc").alias("doc"), F.explode(F.array_repeat(F.lit(0), copies))).select("doc.*")
+    return mix(spark, written(spark, row, "sized")).where(copies > 0).select(F.col("row.doc").alias("doc"), F.explode(F.array_repeat(F.lit(0), copies))).select("doc.*")
 
 
 ORACLE = f"""
-WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-    (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / {2**52}::DOUBLE AS u
+WITH sized0 AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
+told AS (SELECT *, row_number() OVER (PARTITION BY source, doc_id, size) AS nth FROM sized0),
+sized AS (SELECT *, (CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size || ':' || nth), 1, 13) AS BIGINT) + 0.5::DOUBLE) / {2**52}::DOUBLE AS u FROM told),
 per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, CAST(CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN {WEIGHTS[0]} WHEN 1 THEN {WEIGHTS[1]} ELSE {WEIGHTS[2]} END AS DOUBLE) AS weight FROM per),
 levels AS (SELECT *, sum(source_size) OVER () AS all_size, {MOST} * source_size / weight AS full_at,
@@ -129,9 +150,9 @@ leveled AS (SELECT source, source_size, weight, max(CASE WHEN CAST(all_size - {M
 goal AS (SELECT source, source_size, least({MOST} * CAST(source_size AS DOUBLE), level * weight) AS target FROM leveled),
 parts AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM goal),
 rests AS (SELECT *, target - whole * source_size AS rest, CASE WHEN source_size > 0 THEN (target - whole * source_size) / source_size ELSE 0 END AS p FROM parts),
-ranked AS (SELECT d.doc_id, d.size, d.u, r.*, (d.u / (1 - d.u)) / (CASE WHEN r.p > 0 AND r.p < 1 THEN r.p / (1 - r.p) ELSE 1 END) AS odds
+ranked AS (SELECT d.doc_id, d.size, d.nth, d.u, r.*, (d.u / (1 - d.u)) / (CASE WHEN r.p > 0 AND r.p < 1 THEN r.p / (1 - r.p) ELSE 1 END) AS odds
   FROM sized d JOIN rests r ON d.source IS NOT DISTINCT FROM r.source),
-summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id NULLS FIRST, size) AS up_to FROM ranked),
+summed AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id NULLS FIRST, size, nth) AS up_to FROM ranked),
 best AS (SELECT source, arg_min(up_to, abs(up_to - rest)) AS last, min(abs(up_to - rest)) AS off, any_value(rest) AS rest FROM summed GROUP BY source)
 SELECT s.doc_id, s.size, s.source_size, s.target,
   CAST(s.size * (s.whole + CASE WHEN s.rest > 0 AND b.off <= b.rest AND s.up_to <= b.last THEN 1 ELSE 0 END) AS BIGINT) AS taken

@@ -1,12 +1,13 @@
 """Quality classifier: naive Bayes support vectors.
 
-A text's features are indicators of n-grams over two alphabets: lower-cased words (1-grams), and word shapes, which keep
+A text's features are indicators of n-grams over two alphabets: lower-cased words (1- and 2-grams), and word shapes, which keep
 case, digits, symbols and whether the word repeats the one before (1- to 3-grams). They are hashed to 2**18. Indicators
 are scaled by the class log-count ratio and then to unit length; a linear hinge-loss model is fitted by dual coordinate
 descent, and its margin becomes a probability by a logistic fitted on a fifth of the sample that the first model did
 not see.
 
-Fitting takes at most ``MOST_LABELLED`` labelled documents, those with the smallest hashes of their ids. Scoring takes
+Fitting takes at most ``MOST_LABELLED`` labelled documents of the table, those with the smallest hashes of their ids, and
+one text of each (the smallest, where an id has several). Scoring takes
 every whole text. Null texts are empty and score by the intercept; a sample of one class gives its smoothed share.
 Labels are grouped by document (1 if most are 1, null ones left out), so repeated labels add no weight; repeated rows
 are scored one by one. An empty table gives no rows.
@@ -62,7 +63,8 @@ def features(text: bytes | None) -> np.ndarray:
     d = np.array(described, np.uint64)
     again = np.r_[False, d[1:] == d[:-1]]
     shape = (d & np.uint64(0xFFFF)) * np.uint64(2) + again
-    grams = [(d >> np.uint64(16)) * _MIX[3] + _MIX[0]]
+    word = d >> np.uint64(16)
+    grams = [word * _MIX[3] + _MIX[0], ((word[:-1] ^ _MIX[1]) * _MIX[2]) ^ (word[1:] * _MIX[0])]
     part = shape * _MIX[0]
     grams.append(part)
     for k in (1, 2):
@@ -160,10 +162,11 @@ def fit(rows: list[np.ndarray], quality: np.ndarray) -> Model:
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     """From at most ``most`` labelled documents that are not held out."""
     known = labels.where(F.col("quality").isNotNull() & (remainder(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.avg(F.when(F.col("quality") > 0, 1.0).otherwise(0.0)).alias("quality"))
-    known = known.select("doc_id", (F.col("quality") >= 0.5).cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # `known` is bounded by `most`
-    found = texts
-    rows = found.select("doc_id", "quality", text_features(F.col("text").cast("string")).alias("at")).toArrow().combine_chunks().sort_by("doc_id")
+    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", (F.col("quality") >= 0.5).cast("int").alias("quality"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")  # `known` is bounded by `most`
+    found = found.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    rows = found.select("doc_id", "quality", text_features(F.col("text")).alias("at")).toArrow().combine_chunks().sort_by("doc_id")
     lists = rows["at"].combine_chunks() if rows.num_rows else None
     return fit([np.asarray(x.values) for x in lists] if lists is not None else [], rows["quality"].to_numpy())
 

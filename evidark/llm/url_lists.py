@@ -5,8 +5,8 @@ pattern is a host, which stands for its subdomains too, or a host and a path, wh
 below it. Changes become validity intervals (from the change to the pattern's next one), and every capture is judged by
 the entries active when it was fetched: the longest active pattern decides, allow over block.
 
-Captures and intervals meet on (pattern, period of ``PERIOD`` seconds): an interval is dealt to the periods it touches,
-so a pattern that changes often is not compared with all captures of a hot host. Captures are first reduced to distinct
+Captures and intervals meet on (pattern, period of ``PERIOD`` seconds): an interval is dealt to the periods it touches
+between the first and the last capture, whatever dates the list holds, so a pattern that changes often is not compared with all captures of a hot host. Captures are first reduced to distinct
 (url, time). A url gives one key for each suffix of its host from two labels on, and for each path depth that the list
 has. Joins on hot hosts are inner joins that adaptive execution can split.
 
@@ -60,9 +60,10 @@ def judge(spark: SparkSession, captures: DataFrame, changes: DataFrame) -> DataF
     valid = written(spark, intervals(changes), "intervals")
     distinct = written(spark, captures.select("url", F.col("fetched").cast("long").alias("fetched")).where("url IS NOT NULL AND fetched IS NOT NULL").distinct(), "captures")
     depth = valid.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
-    latest = distinct.agg(F.max("fetched")).first()[0] or 0
+    earliest, latest = distinct.agg(F.coalesce(F.min("fetched"), F.lit(0)), F.coalesce(F.max("fetched"), F.lit(0))).first()
     period = lambda c: F.floor(c / PERIOD)
-    dealt = valid.where(F.col("since") <= latest).withColumn("period", F.explode(F.sequence(period(F.col("since")), period(F.least(F.coalesce("until", F.lit(latest)), F.lit(latest))))))
+    dealt = valid.where((F.col("since") <= latest) & (F.col("until").isNull() | (F.col("until") > earliest)))
+    dealt = dealt.withColumn("period", F.explode(F.sequence(period(F.greatest("since", F.lit(earliest))), period(F.least(F.coalesce("until", F.lit(latest)), F.lit(latest))))))
     asked = distinct.withColumn("pattern", F.explode(keys(host(F.col("url")), segments(F.col("url")), F.lit(depth)))).withColumn("period", period(F.col("fetched")))
     met = asked.join(dealt, ["pattern", "period"]).where((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
     best = F.max(F.struct(F.length("pattern").alias("n"), (F.col("list") == "allow").alias("allow"), "pattern")).alias("best")

@@ -55,7 +55,7 @@ def test_every_row_comes_back(spark, full, name):
 
 def test_op1_counts(spark, full):
     got = {(r.doc_id): r for r in registry.QUERIES["op1_host_quality_rules"](spark, full).collect()}
-    assert tuple(got[0])[1:] == (0, 0, 0, 0, 0, True, False) == tuple(got[1])[1:] == tuple(got[2])[1:]
+    assert tuple(got[0])[1:8] == (0, 0, 0, 0, 0, True, False) == tuple(got[1])[1:8] == tuple(got[2])[1:8]
     assert (got[4].n_words, got[4].n_repeat_words, got[4].base_failed) == (24_000, 24_000, True)
     assert (got[5].n_words, got[5].n_repeat_words, got[5].base_failed) == (12, 0, False)
     assert (got[7].n_repeat_words, got[7].word_chars) == (12, 12)
@@ -90,13 +90,37 @@ def test_op8_keeps_every_token(spark, full):
     assert (got.piece == 0).sum() == len(rows()) and got.length.max() <= 2048
 
 
+@pytest.fixture(scope="module")
+def junk(spark, tmp_path_factory):
+    """Hosts of junk beside clean ones; a host whose few failures are shrunk away; many rows of one id, or none, and one size."""
+    path = str(tmp_path_factory.mktemp("junk"))
+    clean = lambda i: " ".join(f"word{(i * 7 + k) % 97}x{k}" for k in range(15))
+    data = [(i, clean(i), "en", f"clean{i % 3}", 1) for i in range(60)]
+    data += [(100 + i, "buy " * 30 if i % 10 else clean(i), "en", "junk", 1) for i in range(50)]
+    data += [(200 + i, clean(i) + " ###" * 9, "en", "symbols", 1) for i in range(50)]
+    data += [(300, "few", "en", "small", 1), (301, clean(1), "en", "small", 1)]
+    data += [(None, clean(2), "en", "hot", 1)] * 300 + [(7, clean(3), "en", "hot", 1)] * 150
+    write(spark, path, data)
+    return path
+
+
+@pytest.mark.parametrize("table", ["full", "junk"])
 @pytest.mark.parametrize("name", ["op1_host_quality_rules", "op10_pareto_mixing"])
-def test_sql_gives_the_same_rows(spark, full, name):
+def test_sql_gives_the_same_rows(spark, request, table, name):
     import duckdb
 
+    full = request.getfixturevalue(table)
+
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{full}/documents.parquet/*.parquet')")
     want = con.execute(registry.ORACLE_SQL[name]).fetchdf()
     got = registry.QUERIES[name](spark, full).toPandas()[list(want.columns)]
     told = lambda d: [tuple("-" if x != x or x is None else round(float(x), 6) for x in r) for r in d.astype(object).where(d.notna(), None).itertuples(index=False)]
     assert sorted(map(repr, told(got))) == sorted(map(repr, told(want)))
+
+
+def test_op1_rejects_hosts(spark, junk):
+    got = registry.QUERIES["op1_host_quality_rules"](spark, junk).toPandas()
+    assert not got[(got.doc_id >= 100) & (got.doc_id < 300)].kept.any()  # clean texts of a bad host too
+    assert got[got.doc_id < 60].kept.all() and got[got.doc_id == 301].kept.all()
+    assert 0 < got[got.doc_id == 301].host_short.iloc[0] < 0.6

@@ -46,3 +46,16 @@ def test_edges(spark):
     assert run(spark, [(1, "a", 0, None)]).copies.tolist() == [0]
     df = spark.createDataFrame([], "doc_id long, source string, size long")
     assert mixing.mix(spark, df).count() == 0
+
+
+def test_rows_that_are_alike_are_sampled_one_by_one(spark):
+    rows = [(None, "a", 10, None)] * 900 + [(5, "a", 10, None)] * 300 + [(i, "b", 10, None) for i in range(4000)]
+    out, again = run(spark, rows), run(spark, rows[::-1])
+    sizes = {"a": 12_000, "b": 40_000}
+    for s, want in brute_targets(sizes).items():
+        g = out[out.source == s]
+        assert abs((g.copies * g["size"]).sum() - want) <= 10
+    shares = [g.copies.mean() for _, g in out[out.source == "a"].groupby(out.doc_id.isna())]
+    assert abs(shares[0] - shares[1]) < 0.35  # neither kind goes first
+    told = lambda d: sorted(map(repr, d[["doc_id", "source", "copies"]].fillna(-1).itertuples(index=False)))
+    assert told(out) == told(again)

@@ -166,3 +166,22 @@ def test_dated_lists(spark):
     assert got == [(1, "block", 1), (1, "block", 1), (2, "none", 0), (3, "allow", 2), (4, "block", 1), (5, "allow", 2), (6, "none", 0), (7, "none", 0), (8, "none", 0), (9, "none", 0), (10, "none", 0), (11, "none", 0)]
     assert url_lists.judge(spark, c.where("false"), l).count() == 0
     assert {r.judged.verdict for r in url_lists.judge(spark, c, l.where("false")).collect()} == {"none"}
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([([("user", "hi")], [("user", "ho")], 1, "p", 2, "x")], "chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, n_prompt_turns int, prompt string, prompt_input int, `a.b` string")
+    got = chat.preference_rows(df)
+    assert len(set(got.columns)) == len(got.columns) == 10
+    r = got.first().asDict()
+    assert (r["n_prompt_turns"], r["n_prompt_turns_input"], r["a.b"], r["prompt"]) == (0, 1, "x", "") and {"p", 2} <= set(r.values())
+    only = df.select("chosen", "rejected")
+    assert chat.preference_rows(only).columns == list(chat.MADE[:1]) + ["prompt", "chosen", "rejected", "chosen_mask", "rejected_mask"]
+
+
+def test_list_entries_of_any_date(spark):
+    captures = spark.createDataFrame([(1, "http://a.com/x", 1_700_000_000), (2, "http://a.com/y", 1_700_000_100), (3, None, 5)], "id int, url string, fetched long")
+    changes = spark.createDataFrame([("a.com", "block", "add", 0), ("b.com", "block", "add", 1_700_000_000_000), ("a.com/x", "allow", "add", -(10**15)), ("a.com/y", "allow", "add", -(10**15)), ("a.com/y", "allow", "remove", 10)], "pattern string, list string, action string, at long")
+    got = {r.id: (r.verdict, r.n_active) for r in url_lists.judge(spark, captures, changes).select("row.id", "judged.verdict", "judged.n_active").collect()}
+    assert got == {1: ("allow", 2), 2: ("block", 1), 3: ("none", 0)}
+    assert url_lists.judge(spark, captures.where("false"), changes).count() == 0
+    assert [r.judged.verdict for r in url_lists.judge(spark, captures, changes.where("false")).collect()] == ["none"] * 3

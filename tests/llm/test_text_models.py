@@ -31,6 +31,45 @@ def test_classifier_on_held_out_rows():
     assert 0 <= model.score(nbsvm.features(None)) <= 1
 
 
+def test_fit_is_the_optimum():
+    """Dual coordinate descent against the conditions of optimality, and the ratios against counts by hand."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 40, 12)).astype(np.int32) for _ in range(60)]
+    y = np.where([(r < 15).sum() > 4 for r in rows], 1, -1)
+    y[:4] *= -1
+    ratio = nbsvm.log_count_ratio(rows, y)
+    up = [1 + sum(j in r for r, k in zip(rows, y) if k == 1) for j in range(40)]
+    down = [1 + sum(j in r for r, k in zip(rows, y) if k == -1) for j in range(40)]
+    rest = (1 << nbsvm.BITS) - 40
+    assert np.allclose(ratio[:40], np.log(np.array(up) / (sum(up) + rest)) - np.log(np.array(down) / (sum(down) + rest)), atol=1e-5)
+    w, b = nbsvm.hinge(rows, y, ratio, cost=1.0, passes=3000)
+    values = [ratio[r] / np.sqrt(ratio[r] @ ratio[r]) for r in rows]
+    margins = np.array([k * (w[r] @ v + b) for r, v, k in zip(rows, values, y)])
+    most = {k: len(y) / (2 * (y == k).sum()) for k in (1, -1)}
+
+    def primal(w, b):
+        return 0.5 * (w @ w + b * b) + sum(most[k] * max(0.0, 1 - k * (w[r] @ v + b)) for r, v, k in zip(rows, values, y))
+
+    least = primal(w.astype(float), b)
+    assert (margins > 0.99).any() and (margins < 0.99).any()
+    for _ in range(300):  # the objective is convex: no step near the optimum goes below it
+        step = np.zeros(1 << nbsvm.BITS)
+        step[:40] = rng.normal(size=40) * 10 ** rng.uniform(-3, 0)
+        assert primal(w + step, b + rng.normal() * 10 ** rng.uniform(-3, 0)) > least - 1e-4
+
+
+def test_repeated_ids_and_absent_documents_do_not_fill_the_sample(spark):
+    docs = spark.createDataFrame([(i, t) for i in range(1, 9) for t in ("b " * i, "a " * i)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 2000)], "doc_id long, quality int")
+    seen = []
+    fit, nbsvm.fit = nbsvm.fit, lambda rows, y: seen.append(len(rows))
+    try:
+        nbsvm.learn(docs, labels, most=8)
+    finally:
+        nbsvm.fit = fit
+    assert seen[0] == sum(nbsvm.zlib.crc32(str(i).encode()) % 5 != 0 for i in range(1, 9))
+
+
 @pytest.mark.parametrize("labels", [[], [1, 1, 1], [0]])
 def test_classifier_with_one_class_or_none(labels):
     model = nbsvm.fit([nbsvm.features(b"some words here") for _ in labels], np.array(labels, int))
