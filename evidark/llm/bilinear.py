@@ -18,7 +18,8 @@ Texts are encoded once, in rows of up to ``ROW`` tokens with their distinct word
 all tokens or more (so at most ``FREQUENT`` words) have their counts broadcast, and pairs of words that are units of their
 own are in the sums of units. Counts of all other words and pairs are asked for by row: a row sends each key once, with its
 count, to the bucket of that key, and gets the sums back. So a hot key sends one number for a row, and a bucket holds about
-``KEYS`` numbers.
+``KEYS`` numbers, however many there are in all; keys go there by 48 bits beside the bucket's own. Numbers travel as packed
+bytes, as they are most of what is shuffled.
 
 Null texts are empty: the end alone. Rows are scored one by one, so repeated rows and null ids are kept; a null id is
 learnt from as crc32 of the empty text says. Long texts are read in pieces with the words before them. An empty table
@@ -51,11 +52,12 @@ DIM, NOISE, STEPS, RATE = 48, 8, 160, 0.05
 #: What the neural models' probability weighs against counts of pairs, in tokens.
 PRIOR = 5000.0
 END = b"\n"
-#: Tokens of a row, and numbers that a bucket holds on average.
-ROW, KEYS = 400_000, 2_000_000
+#: Tokens of a row (it ends earlier where its distinct words would pass ``DISTINCT``), of a part of a text, and numbers
+#: that a bucket holds on average.
+ROW, DISTINCT, PART, KEYS = 600_000, 65_000, 10_000, 2_000_000
 LOG10 = np.log(10.0)
 
-ROWS = "row long, rid array<long>, doc_id array<long>, training array<boolean>, n array<int>, lead array<int>, key array<long>, c array<int>, at array<int>"
+ROWS = "row long, rid array<long>, doc_id array<long>, training array<boolean>, n array<int>, lead array<int>, key array<long>, c array<int>, at array<short>"
 
 
 def number(word: bytes) -> int:
@@ -79,7 +81,7 @@ def encoded(batches: Iterator[pa.RecordBatch], size: int = ROW) -> Iterator[pa.R
         texts, ids, learnt, n, lead = columns
         joined = np.concatenate(at)
         c = np.bincount(joined[np.repeat(np.array(learnt, bool), n)], minlength=len(place))
-        values = (np.array(texts, np.int64), pa.array(ids, pa.int64()), pa.array(learnt), np.array(n, np.int32), np.array(lead, np.int32), np.array([number(w) for w in place], np.int64), c.astype(np.int32), joined)
+        values = (np.array(texts, np.int64), pa.array(ids, pa.int64()), pa.array(learnt), np.array(n, np.int32), np.array(lead, np.int32), np.array([number(w) for w in place], np.int64), c.astype(np.int32), joined.view(np.int16))
         names = ["row", "rid", "doc_id", "training", "n", "lead", "key", "c", "at"]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v)) for v in values]
         return pa.record_batch([pa.array([task + next(rows)], pa.int64()), *lists], names)
@@ -91,17 +93,17 @@ def encoded(batches: Iterator[pa.RecordBatch], size: int = ROW) -> Iterator[pa.R
             words = text.lower().split() if text else []
             words.append(END)
             text_number, before = task + next(rid), [END, END]
-            for start in range(0, len(words), size):
-                part = words[start : start + size]
-                at.append(np.fromiter(map(place.__getitem__, part), np.int32, len(part)))
+            for start in range(0, len(words), PART):
+                part = words[start : start + PART]
+                if held >= size or len(place) + len(part) + 2 > DISTINCT:
+                    yield row(place, at, columns)
+                    place, at, columns = fresh()
+                    held = 0
+                at.append(np.fromiter(map(place.__getitem__, part), np.uint16, len(part)))
                 for column, x in zip(columns, (text_number, doc, learnt, len(part))):
                     column.append(x)
                 columns[4].extend([place[w] for w in before])
                 before, held = (before + part[-2:])[-2:], held + len(part)
-                if held >= size:
-                    yield row(place, at, columns)
-                    place, at, columns = fresh()
-                    held = 0
     if held:
         yield row(place, at, columns)
 
@@ -125,6 +127,7 @@ class Row:
         for i in range(batch.num_rows):
             f = {name: batch.column(batch.schema.get_field_index(name))[i] for name in cls.__dataclass_fields__}
             plain = {name: f[name].values.to_numpy(zero_copy_only=False) for name in ("rid", "training", "n", "lead", "key", "c", "at")}
+            plain["at"] = plain["at"].view(np.uint16).astype(np.int64)
             yield cls(row=f["row"].as_py(), doc_id=f["doc_id"].values.to_pylist(), **plain)
 
     def before(self) -> tuple[np.ndarray, np.ndarray]:
@@ -307,9 +310,37 @@ class Asked:
         return cls(some[starts], np.add.reduceat(n[order], starts) if len(starts) else n, far, place[: len(far)], rare, place[len(far) :])
 
 
+def packed_keys(keys: np.ndarray, bucket: np.ndarray, width: int) -> np.ndarray:
+    """The first 48 bits of each key's place in its bucket, as six bytes."""
+    inside = (keys - bucket.astype(np.uint64) * np.uint64(width)) >> np.uint64(max(0, width.bit_length() - 48))
+    return inside.view(np.uint8).reshape(-1, 8)[:, :6]
+
+
+def opened_keys(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view(np.int64).ravel()
+
+
+MOST = 255
+
+
+def packed_counts(c: np.ndarray) -> bytes:
+    """One byte each; what does not fit follows in full."""
+    small = np.minimum(c, MOST).astype(np.uint8)
+    return small.tobytes() + c[small == MOST].astype(np.int64).tobytes()
+
+
+def opened_counts(data: bytes, n: int) -> np.ndarray:
+    small = np.frombuffer(data, np.uint8, n)
+    out = small.astype(np.int64)
+    out[small == MOST] = np.frombuffer(data, np.int64, offset=n)
+    return out
+
+
 def asked_sums(spark: SparkSession, rows: DataFrame, head, buckets: int) -> DataFrame:
-    """row, bucket, sums: for each row the sums of its keys in that bucket, in the keys' order."""
-    width = np.uint64(2**64 // buckets + 1)
+    """row, bucket, n, sums: for each row the sums of its keys in that bucket, in the keys' order (packed)."""
+    width = 2**64 // buckets + 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = head.value
@@ -317,27 +348,31 @@ def asked_sums(spark: SparkSession, rows: DataFrame, head, buckets: int) -> Data
             for r in Row.of(batch):
                 known = h.find(r.key)
                 a = Asked.of(r, known, h.units(r.key, known), r.before()[0])
-                bucket = (a.keys // width).astype(np.int64)
+                bucket = (a.keys // np.uint64(width)).astype(np.int64)
+                keys, counts = packed_keys(a.keys, bucket, width), a.counts
                 starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, np.int64)
-                bounds = pa.array(np.r_[starts, len(bucket)].astype(np.int32))
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (a.keys.view(np.int64), a.counts.astype(np.int32))]
-                yield pa.record_batch([pa.array(np.full(len(starts), r.row)), pa.array(bucket[starts]), *lists], ["row", "bucket", "key", "c"])
+                ends = [*starts[1:].tolist(), len(bucket)]
+                spans = list(zip(starts.tolist(), ends))
+                yield pa.record_batch(
+                    [pa.array(np.full(len(starts), r.row)), pa.array(bucket[starts]), pa.array([b - a for a, b in spans], pa.int32()), pa.array([keys[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([packed_counts(counts[a:b]) for a, b in spans], pa.binary())],
+                    ["row", "bucket", "n", "key", "c"],
+                )
 
     def answer(group: pa.Table) -> pa.Table:
-        lengths = np.diff([0, *np.cumsum([len(x) for x in group["key"]])])
-        keys = group["key"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        c = group["c"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        n = group["n"].to_pylist()
+        keys = np.concatenate([opened_keys(x) for x in group["key"].to_pylist()])
+        c = np.concatenate([opened_counts(x, k) for x, k in zip(group["c"].to_pylist(), n)])
         order = np.argsort(keys)
         some = keys[order]
         first = np.r_[True, some[1:] != some[:-1]]
         sums = np.add.reduceat(c[order], np.flatnonzero(first))
         back = np.empty(len(keys), np.int64)
         back[order] = sums[np.cumsum(first) - 1]
-        bounds = pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32))
-        return pa.table({"row": group["row"], "bucket": group["bucket"], "sums": pa.ListArray.from_arrays(bounds, pa.array(back))})
+        parts = np.split(back, np.cumsum(n)[:-1])
+        return pa.table({"row": group["row"], "bucket": group["bucket"], "n": group["n"], "sums": pa.array([packed_counts(p) for p in parts], pa.binary())})
 
-    sent = rows.mapInArrow(ask, "row long, bucket long, key array<long>, c array<int>")
-    return sent.groupBy("bucket").applyInArrow(answer, "row long, bucket long, sums array<long>")
+    sent = rows.mapInArrow(ask, "row long, bucket long, n int, key binary, c binary")
+    return sent.groupBy("bucket").applyInArrow(answer, "row long, bucket long, n int, sums binary")
 
 
 SCORES = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
@@ -375,7 +410,8 @@ def lm_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
-        got = right["sums"].combine_chunks().flatten().to_numpy(zero_copy_only=False) if right.num_rows else np.empty(0, np.int64)
+        got = [opened_counts(x, n) for x, n in zip(right["sums"].to_pylist(), right["n"].to_pylist())]
+        got = np.concatenate([np.empty(0, np.int64), *got])
         return pa.concat_tables([row_scores(r, head.value, model.value, got) for r in Row.of(left.combine_chunks())])
 
     parts = rows.groupBy("row").cogroup(sums.groupBy("row")).applyInArrow(finish, SCORES)

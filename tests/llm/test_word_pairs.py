@@ -105,3 +105,14 @@ def test_empty_table(spark, monkeypatch):
     nothing_learnt = spark.createDataFrame([(None, "a b", False), (None, "a b", False)], "doc_id long, text string, training boolean")
     got = bilinear.lm_scores(spark, nothing_learnt).collect()
     assert [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(None, 3, 0, 0)] * 2 and np.isfinite([r.score for r in got]).all()
+
+
+def test_packed_numbers():
+    rng = np.random.default_rng(8)
+    c = np.concatenate([rng.integers(0, 300, 500), [10**15, 254, 255, 256]])
+    assert (bilinear.opened_counts(bilinear.packed_counts(c), len(c)) == c).all()
+    keys = np.sort(rng.integers(0, 2**64, 1000, dtype=np.uint64))
+    width = 2**64 // 7 + 1
+    bucket = (keys // np.uint64(width)).astype(np.int64)
+    back = bilinear.opened_keys(bilinear.packed_keys(keys, bucket, width).tobytes())
+    assert len(set(zip(bucket.tolist(), back.tolist()))) == 1000 and all((np.diff(back[bucket == b]) > 0).all() for b in range(7))
