@@ -57,7 +57,7 @@ END = b"\n"
 ROW, DISTINCT, PART, KEYS = 600_000, 65_000, 10_000, 2_000_000
 LOG10 = np.log(10.0)
 
-ROWS = "row long, rid array<long>, doc_id array<long>, training array<boolean>, n array<int>, lead array<int>, key array<long>, c array<int>, at array<short>"
+ROWS = "row long, rid array<long>, doc_id array<long>, training array<boolean>, n array<int>, lead array<int>, key binary, c binary, at binary"
 
 
 def number(word: bytes) -> int:
@@ -68,6 +68,19 @@ def number(word: bytes) -> int:
 END_NUMBER = number(END)
 
 
+CODEC = pa.Codec("zstd", compression_level=1)
+
+
+def pressed(x: np.ndarray) -> bytes:
+    """Compressed: half of what is written and shuffled are these numbers."""
+    return len(x).to_bytes(8, "little") + CODEC.compress(np.ascontiguousarray(x), asbytes=True)
+
+
+def unpressed(data: bytes, kind: type) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(CODEC.decompress(data[8:], n * np.dtype(kind).itemsize, asbytes=True), kind)
+
+
 def encoded(batches: Iterator[pa.RecordBatch], size: int = ROW) -> Iterator[pa.RecordBatch]:
     """ROWS: distinct words, their counts in training, and each token's place among them. ``lead`` has two words for each text, those before it."""
     task, rows, rid = TaskContext.get().partitionId() << 36, count(), count()
@@ -81,10 +94,10 @@ def encoded(batches: Iterator[pa.RecordBatch], size: int = ROW) -> Iterator[pa.R
         texts, ids, learnt, n, lead = columns
         joined = np.concatenate(at)
         c = np.bincount(joined[np.repeat(np.array(learnt, bool), n)], minlength=len(place))
-        values = (np.array(texts, np.int64), pa.array(ids, pa.int64()), pa.array(learnt), np.array(n, np.int32), np.array(lead, np.int32), np.array([number(w) for w in place], np.int64), c.astype(np.int32), joined.view(np.int16))
-        names = ["row", "rid", "doc_id", "training", "n", "lead", "key", "c", "at"]
-        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v)) for v in values]
-        return pa.record_batch([pa.array([task + next(rows)], pa.int64()), *lists], names)
+        lists = (np.array(texts, np.int64), pa.array(ids, pa.int64()), pa.array(learnt), np.array(n, np.int32), np.array(lead, np.int32))
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v)) for v in lists]
+        packed = [np.array([number(w) for w in place], np.int64).tobytes(), pressed(c.astype(np.int32)), pressed(joined)]
+        return pa.record_batch([pa.array([task + next(rows)], pa.int64()), *lists, *[pa.array([x], pa.binary()) for x in packed]], ["row", "rid", "doc_id", "training", "n", "lead", "key", "c", "at"])
 
     place, at, columns = fresh()
     held = 0
@@ -126,9 +139,9 @@ class Row:
     def of(cls, batch: pa.RecordBatch | pa.Table) -> Iterator[Row]:
         for i in range(batch.num_rows):
             f = {name: batch.column(batch.schema.get_field_index(name))[i] for name in cls.__dataclass_fields__}
-            plain = {name: f[name].values.to_numpy(zero_copy_only=False) for name in ("rid", "training", "n", "lead", "key", "c", "at")}
-            plain["at"] = plain["at"].view(np.uint16).astype(np.int64)
-            yield cls(row=f["row"].as_py(), doc_id=f["doc_id"].values.to_pylist(), **plain)
+            plain = {name: f[name].values.to_numpy(zero_copy_only=False) for name in ("rid", "training", "n", "lead")}
+            key, c, at = (f[name].as_py() for name in ("key", "c", "at"))
+            yield cls(row=f["row"].as_py(), doc_id=f["doc_id"].values.to_pylist(), **plain, key=np.frombuffer(key, np.int64), c=unpressed(c, np.int32), at=unpressed(at, np.uint16).astype(np.int64))
 
     def before(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words one and two before each token."""
@@ -171,8 +184,15 @@ class Head:
 
 def head_of(spark: SparkSession, rows: DataFrame) -> Head:
     """From counts of every distinct word; the units are chosen by counts in training."""
-    words = rows.select(F.explode(F.arrays_zip("key", "c")).alias("w")).groupBy(F.col("w.key").alias("key")).agg(F.sum("w.c").alias("c"))
-    words = written(spark, words, "words").where("c > 0")
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                key, c = np.frombuffer(key, np.int64), unpressed(c, np.int32)
+                yield pa.record_batch([pa.array(key[c > 0]), pa.array(c[c > 0])], ["key", "c"])
+
+    words = rows.select("key", "c").mapInArrow(counts, "key long, c int").groupBy("key").agg(F.sum("c").alias("c"))
+    words = written(spark, words, "words")
     sums = words.groupBy((F.col("key").bitwiseAND(F.lit(CLASSES - 1))).alias("class")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # a row a class
     n, v = (sum(r[x] for r in sums) for x in ("n", "v"))
     frequent = words.where(F.col("c").cast("double") * FREQUENT >= float(n)).toArrow()
@@ -404,7 +424,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
     pairs = unit_pairs(rows, head)
     chance = spark.sparkContext.broadcast([(10.0 ** log_table(train(p))).astype(np.float32) for p in pairs])
     model = spark.sparkContext.broadcast(Model(chance.value, place_weights(rows, head, chance), pairs[0]))
-    every = rows.select(F.sum(F.size("at"))).first()[0] or 0
+    every = rows.select(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), every // KEYS + 1)
     sums = asked_sums(spark, rows, head, buckets)
 

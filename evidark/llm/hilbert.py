@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from evidark.llm.common import table, written
 
 CURVES, DIMS, BITS = 40, 12, 5
-BLOCKS, LEAST, PIECE = 192, 10, 4096
+BLOCKS, LEAST, PIECE = 192, 24, 4096
 NEAREST, EVERY = 5, 50
 
 
