@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from evidark.functions.cfront import flow
 from evidark.functions.cfront.syntax import ARITHMETIC, COMPARE, Call, Function, Node, Tok, casts, functions, operators, split_top, symbols
+from evidark.functions.scores import NEGATED, REVERSED
 
 # The default catalog of library calls. Numbers are argument places, from 0.
 COPIES = {"memcpy": (0, 1, 2), "memmove": (0, 1, 2), "strncpy": (0, 1, 2), "strcpy": (0, 1, None)}
@@ -21,8 +22,6 @@ UNLOCKS = ("pthread_mutex_unlock", "stdThreadLockRelease")
 CHECKS = {"access": (0,), "stat": (0,), "lstat": (0,)}
 USES = {"fopen": (0,), "open": (0,), "unlink": (0,), "rename": (0, 1)}
 ALIASES = {"ACCESS": "access", "FOPEN": "fopen", "OPEN": "open", "STAT": "stat"}
-REVERSED = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "==": "==", "!=": "!="}
-NEGATED = {"<": ">=", "<=": ">", ">": "<=", ">=": "<", "==": "!=", "!=": "=="}
 NULLS = ("NULL", "nullptr", "0")
 
 

@@ -11,24 +11,25 @@ from pyspark.sql import types as T
 
 from evidark.functions.cfront.syntax import functions
 
-# What each signal counts in a function's code, and its weight in the risk.
+# What each signal of the light analyser counts, and the kind of evidence a match is.
 PATTERNS = {
-    "copy_calls": (r"\b(?:memcpy|memmove|strcpy|strncpy|strcat|sprintf|gets)\s*\(", 0.18),
-    "alloc_calls": (r"\b(?:malloc|calloc|realloc)\s*\(", 0.08),
-    "free_calls": (r"\bfree\s*\(", 0.08),
-    "index_accesses": (r"\[[^\]\n]+\]", 0.03),
-    "pointer_accesses": (r"->|\*\s*[A-Za-z_]\w*", 0.02),
-    "arithmetic": (r"[A-Za-z0-9_)\]]\s*(?:[+*/%-]|<<)\s*[A-Za-z0-9_(]", 0.03),
-    "casts": (r"\(\s*(?:unsigned|signed|int|long|short|char|size_t|u?int\d+_t)[\w\s]*\)", 0.05),
-    "inputs": (r"\b(?:read|recv|fread|fgets|getenv|scanf)\s*\(", 0.12),
-    "commands": (r"\b(?:system|popen|exec[lv]p?e?)\s*\(", 0.2),
-    "file_checks": (r"\b(?:access|l?stat)\s*\(", 0.05),
-    "file_uses": (r"\b(?:f?open|unlink|rename)\s*\(", 0.05),
-    "threads": (r"\b(?:pthread_create|std::thread)\b", 0.06),
-    "locks": (r"\b(?:pthread_mutex_(?:un)?lock|std::mutex)\b", 0.02),
-    "guards": (r"\bif\s*\(", 0.0),
+    "memory_api": ("memory_sink", r"\b(?:memcpy|memmove|strcpy|strcat|sprintf|gets)\s*\("),
+    "array_access": ("memory_access", r"\b[A-Za-z_]\w*\s*\[[^\]]+\]"),
+    "bounds_guard": ("guard", r"\bif\s*\([^)]*(?:sizeof|capacity|size|max|length|len|count)[^)]*[<>=]"),
+    "allocation": ("allocation", r"\b(?:malloc|calloc|realloc|new)\b"),
+    "free": ("release", r"\b(?:free\s*\(|delete\b)"),
+    "integer_size_arithmetic": ("integer_arithmetic", r"\b(?:size|len|length|count|bytes|capacity)\w*\s*(?:\*|\+|<<)"),
+    "cast": ("type_conversion", r"(?:\([us]?(?:char|short|int|long|size_t)\)|static_cast<)"),
+    "input_source": ("taint_source", r"\b(?:read|recv|fread|scanf|getenv|argv)\b"),
+    "dangerous_sink": ("taint_sink", r"\b(?:system|popen|execl|execv|printf|fprintf|open|fopen)\s*\("),
+    "error_signal": ("error_path", r"\b(?:errno|return\s+-1|goto\s+(?:fail|error)|cleanup|parse|decode)\b"),
+    "state_signal": ("state", r"(?i)\b(?:state|status|initialized|authenticated|phase)\w*\b"),
+    "thread_signal": ("concurrency", r"\b(?:pthread_|std::thread|atomic|shared_|global_)\w*"),
+    "lock_signal": ("synchronization", r"\b(?:mutex|lock_guard|unique_lock|pthread_mutex)\w*"),
+    "toctou_signal": ("toctou", r"\b(?:access|stat|lstat)\s*\([^;]+;[\s\S]{0,300}\b(?:open|fopen|unlink|rename)\s*\("),
 }
-REUSED = re.compile(r"\bfree\s*\(\s*([A-Za-z_]\w*)\s*\)\s*;")
+FILE_CHECK, FILE_USE = r"\b(?:access|stat|lstat)\s*\(", r"\b(?:open|fopen|unlink|rename)\s*\("
+REUSED = re.compile(r"\bfree\s*\(\s*([A-Za-z_]\w*)\s*\)")
 
 
 def reused_after_free(code: str) -> bool:
@@ -50,21 +51,38 @@ def function_regions(source: pa.Array) -> pa.Array:
     return pa.array([None if s is None else [{"name": f.name, "line_start": f.line_start, "line_end": f.line_end, "code": f.code} for f in functions(s)] for s in source.to_pylist()], kind)
 
 
-def risk(code: Column) -> Column:
-    """Weighted counts, each up to 3, thinned by guards; a check and a use of files, or a reuse after free, add to it."""
-    n = {k: F.regexp_count(code, F.lit(p)) for k, (p, _) in PATTERNS.items()}
-    total = F.lit(0.0)
-    for k, (_, w) in PATTERNS.items():
-        total = total + w * F.least(n[k], F.lit(3))
-    density = n["guards"] / F.greatest(F.lit(1), n["copy_calls"] + n["index_accesses"] + n["pointer_accesses"])
-    pair = F.when((n["file_checks"] > 0) & (n["file_uses"] > 0), 0.15).otherwise(0.0) + F.when(released_then_accessed(code), 0.3).otherwise(0.0)
-    return F.least(F.lit(1.0), total * (1 - 0.3 * F.least(F.lit(1.0), density)) + pair)
+def counts(code: Column) -> dict[str, Column]:
+    """<signal>_count of each pattern."""
+    return {f"{k}_count": F.regexp_count(code, F.lit(p)).cast("double") for k, (_, p) in PATTERNS.items()}
+
+
+def derived(n: dict[str, Column], code: Column, lines: Column) -> dict[str, Column]:
+    """Features that rest on several signals or on the text."""
+    return {
+        "function_length": lines.cast("double"),
+        "external_input_to_sink": ((n["input_source_count"] > 0) & (n["dangerous_sink_count"] > 0)).cast("double"),
+        "released_then_accessed": released_then_accessed(code).cast("double"),
+        "guard_density": n["bounds_guard_count"] / F.greatest(F.lit(1.0), n["memory_api_count"] + n["array_access_count"]),
+        "toctou_pair": (F.rlike(code, F.lit(FILE_CHECK)) & F.rlike(code, F.lit(FILE_USE))).cast("double"),
+    }
+
+
+def risk(n: dict[str, Column]) -> Column:
+    """All signals, twice each of the three pairs, less guards and locks; not below 0. Null where there is no signal."""
+    every = F.lit(0.0)
+    for k in PATTERNS:
+        every = every + n[f"{k}_count"]
+    total = every + 2 * (n["external_input_to_sink"] + n["released_then_accessed"] + n["toctou_pair"]) - n["bounds_guard_count"] - n["lock_signal_count"]
+    return F.when(every > 0, F.greatest(F.lit(0.0), total))
 
 
 def analyse(files: DataFrame, most: int | None = None) -> DataFrame:
-    """Candidates of files (case_id, file, source), the riskiest first; ids as for the other analyser but shorter."""
+    """Candidates of files (case_id, file, source), the riskiest first: functions with a signal, with their features."""
     r = files.select("case_id", "file", F.explode(function_regions("source")).alias("f")).select("case_id", "file", "f.*")
+    r = r.withColumns(counts(F.col("code")))
+    n = {f"{k}_count": F.col(f"{k}_count") for k in PATTERNS}
+    r = r.withColumns(derived(n, F.col("code"), F.col("line_end") - F.col("line_start") + 1))
     digest = F.sha1(F.concat_ws(":", "case_id", "file", "name", F.col("line_start").cast("string")))
-    out = r.withColumns({"score": risk(F.col("code")), "candidate_id": F.concat(F.lit("C-"), F.substring(digest, 1, 12))} | {k: F.regexp_count("code", F.lit(p)) for k, (p, _) in PATTERNS.items()})
+    out = r.withColumns({"score": risk(n | {k: F.col(k) for k in ("external_input_to_sink", "released_then_accessed", "toctou_pair")}), "candidate_id": F.concat(F.lit("C-"), F.substring(digest, 1, 12))}).where("score IS NOT NULL")
     out = out.orderBy(F.desc("score"), "file", "line_start", "candidate_id")
     return out if most is None else out.limit(most)

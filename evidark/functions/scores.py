@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Weight of each feature <name>_count in the suspicion score; counts are clipped to 0..3.
+# Weight of each feature in the suspicion score; counts are clipped to 0..3.
 SUSPICION_WEIGHTS = {
-    "use_after_release": 1.0, "double_release": 1.0, "uninitialized_use": 0.9, "unchecked_nullable_dereference": 0.9,
-    "unsanitized_source_to_sink": 0.85, "memory_copy_without_guard": 0.75, "unchecked_index": 0.70, "toctou_check_use": 0.70,
-    "arithmetic_to_memory_sink": 0.55, "arithmetic_to_allocation": 0.45, "source_to_sink": 0.40, "memory_copy": 0.15,
-    "array_access": 0.10, "dereference": 0.10,
+    "use_after_release_count": 1.0, "double_release_count": 1.0, "uninitialized_use_count": 0.9, "unchecked_nullable_dereference_count": 0.9,
+    "unsanitized_source_to_sink_count": 0.85, "memory_copy_without_guard_count": 0.75, "unchecked_index_count": 0.70, "toctou_check_use_count": 0.70,
+    "arithmetic_to_memory_sink_count": 0.55, "arithmetic_to_allocation_count": 0.45, "source_to_sink_count": 0.40, "memory_copy_count": 0.15,
+    "array_access_count": 0.10, "dereference_count": 0.10,
 }
 CLIP = 3.0
 RULE_SCORE = 0.30
@@ -20,7 +20,7 @@ def suspicion(features: Column, weights: dict[str, float] = SUSPICION_WEIGHTS) -
     """1 - exp(-sum of weight times clipped count) over a map of features; missing ones are 0."""
     total = F.lit(0.0)
     for name, w in weights.items():
-        total = total + w * clipped(F.coalesce(F.try_element_at(features, F.lit(f"{name}_count")), F.lit(0.0)))
+        total = total + w * clipped(F.coalesce(F.try_element_at(features, F.lit(name)), F.lit(0.0)))
     return 1 - F.exp(-total)
 
 
@@ -28,11 +28,12 @@ def clipped(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(CLIP))
 
 
-def suspicion_reasons(features: Column, most: int = 5) -> Column:
-    """"name=contribution" of the largest contributions, ties by name."""
-    parts = [F.struct((-w * clipped(F.coalesce(F.try_element_at(features, F.lit(f"{n}_count")), F.lit(0.0)))).alias("down"), F.lit(n).alias("name")) for n, w in SUSPICION_WEIGHTS.items()]
-    top = F.slice(F.array_sort(F.filter(F.array(*parts), lambda p: p["down"] < 0)), 1, most)
-    return F.transform(top, lambda p: F.concat_ws("=", p["name"], F.format_number(-p["down"], 2)))
+def suspicion_reasons(features: Column, weights: dict[str, float] = SUSPICION_WEIGHTS) -> Column:
+    """"name=value" of every feature above 0, the largest contribution first, ties by name; whole values without a fraction."""
+    value = lambda n: F.coalesce(F.try_element_at(features, F.lit(n)), F.lit(0.0))
+    parts = F.array(*[F.struct((-w * clipped(value(n))).alias("down"), F.lit(n).alias("name"), value(n).alias("value")) for n, w in weights.items()])
+    shown = lambda v: F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(F.regexp_replace(F.format_string("%.6f", v), "0+$", ""))
+    return F.transform(F.array_sort(F.filter(parts, lambda p: p["value"] > 0)), lambda p: F.concat(p["name"], F.lit("="), shown(p["value"])))
 
 
 def utility(p: Column, false_positive: Column, unsupported: Column, cost: Column, weights: tuple[float, float, float] = (0.5, 0.25, 1.0)) -> Column:
@@ -40,8 +41,14 @@ def utility(p: Column, false_positive: Column, unsupported: Column, cost: Column
 
 
 def independence(a: Column, b: Column) -> Column:
-    """Chance that one of two independent experts is right."""
-    return 1 - (1 - a) * (1 - b)
+    """Chance that one of two independent experts is right; chances are held to 0..1."""
+    held = lambda x: F.least(F.greatest(x.cast("double"), F.lit(0.0)), F.lit(1.0))
+    return 1 - (1 - held(a)) * (1 - held(b))
+
+
+def independence_of(chances: Column) -> Column:
+    """The same of an array of any length; 0 of none."""
+    return 1 - F.aggregate(chances, F.lit(1.0), lambda left, x: left * (1 - F.least(F.greatest(x.cast("double"), F.lit(0.0)), F.lit(1.0))))
 
 
 def binary_entropy(p: Column) -> Column:
@@ -89,28 +96,42 @@ REVERSED = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "==": "==", "!=": "!="}
 NEGATED = {"<": ">=", "<=": ">", ">": "<=", ">=": "<", "==": "!=", "!=": "=="}
 
 
-def guard_kind(operator: Column, symbol_on_right: Column, branch: Column, null_literal: Column) -> Column:
-    """upper_bound, lower_bound, non_null, equality or other: what a condition guarantees on a branch."""
+def guard_kind(operator: Column, symbol_on_right: Column, branch: Column, null_literal: Column, unary: Column | None = None, symbol_inside: Column | None = None) -> Column:
+    """upper_bound, lower_bound, non_null, equality or generic: what a condition guarantees on a branch.
+
+    ``operator`` is null for a condition without one; then ``unary`` ("!" or null) and ``symbol_inside`` decide: the
+    symbol is not null where it is asked for plainly and holds, or is negated and does not. Any operator that is no bound
+    counts as equality, as the one that a branch negates into an unknown does.
+    """
     flip = F.create_map(*[F.lit(x) for kv in REVERSED.items() for x in kv])
     negate = F.create_map(*[F.lit(x) for kv in NEGATED.items() for x in kv])
-    seen = F.when(symbol_on_right, F.try_element_at(flip, operator)).otherwise(operator)
-    seen = F.when(branch == "false", F.try_element_at(negate, seen)).otherwise(seen)
-    return F.when((seen == "!=") & null_literal, "non_null").when(seen.isin("<", "<="), "upper_bound").when(seen.isin(">", ">="), "lower_bound").when(seen == "==", "equality").otherwise("other")
+    seen = F.when(branch == "true", operator).otherwise(F.try_element_at(negate, operator))
+    seen = F.when(symbol_on_right, F.try_element_at(flip, F.coalesce(seen, F.lit("")))).otherwise(seen)
+    binary = F.when(null_literal & (seen == "!="), "non_null").when(seen.isin("<", "<="), "upper_bound").when(seen.isin(">", ">="), "lower_bound").otherwise("equality")
+    wanted = F.when(F.coalesce(unary if unary is not None else F.lit(None).cast("string"), F.lit("")) == "!", branch == "false").otherwise(branch == "true")
+    inside = F.coalesce(symbol_inside if symbol_inside is not None else F.lit(False), F.lit(False))
+    return F.when(operator.isNotNull(), binary).otherwise(F.when(~inside, "generic").when(wanted, "non_null").otherwise("equality"))
 
 
-HARD_CHECKS = ("candidate_exists", "evidence_valid", "span_valid", "expert_matches")
+# Checks that reject a finding, and those that do so only for candidates with semantic evidence.
+HARD_CHECKS = ["file_matches", "function_matches", "line_reachable", "evidence_exists", "evidence_ids_valid"]
+SEMANTIC_CHECKS = ["cwe_present", "cwe_semantics_supported"]
+SEMANTIC_VERSION = "semantic-cwe-v2"
 
 
-def verdict(checks: dict[str, Column], contradicted: Column, confidence: Column, least: float = 0.55) -> Column:
-    """rejected on any failed hard check or a contradicting guard, uncertain below ``least``, else validated.
+def verdict(checks: dict[str, Column], version: Column) -> Column:
+    """rejected on a failed hard check or a contradicting guard, uncertain without enough confidence, else validated.
 
-    A check that is null was not made, and fails nothing.
+    A check that could not be made (null) counts as failed.
     """
-    failed = contradicted
-    for name in HARD_CHECKS:
-        if name in checks:
-            failed = failed | ~F.coalesce(checks[name], F.lit(True))
-    return F.when(failed, "rejected").when(confidence < least, "uncertain").otherwise("validated")
+    held = lambda names: [F.coalesce(checks[n], F.lit(False)) for n in names if n in checks]
+    failed = F.lit(False)
+    for c in held(HARD_CHECKS):
+        failed = failed | ~c
+    for c in held(SEMANTIC_CHECKS):
+        failed = failed | (F.coalesce(version == SEMANTIC_VERSION, F.lit(False)) & ~c)
+    contradicted = F.coalesce(checks["contradicting_guard"], F.lit(False))
+    return F.when(failed | contradicted, "rejected").when(~F.coalesce(checks["confidence_sufficient"], F.lit(False)), "uncertain").otherwise("validated")
 
 
 def fused_confidence(best: Column, experts: Column, models: Column) -> Column:

@@ -10,18 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# What the lightweight signals count.
-SIGNALS = {
-    "calls": r"[A-Za-z_][A-Za-z0-9_]*\(",
-    "comparisons": r"[<>=!]=|[<>]",
-    "pointers": r"->|\*[A-Za-z_]",
-    "indexes": r"\[[^\]]+\]",
-    "arithmetic": r"[+*/-]",
-    "quotes": r"\"",
-}
-
-
-def signals(text: Column, patterns: dict[str, str] = SIGNALS) -> list[Column]:
+def signals(text: Column, patterns: dict[str, str]) -> list[Column]:
     """One count a pattern, natively; 0 for null."""
     return [F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0)).alias(n) for n, p in patterns.items()]
 

@@ -77,22 +77,33 @@ def escalation_calibration(groups: DataFrame, target: float = 0.95) -> DataFrame
     return sweep.agg(F.min_by(F.struct("*"), key).alias("b")).select("b.*")
 
 
-def policy_grid(rows: DataFrame, confidences: list[float], margins: list[float]) -> DataFrame:
-    """calls and coverage of the adaptive policy at each (confidence, margin); rows: top1, margin, top1_right, top2_right.
+def policy_grid(rows: DataFrame, confidences: list[float], margins: list[float], most_entropy: float = float("inf"), most_experts: int = 2) -> DataFrame:
+    """calls and coverage of the adaptive policy at each (confidence, margin); rows: top1, margin, entropy, top1_right, right.
 
-    The grid is a fixed small table. Rows are first summed by what the grid can tell apart, so the cross join meets a
-    bounded table whatever the input.
+    One expert is called where top1 and margin reach their bounds and entropy keeps within ``most_entropy``, else
+    ``most_experts`` (of which ``right`` says whether one is right). The grid is a fixed small table; rows are first summed
+    by what it can tell apart, so the cross join meets a bounded table whatever the input.
     """
     spark = rows.sparkSession
     grid = spark.createDataFrame([(c, m) for c in confidences for m in margins], "min_confidence double, min_margin double")
     place = lambda x, edges: F.size(F.filter(F.array(*map(F.lit, sorted(edges))), lambda e: e <= x))
-    cells = rows.groupBy(place(F.col("top1"), confidences).alias("c"), place(F.col("margin"), margins).alias("m")).agg(F.count(F.lit(1)).alias("n"), F.count_if("top1_right").alias("one"), F.count_if("top2_right").alias("two"))
+    calm = F.col("entropy") <= most_entropy
+    cells = rows.groupBy(F.when(calm, place(F.col("top1"), confidences)).otherwise(-1).alias("c"), place(F.col("margin"), margins).alias("m")).agg(F.count(F.lit(1)).alias("n"), F.count_if("top1_right").alias("one"), F.count_if("right").alias("more"))
     at = grid.select("*", place(F.col("min_confidence"), confidences).alias("gc"), place(F.col("min_margin"), margins).alias("gm"))
     single = (F.col("c") >= F.col("gc")) & (F.col("m") >= F.col("gm"))
-    met = cells.crossJoin(F.broadcast(at)).groupBy("min_confidence", "min_margin").agg(F.sum("n").alias("n"), F.sum(F.when(single, F.col("n")).otherwise(2 * F.col("n"))).alias("calls"), F.sum(F.when(single, F.col("one")).otherwise(F.col("two"))).alias("covered"))
+    met = cells.crossJoin(F.broadcast(at)).groupBy("min_confidence", "min_margin").agg(F.sum("n").alias("n"), F.sum(F.when(single, F.col("n")).otherwise(most_experts * F.col("n"))).alias("calls"), F.sum(F.when(single, F.col("one")).otherwise(F.col("more"))).alias("covered"))
     return met.withColumn("coverage", ratio(F.col("covered"), F.col("n")))
 
 
+def chosen_policy(grid: DataFrame, target: float = 0.95) -> DataFrame:
+    """The grid's choice: of points that cover ``target``, fewest calls, best coverage, lowest bounds; else the best coverage,
+    fewest calls, lowest bounds. One row, with average_experts and target_met."""
+    fine = F.col("coverage") >= target
+    key = F.struct(F.when(fine, 0).otherwise(1), F.when(fine, F.col("calls").cast("double")).otherwise(-F.col("coverage")), F.when(fine, -F.col("coverage")).otherwise(F.col("calls").cast("double")), F.col("min_confidence"), F.col("min_margin"))
+    best = grid.agg(F.min_by(F.struct("*"), key).alias("b")).select("b.*")
+    return best.select("*", ratio(F.col("calls"), F.col("n")).alias("average_experts"), (F.col("coverage") >= target).alias("target_met"))
+
+
 def best_pair(outcomes: DataFrame) -> DataFrame:
     """Coverage and cost of every pair of assignments (a < b) over the groups, best first in ``place``.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidark.functions.scores import fused_confidence, verdict
-from evidark.functions.taxonomy import normal_name
+from evidark.functions.taxonomy import INTEGER_TO_MEMORY, TAINT_TO_SINK, finding_categories, normal_name, supported_by_evidence, truth_categories
 from evidark.functions.text import tokens
 from evidark.operators.graph import components
 
@@ -73,53 +73,158 @@ def findings_from_answers(answers: DataFrame) -> DataFrame:
 
 
 def sink_key(sink: Column) -> Column:
-    return F.lower(F.regexp_replace(F.coalesce(sink, F.lit("")), r"[^\p{L}\p{N}_]+", ""))
+    """What two sinks are compared by; null for an empty one, which equals none."""
+    return F.when(F.length(sink) > 0, F.lower(F.regexp_replace(sink, r"[^\p{L}\p{N}_]+", "")))
+
+
+PLACE = ["candidate_id", "file", "function"]
+
+
+def causal_links(findings: DataFrame, place: list[str] = PLACE, slack: int = 2) -> DataFrame:
+    """a, b: links between findings (key, the columns of ``place``, line_start, line_end, sink, evidence_ids,
+    trigger_path) that give the components of all causal pairs, without making the pairs.
+
+    Two findings of one place are on one cause if their lines come within ``slack``, or their sinks are alike, or they share
+    evidence, or a step of their paths. Lines: a finding that starts within ``slack`` of the furthest end so far goes on
+    the run of the one before. The rest: all that hold a value link to the smallest key that does.
+    """
+    f = findings.select("key", F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in place]).alias("place"), "line_start", "line_end", "sink", "evidence_ids", "trigger_path")
+    order = Window.partitionBy("place").orderBy("line_start", "line_end", "key")
+    reach = F.max("line_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = f.select("key", F.when(F.col("line_start") <= reach + slack, F.lag("key").over(order)).alias("b"))
+    lines = runs.where("b IS NOT NULL").select(F.col("key").alias("a"), "b")
+
+    def named(kind: str, values: Column) -> Column:
+        return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(kind).alias("k"), v.alias("v")))
+
+    held = F.concat(named("sink", F.array(sink_key(F.col("sink")))), named("evidence", F.col("evidence_ids")), named("path", F.col("trigger_path")))
+    values = f.select("key", "place", F.explode(held).alias("x")).where("x.v IS NOT NULL").select("key", "place", "x.k", "x.v").distinct()
+    first = values.groupBy("place", "k", "v").agg(F.min("key").alias("b"))
+    shared = values.join(first, ["place", "k", "v"]).where("key <> b").select(F.col("key").alias("a"), "b")
+    return lines.union(shared).distinct()
 
 
 def fuse(findings: DataFrame, slack: int = 2) -> DataFrame:
-    """One row for each group of findings on one cause: best finding's text, united lists, raised confidence.
+    """One row for each group of findings on one cause (``causal_links``, its components): the text of the most confident
+    (the first of equals), united and sorted lists, raised confidence.
 
-    Two findings of a candidate, file and function meet if their lines come within ``slack``, their sinks agree, and they
-    share evidence or a step of their paths; groups are the components. The first of equal confidence stays in front.
+    ``finding_no`` orders the findings; without it they are numbered as they come. Lists that the findings name as
+    evidence_for, evidence_against and preconditions are united in order, where there.
     """
-    f = findings.withColumn("key", F.monotonically_increasing_id()) if "finding_no" not in findings.columns else findings.withColumn("key", F.col("finding_no"))
-    f = f.withColumn("sink_key", sink_key(F.col("sink")))
-    place = ["candidate_id", "file", "function"]
-    a, b = f.alias("a"), f.alias("b")
-    same = F.lit(True)
-    for c in place:
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    near = (F.col("a.line_start") <= F.col("b.line_end") + slack) & (F.col("b.line_start") <= F.col("a.line_end") + slack)
-    cause = F.arrays_overlap("a.evidence_ids", "b.evidence_ids") | F.arrays_overlap("a.trigger_path", "b.trigger_path")
-    edges = a.join(b, same & near & (F.col("a.sink_key") == F.col("b.sink_key")) & cause & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
+    f = findings.withColumn("key", F.col("finding_no") if "finding_no" in findings.columns else F.monotonically_increasing_id())
     own = f.select(F.col("key").alias("a"), F.col("key").alias("b"))
-    grouped = f.join(components(edges.union(own)), f.key == F.col("node"))
+    grouped = f.join(components(causal_links(f, slack=slack).union(own)), f.key == F.col("node"))
     front = F.struct(-F.col("confidence"), F.col("key"))
-    union = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("key", F.col(c).alias("x")))), lambda r: r["x"])))
+    in_order = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("key", F.col(c).alias("x")))), lambda r: r["x"])))
+    in_names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    backed = F.when(F.size("supporting_experts") > 0, F.col("supporting_experts")).otherwise(F.array("expert")) if "supporting_experts" in f.columns else F.array("expert")
+    by_model = F.when(F.size("supporting_models") > 0, F.col("supporting_models")).otherwise(F.array("model_id")) if "supporting_models" in f.columns else F.array("model_id")
+    more = [c for c in ("evidence_for", "evidence_against", "preconditions") if c in f.columns]
+    grouped = grouped.withColumn("_experts", backed).withColumn("_models", F.filter(by_model, lambda m: F.length(m) > 0))
     g = grouped.groupBy("root").agg(
-        F.min_by(F.struct(*place, "title", "root_cause", "consequence", "source", "sink", "missing_guard"), front).alias("best"), F.max("confidence").alias("top"),
-        F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), *[union(c).alias(c) for c in ("cwes", "evidence_ids", "trigger_path")],
-        F.array_sort(F.collect_set("expert")).alias("experts"), F.array_sort(F.collect_set("model_id")).alias("models"), F.count(F.lit(1)).alias("merged"),
+        F.min_by(F.struct(*PLACE, "expert", "title", "root_cause", "consequence", "source", "sink", "missing_guard"), front).alias("best"), F.max("confidence").alias("top"),
+        F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), *[in_names(c).alias(c) for c in ("cwes", "evidence_ids")],
+        *[in_order(c).alias(c) for c in ("trigger_path", *more)], in_names("_experts").alias("experts"), in_names("_models").alias("models"), F.count(F.lit(1)).alias("merged"),
     )
-    return g.select("best.*", "line_start", "line_end", "cwes", "evidence_ids", "trigger_path", "experts", "models", "merged", fused_confidence(F.col("top"), F.size("experts"), F.greatest(F.size("models"), F.lit(1))).alias("confidence"))
+    return g.select("best.*", "line_start", "line_end", "cwes", "evidence_ids", "trigger_path", *more, "experts", "models", "merged", fused_confidence(F.col("top"), F.greatest(F.size("experts"), F.lit(1)), F.greatest(F.size("models"), F.lit(1))).alias("confidence"))
+
+
+# Evidence of temporal and of spatial memory faults.
+TEMPORAL = ["release", "use_after_release", "double_release", "unchecked_nullable_dereference"]
+SPATIAL = ["memory_sink", "memory_copy", "memory_copy_without_guard", "unchecked_index"]
+
+
+def evidence_of(candidates: DataFrame) -> Column:
+    """array<struct<id, kind, protective, sink_line>> of a candidate's evidence, whichever analyser made it."""
+    kind = candidates.schema["evidence"].dataType.elementType
+    facts = "attributes" if "attributes" in kind.names else "facts"
+
+    def plain(e: Column) -> Column:
+        told = lambda name: F.try_element_at(e[facts], F.lit(name))
+        line = e["sink_line"].cast("int") if "sink_line" in kind.names else told("sink_line").try_cast("int")
+        return F.struct((e["evidence_id"] if "evidence_id" in kind.names else e["fact_id"]).alias("id"), e["kind"].alias("kind"), (F.lower(told("semantically_protective")) == "true").alias("protective"), line.alias("sink_line"))
+
+    return F.transform("evidence", plain)
+
+
+def cited_kinds(evidence: Column, ids: Column) -> Column:
+    return F.array_distinct(F.transform(F.filter(evidence, lambda e: F.array_contains(F.coalesce(ids, F.array().cast("array<string>")), e["id"])), lambda e: e["kind"]))
+
+
+def checks_of(least: float) -> dict[str, Column]:
+    """The nine checks of a finding (its columns) against its candidate (columns _file, _function, _from, _to, _evidence,
+    _features and _version; _there tells whether it exists)."""
+    there, none = F.col("_there"), F.array().cast("array<string>")
+    ids, kinds = F.coalesce("evidence_ids", none), cited_kinds(F.col("_evidence"), F.col("evidence_ids"))
+    temporal_only = F.arrays_overlap(kinds, F.array(*map(F.lit, TEMPORAL))) & ~F.arrays_overlap(kinds, F.array(*map(F.lit, SPATIAL)))
+    inside = lambda e: e["sink_line"].isNull() | e["sink_line"].between(F.col("line_start"), F.col("line_end"))
+    guarded = F.exists("_evidence", lambda e: (e["kind"] == "guard_protects_sink") & F.coalesce(e["protective"], F.lit(False)) & inside(e))
+    count = lambda name: F.coalesce(F.try_element_at("_features", F.lit(name)), F.lit(0.0))
+    plain = (count("bounds_guard_count") > 0) & (count("guard_density") >= 1.0)
+    contradicting = (F.col("expert") == "memory_bounds") & ~temporal_only & F.when(F.startswith("_version", F.lit("semantic-")), guarded).otherwise(plain)
+    return {
+        "file_matches": there & F.col("file").eqNullSafe(F.col("_file")),
+        "function_matches": there & F.col("function").eqNullSafe(F.col("_function")),
+        "line_reachable": there & (F.col("line_start") <= F.col("_to")) & (F.col("line_end") >= F.col("_from")),
+        "evidence_exists": F.size(ids) > 0,
+        "evidence_ids_valid": there & (F.size(F.array_except(ids, F.transform("_evidence", lambda e: e["id"]))) == 0),
+        "cwe_present": F.size(F.coalesce("cwes", none)) > 0,
+        "cwe_semantics_supported": there & supported_by_evidence(F.col("cwes"), kinds),
+        "confidence_sufficient": F.col("confidence") >= least,
+        "contradicting_guard": there & contradicting,
+    }
 
 
 def validate(findings: DataFrame, candidates: DataFrame, least: float = 0.55) -> DataFrame:
-    """``findings`` with checks and verdict, by their candidates (candidate_id, file, line_start, line_end, evidence)."""
-    c = candidates.select(F.col("candidate_id").alias("_id"), F.col("file").alias("_file"), F.col("line_start").alias("_from"), F.col("line_end").alias("_to"), F.col("evidence").alias("_evidence"))
-    both = findings.join(c, F.col("candidate_id") == F.col("_id"), "left")
-    ids = F.transform("_evidence", lambda e: e["fact_id"])
-    there = F.col("_id").isNotNull()
-    checks = {
-        "candidate_exists": there,
-        "evidence_valid": F.when(there, (F.size("evidence_ids") > 0) & (F.size(F.array_except("evidence_ids", ids)) == 0)),
-        "span_valid": F.when(there, (F.col("line_start") >= F.col("_from")) & (F.col("line_end") <= F.col("_to")) & (F.col("line_start") <= F.col("line_end"))),
-        "expert_matches": F.when(there, F.col("file") == F.col("_file")),
-    }
-    guarded = F.coalesce(F.exists("_evidence", lambda e: (e["kind"] == "guard_protects_sink") & e["sink_line"].between(F.col("line_start"), F.col("line_end"))), F.lit(False))
-    contradicted = guarded & F.coalesce(F.array_contains("cwes", F.lit("CWE-120")), F.lit(False))
+    """``findings`` with checks (a map of nine) and verdict, by their candidates (candidate_id, file, function, line_start,
+    line_end, evidence, features, feature_schema_version). A finding whose candidate is not there is rejected."""
+    there = lambda c, kind: F.col(c) if c in candidates.columns else F.lit(None).cast(kind)
+    c = candidates.select(
+        F.col("candidate_id").alias("_id"), F.col("file").alias("_file"), there("function", "string").alias("_function"), F.col("line_start").alias("_from"), F.col("line_end").alias("_to"),
+        F.coalesce(evidence_of(candidates), F.array().cast("array<struct<id:string,kind:string,protective:boolean,sink_line:int>>")).alias("_evidence"),
+        there("features", "map<string,double>").alias("_features"), F.coalesce(there("feature_schema_version", "string"), F.lit("")).alias("_version"),
+    )
+    both = findings.join(c, F.col("candidate_id") == F.col("_id"), "left").withColumn("_there", F.col("_id").isNotNull())
+    checks = {k: F.coalesce(v, F.lit(False)) for k, v in checks_of(least).items()}
     named = F.map_from_entries(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in checks.items()]))
-    return both.withColumn("checks", named).withColumn("verdict", verdict(checks, contradicted, F.col("confidence"), least)).drop("_id", "_file", "_from", "_to", "_evidence")
+    told = {k: F.try_element_at("checks", F.lit(k)) for k in checks}
+    out = both.withColumn("checks", named).withColumn("verdict", verdict(told, F.col("_version")))
+    return out.drop("_id", "_file", "_function", "_from", "_to", "_evidence", "_features", "_version", "_there")
+
+
+def match_outcomes(findings: DataFrame, truths: DataFrame, candidates: DataFrame) -> DataFrame:
+    """finding_id, truth_id and how the finding meets the truth, for findings and truths of one case, file and place.
+
+    Columns: location_match (always true here: pairs elsewhere are no match), evidence_valid, semantic_compatible, matched,
+    truth_categories, finding_categories, reason. Findings: finding_id, case_id, candidate_id, file, line_start, line_end,
+    cwes, title, root_cause, consequence, source, sink, evidence_ids. Truths: truth_id, case_id, file, line_start,
+    line_end, cwes, experts.
+    """
+    c = candidates.select(F.col("candidate_id").alias("_id"), evidence_of(candidates).alias("_evidence"))
+    f = findings.join(c, F.col("candidate_id") == F.col("_id"), "left").alias("f")
+    t = truths.alias("t")
+    near = (F.col("f.case_id") == F.col("t.case_id")) & (F.col("f.file") == F.col("t.file")) & (F.col("f.line_start") <= F.col("t.line_end")) & (F.col("f.line_end") >= F.col("t.line_start"))
+    none = F.array().cast("array<string>")
+    evidence = F.coalesce("f._evidence", F.array().cast("array<struct<id:string,kind:string,protective:boolean,sink_line:int>>"))
+    ids, kinds = F.coalesce("f.evidence_ids", none), cited_kinds(evidence, F.col("f.evidence_ids"))
+    valid = (F.size(ids) > 0) & (F.size(F.array_except(ids, F.transform(evidence, lambda e: e["id"]))) == 0)
+    rows = f.join(t, near).select(
+        "f.finding_id", "t.truth_id", valid.alias("evidence_valid"), kinds.alias("kinds"), F.col("f.source").alias("source"), F.col("f.sink").alias("sink"),
+        F.array_sort(truth_categories(F.col("t.cwes"), F.col("t.experts"))).alias("truth_categories"),
+        F.array_sort(finding_categories(F.col("f.cwes"), [F.coalesce(F.col(f"f.{x}"), F.lit("")) for x in ("title", "root_cause", "consequence")], kinds)).alias("finding_categories"),
+    )
+    rows = rows.withColumn("semantic_compatible", compatible(F.col("truth_categories"), F.col("finding_categories"), F.col("kinds"), F.col("source"), F.col("sink")))
+    failed = F.array_compact(F.array(F.when(~F.col("evidence_valid"), "evidence"), F.when(~F.col("semantic_compatible"), "semantics")))
+    matched = F.col("evidence_valid") & F.col("semantic_compatible")
+    return rows.select("finding_id", "truth_id", F.lit(True).alias("location_match"), "evidence_valid", "semantic_compatible", matched.alias("matched"), "truth_categories", "finding_categories", F.when(matched, "matched").otherwise(F.concat(F.lit("failed: "), F.array_join(failed, ", "))).alias("reason"))
+
+
+def compatible(truth: Column, finding: Column, kinds: Column, source: Column, sink: Column) -> Column:
+    """Whether categories meet: one in common; an integer fault that reaches memory; taint that reaches a sink by name."""
+    has = lambda column, names: F.arrays_overlap(column, F.array(*map(F.lit, names)))
+    integer = has(finding, ["integer"]) & has(truth, ["memory_spatial"]) & has(kinds, INTEGER_TO_MEMORY)
+    taint = has(finding, ["taint_api"]) & has(truth, ["memory_spatial", "control_state"]) & has(kinds, TAINT_TO_SINK) & F.coalesce((F.length(source) > 0) & (F.length(sink) > 0), F.lit(False))
+    return F.coalesce(F.arrays_overlap(truth, finding) | ((F.size(truth) > 0) & (F.size(finding) > 0) & (integer | taint)), F.lit(False))
 
 
 def validated(findings: DataFrame) -> DataFrame:

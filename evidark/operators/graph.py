@@ -33,32 +33,37 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """The session's checkpoint folder, or one of our own where none is set."""
+    """The session's checkpoint folder, or one of our own where none is set and all runs in one process."""
     if spark.sparkContext.getCheckpointDir() is None:
         place = spark.conf.get("spark.checkpoint.dir", None)
         if place is None:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             place = "file://" + tempfile.mkdtemp(prefix="evidark-")
         spark.sparkContext.setCheckpointDir(place)
 
 
-def distances(edges: DataFrame, sources: DataFrame, depth: int, passable: Column | None = None) -> DataFrame:
-    """start, node, distance: shortest distance to every node within ``depth`` steps; sources themselves are at 0.
+def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None, passable: Column | None = None) -> DataFrame:
+    """start, node, distance, path: shortest distance to every node, within ``depth`` steps if given; sources are at 0.
 
     Breadth first by frontier: each round joins only the nodes found last, and drops those already found. ``passable``
-    (on ``node``) says which nodes may be left again; the last node of a path is exempt.
+    (on ``node``) says which nodes may be left again; the last node of a path is exempt. ``path`` holds the nodes from the
+    source on; of shortest paths, the first in the nodes' order.
     """
     _checkpoints(edges.sparkSession)
-    found = sources.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance")).distinct().checkpoint()
-    frontier = found
-    for d in range(1, depth + 1):
+    found = sources.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance"), F.array("node").alias("path")).distinct().checkpoint()
+    frontier, d = found, 0
+    while depth is None or d < depth:
+        d += 1
         leave = frontier if passable is None or d == 1 else frontier.where(passable)
-        step = leave.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("start", F.col("dst").alias("node")).distinct()
-        frontier = step.join(found, ["start", "node"], "left_anti").withColumn("distance", F.lit(d)).checkpoint()
-        found = found.union(frontier).checkpoint()
+        step = leave.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy("start", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+        step = step.join(found.select("start", "node"), ["start", "node"], "left_anti")
+        frontier = step.select("start", "node", F.lit(d).alias("distance"), F.array_append("path", F.col("node")).alias("path")).checkpoint()
         if frontier.isEmpty():
             break
+        found = found.union(frontier).checkpoint()
     return found
 
 

@@ -11,14 +11,26 @@ from evidark.operators.ranking import hash_order
 
 def hash_split(keys: DataFrame, key: str, seed: str = "2026", test: float = 0.15, dev: float = 0.15) -> DataFrame:
     """split of each distinct key: keys in hash order, the first share test, the next dev, at least one each."""
-    place = F.row_number().over(Window.orderBy(hash_order(seed, F.col(key)), key))
-    rows = keys.select(key).distinct().withColumn("place", place).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    rows = placed(keys.select(key).distinct().withColumn("_h", hash_order(seed, F.col(key))), "_h", key)
     held = F.greatest(F.lit(1), F.bround(F.col("n") * test).cast("long"))
     tuned = F.greatest(F.lit(1), F.bround(F.col("n") * dev).cast("long"))
     split = F.when(F.col("place") <= held, "test").when(F.col("place") <= held + tuned, "dev").otherwise("train")
     return rows.select(key, split.alias("split"))
 
 
+def placed(rows: DataFrame, digest: str, *then: str) -> DataFrame:
+    """``rows`` with place (1, 2, ... by hexadecimal digest and ``then``) and n (of all rows), without one order in one task.
+
+    Rows are ranked inside the 4,096 ranges of the digest's first three digits; a range starts where those before it end.
+    """
+    ranged = rows.withColumn("_range", F.substring(digest, 1, 3))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("n"))  # at most 4,096 rows
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(digest, *then))
+    return ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_range").withColumn("place", F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")
+
+
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Keys that both sides hold; an assertion of disjointness expects none."""
     return a.select(key).intersect(b.select(key))

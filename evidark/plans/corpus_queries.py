@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evidark.functions import scores, taxonomy, text
+from evidark.functions import lightweight, scores, taxonomy, text
 from evidark.operators import graph, ranking, splits
 from evidark.plans.registry import query
 from evidark.sources.tables import read
@@ -96,37 +96,42 @@ def exact_dedup(spark, sf):
     return splits.exact_duplicates(d, [F.col("text")], "doc_id").select("doc_id", "digest", "duplicate_of")
 
 
-@query("fingerprint_dedup", r"WITH f AS (SELECT doc_id, sha256(trim(regexp_replace(lower(left(text, 40)), '[ \t\r\n\f\v]+', ' ', 'g'))) AS fingerprint FROM documents) SELECT fingerprint, min(doc_id) AS doc_id, count(*) AS copies FROM f GROUP BY fingerprint")
-def fingerprint_dedup(spark, sf):
-    """Openings alike after white space is collapsed: the first id of each."""
-    d = read(spark, sf, "documents").select("doc_id", splits.fingerprint(F.lower(F.substring("text", 1, 40))).alias("fingerprint"))
-    return d.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
+_FINGERPRINTS = r"WITH f AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[ \t\r\n\f\v]+', ' ', 'g'))) AS fingerprint FROM documents) SELECT fingerprint, min(doc_id) AS doc_id, count(*) AS copies FROM f GROUP BY fingerprint"
 
 
-@query("fingerprint_dedup_whole", r"WITH f AS (SELECT doc_id, sha256(trim(regexp_replace(lower(text), '[ \t\r\n\f\v]+', ' ', 'g'))) AS fingerprint FROM documents) SELECT fingerprint, min(doc_id) AS doc_id, count(*) AS copies FROM f GROUP BY fingerprint")
-def fingerprint_dedup_whole(spark, sf):
-    """Whole texts alike after white space is collapsed: the first id of each."""
+@query("fingerprint_dedup", _FINGERPRINTS)
+def fingerprint_dedup(spark, sf):
+    """Whole texts alike after white space is collapsed and letters are lower-cased: the first id of each."""
     d = read(spark, sf, "documents").select("doc_id", splits.fingerprint(F.lower("text")).alias("fingerprint"))
     return d.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
+query("fingerprint_dedup_whole", _FINGERPRINTS)(fingerprint_dedup)  # its name where the other one read openings only
+
+
 @query("template_group", "SELECT template, count(*) AS n, count(DISTINCT p_brand) AS brands FROM (SELECT lower(regexp_replace(regexp_replace(p_brand || '_' || p_name, '[_#]?[0-9]+.*$', ''), '[^A-Za-z0-9_.]+', '_', 'g')) AS template, p_brand FROM part) GROUP BY template")
 def template_group(spark, sf):
     p = read(spark, sf, "part").select(splits.template_group(F.concat_ws("_", "p_brand", "p_name")).alias("template"), "p_brand")
     return p.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("p_brand").alias("brands"))
 
 
-@query("leakage_clusters", """WITH RECURSIVE d AS (SELECT doc_id, 't:' || sha256(left(text, 30)) AS t, 'h:' || sha256(text) AS h FROM documents), n AS (SELECT doc_id, t AS k FROM d UNION ALL SELECT doc_id, h FROM d),
-first AS (SELECT k, min(doc_id) AS f FROM n GROUP BY k), e AS (SELECT DISTINCT doc_id AS a, f AS b FROM n JOIN first USING (k) UNION SELECT DISTINCT f, doc_id FROM n JOIN first USING (k)),
-reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a) SELECT a AS doc_id, min(b) AS cluster FROM reach GROUP BY a""")
+def _template(url: str) -> str:
+    return f"lower(regexp_replace(regexp_replace({url}, '[_#]?[0-9]+.*$', ''), '[^A-Za-z0-9_.]+', '_', 'g'))"
+
+
+_CLUSTERS = """WITH RECURSIVE n AS ({keys}), first AS (SELECT k, min(id) AS f FROM n WHERE k IS NOT NULL GROUP BY k), e AS (SELECT DISTINCT id AS a, f AS b FROM n JOIN first USING (k) UNION SELECT DISTINCT f, id FROM n JOIN first USING (k) UNION SELECT id, id FROM n),
+reach(a, b) USING KEY (a) AS (SELECT a, min(b) FROM e GROUP BY a UNION (SELECT e.a, min(r.b) FROM e JOIN reach r ON r.a = e.b JOIN recurring.reach o ON o.a = e.a GROUP BY e.a HAVING min(r.b) < min(o.b))) SELECT a AS {name}, b AS cluster FROM reach"""
+
+
+@query("leakage_clusters", _CLUSTERS.format(name="doc_id", keys=r"SELECT doc_id AS id, 't:' || source || ':' || n_chars AS k FROM documents UNION ALL SELECT doc_id, 'h:' || sha256(lower(trim(regexp_replace(text, '[ \t\r\n\f\v]+', ' ', 'g')))) FROM documents"))
 def leakage_clusters(spark, sf):
-    """Documents joined by an equal opening or an equal whole: each key's rows link to its first, so no pairs are made."""
-    d = read(spark, sf, "documents").select("doc_id", F.explode(F.array(F.concat(F.lit("t:"), F.sha2(F.substring("text", 1, 30), 256)), F.concat(F.lit("h:"), F.sha2("text", 256)))).alias("k"))
-    edges = d.join(d.groupBy("k").agg(F.min("doc_id").alias("b")), "k").select(F.col("doc_id").alias("a"), "b")
-    return graph.components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("cluster"))
+    """Documents joined by an equal whole text (canonical) or an equal key of source and length, as names are joined by their template."""
+    d = read(spark, sf, "documents")
+    key = F.concat(F.col("source"), F.lit(":"), F.col("n_chars").cast("string"))
+    return splits.leakage_clusters(d, "doc_id", key, text.canonical_hash(F.col("text")))
 
 
-@query("leakage_clusters_whole")
+@query("leakage_clusters_whole", _CLUSTERS.format(name="page_id", keys=f"SELECT page_id AS id, 't:' || {_template('url')} AS k FROM pages UNION ALL SELECT page_id, 'h:' || sha256(lower(trim(regexp_replace(html, '[ \\t\\r\\n\\f\\v]+', ' ', 'g')))) FROM pages"))
 def leakage_clusters_whole(spark, sf):
     """Pages joined by an equal template of the address or an equal whole page."""
     p = read(spark, sf, "pages").select("page_id", "url", "html")
@@ -144,9 +149,15 @@ def _count(p: str) -> str:
     return "CAST(len(regexp_extract_all(text, '" + p.replace("'", "''") + "')) AS INTEGER)"
 
 
-@query("regex_signals", "SELECT item_id, " + ", ".join(f"{_count(p)} AS {n}" for n, p in text.SIGNALS.items()) + " FROM benchmark")
+_SIGNALS = {n: p for n, (_, p) in lightweight.PATTERNS.items()}
+# the test texts are prose, so calls, indexes and the like are put around their words
+_CODE = ("regexp_replace(regexp_replace(regexp_replace(text, '[^ -~]', 'x', 'g'), '([a-z]+)e ', '\\1[0] size * state ', 'g'), '([a-z]+)s ', 'if (len < 3) free(\\1) + access(\\1); open(\\1) ', 'g')", lambda: F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[^ -~]", "x"), "([a-z]+)e ", "$1[0] size * state "), "([a-z]+)s ", "if (len < 3) free($1) + access($1); open($1) "))
+
+
+@query("regex_signals", f"WITH b AS (SELECT item_id, {_CODE[0]} AS text FROM benchmark) SELECT item_id, " + ", ".join(f"{_count(p)} AS {n}" for n, p in _SIGNALS.items()) + " FROM b")
 def regex_signals(spark, sf):
-    return read(spark, sf, "benchmark").select("item_id", *text.signals(F.col("text")))
+    code = read(spark, sf, "benchmark").select("item_id", _CODE[1]().alias("text"))
+    return code.select("item_id", *text.signals(F.col("text"), _SIGNALS))
 
 
 @query("tokenize", "SELECT conv_id, turn, CAST(len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9_]{3,}'), lambda w: lower(w)))) AS INTEGER) AS n_tokens FROM conversations")
@@ -187,16 +198,17 @@ def dim_lookup(spark, sf):
     return read(spark, sf, "part").join(w, F.col("p_partkey") % 900 == F.col("number"), "left").select("p_partkey", "category", "expert")
 
 
-_NAMES = ["Heap-double-free", "Heap use after free READ 8", "memory_leak", "Integer-overflow", "Data race", "Heap-buffer-overflow WRITE 4", "out-of-bounds read", "Null-dereference", "Use-of-uninitialized-value", "abort"]
+_NAMES = ["Heap-double-free", "Heap use after free READ 8", "memory_leak", "Integer-overflow", "Data race", "Heap-buffer-overflow WRITE 4", "out-of-bounds read", "Null-dereference", "Use-of-uninitialized-value", "abort", "heap-use-after-free READ 1", "Signed integer overflow", "Memory-leak"]
 
 
-@query("rule_classify", f"""WITH c AS (SELECT event_id, replace(replace(lower({_NAMES}[CAST(event_id % 10 + 1 AS INTEGER)]), ' ', '-'), '_', '-') AS d FROM events)
-SELECT event_id, CASE WHEN contains(d, 'double-free') OR contains(d, 'use-after') OR contains(d, 'memory-leak') OR contains(d, 'resource-leak') THEN 'lifetime_resource' WHEN contains(d, 'integer-overflow') THEN 'integer_overflow' WHEN contains(d, 'data-race') OR contains(d, 'deadlock') THEN 'concurrency'
+@query("rule_classify", f"""WITH c AS (SELECT event_id, lower({_NAMES}[CAST(event_id % 13 + 1 AS INTEGER)] || ' ' || props) AS d FROM events)
+SELECT event_id, CASE WHEN contains(d, 'double-free') OR contains(d, 'use-after') OR contains(d, 'memory-leak') OR contains(d, 'resource-leak') THEN 'lifetime_resource' WHEN contains(d, 'integer-overflow') OR contains(d, 'integer overflow') THEN 'integer_overflow' WHEN contains(d, 'data-race') OR contains(d, 'deadlock') THEN 'concurrency'
   WHEN contains(d, 'buffer-overflow') OR contains(d, 'buffer-underflow') OR contains(d, 'out-of-bounds') THEN 'memory_bounds' ELSE 'control_state' END AS expert,
-  CAST(CASE WHEN contains(d, 'double-free') THEN 415 WHEN contains(d, 'use-after') THEN 416 WHEN contains(d, 'memory-leak') OR contains(d, 'resource-leak') THEN 401 WHEN contains(d, 'integer-overflow') THEN 190 WHEN contains(d, 'data-race') OR contains(d, 'deadlock') THEN 362
+  CAST(CASE WHEN contains(d, 'double-free') THEN 415 WHEN contains(d, 'use-after') THEN 416 WHEN contains(d, 'memory-leak') OR contains(d, 'resource-leak') THEN 401 WHEN contains(d, 'integer-overflow') OR contains(d, 'integer overflow') THEN 190 WHEN contains(d, 'data-race') OR contains(d, 'deadlock') THEN 362
   WHEN contains(d, 'buffer-overflow') OR contains(d, 'buffer-underflow') OR contains(d, 'out-of-bounds') THEN CASE WHEN contains(d, 'write') THEN 787 ELSE 125 END WHEN contains(d, 'null-dereference') THEN 476 WHEN contains(d, 'uninitialized') THEN 457 END AS INTEGER) AS number FROM c""")
 def rule_classify(spark, sf):
-    name = F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % 10 + 1).cast("int"))
+    """Descriptions are the event's own properties behind one of the phrases, as the tables hold no crashes."""
+    name = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, _NAMES)), (F.col("event_id") % 13 + 1).cast("int")), "props")
     return read(spark, sf, "events").select("event_id", taxonomy.crash_class(name).alias("c")).select("event_id", "c.expert", "c.number")
 
 
@@ -212,60 +224,58 @@ def repository_sources(spark, sf):
     return p.select("p_partkey", "p_name", F.regexp_extract("p_name", "([^ ]+)$", 1).alias("suffix"), F.octet_length("p_name").cast("long").alias("bytes"))
 
 
-_EDGES = "e AS (SELECT DISTINCT l_partkey % 200 AS src, (l_partkey % 200 + l_suppkey) % 200 AS dst FROM lineitem WHERE l_linenumber = 1 AND l_quantity < 3)"
+_EDGES = "one AS (SELECT DISTINCT 2 * l_partkey AS a, 2 * l_suppkey + 1 AS b FROM lineitem WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL), e AS (SELECT a AS src, b AS dst FROM one UNION ALL SELECT b, a FROM one)"
 
 
 def _edges(spark, sf):
-    line = read(spark, sf, "lineitem").where((F.col("l_linenumber") == 1) & (F.col("l_quantity") < 3))
-    return line.select((F.col("l_partkey") % 200).alias("src"), ((F.col("l_partkey") % 200 + F.col("l_suppkey")) % 200).alias("dst")).distinct()
+    """Every part and supplier that a line names, both ways; a part's node is twice its key, a supplier's one more than that."""
+    line = read(spark, sf, "lineitem").select((F.col("l_partkey").cast("long") * 2).alias("src"), (F.col("l_suppkey").cast("long") * 2 + 1).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+    both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")
+    return line.distinct().select(both).select("e.src", "e.dst")
+
+
+def _paths(start: int, edge: tuple[str, str], passable: str = "TRUE", path: bool = True) -> str:
+    """Breadth first from one node: distance and the first of the shortest paths."""
+    out = ", array_to_string(path, ',') AS path" if path else ""
+    return f"""WITH RECURSIVE {_EDGES}, p(node, distance, path) USING KEY (node) AS (SELECT CAST({start} AS BIGINT), 0, [CAST({start} AS BIGINT)]
+UNION (SELECT e.{edge[1]}, min(p.distance) + 1, list_append(min(p.path), e.{edge[1]}) FROM p JOIN e ON e.{edge[0]} = p.node WHERE (p.distance = 0 OR {passable}) AND NOT EXISTS (SELECT 1 FROM recurring.p r WHERE r.node = e.{edge[1]}) GROUP BY e.{edge[1]}))
+SELECT node, CAST(distance AS INTEGER) AS distance{out} FROM p"""
+
 
+def _told(found):
+    return found.select("node", "distance", F.array_join("path", ",").alias("path"))
 
-@query("shortest_path", f"""WITH RECURSIVE {_EDGES}, p AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS d UNION SELECT e.dst, d + 1 FROM p JOIN e ON e.src = p.node WHERE d < 6)
-SELECT node, CAST(min(d) AS INTEGER) AS distance FROM p GROUP BY node""")
+
+@query("shortest_path", _paths(2, ("src", "dst")))
 def shortest_path(spark, sf):
-    start = spark.createDataFrame([(0,)], "node long")
-    return graph.distances(_edges(spark, sf), start, 6).select("node", "distance")
+    """From part 1 to every node over all lines: the distance and the nodes of the first shortest path."""
+    return _told(graph.distances(_edges(spark, sf), spark.createDataFrame([(2,)], "node long")))
 
 
-@query("path_without_definition", f"""WITH RECURSIVE {_EDGES}, p AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS d UNION SELECT e.dst, d + 1 FROM p JOIN e ON e.src = p.node WHERE d < 6 AND (d = 0 OR p.node % 3 <> 0))
-SELECT node, CAST(min(d) AS INTEGER) AS distance FROM p GROUP BY node""")
+@query("path_without_definition", _paths(2, ("src", "dst"), "p.node % 3 <> 0"))
 def path_without_definition(spark, sf):
     """Nodes divisible by three define the symbol: paths may end there, not pass."""
-    start = spark.createDataFrame([(0,)], "node long")
-    return graph.distances(_edges(spark, sf), start, 6, F.col("node") % 3 != 0).select("node", "distance")
+    return _told(graph.distances(_edges(spark, sf), spark.createDataFrame([(2,)], "node long"), passable=F.col("node") % 3 != 0))
 
 
-@query("backward_slice", f"""WITH RECURSIVE {_EDGES}, p AS (SELECT CAST(7 AS BIGINT) AS node, 0 AS d UNION SELECT e.src, d + 1 FROM p JOIN e ON e.dst = p.node WHERE d < 8)
-SELECT node, CAST(min(d) AS INTEGER) AS distance FROM p GROUP BY node""")
+@query("backward_slice", _paths(15, ("dst", "src"), path=False))
 def backward_slice(spark, sf):
+    """Back from supplier 7 over all lines."""
     back = _edges(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return graph.distances(back, spark.createDataFrame([(7,)], "node long"), 8).select("node", "distance")
-
+    return graph.distances(back, spark.createDataFrame([(15,)], "node long")).select("node", "distance")
 
-def _whole_edges(spark, sf):
-    """Every part and supplier that a line names, both ways; a part's node is twice its key, a supplier's one more than that."""
-    line = read(spark, sf, "lineitem").select((F.col("l_partkey").cast("long") * 2).alias("src"), (F.col("l_suppkey").cast("long") * 2 + 1).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
-    both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")
-    return line.distinct().select(both).select("e.src", "e.dst")
 
-
-@query("shortest_path_whole")
+@query("shortest_path_whole", _paths(2, ("src", "dst"), path=False))
 def shortest_path_whole(spark, sf):
-    """From part 1 over all lines, no node folded into another."""
-    return graph.distances(_whole_edges(spark, sf), spark.createDataFrame([(2,)], "node long"), 6).select("node", "distance")
+    return shortest_path(spark, sf).drop("path")
 
 
-@query("path_without_definition_whole")
+@query("path_without_definition_whole", _paths(2, ("src", "dst"), "p.node % 3 <> 0", path=False))
 def path_without_definition_whole(spark, sf):
-    """Nodes divisible by three define the symbol: paths may end there, not pass."""
-    return graph.distances(_whole_edges(spark, sf), spark.createDataFrame([(2,)], "node long"), 6, F.col("node") % 3 != 0).select("node", "distance")
+    return path_without_definition(spark, sf).drop("path")
 
 
-@query("backward_slice_whole")
-def backward_slice_whole(spark, sf):
-    """Back from supplier 7 over all lines."""
-    back = _whole_edges(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return graph.distances(back, spark.createDataFrame([(15,)], "node long"), 8).select("node", "distance")
+query("backward_slice_whole", _paths(15, ("dst", "src"), path=False))(backward_slice)
 
 
 @query("dominators")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidark.functions import scores
-from evidark.operators import calibration, metrics, ranking, splits
+from evidark.operators import calibration, metrics, policies, ranking, splits
 from evidark.plans.registry import query
 from evidark.sources.tables import LABELLED, OUTCOMES, labelled, outcomes, read
 
@@ -102,30 +102,88 @@ policy AS (SELECT 'all' AS policy, candidate_id, assignment FROM ranked UNION AL
   UNION ALL SELECT 'single:' || assignment, candidate_id, assignment FROM ranked)"""
 
 
-def policies(o):
+def choices(o):
     r = ranking.ranked(o, ["candidate_id"], F.desc("probability"), F.asc("assignment"))
     named = F.filter(F.array(F.lit("all"), F.when(F.col("rank") == 1, "top1"), F.when(F.col("rank") <= 2, "top2"), F.concat(F.lit("single:"), F.col("assignment"))), lambda p: p.isNotNull())
     return r.select(F.explode(named).alias("policy"), "candidate_id", "assignment")
 
 
-_METRICS = f"""w AS (SELECT *, round_even({REWARD}, 6) AS reward FROM outcomes),
-best AS (SELECT candidate_id, max(reward) AS best, bool_or(success) AS solvable FROM w GROUP BY candidate_id),
-c AS (SELECT policy, candidate_id, bool_or(success) AS success, bool_or(false_positive) AS false_positive, sum(CAST(cost AS DECIMAL(18,6))) AS cost, max(reward) AS reward, count(*) AS calls FROM policy JOIN w USING (candidate_id, assignment) GROUP BY policy, candidate_id),
-m AS (SELECT policy, count(*) AS groups, count(*) FILTER (success) AS successes, CASE WHEN count(*) FILTER (solvable) = 0 THEN 1.0 ELSE (count(*) FILTER (success AND solvable))::DOUBLE / count(*) FILTER (solvable) END AS coverage,
-  avg(CAST(false_positive AS DOUBLE)) AS false_positive_rate, CAST(sum(cost) AS DOUBLE) AS cost, avg(calls) AS mean_calls, round_even(CAST(sum(CAST(best - reward AS DECIMAL(18,6))) AS DOUBLE) / count(*), 9) AS mean_regret
-  FROM c JOIN best USING (candidate_id) GROUP BY policy)"""
+def full_outcomes(spark, sf):
+    """``outcomes`` with truths, matches, tokens, seconds and validated findings, made from the events' own numbers."""
+    names = lambda *cs: F.array_compact(F.array(*cs))
+    first, second = F.concat(F.lit("t"), (F.col("candidate_id") % 4).cast("string")), F.when(F.col("candidate_id") % 3 == 0, F.lit("t9"))
+    return outcomes(spark, sf).select(
+        "*", names(first, second).alias("ground_truth_ids"), names(F.when(F.col("success"), first), F.when(F.col("tokens") % 3 == 0, F.lit("t9")), F.when(F.col("tokens") % 7 == 0, F.lit("t8"))).alias("matched_truth_ids"),
+        (F.col("tokens") * 10).alias("prompt_tokens"), F.col("tokens").alias("completion_tokens"), (F.col("cost") * 2).alias("latency_seconds"),
+        F.when(F.col("unsupported") > 0, (F.col("tokens") % 4).cast("int")).otherwise(0).alias("validated_true"), F.when(F.col("unsupported") > 1, (F.col("tokens") % 2).cast("int")).otherwise(0).alias("validated_false"),
+    )
 
 
-@query("policy_metrics", f"WITH {OUTCOMES}, {_POLICIES}, {_METRICS} SELECT * FROM m WHERE policy = 'top2'")
+_FIXED, _ESCALATE, _SINGLE = ["click", "purchase"], 0.45, "purchase"
+
+
+def compared(o):
+    gate = o.select("candidate_id", (F.col("candidate_id") % 5 == 0).alias("escalate")).distinct()
+    return policies.baselines(o, _FIXED, _ESCALATE, gate, _SINGLE, ["signup", "view"])
+
+
+_FULL = """full_ AS (SELECT *, list_filter(['t' || candidate_id % 4, CASE WHEN candidate_id % 3 = 0 THEN 't9' END], lambda x: x IS NOT NULL) AS truths,
+  list_filter([CASE WHEN success THEN 't' || candidate_id % 4 END, CASE WHEN tokens % 3 = 0 THEN 't9' END, CASE WHEN tokens % 7 = 0 THEN 't8' END], lambda x: x IS NOT NULL) AS matched,
+  CASE WHEN unsupported > 0 THEN tokens % 4 ELSE 0 END AS vt, CASE WHEN unsupported > 1 THEN tokens % 2 ELSE 0 END AS vf,
+  row_number() OVER (PARTITION BY candidate_id ORDER BY probability DESC, assignment) AS place FROM outcomes)"""
+_BASELINES = f"""chance AS (SELECT candidate_id, 1 - (1 - max(probability) FILTER (place = 1)) * (1 - coalesce(max(probability) FILTER (place = 2), 0)) AS chance FROM full_ GROUP BY candidate_id),
+choice AS (SELECT 'full5' AS policy, candidate_id, assignment FROM full_ UNION ALL SELECT 'utility_top2', candidate_id, assignment FROM full_ WHERE place <= 2
+  UNION ALL SELECT 'fixed_top2', candidate_id, assignment FROM full_ WHERE assignment IN ('click', 'purchase')
+  UNION ALL SELECT 'formula_escalation', candidate_id, assignment FROM full_ JOIN chance USING (candidate_id) WHERE place <= 2 OR chance < {_ESCALATE}
+  UNION ALL SELECT 'adaptive_gate', candidate_id, assignment FROM full_ WHERE place <= 2 OR candidate_id % 5 = 0
+  UNION ALL SELECT 'best_single', candidate_id, assignment FROM full_ WHERE assignment = '{_SINGLE}' UNION ALL SELECT 'best_fixed2', candidate_id, assignment FROM full_ WHERE assignment IN ('signup', 'view'))"""
+_ECE = "len(list_filter([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[], lambda e: e <= p)) - 1"
+
+
+def _measures() -> str:
+    real = lambda c: f"CAST(sum(CAST({c} AS DECIMAL(24,9))) AS DOUBLE)"
+    error = lambda name, rows: f"""{name}_b AS (SELECT CASE WHEN p >= 0 AND p <= 1 THEN {_ECE} END AS bin, count(*) AS n, avg(p) AS c, avg(y) AS a FROM {rows} GROUP BY 1),
+{name} AS (SELECT (SELECT round(coalesce(avg(power(p - y, 2)), 0), 9) FROM {rows}) AS brier, round(sum(CASE WHEN bin IS NOT NULL THEN n * abs(c - a) ELSE 0 END) / sum(n), 9) AS ece FROM {name}_b)"""
+    return f"""avg_ AS (SELECT assignment, CAST(sum(CAST(cost AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS average FROM full_ GROUP BY assignment),
+every AS (SELECT f.candidate_id, bool_or(success) AS any_success, list_distinct(flatten(list(truths))) AS truths, count(*) AS assignments,
+  max(round_even(CAST(success AS DOUBLE) - 0.5 * CAST(false_positive AS INTEGER) - 0.25 * unsupported - 1.0 * CAST(cost AS DECIMAL(18,6))::DOUBLE, 6)) AS best,
+  coalesce(list_distinct(flatten(list(matched) FILTER (place <= 2))), []) AS top_matched, any_value(chance) AS chance FROM full_ f JOIN chance c ON f.candidate_id = c.candidate_id GROUP BY f.candidate_id),
+enough AS (SELECT *, list_has_all(top_matched, truths) AS sufficient FROM every),
+taken AS (SELECT policy, candidate_id, count(*) AS n, bool_or(success) AS success, sum(CAST(false_positive AS INTEGER)) AS fp, sum(unsupported) AS un, sum(CAST(cost AS DECIMAL(18,6))) AS cost,
+  round_even(CAST(sum(CAST(average AS DECIMAL(24,12))) AS DOUBLE), 9) AS expected, list_distinct(flatten(list(matched))) AS matched, sum(CASE WHEN vt <> 0 OR vf <> 0 THEN vt ELSE CAST(success AS INTEGER) END) AS tn, sum(CASE WHEN vt <> 0 OR vf <> 0 THEN vf ELSE CAST(false_positive AS INTEGER) END) AS fn,
+  sum(tokens * 10) AS pt, sum(tokens) AS ct, sum(CAST(cost * 2 AS DECIMAL(18,6))) AS lat FROM choice JOIN full_ USING (candidate_id, assignment) JOIN avg_ USING (assignment) GROUP BY policy, candidate_id),
+g AS (SELECT p.policy, e.*, coalesce(n, 0) AS n, coalesce(success, FALSE) AS success, list_intersect(coalesce(matched, []), truths) AS got, coalesce(n, 0) = assignments AS escalated,
+  round_even(CAST(coalesce(success, FALSE) AS DOUBLE) - 0.5 * coalesce(fp, 0) - 0.25 * coalesce(un, 0) - 1.0 * coalesce(cost, 0)::DOUBLE, 6) AS reward, expected, coalesce(cost, 0) AS cost, tn, fn, pt, ct, lat
+  FROM enough e CROSS JOIN (SELECT DISTINCT policy FROM choice) p LEFT JOIN taken t ON t.policy = p.policy AND t.candidate_id = e.candidate_id),
+cal_rows AS (SELECT probability AS p, CAST(success AS DOUBLE) AS y FROM full_), gate_rows AS (SELECT chance AS p, CAST(sufficient AS DOUBLE) AS y FROM enough), {error("cal", "cal_rows")}, {error("gate", "gate_rows")},
+s AS (SELECT policy, count(*) AS c, count(*) FILTER (success) AS suc, count(*) FILTER (any_success) AS ora, CAST(sum(n) AS BIGINT) AS tasks, {real("expected")} AS expected, {real("reward")} AS reward, {real("best")} AS best, sum(len(truths)) AS t, sum(len(got)) AS m,
+  count(*) FILTER (list_has_all(got, truths)) AS exact, coalesce(sum(tn), 0) AS tn_, coalesce(sum(fn), 0) AS fn_, count(*) FILTER (escalated) AS esc, {real("cost")} AS cost, coalesce(sum(pt), 0)::DOUBLE AS pt, coalesce(sum(ct), 0)::DOUBLE AS ct, {real("coalesce(lat, 0)")} AS lat, count(DISTINCT CASE WHEN n > 0 THEN candidate_id END) AS web,
+  count(*) FILTER (NOT sufficient AND escalated)::DOUBLE AS tp, count(*) FILTER (NOT sufficient AND NOT escalated)::DOUBLE AS fneg, count(*) FILTER (sufficient AND escalated)::DOUBLE AS fpos, count(*) FILTER (sufficient AND NOT escalated)::DOUBLE AS tneg FROM g GROUP BY policy),
+r AS (SELECT *, CASE WHEN tn_ + fn_ = 0 THEN 1.0 ELSE tn_::DOUBLE / (tn_ + fn_) END AS precision, CASE WHEN t = 0 THEN 1.0 ELSE m::DOUBLE / t END AS recall FROM s),
+m AS (SELECT policy, c AS candidate_count, suc::DOUBLE / c AS success_coverage, ora::DOUBLE / c AS oracle_coverage, tasks::DOUBLE / c AS average_assignments, expected / c AS average_expected_cost, reward / c AS average_realized_reward, best / c AS average_oracle_reward, greatest(0.0, best - reward) / c AS average_regret,
+  recall AS truth_recall, exact::DOUBLE / c AS exact_coverage, precision AS outcome_precision, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END AS outcome_f1, esc::DOUBLE / c AS full5_rate, cost / c AS average_realized_cost, pt / c AS average_prompt_tokens, ct / c AS average_completion_tokens, lat / c AS average_latency_seconds,
+  tasks AS logical_expert_tasks, tasks AS research_physical_requests, web AS web_batched_requests, web AS estimated_api_requests, cal.brier AS brier_score, cal.ece AS expected_calibration_error, CASE WHEN tp + fneg = 0 THEN 1.0 ELSE tp / (tp + fneg) END AS escalation_recall, CASE WHEN tp + fneg = 0 THEN 0.0 ELSE fneg / (tp + fneg) END AS missed_escalation_rate,
+  CASE WHEN fpos + tneg = 0 THEN 0.0 ELSE fpos / (fpos + tneg) END AS unnecessary_escalation_rate, gate.brier AS gate_brier_score, gate.ece AS gate_expected_calibration_error FROM r, cal, gate)"""
+
+
+@query("policy_metrics", f"WITH {OUTCOMES}, {_FULL}, {_BASELINES}, {_measures()} SELECT * FROM m WHERE policy = 'utility_top2'")
 def policy_metrics(spark, sf):
-    o = outcomes(spark, sf)
-    return metrics.policy_metrics(o, policies(o).where("policy = 'top2'"))
+    """All measures of the best two by probability."""
+    o = full_outcomes(spark, sf)
+    return policies.evaluate(o, compared(o)).where("policy = 'utility_top2'")
 
 
-@query("policy_comparison", f"WITH {OUTCOMES}, {_POLICIES}, {_METRICS} SELECT * FROM m")
+@query("policy_comparison", f"WITH {OUTCOMES}, {_FULL}, {_BASELINES}, {_measures()} SELECT * FROM m")
 def policy_comparison(spark, sf):
-    o = outcomes(spark, sf)
-    return metrics.policy_metrics(o, policies(o))
+    """All measures of the router's gate and the baselines."""
+    o = full_outcomes(spark, sf)
+    return policies.evaluate(o, compared(o), check=False)
+
+
+@query("validated_counts", f"WITH {OUTCOMES}, {_FULL} SELECT candidate_id, assignment, CAST(CASE WHEN vt <> 0 OR vf <> 0 THEN vt ELSE CAST(success AS INTEGER) END AS INTEGER) AS validated_true, CAST(CASE WHEN vt <> 0 OR vf <> 0 THEN vf ELSE CAST(false_positive AS INTEGER) END AS INTEGER) AS validated_false FROM full_")
+def validated_counts(spark, sf):
+    t, f = policies.validated_counts(F.col("validated_true"), F.col("validated_false"), F.col("success"), F.col("false_positive"))
+    return full_outcomes(spark, sf).select("candidate_id", "assignment", t.alias("validated_true"), f.alias("validated_false"))
 
 
 @query("best_pair", f"""WITH {OUTCOMES}, p AS (SELECT x.assignment AS a, y.assignment AS b, count(*) AS groups, count(*) FILTER (x.success OR y.success) AS covered, CAST(sum(CAST(x.cost AS DECIMAL(18,6)) + CAST(y.cost AS DECIMAL(18,6))) AS DOUBLE) AS cost
@@ -140,7 +198,7 @@ SELECT policy, count(DISTINCT candidate_id) AS negatives, count(DISTINCT CASE WH
 def negative_fpr(spark, sf):
     o = outcomes(spark, sf)
     negatives = o.groupBy("candidate_id").agg(F.count_if("success").alias("s")).where("s < 5").select("candidate_id")
-    chosen = policies(o).join(o, ["candidate_id", "assignment"]).join(negatives, "candidate_id", "left_semi")
+    chosen = choices(o).join(o, ["candidate_id", "assignment"]).join(negatives, "candidate_id", "left_semi")
     return chosen.groupBy("policy").agg(F.countDistinct("candidate_id").alias("negatives"), F.countDistinct(F.when(F.col("false_positive"), F.col("candidate_id"))).alias("alarms"))
 
 
@@ -161,21 +219,34 @@ def escalation_calibration(spark, sf):
     return calibration.escalation_calibration(g, 0.8)
 
 
-CONFIDENCES, MARGINS = [0.2, 0.22, 0.24, 0.26, 0.28, 0.3], [0.0, 0.01, 0.02, 0.05]
+CONFIDENCES, MARGINS, ENTROPY = [0.2, 0.22, 0.24, 0.26, 0.28, 0.3], [0.0, 0.01, 0.02, 0.05], 1.6
+_ONE = f"top1 >= min_confidence AND margin >= min_margin AND entropy <= {ENTROPY}"
+_GRID = f"""q AS (SELECT a.candidate_id, a.top1, a.margin, round(a.entropy, 9) AS entropy, bool_or(o.success) FILTER (r.n = 1) AS one_right, bool_or(o.success) FILTER (r.n <= 2) AS two_right FROM a JOIN r USING (candidate_id) JOIN outcomes o ON o.candidate_id = r.candidate_id AND o.assignment = r.family GROUP BY 1, 2, 3, 4),
+points AS (SELECT c AS min_confidence, m AS min_margin FROM (SELECT unnest({CONFIDENCES}::DOUBLE[]) AS c), (SELECT unnest({MARGINS}::DOUBLE[]) AS m)),
+grid AS (SELECT min_confidence, min_margin, count(*) AS n, CAST(sum(CASE WHEN {_ONE} THEN 1 ELSE 2 END) AS BIGINT) AS calls, count(*) FILTER (CASE WHEN {_ONE} THEN one_right ELSE two_right END) AS covered,
+  (count(*) FILTER (CASE WHEN {_ONE} THEN one_right ELSE two_right END))::DOUBLE / count(*) AS coverage FROM q, points GROUP BY 1, 2)"""
 
 
-@query("policy_grid", f"""WITH {OUTCOMES}, {_P}, q AS (SELECT a.candidate_id, a.top1, a.margin, bool_or(o.success) FILTER (r.n = 1) AS one_right, bool_or(o.success) FILTER (r.n <= 2) AS two_right FROM a JOIN r USING (candidate_id) JOIN outcomes o ON o.candidate_id = r.candidate_id AND o.assignment = r.family GROUP BY 1, 2, 3),
-grid AS (SELECT c AS min_confidence, m AS min_margin FROM (SELECT unnest({CONFIDENCES}::DOUBLE[]) AS c), (SELECT unnest({MARGINS}::DOUBLE[]) AS m))
-SELECT min_confidence, min_margin, count(*) AS n, CAST(sum(CASE WHEN top1 >= min_confidence AND margin >= min_margin THEN 1 ELSE 2 END) AS BIGINT) AS calls,
-  count(*) FILTER (CASE WHEN top1 >= min_confidence AND margin >= min_margin THEN one_right ELSE two_right END) AS covered,
-  (count(*) FILTER (CASE WHEN top1 >= min_confidence AND margin >= min_margin THEN one_right ELSE two_right END))::DOUBLE / count(*) AS coverage FROM q, grid GROUP BY 1, 2""")
-def policy_grid(spark, sf):
+def _grid(spark, sf):
     o = outcomes(spark, sf)
     by = Window.partitionBy("candidate_id")
     p = o.withColumn("p", F.coalesce(F.try_divide("probability", F.sum("probability").over(by)), F.lit(0.0)))
     r = ranking.ranked(p, ["candidate_id"], F.desc("p"), F.asc("assignment"), name="n")
-    q = r.groupBy("candidate_id").agg(F.max("p").alias("top1"), (F.max("p") - F.max(F.when(F.col("n") == 2, F.col("p")))).alias("margin"), F.max(F.when(F.col("n") == 1, F.col("success"))).alias("top1_right"), F.max(F.when(F.col("n") <= 2, F.col("success"))).alias("top2_right"))
-    return calibration.policy_grid(q, CONFIDENCES, MARGINS)
+    entropy = F.round(F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log("p")).otherwise(0.0)), 9)
+    q = r.groupBy("candidate_id").agg(F.max("p").alias("top1"), (F.max("p") - F.coalesce(F.max(F.when(F.col("n") == 2, F.col("p"))), F.lit(0.0))).alias("margin"), entropy.alias("entropy"), F.max(F.when(F.col("n") == 1, F.col("success"))).alias("top1_right"), F.max(F.when(F.col("n") <= 2, F.col("success"))).alias("right"))
+    return calibration.policy_grid(q, CONFIDENCES, MARGINS, ENTROPY)
+
+
+@query("policy_grid", f"WITH {OUTCOMES}, {_P}, {_GRID} SELECT * FROM grid")
+def policy_grid(spark, sf):
+    return _grid(spark, sf)
+
+
+@query("policy_grid_choice", f"""WITH {OUTCOMES}, {_P}, {_GRID} SELECT *, calls::DOUBLE / n AS average_experts, coverage >= 0.9 AS target_met FROM grid
+ORDER BY coverage < 0.9, CASE WHEN coverage >= 0.9 THEN calls ELSE -coverage END, CASE WHEN coverage >= 0.9 THEN -coverage ELSE calls END, min_confidence, min_margin LIMIT 1""")
+def policy_grid_choice(spark, sf):
+    """The point that calibration keeps."""
+    return calibration.chosen_policy(_grid(spark, sf), 0.9)
 
 
 @query("running_budget", """SELECT event_id, user_id, CAST(sum(CAST(value AS DECIMAL(18,4))) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS spent,
@@ -209,15 +280,16 @@ def json_extract(spark, sf):
     return read(spark, sf, "events").select("event_id", F.try_variant_get(v, "$.k", "int").alias("k"), F.try_variant_get(v, "$.missing", "string").alias("missing"))
 
 
-@query("guard_classify", """WITH g AS (SELECT event_id, ['<', '<=', '>', '>=', '==', '!='][CAST(event_id % 6 + 1 AS INTEGER)] AS op, event_id % 4 = 0 AS sw, CASE WHEN event_id % 3 = 0 THEN 'false' ELSE 'true' END AS branch, event_id % 5 = 0 AS nul FROM events),
-a AS (SELECT *, CASE WHEN sw THEN CASE op WHEN '<' THEN '>' WHEN '<=' THEN '>=' WHEN '>' THEN '<' WHEN '>=' THEN '<=' ELSE op END ELSE op END AS o1 FROM g),
-b AS (SELECT *, CASE WHEN branch = 'false' THEN CASE o1 WHEN '<' THEN '>=' WHEN '<=' THEN '>' WHEN '>' THEN '<=' WHEN '>=' THEN '<' WHEN '==' THEN '!=' ELSE '==' END ELSE o1 END AS o2 FROM a)
-SELECT event_id, CASE WHEN o2 = '!=' AND nul THEN 'non_null' WHEN o2 IN ('<', '<=') THEN 'upper_bound' WHEN o2 IN ('>', '>=') THEN 'lower_bound' WHEN o2 = '==' THEN 'equality' ELSE 'other' END AS guard FROM b""")
+@query("guard_classify", """WITH g AS (SELECT event_id, ['<', '<=', '>', '>=', '==', '!=', '&&', NULL][CAST(event_id % 8 + 1 AS INTEGER)] AS op, event_id % 4 = 1 AS sw, CASE WHEN event_id % 3 = 0 THEN 'false' ELSE 'true' END AS branch, event_id % 5 = 0 AS nul, event_id % 7 = 0 AS bang, event_id % 11 <> 0 AS inside FROM events),
+b AS (SELECT *, CASE WHEN branch = 'false' THEN CASE op WHEN '<' THEN '>=' WHEN '<=' THEN '>' WHEN '>' THEN '<=' WHEN '>=' THEN '<' WHEN '==' THEN '!=' WHEN '!=' THEN '==' END ELSE op END AS o1 FROM g),
+a AS (SELECT *, CASE WHEN sw THEN CASE o1 WHEN '<' THEN '>' WHEN '<=' THEN '>=' WHEN '>' THEN '<' WHEN '>=' THEN '<=' WHEN '==' THEN '==' WHEN '!=' THEN '!=' END ELSE o1 END AS o2 FROM b)
+SELECT event_id, CASE WHEN op IS NULL THEN CASE WHEN NOT inside THEN 'generic' WHEN bang = (branch = 'false') THEN 'non_null' ELSE 'equality' END WHEN o2 = '!=' AND nul THEN 'non_null' WHEN o2 IN ('<', '<=') THEN 'upper_bound' WHEN o2 IN ('>', '>=') THEN 'lower_bound' ELSE 'equality' END AS guard FROM a""")
 def guard_classify(spark, sf):
     e = read(spark, sf, "events")
-    op = F.element_at(F.array(*map(F.lit, ["<", "<=", ">", ">=", "==", "!="])), (F.col("event_id") % 6 + 1).cast("int"))
+    op = F.element_at(F.array(*map(F.lit, ["<", "<=", ">", ">=", "==", "!=", "&&", None])), (F.col("event_id") % 8 + 1).cast("int"))
     branch = F.when(F.col("event_id") % 3 == 0, "false").otherwise("true")
-    return e.select("event_id", scores.guard_kind(op, F.col("event_id") % 4 == 0, branch, F.col("event_id") % 5 == 0).alias("guard"))
+    unary = F.when(F.col("event_id") % 7 == 0, "!")
+    return e.select("event_id", scores.guard_kind(op, F.col("event_id") % 4 == 1, branch, F.col("event_id") % 5 == 0, unary, F.col("event_id") % 11 != 0).alias("guard"))
 
 
 @query("suspicion_score", f"""WITH f AS (SELECT user_id AS candidate_id, {', '.join(f"least(greatest(count(*) FILTER (event_id % 14 = {i} AND event_type <> 'view'), 0), 3.0)::DOUBLE AS c{i}" for i in range(14))} FROM events GROUP BY user_id)
@@ -226,10 +298,24 @@ def suspicion_score(spark, sf):
     e = read(spark, sf, "events")
     counts = [F.count_if((F.col("event_id") % 14 == i) & (F.col("event_type") != "view")).cast("double").alias(f"c{i}") for i in range(14)]
     g = e.groupBy(F.col("user_id").alias("candidate_id")).agg(*counts)
-    features = F.create_map(*[x for i, n in enumerate(scores.SUSPICION_WEIGHTS) for x in (F.lit(f"{n}_count"), F.col(f"c{i}"))])
+    features = F.create_map(*[x for i, n in enumerate(scores.SUSPICION_WEIGHTS) for x in (F.lit(n), F.col(f"c{i}"))])
     return g.select("candidate_id", F.round(scores.suspicion(features), 9).alias("score"))
 
 
+_WEIGHTS = list(scores.SUSPICION_WEIGHTS.items())
+
+
+@query("suspicion_reasons", f"""WITH c AS (SELECT user_id AS candidate_id, CAST(event_id % 14 AS INTEGER) AS i, count(*) FILTER (event_type <> 'view') AS v FROM events GROUP BY 1, 2),
+w AS (SELECT candidate_id, v, ({[n for n, _ in _WEIGHTS]})[i + 1] AS name, CAST({[w for _, w in _WEIGHTS]} AS DOUBLE[])[i + 1] * least(v, 3) AS x FROM c WHERE v > 0)
+SELECT candidate_id, string_agg(name || '=' || v, ',' ORDER BY x DESC, name) AS reasons FROM w GROUP BY candidate_id""")
+def suspicion_reasons(spark, sf):
+    """Every feature that counts, with its value, the largest contribution first."""
+    e = read(spark, sf, "events").where("event_type <> 'view'").groupBy(F.col("user_id").alias("candidate_id"), (F.col("event_id") % 14).cast("int").alias("i")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    name = F.element_at(F.array(*[F.lit(n) for n, _ in _WEIGHTS]), F.col("i") + 1)
+    features = e.groupBy("candidate_id").agg(F.map_from_entries(F.collect_list(F.struct(name.alias("k"), "v"))).alias("f"))
+    return features.select("candidate_id", F.array_join(scores.suspicion_reasons(F.col("f")), ",").alias("reasons"))
+
+
 @query("matrix_cross_join", "WITH u AS (SELECT DISTINCT user_id AS candidate_id FROM events), a AS (SELECT DISTINCT event_type AS assignment FROM events) SELECT * FROM u, a")
 def matrix_cross_join(spark, sf):
     e = read(spark, sf, "events")

@@ -178,28 +178,47 @@ def round_robin(spark, sf):
     return ranking.round_robin(truths(spark, sf), "expert", F.sha2("id", 256)).select("id", "expert", "turn", "position")
 
 
-@query("fuse_groups", f"""WITH {SPANS}, g AS (SELECT case_id, file, count(*) AS findings, count(DISTINCT expert) AS experts, count(DISTINCT project) AS models, max(score) AS best, min(line_start) AS line_start, max(line_end) AS line_end, string_agg(DISTINCT expert, ',' ORDER BY expert) AS supporting FROM truths GROUP BY case_id, file)
-SELECT case_id, file, findings, least(1.0, best + 0.03 * (experts - 1) + 0.02 * (models - 1)) AS confidence, line_start, line_end, supporting FROM g""")
-def fuse_groups(spark, sf):
-    from evidark.functions.scores import fused_confidence
-
-    g = truths(spark, sf).groupBy("case_id", "file").agg(
-        F.count(F.lit(1)).alias("findings"), F.countDistinct("expert").alias("experts"), F.countDistinct("project").alias("models"), F.max("score").alias("best"),
-        F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), F.array_join(F.array_sort(F.collect_set("expert")), ",").alias("supporting"),
+def told_findings(spark, sf):
+    """Findings made from the known spans: sinks, evidence and paths by their numbers, as the tables hold none."""
+    n = lambda c, k: (F.col(c) % k).cast("string")
+    cwes = F.element_at(F.array(*[F.array(F.lit(c)) for c in _CWES], F.array().cast("array<string>")), (F.col("project") % 7 + 1).cast("int"))
+    return truths(spark, sf).select(
+        F.col("id").alias("finding_no"), F.col("id").alias("finding_id"), "case_id", F.col("case_id").cast("string").alias("candidate_id"), "file", F.lit("f").alias("function"), "expert", "line_start", "line_end", cwes.alias("cwes"), F.col("score").alias("confidence"),
+        F.concat(F.lit("m"), n("project", 3)).alias("model_id"), F.when(F.col("project") % 3 > 0, F.concat(F.lit("copy("), n("project", 5), F.lit(")"))).otherwise("").alias("sink"), F.array(F.concat(F.lit("e"), n("project", 9))).alias("evidence_ids"),
+        F.when(F.col("line_start") % 4 == 0, F.array(F.concat(F.lit("p"), n("line_end", 6)))).otherwise(F.array().cast("array<string>")).alias("trigger_path"), F.lit("user").alias("source"),
+        F.element_at(F.array(*map(F.lit, _SAID)), (F.col("line_end") % 5 + 1).cast("int")).alias("title"), F.lit("").alias("root_cause"), F.lit("").alias("consequence"), F.lit("").alias("missing_guard"),
     )
-    return g.select("case_id", "file", "findings", fused_confidence(F.col("best"), F.col("experts"), F.col("models")).alias("confidence"), "line_start", "line_end", "supporting")
 
 
-@query("finding_components", f"""WITH RECURSIVE {SPANS}, e AS (SELECT a.id AS a, b.id AS b FROM truths a JOIN truths b ON a.case_id = b.case_id AND a.file = b.file AND a.expert = b.expert AND a.line_start <= b.line_end + 2 AND b.line_start <= a.line_end + 2),
-reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
-SELECT a AS id, min(b) AS component FROM reach GROUP BY a""")
+_CWES = ["CWE-787", "CWE-416", "CWE-190", "CWE-78", "CWE-252", "CWE-362"]
+_SAID = ["Use-after-free of a node", "unchecked length", "Tainted format string", "nothing in particular", "integer overflow in size"]
+_TOLD = f"""told AS (SELECT id, case_id, file, expert, line_start, line_end, score, project, CASE WHEN project % 7 < 6 THEN [{_CWES}[project % 7 + 1]] ELSE [] END AS cwes, 'm' || project % 3 AS model,
+  CASE WHEN project % 3 > 0 THEN 'copy(' || project % 5 || ')' ELSE '' END AS sink, 'e' || project % 9 AS evidence, CASE WHEN line_start % 4 = 0 THEN 'p' || line_end % 6 END AS step, {_SAID}[line_end % 5 + 1] AS title FROM truths),
+linked AS (SELECT a.id AS a, b.id AS b FROM told a JOIN told b ON a.case_id = b.case_id AND a.file = b.file AND ((a.line_start <= b.line_end + 2 AND b.line_start <= a.line_end + 2) OR (a.sink <> '' AND a.sink = b.sink) OR a.evidence = b.evidence OR a.step = b.step)),
+reach(id, component) USING KEY (id) AS (SELECT a, min(b) FROM linked GROUP BY a UNION (SELECT l.a, min(r.component) FROM linked l JOIN reach r ON r.id = l.b JOIN recurring.reach o ON o.id = l.a GROUP BY l.a HAVING min(r.component) < min(o.component)))"""
+
+
+@query("finding_components", f"WITH RECURSIVE {SPANS}, {_TOLD} SELECT id, component FROM reach")
 def finding_components(spark, sf):
+    """Components of findings that meet by lines, sink, evidence or path."""
+    from evidark.operators.findings import causal_links
     from evidark.operators.graph import components
 
-    t = truths(spark, sf)
-    pairs = spans.near_span_pairs(t).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    own = t.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    return components(pairs.union(own)).select(F.col("node").alias("id"), F.col("root").alias("component"))
+    f = told_findings(spark, sf).withColumn("key", F.col("finding_id"))
+    own = f.select(F.col("key").alias("a"), F.col("key").alias("b"))
+    return components(causal_links(f).union(own)).select(F.col("node").alias("id"), F.col("root").alias("component"))
+
+
+@query("fuse_groups", f"""WITH RECURSIVE {SPANS}, {_TOLD}, g AS (SELECT component, told.* FROM told JOIN reach USING (id)), best AS (SELECT component, arg_min(title, (-score, id)) AS title FROM g GROUP BY component)
+SELECT CAST(case_id AS VARCHAR) AS candidate_id, file, any_value(best.title) AS title, count(*) AS merged, least(1.0, max(score) + 0.03 * (count(DISTINCT expert) - 1) + 0.02 * (count(DISTINCT model) - 1)) AS confidence, min(line_start) AS line_start, max(line_end) AS line_end,
+  string_agg(DISTINCT expert, ',' ORDER BY expert) AS experts, string_agg(DISTINCT model, ',' ORDER BY model) AS models, coalesce(string_agg(DISTINCT cwes[1], ',' ORDER BY cwes[1]), '') AS cwes, string_agg(DISTINCT evidence, ',' ORDER BY evidence) AS evidence_ids
+FROM g JOIN best USING (component) GROUP BY component, case_id, file""")
+def fuse_groups(spark, sf):
+    """Findings of one cause as one."""
+    from evidark.operators.findings import fuse
+
+    joined = [F.array_join(c, ",").alias(c) for c in ("experts", "models", "cwes", "evidence_ids")]
+    return fuse(told_findings(spark, sf)).select("candidate_id", "file", "title", "merged", "confidence", "line_start", "line_end", *joined)
 
 
 @query("feature_pivot", f"""WITH {SPANS} SELECT case_id, {', '.join(f"count(*) FILTER (expert = '{f}') AS {f}_count" for f in FAMILIES)}, coalesce(max(score) FILTER (expert = '{FAMILIES[0]}'), 0) AS memory_score FROM truths GROUP BY case_id""")
@@ -223,26 +242,58 @@ def smallest_label_join_counts(spark, sf):
     return joined.groupBy(F.col("c.expert").alias("expert"), F.col("t.expert").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("t.id").alias("truths"))
 
 
-@query("semantic_match", f"""WITH {SPANS} SELECT candidate_id, truth_id, c_expert = t_expert AS same_family,
-  (c_expert = t_expert) OR (c_expert IN ('memory_bounds', 'integer_overflow') AND t_expert IN ('memory_bounds', 'integer_overflow') AND score >= 0.5) AS matched FROM pairs""")
-def semantic_match(spark, sf):
-    """Location, and one family or the bridge between arithmetic and memory with strong evidence."""
-    c, t = candidates(spark, sf).alias("c"), truths(spark, sf).alias("t")
-    bridge = F.col("c.expert").isin("memory_bounds", "integer_overflow") & F.col("t.expert").isin("memory_bounds", "integer_overflow") & (F.col("c.score") >= 0.5)
-    same = F.col("c.expert") == F.col("t.expert")
-    return c.join(t, spans.overlaps("c", "t")).select(F.col("c.id").alias("candidate_id"), F.col("t.id").alias("truth_id"), same.alias("same_family"), (same | bridge).alias("matched"))
+_KINDS = ["memory_copy", "use_after_release", "arithmetic_to_memory_sink", "source_to_sink", "state", "toctou", "guard_protects_sink", "unchecked_nullable_dereference", "memory_sink"]
+_OWNER = "list_transform(range(9), lambda k: 'e' || k)"
+
+
+def evidence_table(spark, sf):
+    """A candidate for each case of the findings: evidence of all kinds; its file, function and version by its number."""
+    k = F.col("case_id")
+    sink = F.when(k % 2 == 0, (k % 60).cast("string"))
+    facts = lambda kind: F.create_map(F.lit("semantically_protective"), F.when(k % 3 == 0, "true").otherwise("false"), F.lit("sink_line"), sink)
+    held = [F.struct(F.lit(f"e{i}").alias("evidence_id"), F.lit(kind).alias("kind"), facts(kind).alias("facts")) for i, kind in enumerate(_KINDS)]
+    evidence = F.filter(F.array(*held), lambda e: e["evidence_id"] != F.concat(F.lit("e"), (k % 10).cast("string")))
+    return truths(spark, sf).select("case_id").distinct().select(
+        k.cast("string").alias("candidate_id"), (k % 5 == 0).cast("int").alias("file"), F.when(k % 11 == 0, "g").otherwise("f").alias("function"), F.lit(5).alias("line_start"), (F.lit(40) + k % 30).cast("int").alias("line_end"), evidence.alias("evidence"),
+        F.when(k % 4 == 0, F.create_map(F.lit("bounds_guard_count"), F.lit(1.0), F.lit("guard_density"), F.lit(1.5))).otherwise(F.create_map(F.lit("x"), F.lit(0.0))).alias("features"), F.element_at(F.array(F.lit("v1"), F.lit("semantic-cwe-v2")), (k % 2 + 1).cast("int")).alias("feature_schema_version"),
+    )
 
 
-@query("validate_rules", f"""WITH {SPANS}, v AS (SELECT c.id, EXISTS (SELECT 1 FROM pairs p WHERE p.candidate_id = c.id) AS valid, line_end - line_start < 11 AS span_valid, project % 7 = 0 AS contradicted, score FROM candidates c)
-SELECT id, CASE WHEN NOT valid OR NOT span_valid OR contradicted THEN 'rejected' WHEN score < 0.55 THEN 'uncertain' ELSE 'validated' END AS verdict FROM v""")
+_CATEGORY = "CASE cwes[1] WHEN 'CWE-787' THEN 'memory_spatial' WHEN 'CWE-416' THEN 'memory_temporal' WHEN 'CWE-190' THEN 'integer' WHEN 'CWE-78' THEN 'taint_api' WHEN 'CWE-252' THEN 'control_state' WHEN 'CWE-362' THEN 'concurrency' END"
+_CITED = f"""cited AS (SELECT *, {_CATEGORY} AS claimed, 'e' || case_id % 10 <> evidence AS held, CASE WHEN 'e' || case_id % 10 <> evidence THEN {_KINDS}[project % 9 + 1] END AS kind FROM told),
+meant AS (SELECT *, CASE kind WHEN 'memory_copy' THEN 'memory_spatial' WHEN 'memory_sink' THEN 'memory_spatial' WHEN 'use_after_release' THEN 'memory_temporal' WHEN 'unchecked_nullable_dereference' THEN 'memory_temporal' WHEN 'arithmetic_to_memory_sink' THEN 'integer' WHEN 'source_to_sink' THEN 'taint_api' WHEN 'state' THEN 'control_state' WHEN 'toctou' THEN 'concurrency' END AS shown FROM cited)"""
+
+
+@query("validate_rules", f"""WITH RECURSIVE {SPANS}, {_TOLD}, {_CITED}, c AS (SELECT *, file = CAST(case_id % 5 = 0 AS INTEGER) AS file_matches, case_id % 11 <> 0 AS function_matches, line_start <= 40 + case_id % 30 AND line_end >= 5 AS line_reachable, held AS evidence_ids_valid, len(cwes) > 0 AS cwe_present,
+    coalesce(claimed = shown OR (claimed = 'memory_spatial' AND kind = 'arithmetic_to_memory_sink'), FALSE) AS cwe_semantics_supported, score >= 0.55 AS confidence_sufficient,
+    expert = 'memory_bounds' AND NOT coalesce(kind IN ('use_after_release', 'unchecked_nullable_dereference'), FALSE) AND CASE WHEN case_id % 2 = 1 THEN case_id % 3 = 0 AND case_id % 10 <> 6 AND (case_id % 2 = 1 OR case_id % 60 BETWEEN line_start AND line_end) ELSE case_id % 4 = 0 END AS contradicting_guard FROM meant)
+SELECT id, file_matches, function_matches, line_reachable, TRUE AS evidence_exists, evidence_ids_valid, cwe_present, cwe_semantics_supported, confidence_sufficient, contradicting_guard,
+  CASE WHEN NOT (file_matches AND function_matches AND line_reachable AND evidence_ids_valid) OR (case_id % 2 = 1 AND NOT (cwe_present AND cwe_semantics_supported)) OR contradicting_guard THEN 'rejected' WHEN NOT confidence_sufficient THEN 'uncertain' ELSE 'validated' END AS verdict FROM c""")
 def validate_rules(spark, sf):
-    from evidark.functions.scores import verdict
+    """The nine checks and the verdict of every finding."""
+    from evidark.functions.scores import HARD_CHECKS, SEMANTIC_CHECKS
+    from evidark.operators.findings import validate
+
+    names = [*HARD_CHECKS, *SEMANTIC_CHECKS, "confidence_sufficient", "contradicting_guard"]
+    out = validate(told_findings(spark, sf), evidence_table(spark, sf))
+    return out.select(F.col("finding_id").alias("id"), *[F.col("checks")[n].alias(n) for n in names], "verdict")
+
+
+@query("semantic_match", f"""WITH RECURSIVE {SPANS}, {_TOLD}, {_CITED}, f AS (SELECT *, CASE WHEN claimed IS NOT NULL THEN claimed WHEN title = '{_SAID[0]}' THEN 'memory_temporal' WHEN title = '{_SAID[1]}' THEN 'memory_spatial' WHEN title = '{_SAID[2]}' THEN 'taint_api' WHEN title = '{_SAID[4]}' THEN 'integer'
+    WHEN kind = 'unchecked_nullable_dereference' THEN 'control_state' ELSE shown END AS meaning FROM meant),
+w AS (SELECT f.id AS finding_id, c.id AS truth_id, held AS evidence_valid, meaning, CASE c.expert WHEN 'memory_bounds' THEN ['memory_spatial', 'memory_temporal'] WHEN 'lifetime_resource' THEN ['memory_temporal'] WHEN 'integer_overflow' THEN ['integer'] ELSE [c.expert] END AS meant,
+    kind, sink FROM f JOIN candidates c ON f.case_id = c.case_id AND f.file = c.file AND f.line_start <= c.line_end AND f.line_end >= c.line_start),
+r AS (SELECT *, coalesce(list_contains(meant, meaning) OR (meaning = 'integer' AND list_contains(meant, 'memory_spatial') AND coalesce(kind = 'arithmetic_to_memory_sink', FALSE)) OR (meaning = 'taint_api' AND (list_contains(meant, 'memory_spatial') OR list_contains(meant, 'control_state')) AND coalesce(kind = 'source_to_sink', FALSE) AND sink <> ''), FALSE) AS semantic_compatible FROM w)
+SELECT finding_id, truth_id, evidence_valid, semantic_compatible, evidence_valid AND semantic_compatible AS matched, array_to_string(meant, ',') AS truth_categories, coalesce(meaning, '') AS finding_categories,
+  CASE WHEN evidence_valid AND semantic_compatible THEN 'matched' ELSE 'failed: ' || concat_ws(', ', CASE WHEN NOT evidence_valid THEN 'evidence' END, CASE WHEN NOT semantic_compatible THEN 'semantics' END) END AS reason FROM r""")
+def semantic_match(spark, sf):
+    """Findings against open spans as truths: place, evidence and meaning."""
+    from evidark.operators.findings import match_outcomes
 
-    c = candidates(spark, sf)
-    hit = spans.hits(c, truths(spark, sf)).select("id").withColumn("hit", F.lit(True))
-    marked = c.join(hit, "id", "left")
-    checks = {"evidence_valid": F.coalesce("hit", F.lit(False)), "span_valid": F.col("line_end") - F.col("line_start") < 11}
-    return marked.select("id", verdict(checks, F.col("project") % 7 == 0, F.col("score")).alias("verdict"))
+    none = F.array().cast("array<string>")
+    t = candidates(spark, sf).select(F.col("id").alias("truth_id"), "case_id", "file", "line_start", "line_end", none.alias("cwes"), F.array("expert").alias("experts"))
+    out = match_outcomes(told_findings(spark, sf), t, evidence_table(spark, sf))
+    return out.drop("location_match").withColumns({c: F.array_join(c, ",") for c in ("truth_categories", "finding_categories")})
 
 
 @query("brace_regions", """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM d)

@@ -30,13 +30,62 @@ def test_answers_to_verdicts(spark, routed):
     one = {"title": "t", "line_start": 1, "line_end": 1, "cwes": ["cwe 0415", "x"], "evidence_ids": ids, "sink": "free(p)", "trigger_path": ["p"], "confidence": 0.7}
     rows = [(r.candidate_id, "memory_bounds", "m1", json.dumps({"findings": [one]})), (r.candidate_id, "control_state", "m2", json.dumps({"findings": [one | {"confidence": 7, "evidence_ids": ids + ["no"]}, one | {"line_start": 90, "line_end": 80, "trigger_path": [], "evidence_ids": ["other"]}]})), (r.candidate_id, "x", "m", "not json")]
     out = conclude(spark.createDataFrame(rows, "candidate_id string, expert string, model_id string, content string"), routed[1]).collect()
-    a, b = sorted(out, key=lambda x: x.line_start)
-    assert (a.merged, a.experts, a.models, a.confidence, a.cwes, a.verdict) == (2, ["control_state", "memory_bounds"], ["m1", "m2"], 1.0, ["CWE-415"], "rejected")
-    assert (b.merged, b.checks["evidence_valid"], b.line_end) == (1, False, 90)
+    [a] = out  # the third is elsewhere, but on the same sink
+    assert (a.merged, a.experts, a.models, a.confidence, a.cwes, a.verdict) == (3, ["control_state", "memory_bounds"], ["m1", "m2"], 1.0, ["CWE-415"], "rejected")
+    assert (a.line_start, a.line_end, a.checks["evidence_ids_valid"], a.checks["file_matches"], len(a.checks)) == (1, 90, False, True, 9)
     fine = conclude(spark.createDataFrame(rows[:1], "candidate_id string, expert string, model_id string, content string"), routed[1])
     assert [x.verdict for x in findings.validated(fine).collect()] == ["validated"]
 
 
+ONE = dict(candidate_id="c", file="a.c", function="f", expert="memory_bounds", model_id="m", title="t", root_cause="r", consequence="q", source="", sink="", missing_guard="", trigger_path=[], cwes=["CWE-787"], evidence_ids=[], confidence=0.6)
+KIND = "finding_no long, candidate_id string, file string, function string, expert string, model_id string, title string, root_cause string, consequence string, source string, sink string, missing_guard string, trigger_path array<string>, cwes array<string>, evidence_ids array<string>, line_start int, line_end int, confidence double"
+
+
+def rows_of(spark, *changes):
+    return spark.createDataFrame([{**ONE, "finding_no": i, **c} for i, c in enumerate(changes)], KIND)
+
+
+def test_each_cause_fuses(spark):
+    lines = lambda a, b, **more: dict(line_start=a, line_end=b, **more)
+    apart = [(lines(1, 2), lines(9, 9)), (lines(1, 2, sink=""), lines(9, 9, sink="")), (lines(1, 2, evidence_ids=["x"]), lines(9, 9, evidence_ids=["y"])), (lines(1, 2), lines(3, 4, function="g"))]
+    together = [(lines(1, 5), lines(7, 9)), (lines(1, 2, sink="memcpy (d)"), lines(9, 9, sink="MEMCPY(d)")), (lines(1, 2, evidence_ids=["x"]), lines(9, 9, evidence_ids=["z", "x"])), (lines(1, 2, trigger_path=["p"]), lines(9, 9, trigger_path=["q", "p"]))]
+    assert [findings.fuse(rows_of(spark, *p)).count() for p in apart] == [2] * 4
+    assert [findings.fuse(rows_of(spark, *p)).count() for p in together] == [1] * 4
+    chain = rows_of(spark, lines(1, 2, sink="s", expert="taint_api", model_id="n", cwes=["CWE-20"], trigger_path=["b", "a"]), lines(50, 51, sink="s", evidence_ids=["e"], confidence=0.9, title="best"), lines(90, 91, evidence_ids=["e"], cwes=["CWE-119"], trigger_path=["a", "c"]))
+    [r] = findings.fuse(chain).collect()
+    assert (r.merged, r.title, r.cwes, r.evidence_ids, r.trigger_path, r.experts, r.models, r.line_start, r.line_end) == (3, "best", ["CWE-119", "CWE-20", "CWE-787"], ["e"], ["b", "a", "c"], ["memory_bounds", "taint_api"], ["m", "n"], 1, 91)
+    assert r.confidence == pytest.approx(0.95)
+
+
+CANDIDATE = "candidate_id string, file string, function string, line_start int, line_end int, evidence array<struct<evidence_id:string,kind:string,facts:map<string,string>>>, features map<string,double>, feature_schema_version string"
+
+
+def test_nine_checks(spark):
+    guard = ("g", "guard_protects_sink", {"semantically_protective": "True", "sink_line": "12"})
+    rows = [("c", "a.c", "f", 10, 20, [("e", "memory_copy_without_guard", {}), ("u", "use_after_release", {})], {}, "semantic-cwe-v2"), ("d", "a.c", "f", 10, 20, [("e", "memory_copy", {}), ("u", "double_release", {}), guard], {}, "semantic-cwe-v2"), ("old", "a.c", "f", 10, 20, [("e", "memory_sink", {})], {"bounds_guard_count": 1.0, "guard_density": 1.0}, "v1")]
+    c = spark.createDataFrame(rows, CANDIDATE)
+    one = dict(line_start=12, line_end=13, evidence_ids=["e"])
+    cases = [({}, "validated"), ({"file": "b.c"}, "rejected"), ({"function": "g"}, "rejected"), ({"line_start": 21, "line_end": 22}, "rejected"), ({"line_start": 1, "line_end": 10}, "validated"), ({"evidence_ids": []}, "rejected"), ({"evidence_ids": ["e", "no"]}, "rejected"), ({"cwes": []}, "rejected"), ({"cwes": ["CWE-78"]}, "rejected"), ({"confidence": 0.5}, "uncertain"), ({"candidate_id": "none"}, "rejected"),
+             ({"candidate_id": "d"}, "rejected"), ({"candidate_id": "d", "line_start": 14, "line_end": 15}, "validated"), ({"candidate_id": "d", "evidence_ids": ["u"], "cwes": ["CWE-415"]}, "validated"), ({"candidate_id": "d", "expert": "taint_api"}, "validated"), ({"candidate_id": "old"}, "rejected"), ({"candidate_id": "old", "cwes": [], "expert": "control_state"}, "validated")]
+    got = findings.validate(rows_of(spark, *[{**one, **x} for x, _ in cases]), c).orderBy("finding_no").collect()
+    assert [r.verdict for r in got] == [v for _, v in cases]
+    assert all(len(r.checks) == 9 for r in got) and got[11].checks["contradicting_guard"]
+
+
+def test_outcomes_match_by_place_evidence_and_meaning(spark):
+    c = spark.createDataFrame([("c", "a.c", "f", 1, 99, [("e", "memory_copy", {}), ("i", "arithmetic_to_memory_sink", {}), ("t", "source_to_sink", {}), ("n", "unchecked_nullable_dereference", {})], {}, "v")], CANDIDATE)
+    truths = spark.createDataFrame([("t", "k", "a.c", 10, 12, ["CWE-787"], ["memory_bounds"]), ("u", "k", "a.c", 30, 32, [], ["control_state"])], "truth_id string, case_id string, file string, line_start int, line_end int, cwes array<string>, experts array<string>")
+    at, far = dict(line_start=11, line_end=40, evidence_ids=["e"]), dict(line_start=70, line_end=71, evidence_ids=["e"])
+    cases = [(at, {"t"}), (far, None), ({**at, "evidence_ids": []}, set()), ({**at, "cwes": ["CWE-190"]}, set()), ({**at, "cwes": ["CWE-190"], "evidence_ids": ["i"]}, {"t"}), ({**at, "cwes": ["CWE-78"], "evidence_ids": ["t"]}, set()), ({**at, "cwes": ["CWE-78"], "evidence_ids": ["t"], "source": "s", "sink": "k"}, {"t", "u"}),
+             ({**at, "cwes": [], "root_cause": "Unchecked return value"}, {"u"}), ({**at, "cwes": [], "evidence_ids": ["n"]}, {"u"}), ({**at, "cwes": []}, {"t"})]
+    f = rows_of(spark, *[x for x, _ in cases]).selectExpr("*", "finding_no AS finding_id", "'k' AS case_id")
+    got = findings.match_outcomes(f, truths, c).collect()
+    for i, (_, want) in enumerate(cases):
+        rows = [r for r in got if r.finding_id == i]
+        assert (not rows) if want is None else ({r.truth_id for r in rows if r.matched} == want and len(rows) == 2)
+    assert {r.reason for r in got} >= {"matched", "failed: evidence", "failed: semantics"}
+
+
 def test_retrieval_and_packets(spark):
     q = spark.createDataFrame([(1, "taint_api", "call to system here")], "query_id int, family string, text string")
     e = spark.createDataFrame([("k1", "System calls", "never call", ["x"], ["Here"]), ("k2", "other", "nothing", ["taint_api"], None), ("k3", "a", "b", ["y"], [])], "knowledge_id string, title string, content string, families array<string>, tags array<string>")

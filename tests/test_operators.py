@@ -157,9 +157,9 @@ def test_taxonomy(spark):
     w = {n: (c, e) for n, c, e in taxonomy.weaknesses()}
     assert [w[n][1] for n in (401, 190, 78, 252, 367, 476)] == ["memory_bounds", "integer_overflow", "taint_api", "control_state", "concurrency", "memory_bounds"]
     assert w[457][0] == "control_state"
-    df = spark.createDataFrame([("Heap-buffer-overflow WRITE 4",), ("Heap-use-after-free READ 8",), ("whatever",), (None,)], "d string")
+    df = spark.createDataFrame([("Heap-buffer-overflow WRITE 4",), ("Heap-use-after-free READ 8",), ("whatever",), (None,), ("heap use after free",), ("Null dereference",), ("signed integer overflow",)], "d string")
     got = [tuple(r.c) for r in df.select(taxonomy.crash_class(F.col("d")).alias("c")).collect()]
-    assert got == [("memory_bounds", 787), ("lifetime_resource", 416), ("control_state", None), ("control_state", None)]
+    assert got == [("memory_bounds", 787), ("lifetime_resource", 416), ("control_state", None), ("control_state", None), ("control_state", None), ("control_state", None), ("integer_overflow", 190)]
     names = spark.createDataFrame([("cwe-0190 x",), ("none",), ("CWE_78",)], "t string").select(taxonomy.normal_name(F.col("t"))).collect()
     assert [r[0] for r in names] == ["CWE-190", None, "CWE-78"]
 
@@ -169,13 +169,21 @@ def test_scores(spark):
     value = lambda c: one.select(c.alias("v")).first().v
     f = F.create_map(F.lit("double_release_count"), F.lit(9.0), F.lit("memory_copy_count"), F.lit(-1.0))
     assert abs(value(scores.suspicion(f)) - (1 - 2.718281828459045**-3)) < 1e-12
-    assert value(scores.suspicion_reasons(f)) == ["double_release=3.00"]
+    assert value(scores.suspicion_reasons(f)) == ["double_release_count=9"]
+    many = F.create_map(*[F.lit(x) for kv in (("double_release_count", 1.0), ("use_after_release_count", 1.0), ("memory_copy_count", 2.5), ("array_access_count", 7.0)) for x in kv])
+    assert value(scores.suspicion_reasons(many)) == ["double_release_count=1", "use_after_release_count=1", "memory_copy_count=2.5", "array_access_count=7"]
     assert value(scores.fused_confidence(F.lit(0.7), F.lit(2), F.lit(2))) == pytest.approx(0.75)
     assert value(scores.floor_score(F.lit(0.2), F.lit(0.95))) == 0.95
     assert value(scores.guard_kind(F.lit(">"), F.lit(False), F.lit("false"), F.lit(False))) == "upper_bound"
     assert value(scores.guard_kind(F.lit("=="), F.lit(False), F.lit("false"), F.lit(True))) == "non_null"
-    assert value(scores.verdict({"evidence_valid": F.lit(None).cast("boolean")}, F.lit(False), F.lit(0.6))) == "validated"
-    assert value(scores.verdict({"evidence_valid": F.lit(False)}, F.lit(False), F.lit(0.9))) == "rejected"
+    none = F.lit(None).cast("string")
+    kind = lambda op, right=False, branch="true", null=False, unary=None, inside=True: value(scores.guard_kind(none if op is None else F.lit(op), F.lit(right), F.lit(branch), F.lit(null), none if unary is None else F.lit(unary), F.lit(inside)))
+    assert [kind("!="), kind("!=", null=True), kind("==", null=True), kind("&&", branch="false"), kind("<", right=True), kind("<", branch="false", right=True)] == ["equality", "non_null", "equality", "equality", "lower_bound", "upper_bound"]
+    assert [kind(None), kind(None, branch="false"), kind(None, unary="!"), kind(None, unary="!", branch="false"), kind(None, inside=False)] == ["non_null", "equality", "equality", "non_null", "generic"]
+    good = dict.fromkeys([*scores.HARD_CHECKS, *scores.SEMANTIC_CHECKS, "confidence_sufficient"], F.lit(True)) | {"contradicting_guard": F.lit(False)}
+    said = lambda version="", **more: value(scores.verdict(good | {k: F.lit(v) for k, v in more.items()}, F.lit(version)))
+    assert [said(), said(file_matches=False), said(contradicting_guard=True), said(confidence_sufficient=False), said(cwe_present=False), said("semantic-cwe-v2", cwe_present=False)] == ["validated", "rejected", "rejected", "uncertain", "validated", "rejected"]
+    assert value(scores.independence(F.lit(1.5), F.lit(-1.0))) == 1.0 and value(scores.independence_of(F.array(F.lit(0.5), F.lit(0.5), F.lit(2.0)))) == 1.0
     route = scores.anchor_route(["m", "c"], F.create_map(F.lit("x"), F.lit(0.5), F.lit("y"), F.lit(0.9), F.lit("m"), F.lit(1.0)), {"x": 0.5, "y": 0.1})
     assert value(route) == ["m", "c", "y", "x"]
     fused = value(scores.fused_scores(F.create_map(F.lit("a"), F.lit(0.6)), F.create_map(F.lit("b"), F.lit(0.3))))

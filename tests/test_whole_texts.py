@@ -15,7 +15,7 @@ OPENING = "Licensed under the Apache License, Version 2.0. "
 def test_texts_with_one_opening_are_not_copies(spark, tmp_path):
     texts = [OPENING + "one  body", OPENING + "another body", OPENING.upper() + "ONE\nbody ", None]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = sorted((r.doc_id, r.copies) for r in catalog.queries()["fingerprint_dedup_whole"](spark, str(tmp_path)).collect())
+    got = sorted((r.doc_id, r.copies) for r in catalog.queries()["fingerprint_dedup"](spark, str(tmp_path)).collect())
     assert got == [(0, 2), (1, 1), (3, 1)]
 
 
