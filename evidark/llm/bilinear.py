@@ -52,9 +52,8 @@ DIM, NOISE, STEPS, RATE = 48, 8, 160, 0.05
 #: What the neural models' probability weighs against counts of pairs, in tokens.
 PRIOR = 5000.0
 END = b"\n"
-#: Tokens of a row (it ends earlier where its distinct words would pass ``DISTINCT``), of a part of a text, and numbers
-#: that a bucket holds on average.
-ROW, DISTINCT, PART, KEYS = 600_000, 65_000, 10_000, 2_000_000
+#: Tokens of a row and of a part of a text, and numbers that a bucket holds on average.
+ROW, PART, KEYS = 800_000, 10_000, 2_000_000
 LOG10 = np.log(10.0)
 
 ROWS = "row long, rid array<long>, doc_id array<long>, training array<boolean>, n array<int>, lead array<int>, key binary, c binary, at binary"
@@ -72,13 +71,13 @@ CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def pressed(x: np.ndarray) -> bytes:
-    """Compressed: half of what is written and shuffled are these numbers."""
-    return len(x).to_bytes(8, "little") + CODEC.compress(np.ascontiguousarray(x), asbytes=True)
+    """32-bit numbers compressed, first bytes first: a third of what is written and shuffled are these."""
+    return len(x).to_bytes(8, "little") + CODEC.compress(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T), asbytes=True)
 
 
-def unpressed(data: bytes, kind: type) -> np.ndarray:
+def unpressed(data: bytes) -> np.ndarray:
     n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(CODEC.decompress(data[8:], n * np.dtype(kind).itemsize, asbytes=True), kind)
+    return np.ascontiguousarray(np.frombuffer(CODEC.decompress(data[8:], 4 * n, asbytes=True), np.uint8).reshape(4, n).T).view("<i4").ravel()
 
 
 def encoded(batches: Iterator[pa.RecordBatch], size: int = ROW) -> Iterator[pa.RecordBatch]:
@@ -96,7 +95,7 @@ def encoded(batches: Iterator[pa.RecordBatch], size: int = ROW) -> Iterator[pa.R
         c = np.bincount(joined[np.repeat(np.array(learnt, bool), n)], minlength=len(place))
         lists = (np.array(texts, np.int64), pa.array(ids, pa.int64()), pa.array(learnt), np.array(n, np.int32), np.array(lead, np.int32))
         lists = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v if isinstance(v, pa.Array) else pa.array(v)) for v in lists]
-        packed = [np.array([number(w) for w in place], np.int64).tobytes(), pressed(c.astype(np.int32)), pressed(joined)]
+        packed = [np.array([number(w) for w in place], np.int64).tobytes(), pressed(c), pressed(joined)]
         return pa.record_batch([pa.array([task + next(rows)], pa.int64()), *lists, *[pa.array([x], pa.binary()) for x in packed]], ["row", "rid", "doc_id", "training", "n", "lead", "key", "c", "at"])
 
     place, at, columns = fresh()
@@ -108,11 +107,11 @@ def encoded(batches: Iterator[pa.RecordBatch], size: int = ROW) -> Iterator[pa.R
             text_number, before = task + next(rid), [END, END]
             for start in range(0, len(words), PART):
                 part = words[start : start + PART]
-                if held >= size or len(place) + len(part) + 2 > DISTINCT:
+                if held >= size:
                     yield row(place, at, columns)
                     place, at, columns = fresh()
                     held = 0
-                at.append(np.fromiter(map(place.__getitem__, part), np.uint16, len(part)))
+                at.append(np.fromiter(map(place.__getitem__, part), np.int32, len(part)))
                 for column, x in zip(columns, (text_number, doc, learnt, len(part))):
                     column.append(x)
                 columns[4].extend([place[w] for w in before])
@@ -141,7 +140,7 @@ class Row:
             f = {name: batch.column(batch.schema.get_field_index(name))[i] for name in cls.__dataclass_fields__}
             plain = {name: f[name].values.to_numpy(zero_copy_only=False) for name in ("rid", "training", "n", "lead")}
             key, c, at = (f[name].as_py() for name in ("key", "c", "at"))
-            yield cls(row=f["row"].as_py(), doc_id=f["doc_id"].values.to_pylist(), **plain, key=np.frombuffer(key, np.int64), c=unpressed(c, np.int32), at=unpressed(at, np.uint16).astype(np.int64))
+            yield cls(row=f["row"].as_py(), doc_id=f["doc_id"].values.to_pylist(), **plain, key=np.frombuffer(key, np.int64), c=unpressed(c) if c else np.empty(0, np.int32), at=unpressed(at))
 
     def before(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of the words one and two before each token."""
@@ -188,7 +187,7 @@ def head_of(spark: SparkSession, rows: DataFrame) -> Head:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                key, c = np.frombuffer(key, np.int64), unpressed(c, np.int32)
+                key, c = np.frombuffer(key, np.int64), unpressed(c)
                 yield pa.record_batch([pa.array(key[c > 0]), pa.array(c[c > 0])], ["key", "c"])
 
     words = rows.select("key", "c").mapInArrow(counts, "key long, c int").groupBy("key").agg(F.sum("c").alias("c"))
@@ -321,7 +320,7 @@ class Asked:
         far = np.flatnonzero((unit[before] >= WORDS) | (unit[r.at] >= WORDS))
         rare = np.flatnonzero(known < 0)
         asked = np.concatenate([mixed(r.key[before[far]], r.key[r.at[far]]), mixed(r.key[rare], 1)])
-        n = np.concatenate([np.repeat(r.training, r.n)[far].astype(np.int64), r.c[rare].astype(np.int64)])
+        n = np.concatenate([np.repeat(r.training, r.n)[far].astype(np.int64), (r.c[rare] if len(r.c) else np.zeros(len(rare))).astype(np.int64)])
         order = np.argsort(asked)
         some = asked[order]
         first = np.r_[True, some[1:] != some[:-1]] if len(some) else np.empty(0, bool)
@@ -434,7 +433,7 @@ def lm_scores(spark: SparkSession, docs: DataFrame) -> DataFrame:
         got = np.concatenate([np.empty(0, np.int64), *got])
         return pa.concat_tables([row_scores(r, head.value, model.value, got) for r in Row.of(left.combine_chunks())])
 
-    parts = rows.groupBy("row").cogroup(sums.groupBy("row")).applyInArrow(finish, SCORES)
+    parts = rows.withColumn("c", F.lit(b"")).groupBy("row").cogroup(sums.groupBy("row")).applyInArrow(finish, SCORES)
     texts = parts.groupBy("rid").agg(*[F.max(x).alias(x) for x in ("doc_id", "held_out")], *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base", "score")])
     return texts.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(found.tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
