@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidark.operators import graph
+from evidark.operators.assertions import DataError
 from evidark.operators.ranking import hash_order
 
 
@@ -18,17 +19,58 @@ def hash_split(keys: DataFrame, key: str, seed: str = "2026", test: float = 0.15
     return rows.select(key, split.alias("split"))
 
 
-def placed(rows: DataFrame, digest: str, *then: str) -> DataFrame:
-    """``rows`` with place (1, 2, ... by hexadecimal digest and ``then``) and n (of all rows), without one order in one task.
+def placed(rows: DataFrame, digest: str, *then: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with place (1, 2, ... by hexadecimal digest and ``then``) and n (of all rows) in each group of ``by``, without
+    one order in one task.
 
     Rows are ranked inside the 4,096 ranges of the digest's first three digits; a range starts where those before it end.
     """
     ranged = rows.withColumn("_range", F.substring(digest, 1, 3))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    order = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_range", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("n"))  # at most 4,096 rows
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(digest, *then))
-    return ranged.withColumn("_inside", inside).join(F.broadcast(starts), "_range").withColumn("place", F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")
+    counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*by, "_range", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*by)).alias("n"))  # at most 4,096 rows a group
+    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy(digest, *then))
+    return ranged.withColumn("_inside", inside).join(starts, [*by, "_range"]).withColumn("place", F.col("_before") + F.col("_inside")).drop("_range", "_before", "_inside")
+
+
+def stratified_split(rows: DataFrame, family: str, project: str, seed: str = "2026", share: float = 0.15) -> DataFrame:
+    """project, split: in each family, projects in hash order: the last share test, the one before dev, at least one each.
+
+    A project of several families has the split of the last family by name. Families of fewer than three projects raise.
+    """
+    pairs = rows.select(F.col(family).alias("_family"), F.col(project)).distinct()
+    few = pairs.groupBy("_family").count().where("count < 3").select("_family").limit(3).collect()
+    if few:
+        raise DataError(f"families with fewer than three projects: {', '.join(sorted(str(r[0]) for r in few))}")
+    digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col("_family").cast("string"), F.col(project).cast("string")), 256)
+    p = placed(pairs.withColumn("_h", digest), "_h", project, by=("_family",))
+    held = F.greatest(F.lit(1), F.bround(F.col("n") * share).cast("long"))
+    split = F.when(F.col("place") > F.col("n") - held, "test").when(F.col("place") > F.col("n") - 2 * held, "dev").otherwise("train")
+    return p.groupBy(project).agg(F.max_by(split, F.col("_family")).alias("split"))
+
+
+def inherited(rows: DataFrame, key: str, original: str, *columns: str) -> DataFrame:
+    """``rows`` where a duplicate (``original`` names another row's key) has that row's ``columns``; others keep their own."""
+    source = rows.select(F.col(key).alias("_key"), F.struct(*columns).alias("_theirs"))
+    both = rows.join(source, F.col(original) == F.col("_key"), "left")
+    return both.select(*[F.when(F.col("_key").isNotNull(), F.col("_theirs")[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def frozen_manifest(manifest: dict, seed: int = 2026) -> dict[str, set[str]]:
+    """Projects of each split in a frozen manifest; an error where it lacks a split, counts or projects, or lets one leak."""
+    try:
+        items = manifest["splits"]
+        projects = {s: {str(x) for x in items[s]["projects"]} for s in ("train", "dev", "test")}
+        counts = {s: int(items[s]["case_count"]) for s in projects}
+    except (KeyError, TypeError, ValueError) as e:
+        raise DataError(f"manifest lacks counts or projects: {e}") from e
+    for s, own in projects.items():
+        if counts[s] < 1 or not own:
+            raise DataError(f"{s} has no cases or projects")
+        for other in projects:
+            if other > s and own & projects[other]:
+                raise DataError(f"projects in {s} and {other}: {', '.join(sorted(own & projects[other])[:10])}")
+    return projects
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
