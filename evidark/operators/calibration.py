@@ -7,16 +7,18 @@ from pyspark.sql import functions as F
 
 from evidark.operators import spans
 from evidark.operators.metrics import ratio
+from evidark.operators.ranking import running
 
 
 def cumulative(df: DataFrame, by: list[str], score: str, descending: bool, **sums: Column) -> DataFrame:
     """For each distinct score of a group, the sums over all rows at it or beyond (ties together).
 
-    Sums by score are made first, so the ordered window holds one row for each distinct score.
+    Sums by score are made first, so the ordered windows hold one row for each distinct score; they run over 1,024ths of
+    the scores' usual range, 0 to 1.
     """
     per = df.groupBy(*by, score).agg(*[F.sum(c).alias(k) for k, c in sums.items()])
-    order = Window.partitionBy(*by).orderBy(F.desc(score) if descending else F.asc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    return per.select(*by, score, *[F.sum(k).over(order).alias(k) for k in sums])
+    bins = F.least(F.greatest(F.floor(F.col(score) * 1024), F.lit(-1)), F.lit(1024))
+    return running(per, by, F.col(score), bins, descending, **{k: k for k in sums}).select(*by, score, *[F.col(f"{k}_upto").alias(k) for k in sums])
 
 
 def gate_calibration(candidates: DataFrame, truths: DataFrame, target: float = 0.98) -> DataFrame:

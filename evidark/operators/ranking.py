@@ -52,12 +52,29 @@ def adaptive_top_k(scores: DataFrame, group: str, confidence: float = 0.72, marg
     return out.select(group, "top1", "margin", "entropy", F.slice("families", 1, F.when(single, 1).otherwise(2)).alias("selected"))
 
 
+def running(rows: DataFrame, by: list[str], order: Column, bin_: Column, descending: bool = False, **sums: str) -> DataFrame:
+    """``rows`` with <name>_upto: the sum of a column over the rows of the group up to and with each, in the order given.
+
+    ``bin_`` grows with ``order``: rows are summed inside their bins, and bins in one short window, so that no task orders
+    a whole group.
+    """
+    way = (lambda c: c.desc()) if descending else (lambda c: c.asc())
+    r = rows.withColumn("_bin", bin_)
+    bins = r.groupBy(*by, "_bin").agg(*[F.sum(c).alias(f"_{k}") for k, c in sums.items()])
+    earlier = Window.partitionBy(*by).orderBy(way(F.col("_bin"))).rowsBetween(Window.unboundedPreceding, -1)
+    before = bins.select(*by, "_bin", *[F.coalesce(F.sum(f"_{k}").over(earlier), F.lit(0)).alias(f"_{k}") for k in sums])
+    inside = Window.partitionBy(*by, "_bin").orderBy(way(order)).rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumns({f"_in_{k}": F.sum(c).over(inside) for k, c in sums.items()})
+    joined = r.join(before, [*by, "_bin"])
+    return joined.select(*rows.columns, *[(F.col(f"_{k}") + F.col(f"_in_{k}")).alias(f"{k}_upto") for k in sums])
+
+
 def round_robin(df: DataFrame, group: str, *order: Column) -> DataFrame:
     """position: one row of each group in turn, groups by name."""
     rows = ranked(df, [group], *order, name="turn")
     # one order over all rows is what is asked for: it is made from counts by turn, so no task sees all rows
     turns = rows.groupBy("turn").agg(F.count(F.lit(1)).alias("n"))
-    before = turns.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = running(turns, [], F.col("turn"), F.floor(F.col("turn") / 4096), n="n").withColumn("before", F.col("n_upto") - F.col("n"))
     placed = rows.join(before.select("turn", "before"), "turn")
     return placed.withColumn("position", F.col("before") + F.row_number().over(Window.partitionBy("turn").orderBy(group))).drop("before")
 

@@ -56,13 +56,21 @@ def merge_split_audit(spark, sf):
     return splits.merge_audit([("a", o.where("o_orderkey % 3 <> 0")), ("b", o.where("o_orderkey % 3 <> 1"))], "o_orderkey", "o_custkey")
 
 
-@query("deficit_assignment")
+@query("deficit_assignment", """WITH RECURSIVE c AS (SELECT o_orderpriority AS family, o_custkey AS cluster, count(*) AS size FROM orders GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY size DESC, cluster) AS n, CAST(sum(size) OVER (PARTITION BY family) AS DOUBLE) AS total FROM c),
+w AS (SELECT *, 0.7::DOUBLE * total AS a, 0.15::DOUBLE * total AS b FROM r), s AS (SELECT family, 0::BIGINT AS n, NULL::BIGINT AS cluster, NULL::VARCHAR AS split, 0::BIGINT AS train, 0::BIGINT AS dev, 0::BIGINT AS test FROM r GROUP BY family
+  UNION ALL SELECT family, n, cluster, split, train + CASE WHEN split = 'train' THEN size ELSE 0 END, dev + CASE WHEN split = 'dev' THEN size ELSE 0 END, test + CASE WHEN split = 'test' THEN size ELSE 0 END
+  FROM (SELECT w.family, w.n, w.cluster, w.size, s.train, s.dev, s.test, CASE WHEN (a - train) / a >= greatest((b - test) / b, (b - dev) / b) THEN 'train' WHEN (b - test) / b >= (b - dev) / b THEN 'test' ELSE 'dev' END AS split FROM s JOIN w ON w.family = s.family AND w.n = s.n + 1))
+SELECT family, cluster, split FROM s WHERE n > 0""")
 def deficit_assignment(spark, sf):
     c = read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("family"), F.col("o_custkey").alias("cluster")).agg(F.count(F.lit(1)).alias("size"))
     return splits.deficit_assignment(c, "family", {"train": 0.7, "dev": 0.15, "test": 0.15})
 
 
-@query("quota_sample")
+@query("quota_sample", """WITH RECURSIVE r AS (SELECT p_type, p_partkey AS id, p_brand, p_size, row_number() OVER (PARTITION BY p_type ORDER BY p_partkey) AS n FROM part),
+s AS (SELECT p_type, 0::BIGINT AS n, NULL::BIGINT AS id, NULL::VARCHAR AS p_brand, NULL::BIGINT AS p_size, FALSE AS kept, []::VARCHAR[] AS brands, []::BIGINT[] AS sizes FROM r GROUP BY p_type
+  UNION ALL SELECT p_type, n, id, p_brand, p_size, kept, CASE WHEN kept THEN list_append(brands, p_brand) ELSE brands END, CASE WHEN kept THEN list_append(sizes, p_size) ELSE sizes END
+  FROM (SELECT r.p_type, r.n, r.id, r.p_brand, CAST(r.p_size AS BIGINT) AS p_size, s.brands, s.sizes, len(list_filter(s.brands, lambda b: b = r.p_brand)) < 12 AND len(list_filter(s.sizes, lambda x: x = r.p_size)) < 5 AS kept FROM s JOIN r ON r.p_type = s.p_type AND r.n = s.n + 1))
+SELECT p_type, id, p_brand, p_size FROM s WHERE kept""")
 def quota_sample(spark, sf):
     p = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), "p_type", "p_brand", "p_size")
     return ranking.quota_sample(p, {"p_brand": 12, "p_size": 5}, "p_type")

@@ -256,7 +256,9 @@ def running_budget(spark, sf):
     return ranking.running_budget(e, ["user_id"], "value", 500.0, F.asc("ts"), F.asc("event_id")).select("event_id", "user_id", F.col("spent").cast("double").alias("spent"), "admitted")
 
 
-@query("budget_admission")
+@query("budget_admission", """WITH RECURSIVE r AS (SELECT user_id, event_id AS id, CAST(event_id % 17 + 1 AS DOUBLE) AS cost, row_number() OVER (PARTITION BY user_id ORDER BY event_type = 'purchase' DESC, value DESC, event_id) AS n FROM events),
+s AS (SELECT user_id, n, id, CASE WHEN cost <= 120 THEN 120 - cost ELSE 120 END AS room, cost <= 120 AS admitted FROM r WHERE n = 1
+  UNION ALL SELECT r.user_id, r.n, r.id, CASE WHEN r.cost <= s.room THEN s.room - r.cost ELSE s.room END, r.cost <= s.room FROM s JOIN r ON r.user_id = s.user_id AND r.n = s.n + 1) SELECT user_id, id, admitted FROM s""")
 def budget_admission(spark, sf):
     e = read(spark, sf, "events").select("user_id", F.col("event_id").alias("id"), (F.col("event_type") == "purchase").alias("first"), F.col("value").alias("priority"), (F.col("event_id") % 17 + 1).cast("double").alias("cost"))
     return ranking.budget_admission(e, "user_id", 120.0)

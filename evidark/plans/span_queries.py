@@ -85,7 +85,10 @@ def ordered_pair_self_join(spark, sf):
     return spans.ordered_pairs(all_spans(spark, sf), "case_id", "line_start", F.col("flag") == "R", F.col("flag") == "A")
 
 
-@query("greedy_match")
+@query("greedy_match", f"""WITH RECURSIVE {SPANS}, f AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY -score, id) AS n FROM candidates), t AS (SELECT case_id, list({{'id': id, 'file': file, 'a': line_start, 'b': line_end}} ORDER BY line_start, id) AS ts FROM truths GROUP BY case_id),
+s AS (SELECT case_id, 0::BIGINT AS n, NULL::VARCHAR AS finding_id, NULL::VARCHAR AS truth_id, ts FROM t
+  UNION ALL SELECT case_id, n, finding_id, truth_id, list_filter(ts, lambda x: truth_id IS NULL OR x.id <> truth_id) FROM (SELECT f.case_id, f.n, f.id AS finding_id, list_filter(s.ts, lambda x: x.file = f.file AND f.line_start <= x.b AND f.line_end >= x.a)[1].id AS truth_id, s.ts FROM s JOIN f ON f.case_id = s.case_id AND f.n = s.n + 1))
+SELECT case_id, finding_id, truth_id FROM s WHERE truth_id IS NOT NULL""")
 def greedy_match(spark, sf):
     return spans.greedy_match(candidates(spark, sf), truths(spark, sf))
 
