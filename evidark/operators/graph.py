@@ -15,7 +15,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     checkpoint; a label is a sum by vertex (combined before the shuffle), and only the count of changes reaches the driver.
     """
     spark = edges.sparkSession
-    _checkpoints(spark)
+    checkpoints(spark)
     both = edges.select("a", "b").union(edges.select("b", "a")).union(edges.select("a", "a")).union(edges.select("b", "b")).distinct().checkpoint()
     labels = both.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").checkpoint()
     for _ in range(most_rounds):
@@ -32,7 +32,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def _checkpoints(spark: SparkSession) -> None:
+def checkpoints(spark: SparkSession) -> None:
     """The session's checkpoint folder, or one of our own where none is set and all runs in one process."""
     if spark.sparkContext.getCheckpointDir() is None:
         place = spark.conf.get("spark.checkpoint.dir", None)
@@ -52,7 +52,7 @@ def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None, pa
     (on ``node``) says which nodes may be left again; the last node of a path is exempt. ``path`` holds the nodes from the
     source on; of shortest paths, the first in the nodes' order.
     """
-    _checkpoints(edges.sparkSession)
+    checkpoints(edges.sparkSession)
     found = sources.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance"), F.array("node").alias("path")).distinct().checkpoint()
     frontier, d = found, 0
     while depth is None or d < depth:

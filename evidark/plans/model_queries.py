@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidark.functions.cfront.candidates import analyse_files
-from evidark.operators import models
+from evidark.operators import graph, models
 from evidark.plans.registry import query
 from evidark.sources.tables import labelled, outcomes, read
 from evidark.streaming.replay import windowed_counts
@@ -31,6 +31,8 @@ def binary_router(spark, sf):
 @query("utility_models")
 def utility_models(spark, sf):
     o = outcomes(spark, sf).withColumn("features", F.create_map(F.lit("tokens"), F.col("tokens").cast("double"), F.lit("p"), F.col("probability")))
+    graph.checkpoints(spark)
+    o = o.checkpoint()  # every model reads it
     names = sorted(r[0] for r in o.select("assignment").distinct().collect())
     fitted = models.fit_by_assignment(o, ["tokens", "p"], names)
     out = None
