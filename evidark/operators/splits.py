@@ -108,6 +108,16 @@ def template_group(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.regexp_replace(name, r"[_#]?[0-9]+.*$", ""), r"[^A-Za-z0-9_.]+", "_"))
 
 
+# Fixed value: the flow variant at the end of a test program's name.
+FLOW_VARIANT = r"(?i)_\d{2}(?:[a-z]|_(?:bad|good[a-z0-9_]*))?$"
+
+
+def variant_group(stem: Column) -> Column:
+    """A test program's name without its flow variant, other characters made safe."""
+    plain = F.regexp_replace(F.regexp_replace(stem, FLOW_VARIANT, ""), r"[^A-Za-z0-9_.-]+", "-")
+    return F.lower(F.regexp_replace(plain, "^-+|-+$", ""))
+
+
 def leakage_clusters(rows: DataFrame, key: str, template: Column, digest: Column) -> DataFrame:
     """key, cluster (its smallest key): rows of one template or one digest, and what those link, are one cluster.
 
