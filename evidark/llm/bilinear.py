@@ -53,7 +53,7 @@ DIM, NOISE, STEPS, RATE = 48, 8, 160, 0.05
 PRIOR = 5000.0
 END = b"\n"
 #: Tokens of a row and of a part of a text, and numbers that a bucket holds on average.
-ROW, PART, KEYS = 800_000, 10_000, 2_000_000
+ROW, PART, KEYS = 600_000, 10_000, 1_000_000
 LOG10 = np.log(10.0)
 
 ROWS = "row long, rid array<long>, doc_id array<long>, training array<boolean>, n array<int>, lead array<int>, key binary, c binary, at binary"
