@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidark.llm import alignment, bilinear, byte_bpe, chat, extraction, hilbert, host_rules, mixing, nbsvm, packing, simhash, url_lists
+from evidark.llm import alignment, bilinear, byte_bpe, chat, extraction, hilbert, host_rules, merkle, mixing, nbsvm, packing, simhash, url_lists
 
 QUERIES = {
     "op1_host_quality_rules": host_rules.op1_host_quality_rules,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_best_fit_packing": packing.op8_best_fit_packing,
     "op9_url_list_asof": url_lists.op9_url_list_asof,
     "op10_pareto_mixing": mixing.op10_pareto_mixing,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_group_dictionary": alignment.op12_group_dictionary,
     "op13_byte_bpe": byte_bpe.op13_byte_bpe,
 }
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op5_preference_formatting": chat.ORACLE,
     "op9_url_list_asof": url_lists.ORACLE,
     "op10_pareto_mixing": mixing.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
