@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidark.functions.cfront.facts import ALLOCATORS, CHECKS, COPIES, LOCKS, RELEASES, SINKS, SOURCES, SPAWNS, UNLOCKS, USES, Analysis, analyse, canonical
-from evidark.functions.scores import SUSPICION_WEIGHTS, suspicion
+from evidark.functions.scores import SEMANTIC_VERSION, SUSPICION_WEIGHTS, suspicion
 from evidark.functions.taxonomy import CATEGORIES
 
 # Weakness and weight of each kind of fact; an index by its access; a sink by its name.
@@ -29,7 +29,6 @@ FEATURE_NAMES = [
 ]
 RELEVANT = {*ALLOCATORS, *RELEASES, *COPIES, *SOURCES, *SINKS, *SPAWNS, *LOCKS, *UNLOCKS, *CHECKS, *USES}
 MOST_HYPOTHESES = 8
-VERSION = "semantic-facts-v1"
 
 
 def hypotheses(a: Analysis) -> list[dict]:
@@ -134,7 +133,7 @@ def analyse_files(files: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
 
     parsed = files.select(F.col("case_id").cast("string"), "file", "source").mapInArrow(run, DDL)
     digest = F.sha1(F.concat_ws(":", "case_id", "file", "function", F.col("line_start").cast("string"), F.col("line_end").cast("string")))
-    return parsed.withColumns({"candidate_id": F.when(F.col("error").isNull(), F.concat(F.lit("C-"), F.substring(digest, 1, 16))), "suspicion_score": F.when(F.col("error").isNull(), suspicion(F.col("features"), SUSPICION_WEIGHTS)), "feature_schema_version": F.lit(VERSION)})
+    return parsed.withColumns({"candidate_id": F.when(F.col("error").isNull(), F.concat(F.lit("C-"), F.substring(digest, 1, 16))), "suspicion_score": F.when(F.col("error").isNull(), suspicion(F.col("features"), SUSPICION_WEIGHTS)), "feature_schema_version": F.lit(SEMANTIC_VERSION)})
 
 
 def evidence_rows(candidates: DataFrame) -> DataFrame:

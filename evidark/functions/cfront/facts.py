@@ -150,7 +150,7 @@ class Analysis:
         self.add("memory_copy", x, object_=name, subject=next(iter(sorted(self.args(c, (0,)))), None), names=self.args(c, range(3)))
         bound = [(names & s, k) for kind, s, k in guards(self.g, self.dom, n) if kind == "upper_bound" and names & s]
         for s, k in bound:
-            self.add("guard_protects_sink", self.g.nodes[k], x, object_=name, names=s)
+            self.add("guard_protects_sink", self.g.nodes[k], x, object_=name, names=s, guard_kind="upper_bound", semantically_protective=True)
         constant = length is not None and length < len(c.args) and not names
         if not bound and not constant and self.reliable:
             self.add("memory_copy_without_guard", x, object_=name, names=names, confidence=0.9)

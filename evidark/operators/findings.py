@@ -9,6 +9,7 @@ from evidark.functions.scores import fused_confidence, verdict
 from evidark.functions.taxonomy import INTEGER_TO_MEMORY, TAINT_TO_SINK, finding_categories, normal_name, supported_by_evidence, truth_categories
 from evidark.functions.text import tokens
 from evidark.operators.graph import components
+from evidark.sources.session import written
 
 # Kinds of evidence that each expert is shown.
 EXPERT_KINDS = {
@@ -60,16 +61,21 @@ PAYLOAD = "task_id string, title string, root_cause string, consequence string,
 
 
 def findings_from_answers(answers: DataFrame) -> DataFrame:
-    """Rows of the ``findings`` array of JSON answers (column content), coerced: confidence in 0..1, weakness names normal."""
+    """Rows of the ``findings`` array of JSON answers (column content), coerced: confidence in 0..1, weakness names normal.
+
+    finding_id is a digest of the answer and the finding's place in it (ordinal)."""
     parsed = answers.withColumn("a", F.from_json("content", f"findings array<struct<{PAYLOAD.replace(' ', ':').replace(',:', ',')}>>"))
-    rows = parsed.select(*answers.columns, F.posexplode("a.findings").alias("ordinal", "f")).drop("content").select("*", "f.*").drop("f")
+    told = F.sha1(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in answers.columns]))
+    parsed = parsed.withColumn("_told", told)
+    rows = parsed.select(*answers.columns, "_told", F.posexplode("a.findings").alias("ordinal", "f")).drop("content").select("*", "f.*").drop("f")
     empty = F.array().cast("array<string>")
     return rows.withColumns({
         "confidence": F.least(F.greatest(F.coalesce("confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0)),
         "cwes": F.array_distinct(F.filter(F.transform(F.coalesce("cwes", empty), normal_name), lambda c: c.isNotNull())),
         "evidence_ids": F.coalesce("evidence_ids", empty), "trigger_path": F.coalesce("trigger_path", empty),
         "line_end": F.greatest(F.coalesce("line_end", "line_start"), F.coalesce("line_start", "line_end")),
-    })
+        "finding_id": F.concat(F.lit("F-"), F.substring(F.sha1(F.concat_ws(":", "_told", F.col("ordinal").cast("string"))), 1, 16)),
+    }).drop("_told")
 
 
 def sink_key(sink: Column) -> Column:
@@ -86,13 +92,15 @@ def causal_links(findings: DataFrame, place: list[str] = PLACE, slack: int = 2)
 
     Two findings of one place are on one cause if their lines come within ``slack``, or their sinks are alike, or they share
     evidence, or a step of their paths. Lines: a finding that starts within ``slack`` of the furthest end so far goes on
-    the run of the one before. The rest: all that hold a value link to the smallest key that does.
+    the run, and links to the run's first. The rest: all that hold a value link to the smallest key that does.
     """
     f = findings.select("key", F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in place]).alias("place"), "line_start", "line_end", "sink", "evidence_ids", "trigger_path")
     order = Window.partitionBy("place").orderBy("line_start", "line_end", "key")
-    reach = F.max("line_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = f.select("key", F.when(F.col("line_start") <= reach + slack, F.lag("key").over(order)).alias("b"))
-    lines = runs.where("b IS NOT NULL").select(F.col("key").alias("a"), "b")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce(F.col("line_start") > F.max("line_end").over(before) + slack, F.lit(True))
+    runs = f.select("key", "place", "line_start", "line_end", opens.alias("opens"))
+    runs = runs.select(F.col("key").alias("a"), F.last(F.when(F.col("opens"), F.col("key")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("b"))
+    lines = runs.where("a <> b")
 
     def named(kind: str, values: Column) -> Column:
         return F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.struct(F.lit(kind).alias("k"), v.alias("v")))
@@ -104,16 +112,34 @@ def causal_links(findings: DataFrame, place: list[str] = PLACE, slack: int = 2)
     return lines.union(shared).distinct()
 
 
+def keyed(findings: DataFrame) -> DataFrame:
+    """Findings with ``key``, the same in every evaluation and rerun, and ``copies``: rows alike in all columns become one.
+
+    The key is ``finding_no`` where that is there, which orders the findings; else expert, model, place in the answer and
+    a digest of the whole row, so that equals come in that order whatever the table's order is.
+    """
+    if "finding_no" in findings.columns:
+        return findings.withColumns({"key": F.col("finding_no"), "copies": F.lit(1)})
+    own = F.struct(*[F.col(f"`{c}`") for c in findings.columns])
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in findings.columns else F.lit("")
+    place = F.lpad(told("ordinal"), 9, "0")
+    rows = findings.select(F.concat_ws("\u0001", told("expert"), told("model_id"), place, F.sha2(F.to_json(own, {"ignoreNullFields": "false"}), 256)).alias("key"), own.alias("row"))
+    return rows.groupBy("key").agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("copies")).select("row.*", "key", "copies")
+
+
 def fuse(findings: DataFrame, slack: int = 2) -> DataFrame:
-    """One row for each group of findings on one cause (``causal_links``, its components): the text of the most confident
-    (the first of equals), united and sorted lists, raised confidence.
+    """One row for each group of findings on one cause (``causal_links``, its components): the text and finding_id of the
+    most confident (the first of equals, see ``keyed``), united and sorted lists, raised confidence.
 
-    ``finding_no`` orders the findings; without it they are numbered as they come. Lists that the findings name as
-    evidence_for, evidence_against and preconditions are united in order, where there.
+    Lists that the findings name as evidence_for, evidence_against and preconditions are united in order, where there. A
+    finding without a finding_id has one from its key.
     """
-    f = findings.withColumn("key", F.col("finding_no") if "finding_no" in findings.columns else F.monotonically_increasing_id())
+    f = written(keyed(findings), "findings")
     own = f.select(F.col("key").alias("a"), F.col("key").alias("b"))
-    grouped = f.join(components(causal_links(f, slack=slack).union(own)), f.key == F.col("node"))
+    roots = components(causal_links(f, slack=slack).union(own)).select(F.col("node").alias("of"), "root")
+    grouped = f.join(roots, F.col("key") == F.col("of"))
+    given = F.col("finding_id").cast("string") if "finding_id" in f.columns else F.lit(None).cast("string")
+    grouped = grouped.withColumn("_id", F.coalesce(given, F.concat(F.lit("F-"), F.substring(F.sha1(F.concat_ws("\u0001", "candidate_id", F.col("key").cast("string"))), 1, 16))))
     front = F.struct(-F.col("confidence"), F.col("key"))
     in_order = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("key", F.col(c).alias("x")))), lambda r: r["x"])))
     in_names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
@@ -122,9 +148,9 @@ def fuse(findings: DataFrame, slack: int = 2) -> DataFrame:
     more = [c for c in ("evidence_for", "evidence_against", "preconditions") if c in f.columns]
     grouped = grouped.withColumn("_experts", backed).withColumn("_models", F.filter(by_model, lambda m: F.length(m) > 0))
     g = grouped.groupBy("root").agg(
-        F.min_by(F.struct(*PLACE, "expert", "title", "root_cause", "consequence", "source", "sink", "missing_guard"), front).alias("best"), F.max("confidence").alias("top"),
+        F.min_by(F.struct(F.col("_id").alias("finding_id"), *PLACE, "expert", "title", "root_cause", "consequence", "source", "sink", "missing_guard"), front).alias("best"), F.max("confidence").alias("top"),
         F.min("line_start").alias("line_start"), F.max("line_end").alias("line_end"), *[in_names(c).alias(c) for c in ("cwes", "evidence_ids")],
-        *[in_order(c).alias(c) for c in ("trigger_path", *more)], in_names("_experts").alias("experts"), in_names("_models").alias("models"), F.count(F.lit(1)).alias("merged"),
+        *[in_order(c).alias(c) for c in ("trigger_path", *more)], in_names("_experts").alias("experts"), in_names("_models").alias("models"), F.sum("copies").alias("merged"),
     )
     return g.select("best.*", "line_start", "line_end", "cwes", "evidence_ids", "trigger_path", *more, "experts", "models", "merged", fused_confidence(F.col("top"), F.greatest(F.size("experts"), F.lit(1)), F.greatest(F.size("models"), F.lit(1))).alias("confidence"))
 

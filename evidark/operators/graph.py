@@ -7,63 +7,71 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidark.sources.session import shared_dir, written
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, root (the smallest node reachable) for the vertices of ``edges`` (a, b).
 
-    Labels start at the smallest neighbour and jump to their label's label each round, so chains halve. Every round is a
-    checkpoint; a label is a sum by vertex (combined before the shuffle), and only the count of changes reaches the driver.
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node reachable) for the vertices of ``edges`` (a, b); a vertex alone has an edge to itself.
+
+    By contraction: each round hashes vertices anew, points every vertex at its neighbour (or itself) with the smallest
+    hash, and replaces both ends of each edge by what they point at. A constant share of the vertices goes each round, and
+    those whose edges are used up are not read again. Rounds are written tables; only whether edges are left reaches the
+    driver.
     """
-    spark = edges.sparkSession
-    checkpoints(spark)
-    both = edges.select("a", "b").union(edges.select("b", "a")).union(edges.select("a", "a")).union(edges.select("b", "b")).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root").checkpoint()
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low")).withColumnRenamed("a", "node")
-        # hook: a vertex's root takes the lowest label seen from any vertex of the root
-        hook = labels.join(near, "node").groupBy("root").agg(F.min("low").alias("low"))
-        step = labels.join(hook, "root").select("node", "root", F.least("root", "low").alias("low"))
-        jump = hook.select(F.col("root").alias("low"), F.least("root", F.col("low")).alias("further"))
-        new = step.join(jump, "low", "left").select("node", F.col("root").alias("old"), F.least("low", F.coalesce("further", "low")).alias("root")).checkpoint()
-        changed = new.where("old <> root").limit(1).count()
-        labels = new.select("node", "root")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    links = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels: DataFrame | None = None
+    turn = 0
+    while not links.isEmpty():
+        near = links.select("a", "b").union(links.select("b", "a"))
+        first = near.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "b").alias("h"), F.col("b").alias("id"))).alias("m"))
+        own = F.struct(F.xxhash64(F.lit(turn), "a").alias("h"), F.col("a").alias("id"))
+        to = written(first.select(F.col("a").alias("node"), F.least("m", own)["id"].alias("root")), f"to{turn}")
+        for end in ("a", "b"):
+            links = links.join(to.select(F.col("node").alias(end), F.col("root").alias("new")), end).drop(end).withColumnRenamed("new", end)
+        links = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges{turn}")
+        if labels is None:
+            labels = to
+        else:
+            step = to.select(F.col("node").alias("at"), F.col("root").alias("next"))
+            labels = written(labels.join(step, labels.root == step.at, "left").select("node", F.coalesce("next", "root").alias("root")), f"labels{turn}")
+        turn += 1
+    every = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    if labels is None:
+        return every.select("node", F.col("node").alias("root"))
+    lowest = labels.groupBy("root").agg(F.min("node").alias("low"))
+    named = labels.join(lowest, "root").select(F.col("node").alias("at"), "low")
+    return every.join(named, F.col("node") == F.col("at"), "left").select("node", F.coalesce("low", "node").alias("root"))
 
 
 def checkpoints(spark: SparkSession) -> None:
     """The session's checkpoint folder, or one of our own where none is set and all runs in one process."""
     if spark.sparkContext.getCheckpointDir() is None:
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        if place is None:
-            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            import tempfile
-
-            place = "file://" + tempfile.mkdtemp(prefix="evidark-")
-        spark.sparkContext.setCheckpointDir(place)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None, passable: Column | None = None) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None, passable: Column | None = None, paths: bool = True) -> DataFrame:
     """start, node, distance, path: shortest distance to every node, within ``depth`` steps if given; sources are at 0.
 
-    Breadth first by frontier: each round joins only the nodes found last, and drops those already found. ``passable``
-    (on ``node``) says which nodes may be left again; the last node of a path is exempt. ``path`` holds the nodes from the
-    source on; of shortest paths, the first in the nodes' order.
+    Breadth first by frontier: each round joins only the nodes found last with the edges (written once, apart by source),
+    and drops those already found; a frontier is written once and not again. ``passable`` (on ``node``) says which nodes
+    may be left again; the last node of a path is exempt. ``path`` holds the nodes from the source on; of shortest paths,
+    the first in the nodes' order. Without ``paths`` that column is not made.
     """
-    checkpoints(edges.sparkSession)
-    found = sources.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance"), F.array("node").alias("path")).distinct().checkpoint()
-    frontier, d = found, 0
+    edges = written(edges.select("src", "dst").distinct(), "edges")
+    kept = ["start", "node", "distance", *["path"] * paths]
+    first = sources.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance"), F.array("node").alias("path")).distinct()
+    found = frontier = written(first.select(*kept), "frontier0")
+    d = 0
     while depth is None or d < depth:
         d += 1
         leave = frontier if passable is None or d == 1 else frontier.where(passable)
-        step = leave.join(edges.select(F.col("src").alias("node"), "dst"), "node").groupBy("start", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
-        step = step.join(found.select("start", "node"), ["start", "node"], "left_anti")
-        frontier = step.select("start", "node", F.lit(d).alias("distance"), F.array_append("path", F.col("node")).alias("path")).checkpoint()
+        step = leave.join(edges.select(F.col("src").alias("node"), "dst"), "node").drop("node").withColumnRenamed("dst", "node")
+        step = step.groupBy("start", "node").agg(F.min("path").alias("path")) if paths else step.select("start", "node").distinct()
+        step = step.join(found.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(d))
+        frontier = written((step.withColumn("path", F.array_append("path", F.col("node"))) if paths else step).select(*kept), f"frontier{d}")
         if frontier.isEmpty():
             break
-        found = found.union(frontier).checkpoint()
+        found = found.union(frontier)
     return found
 
 

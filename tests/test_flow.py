@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from evidark.operators import findings
 from evidark.plans.flow import FlowConfig, conclude, detect
@@ -37,6 +38,63 @@ def test_answers_to_verdicts(spark, routed):
     assert [x.verdict for x in findings.validated(fine).collect()] == ["validated"]
 
 
+GUARDED = "void w(char *d, char *s, int n) {\n  if (n < 16) {\n    memcpy(d, s, n);\n  }\n  free(d);\n}\nvoid f(char *p) { free(p); free(p); }"
+ANSWERS = "candidate_id string, expert string, model_id string, content string"
+
+
+@pytest.fixture(scope="module")
+def guarded(spark):
+    files = spark.createDataFrame([("c", "a.c", GUARDED)], "case_id string, file string, source string")
+    return detect(files, FlowConfig(gate=0.0))[1]
+
+
+def concluded(spark, routed, function, kind, **changes):
+    """Verdict and checks of one finding on the flow's own candidate, from detection on."""
+    [r] = routed.where(f"function = '{function}'").collect()
+    [e] = [e for e in r.evidence if e.kind == kind][:1]
+    one = {"line_start": e.line, "line_end": max(e.line, e.sink_line), "evidence_ids": [e.fact_id], "confidence": 0.9} | changes
+    [out] = conclude(spark.createDataFrame([(r.candidate_id, "memory_bounds", "m", json.dumps({"findings": [one]}))], ANSWERS), routed).collect()
+    return out.verdict, out.checks
+
+
+def test_the_flow_rejects_a_missing_or_foreign_weakness(spark, guarded):
+    assert guarded.first().feature_schema_version == "semantic-cwe-v2"
+    assert concluded(spark, guarded, "f", "double_release", cwes=["CWE-415"])[0] == "validated"
+    verdict, checks = concluded(spark, guarded, "f", "double_release", cwes=[])
+    assert (verdict, checks["cwe_present"]) == ("rejected", False)
+    verdict, checks = concluded(spark, guarded, "f", "double_release", cwes=["CWE-78"])
+    assert (verdict, checks["cwe_semantics_supported"]) == ("rejected", False)
+
+
+def test_the_flow_sees_a_contradicting_guard(spark, guarded):
+    verdict, checks = concluded(spark, guarded, "w", "memory_copy", cwes=["CWE-120"])
+    assert verdict == "rejected" and checks["contradicting_guard"]
+    assert not concluded(spark, guarded, "w", "memory_copy", cwes=["CWE-120"], line_start=5, line_end=5)[1]["contradicting_guard"]
+
+
+def test_fusion_loses_no_finding_whatever_the_order(spark):
+    """20,000 answers without a number, joined by sorted shuffles of many small parts, in several orders."""
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    for k, v in zip(kept, ("-1", "16", "64k")):
+        spark.conf.set(k, v)
+    try:
+        one = lambda i: json.dumps({"findings": [{"title": f"t{i}", "line_start": 10 * (i // 2 % 50) + 1, "line_end": 10 * (i // 2 % 50) + 1 + i % 2, "cwes": ["CWE-787"], "evidence_ids": [f"e{i // 2}"], "confidence": 0.5}]})
+        answers = spark.createDataFrame([(f"c{i // 100}", "memory_bounds", f"m{i % 2}", one(i)) for i in range(20_000)], ANSWERS)
+        places = spark.createDataFrame([(f"c{k}", "a.c", f"f{k}") for k in range(200)], "candidate_id string, file string, function string")
+        told = set()
+        for seed in range(3):
+            rows = findings.findings_from_answers(answers.orderBy(F.rand(seed)).repartition(7 + seed)).join(places, "candidate_id")
+            out = findings.fuse(rows).orderBy("finding_id").collect()
+            assert len(out) == 10_000 and sum(r.merged for r in out) == 20_000 and len({r.finding_id for r in out}) == 10_000
+            told.add(hash(tuple(map(repr, out))))
+        assert len(told) == 1
+        [twice] = findings.fuse(findings.findings_from_answers(answers.limit(1).union(answers.limit(1))).join(places, "candidate_id")).collect()
+        assert twice.merged == 2  # a repeated answer is counted, and no row of its own
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 ONE = dict(candidate_id="c", file="a.c", function="f", expert="memory_bounds", model_id="m", title="t", root_cause="r", consequence="q", source="", sink="", missing_guard="", trigger_path=[], cwes=["CWE-787"], evidence_ids=[], confidence=0.6)
 KIND = "finding_no long, candidate_id string, file string, function string, expert string, model_id string, title string, root_cause string, consequence string, source string, sink string, missing_guard string, trigger_path array<string>, cwes array<string>, evidence_ids array<string>, line_start int, line_end int, confidence double"
 
