@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidark.functions import lightweight, scores, taxonomy, text
@@ -114,9 +115,6 @@ def fingerprint_dedup(spark, sf):
     return d.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
-query("fingerprint_dedup_whole", _FINGERPRINTS)(fingerprint_dedup)  # its name where the other one read openings only
-
-
 @query("template_group", "SELECT template, count(*) AS n, count(DISTINCT p_brand) AS brands FROM (SELECT lower(regexp_replace(regexp_replace(p_brand || '_' || p_name, '[_#]?[0-9]+.*$', ''), '[^A-Za-z0-9_.]+', '_', 'g')) AS template, p_brand FROM part) GROUP BY template")
 def template_group(spark, sf):
     p = read(spark, sf, "part").select(splits.template_group(F.concat_ws("_", "p_brand", "p_name")).alias("template"), "p_brand")
@@ -187,9 +185,9 @@ def canonical_hash(spark, sf):
 
 
 @query("leak_lines", """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM d),
-m AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS n FROM l WHERE regexp_matches(line, '[Ll]icensed under|[A-Z]{2}-[A-Z]{2}|[0-9]{2,}')) SELECT doc_id, line_no, line FROM m WHERE n <= 20""")
+m AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, line FROM l WHERE regexp_matches(line, '[Ll]icensed under|[A-Z]{2}-[A-Z]{2}|[0-9]{2,}')) SELECT doc_id, line_no, line FROM m""")
 def leak_lines(spark, sf):
-    return text.matching_lines(read(spark, sf, "documents"), "doc_id", "[Ll]icensed under|[A-Z]{2}-[A-Z]{2}|[0-9]{2,}", 20)
+    return text.matching_lines(read(spark, sf, "documents"), "doc_id", "[Ll]icensed under|[A-Z]{2}-[A-Z]{2}|[0-9]{2,}")
 
 
 @query("normalize_code", "SELECT p_partkey, 'CWE-' || CAST(CAST(regexp_extract(p_brand, '([0-9]{1,9})', 1) AS INTEGER) AS VARCHAR) AS code FROM part")
@@ -232,58 +230,55 @@ def repository_sources(spark, sf):
     return p.select("p_partkey", "p_name", F.regexp_extract("p_name", "([^ ]+)$", 1).alias("suffix"), F.octet_length("p_name").cast("long").alias("bytes"))
 
 
-_EDGES = "one AS (SELECT DISTINCT 2 * l_partkey AS a, 2 * l_suppkey + 1 AS b FROM lineitem WHERE l_partkey IS NOT NULL AND l_suppkey IS NOT NULL), e AS (SELECT a AS src, b AS dst FROM one UNION ALL SELECT b, a FROM one)"
+_EDGES = """o AS (SELECT o_orderkey AS node, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+e AS (SELECT a.node AS src, b.node AS dst FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND ((b.place = a.place + 1 AND a.node % 5 <> 0) OR (b.place = a.place + 3 AND a.node % 3 = 0)))"""
+
 
+def _orders(spark, sf):
+    """Every order with its place among its customer's by time, and how many those are."""
+    by = Window.partitionBy("o_custkey")
+    return read(spark, sf, "orders").select(F.col("o_orderkey").alias("node"), "o_custkey", F.row_number().over(by.orderBy("o_orderdate", "o_orderkey")).alias("place"), F.count(F.lit(1)).over(by).alias("n"))
 
-def _edges(spark, sf):
-    """Every part and supplier that a line names, both ways; a part's node is twice its key, a supplier's one more than that."""
-    line = read(spark, sf, "lineitem").select((F.col("l_partkey").cast("long") * 2).alias("src"), (F.col("l_suppkey").cast("long") * 2 + 1).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
-    both = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")
-    return line.distinct().select(both).select("e.src", "e.dst")
 
+def _edges(orders):
+    """Flow from an order to the customer's next one (not from keys divisible by five) and to the third next (from keys divisible by three)."""
+    steps = F.filter(F.array(F.when(F.col("node") % 5 != 0, F.col("place") + 1), F.when(F.col("node") % 3 == 0, F.col("place") + 3)), lambda x: x.isNotNull())
+    out = orders.select("o_custkey", F.col("node").alias("src"), F.explode(steps).alias("place"))
+    return out.join(orders.select("o_custkey", "place", F.col("node").alias("dst")), ["o_custkey", "place"]).select("src", "dst")
 
-def _paths(start: int, edge: tuple[str, str], passable: str = "TRUE", path: bool = True) -> str:
-    """Breadth first from one node: distance and the first of the shortest paths."""
+
+def _paths(at: str, edge: tuple[str, str], passable: str = "TRUE", path: bool = True) -> str:
+    """Breadth first from many nodes: distance and the first of the shortest paths."""
     out = ", array_to_string(path, ',') AS path" if path else ""
-    return f"""WITH RECURSIVE {_EDGES}, p(node, distance, path) USING KEY (node) AS (SELECT CAST({start} AS BIGINT), 0, [CAST({start} AS BIGINT)]
-UNION (SELECT e.{edge[1]}, min(p.distance) + 1, list_append(min(p.path), e.{edge[1]}) FROM p JOIN e ON e.{edge[0]} = p.node WHERE (p.distance = 0 OR {passable}) AND NOT EXISTS (SELECT 1 FROM recurring.p r WHERE r.node = e.{edge[1]}) GROUP BY e.{edge[1]}))
-SELECT node, CAST(distance AS INTEGER) AS distance{out} FROM p"""
+    return f"""WITH RECURSIVE {_EDGES}, p(start, node, distance, path) USING KEY (start, node) AS (SELECT node, node, 0, [node] FROM o WHERE {at}
+UNION (SELECT p.start, e.{edge[1]}, min(p.distance) + 1, list_append(min(p.path), e.{edge[1]}) FROM p JOIN e ON e.{edge[0]} = p.node WHERE (p.distance = 0 OR {passable}) AND NOT EXISTS (SELECT 1 FROM recurring.p r WHERE r.start = p.start AND r.node = e.{edge[1]}) GROUP BY p.start, e.{edge[1]}))
+SELECT start, node, CAST(distance AS INTEGER) AS distance{out} FROM p"""
 
 
 def _told(found):
-    return found.select("node", "distance", F.array_join("path", ",").alias("path"))
+    return found.select("start", "node", "distance", F.array_join("path", ",").alias("path"))
 
 
-@query("shortest_path", _paths(2, ("src", "dst")))
+@query("shortest_path", _paths("place = 1", ("src", "dst")))
 def shortest_path(spark, sf):
-    """From part 1 to every node over all lines: the distance and the nodes of the first shortest path."""
-    return _told(graph.distances(_edges(spark, sf), spark.createDataFrame([(2,)], "node long")))
+    """From every customer's first order on: the distance and the nodes of the first shortest path."""
+    orders = _orders(spark, sf)
+    return _told(graph.distances(_edges(orders), orders.where("place = 1")))
 
 
-@query("path_without_definition", _paths(2, ("src", "dst"), "p.node % 3 <> 0"))
+@query("path_without_definition", _paths("place = 1", ("src", "dst"), "p.node % 7 <> 0"))
 def path_without_definition(spark, sf):
-    """Nodes divisible by three define the symbol: paths may end there, not pass."""
-    return _told(graph.distances(_edges(spark, sf), spark.createDataFrame([(2,)], "node long"), passable=F.col("node") % 3 != 0))
+    """Nodes divisible by seven define the symbol: paths may end there, not pass."""
+    orders = _orders(spark, sf)
+    return _told(graph.distances(_edges(orders), orders.where("place = 1"), passable=F.col("node") % 7 != 0))
 
 
-@query("backward_slice", _paths(15, ("dst", "src"), path=False))
+@query("backward_slice", _paths("place = n", ("dst", "src"), path=False))
 def backward_slice(spark, sf):
-    """Back from supplier 7 over all lines."""
-    back = _edges(spark, sf).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return graph.distances(back, spark.createDataFrame([(15,)], "node long")).select("node", "distance")
-
-
-@query("shortest_path_whole", _paths(2, ("src", "dst"), path=False))
-def shortest_path_whole(spark, sf):
-    return shortest_path(spark, sf).drop("path")
-
-
-@query("path_without_definition_whole", _paths(2, ("src", "dst"), "p.node % 3 <> 0", path=False))
-def path_without_definition_whole(spark, sf):
-    return path_without_definition(spark, sf).drop("path")
-
-
-query("backward_slice_whole", _paths(15, ("dst", "src"), path=False))(backward_slice)
+    """All that flows into every customer's last order."""
+    orders = _orders(spark, sf)
+    back = _edges(orders).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.distances(back, orders.where("place = n"), paths=False)
 
 
 @query("dominators")

@@ -224,6 +224,16 @@ def fuse_groups(spark, sf):
     return fuse(told_findings(spark, sf)).select("candidate_id", "file", "title", "merged", "confidence", "line_start", "line_end", *joined)
 
 
+@query("fuse_unnumbered", f"""WITH RECURSIVE {SPANS}, {_TOLD}, g AS (SELECT component, told.* FROM told JOIN reach USING (id))
+SELECT CAST(case_id AS VARCHAR) AS candidate_id, file, count(*) AS merged, min(line_start) AS line_start, max(line_end) AS line_end, least(1.0, max(score) + 0.03 * (count(DISTINCT expert) - 1) + 0.02 * (count(DISTINCT model) - 1)) AS confidence,
+  coalesce(string_agg(DISTINCT cwes[1], ',' ORDER BY cwes[1]), '') AS cwes FROM g GROUP BY component, case_id, file""")
+def fuse_unnumbered(spark, sf):
+    """Findings as they come from answers, without a number: all of them, each cause once."""
+    from evidark.operators.findings import fuse
+
+    return fuse(told_findings(spark, sf).drop("finding_no")).select("candidate_id", "file", "merged", "line_start", "line_end", "confidence", F.array_join("cwes", ",").alias("cwes"))
+
+
 @query("feature_pivot", f"""WITH {SPANS} SELECT case_id, {', '.join(f"count(*) FILTER (expert = '{f}') AS {f}_count" for f in FAMILIES)}, coalesce(max(score) FILTER (expert = '{FAMILIES[0]}'), 0) AS memory_score FROM truths GROUP BY case_id""")
 def feature_pivot(spark, sf):
     """Counts of each kind, zero filled, over a fixed list of names."""
