@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidark.functions import lightweight, scores, taxonomy, text
-from evidark.operators import graph, ranking, splits
+from evidark.operators import graph, paths, ranking, splits
 from evidark.plans.registry import query
 from evidark.sources.tables import read
 
@@ -281,6 +281,35 @@ def backward_slice(spark, sf):
     return graph.distances(back, orders.where("place = n"), paths=False)
 
 
+_FLOW = """n AS (SELECT DISTINCT l_orderkey AS fn, CAST(l_linenumber AS BIGINT) AS node FROM lineitem), l AS (SELECT l_orderkey AS fn, CAST(l_linenumber AS BIGINT) AS node, l_partkey AS p, l_suppkey AS s, l_quantity AS q, 'p' || l_suppkey % 2 AS a, 'p' || l_partkey % 2 AS b FROM lineitem),
+e AS (SELECT DISTINCT x.fn, x.src, x.dst FROM (SELECT fn, node AS src, node + 1 AS dst FROM l WHERE p % 4 <> 0 UNION ALL SELECT fn, node, node + 2 FROM l WHERE s % 2 = 0 UNION ALL SELECT fn, node, node - 2 FROM l WHERE p % 5 = 0) x JOIN n ON n.fn = x.fn AND n.node = x.dst)"""
+_EVENTS = """d AS (SELECT DISTINCT fn, node, b AS symbol FROM l WHERE q % 3 = 0), ev AS (SELECT DISTINCT * FROM (SELECT fn, node, a AS symbol, 'release' AS kind FROM l WHERE p % 2 = 0 UNION ALL SELECT fn, node, b, 'access' FROM l UNION ALL SELECT fn, node, a, 'check' FROM l WHERE p % 3 = 0 UNION ALL SELECT fn, node, a, 'use' FROM l WHERE s % 3 = 0)),
+w(fn, symbol, start, node, distance, path) USING KEY (fn, symbol, start, node) AS (SELECT DISTINCT fn, symbol, node, node, 0, [node] FROM ev WHERE kind IN ('release', 'check')
+UNION (SELECT w.fn, w.symbol, w.start, e.dst, min(w.distance) + 1, list_append(min(w.path), e.dst) FROM w JOIN e ON e.fn = w.fn AND e.src = w.node LEFT JOIN d ON d.fn = w.fn AND d.node = w.node AND d.symbol = w.symbol
+  WHERE (w.distance = 0 OR d.fn IS NULL) AND NOT EXISTS (SELECT 1 FROM recurring.w r WHERE r.fn = w.fn AND r.symbol = w.symbol AND r.start = w.start AND r.node = e.dst) GROUP BY w.fn, w.symbol, w.start, e.dst))"""
+
+
+def _flow(spark, sf):
+    """Flow graphs of orders: lines are nodes; steps on, over one line and back two lines by the keys; definitions and events."""
+    line = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").cast("long").alias("node"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_quantity").alias("q"), F.concat(F.lit("p"), (F.col("l_suppkey") % 2).cast("string")).alias("a"), F.concat(F.lit("p"), (F.col("l_partkey") % 2).cast("string")).alias("b"))
+    steps = F.array_compact(F.array(F.when(F.col("p") % 4 != 0, F.col("node") + 1), F.when(F.col("s") % 2 == 0, F.col("node") + 2), F.when(F.col("p") % 5 == 0, F.col("node") - 2)))
+    edges = line.select("fn", F.col("node").alias("src"), F.explode(steps).alias("dst")).join(line.select("fn", F.col("node").alias("dst")).distinct(), ["fn", "dst"], "left_semi").distinct()
+    event = lambda kind, symbol: F.struct(F.lit(kind).alias("kind"), F.col(symbol).alias("symbol"))
+    events = F.array_compact(F.array(F.when(F.col("p") % 2 == 0, event("release", "a")), event("access", "b"), F.when(F.col("p") % 3 == 0, event("check", "a")), F.when(F.col("s") % 3 == 0, event("use", "a"))))
+    events = line.select("fn", "node", F.explode(events).alias("e")).select("fn", "node", "e.kind", "e.symbol").distinct()
+    return edges, line.where("q % 3 = 0").select("fn", "node", F.col("b").alias("symbol")).distinct(), events
+
+
+@query("path_pairs", f"""WITH RECURSIVE {_FLOW}, {_EVENTS}, f(fact, first, second) AS (VALUES ('use_after_release', 'release', 'access'), ('double_release', 'release', 'release'), ('toctou_check_use', 'check', 'use'))
+SELECT fact, w.fn, w.symbol, w.start AS source, w.node AS sink, array_to_string(w.path, ',') AS path FROM w JOIN f ON TRUE JOIN ev a ON a.fn = w.fn AND a.node = w.start AND a.symbol = w.symbol AND a.kind = f.first JOIN ev b ON b.fn = w.fn AND b.node = w.node AND b.symbol = w.symbol AND b.kind = f.second
+WHERE w.start <> w.node AND (fact <> 'double_release' OR w.start < w.node)""")
+def path_pairs(spark, sf):
+    """Uses after release, double releases and uses after a check, each with a path on which nothing defines the symbol."""
+    edges, definitions, events = _flow(spark, sf)
+    found = paths.lifetime_pairs(edges, definitions, events.withColumns({"id": F.col("node"), "ordinal": F.col("node")}))
+    return found.select("fact", "fn", "symbol", "source", "sink", F.array_join("path", ",").alias("path"))
+
+
 @query("dominators")
 def dominators(spark, sf):
     """Flow graphs made from orders: an order is a function, its lines are nodes in a chain with jumps by part."""

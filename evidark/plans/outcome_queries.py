@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidark.functions import scores
-from evidark.operators import calibration, metrics, policies, ranking, splits
+from evidark.operators import calibration, metrics, policies, ranking, replay, splits
+from evidark.operators import spans as overlaps
 from evidark.plans.registry import query
-from evidark.sources.tables import LABELLED, OUTCOMES, labelled, outcomes, read
+from evidark.sources.tables import LABELLED, OUTCOMES, SPANS, candidates, labelled, outcomes, read, spans, truths
 
 REWARD = "CAST(success AS DOUBLE) - 0.5 * CAST(false_positive AS DOUBLE) - 0.25 * unsupported - 1.0 * cost"
 
@@ -423,3 +424,44 @@ k AS (SELECT *, found::DOUBLE / positives AS recall, row_number() OVER (PARTITIO
 SELECT source, p AS threshold, triggered, recall, triggered::DOUBLE / n AS trigger_rate FROM k WHERE r = 1""")
 def rare_threshold(spark, sf):
     return calibration.rare_thresholds(labelled(spark, sf), "source", "p", F.col("toxic") == 1, 0.8)
+
+
+_EXPERTS = ["memory_bounds", "lifetime_resource", "integer_overflow", "taint_api", "control_state"]
+_REPLAY = f"""cases AS (SELECT case_id, case_id % 17 = 0 AS error FROM (SELECT DISTINCT case_id FROM spans)), before AS (SELECT c.* FROM candidates c JOIN cases USING (case_id) WHERE NOT error),
+kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, file, line_start, id) AS nth FROM before WHERE score >= 0.4) WHERE nth <= 6),
+met AS (SELECT candidate_id, list(truth_id) AS truths, list(t_expert) AS experts FROM pairs GROUP BY candidate_id),
+outcome AS (SELECT c.case_id, c.id AS candidate_id, a.assignment, c.line_start, c.line_end, c.expert, coalesce(truths, []) AS truths, coalesce(list_filter(truths, lambda t, i: experts[i] = a.assignment), []) AS matched
+  FROM candidates c JOIN (SELECT unnest({_EXPERTS}) AS assignment) a ON c.project % 5 <> 0 LEFT JOIN met ON candidate_id = c.id),
+matrix AS (SELECT o.*, len(matched) > 0 AS success, len(matched) = 0 AND o.line_start % 3 = 0 AS fp FROM outcome o JOIN kept k ON k.id = o.candidate_id),
+taken AS (SELECT * FROM matrix WHERE assignment IN (expert, 'control_state')),
+masks AS (SELECT case_id, truth_id, bit_or(mask) AS mask FROM (SELECT case_id, id AS truth_id, 1 AS mask FROM truths UNION ALL SELECT case_id, p.truth_id, 2 FROM pairs p JOIN before b USING (case_id) WHERE b.id = p.candidate_id UNION ALL SELECT p.case_id, p.truth_id, 4 FROM pairs p JOIN kept k ON k.id = p.candidate_id
+  UNION ALL SELECT case_id, unnest(truths), 8 FROM matrix UNION ALL SELECT case_id, unnest(matched), 16 FROM matrix UNION ALL SELECT case_id, unnest(matched), 32 FROM taken) GROUP BY ALL),
+counted AS (SELECT count(*) AS truth, count(*) FILTER (mask & 2 > 0) AS a, count(*) FILTER (mask & 4 > 0) AS g, count(*) FILTER (mask & 8 > 0) AS m, count(*) FILTER (mask & 16 > 0) AS o, count(*) FILTER (mask & 32 > 0) AS r FROM masks WHERE mask & 1 > 0),
+exact_ AS (SELECT count(*) AS cases, count(*) FILTER (error) AS errors, count(*) FILTER (NOT error AND coalesce(n, 0) = 0) AS exact FROM cases LEFT JOIN (SELECT case_id, count(*) AS n FROM masks WHERE mask & 33 = 1 GROUP BY case_id) USING (case_id)),
+spent AS (SELECT count(*) AS tasks, count(DISTINCT case_id) AS web, sum(line_end * 10) AS prompt, sum(line_start) AS completion, CAST(sum(CAST((line_end % 7) / 100 AS DECIMAL(18,6))) AS DOUBLE) AS cost, sum(CASE WHEN line_end % 4 = 0 THEN line_end % 3 + 1 ELSE CAST(success AS INTEGER) END) AS t, sum(CASE WHEN line_end % 4 = 0 THEN 0 ELSE CAST(fp AS INTEGER) END) AS f FROM taken)"""
+
+
+@query("utility_end_to_end", f"""WITH {SPANS}, {_REPLAY}
+SELECT cases AS case_count, errors AS analysis_error_count, truth AS ground_truth_count, (SELECT count(*) FROM before) AS analyzer_candidate_count, (SELECT count(*) FROM kept) AS gated_candidate_count, (SELECT count(DISTINCT candidate_id) FROM matrix) AS outcome_matrix_candidate_count,
+  a AS analyzer_truth_hits, g AS gated_truth_hits, m AS outcome_matrix_truth_hits, o AS full5_oracle_truth_hits, r AS routed_truth_hits, a / truth AS analyzer_candidate_recall, g / a AS candidate_gate_gt_retention, g / truth AS post_gate_candidate_recall, m / truth AS outcome_matrix_gt_coverage,
+  o / truth AS full5_oracle_detection_recall, r / truth AS routed_detection_recall, r / o AS routing_retention_vs_full5, t / (t + f) AS validated_outcome_precision, 2 * (t / (t + f)) * (r / truth) / (t / (t + f) + r / truth) AS end_to_end_f1, exact / cases AS exact_case_coverage,
+  tasks / (SELECT count(DISTINCT candidate_id) FROM matrix) AS average_assignments_per_routed_candidate, tasks AS logical_expert_tasks, tasks AS research_physical_requests, web AS web_batched_requests, prompt AS prompt_tokens, completion AS completion_tokens, cost AS realized_cost FROM counted, exact_, spent""")
+def utility_end_to_end(spark, sf):
+    """All measures of a replay: spans as cases, truths and candidates; five experts' outcomes match the truths of their kind."""
+    named = lambda df: df.withColumnRenamed("id", "candidate_id")
+    t, c = truths(spark, sf).withColumnRenamed("id", "truth_id"), named(candidates(spark, sf))
+    cases = spans(spark, sf).select("case_id").distinct().withColumn("error", F.col("case_id") % 17 == 0)
+    near = overlaps.overlaps("c", "t")
+    met = c.alias("c").join(t.alias("t"), near).groupBy("c.case_id", "c.candidate_id").agg(F.collect_list(F.struct("t.truth_id", "t.expert")).alias("met"))
+    some = F.coalesce("met", F.array().cast("array<struct<truth_id:string,expert:string>>"))
+    rows = c.where("project % 5 <> 0").join(met, ["case_id", "candidate_id"], "left").withColumn("assignment", F.explode(F.array(*map(F.lit, _EXPERTS))))
+    ids = lambda a: F.transform(a, lambda x: x["truth_id"])
+    rows = rows.withColumns({"ground_truth_ids": ids(some), "matched_truth_ids": ids(F.filter(some, lambda x: x["expert"] == F.col("assignment")))})
+    success = F.size("matched_truth_ids") > 0
+    counted = F.col("line_end") % 4 == 0
+    outcomes = rows.select(
+        "case_id", "candidate_id", "assignment", success.alias("success"), (~success & (F.col("line_start") % 3 == 0)).alias("false_positive"), F.when(counted, F.col("line_end") % 3 + 1).otherwise(0).alias("validated_true"), F.lit(0).alias("validated_false"),
+        "matched_truth_ids", "ground_truth_ids", (F.col("line_end") * 10).alias("prompt_tokens"), F.col("line_start").alias("completion_tokens"), (F.col("line_end") % 7 / 100).alias("cost"),
+    )
+    routes = c.select("case_id", "candidate_id", F.explode(F.array_distinct(F.array("expert", F.lit("control_state")))).alias("assignment")).where(F.col("assignment").isin(_EXPERTS))
+    return replay.end_to_end(cases, t, c, outcomes, routes, 0.4, most_per_case=6)

@@ -1,22 +1,100 @@
 """Replay of outcomes, assertions, the light analyser, the command line."""
 
+import random
+
 import pytest
 
 from evidark.__main__ import main
 from evidark.functions import lightweight
 from evidark.operators import assertions, replay
-from tests.test_operators import span_rows
-
-
-def test_outcome_replay_golden(spark):
-    t = span_rows(spark, [("t1", "a", 4, 0), ("t2", "a", 20, 0)])
-    c = span_rows(spark, [("kept", "a", 4, 0.9), ("gated", "a", 20, 0.1)])
-    experts = ["memory_bounds", "integer_overflow", "taint_api", "control_state", "concurrency"]
-    o = spark.createDataFrame([("kept", e, e == "memory_bounds", 0.1) for e in experts], "candidate_id string, assignment string, success boolean, cost double")
-    routes = spark.createDataFrame([("kept", "memory_bounds"), ("kept", "taint_api"), ("gated", "memory_bounds")], "candidate_id string, assignment string")
-    r = replay.outcome_replay(t, c, o, routes, 0.5).first()
-    assert (r.analyser_recall, r.retention, r.matrix_coverage, r.oracle_recall, r.routed_recall, r.tasks, r.requests) == (1.0, 0.5, 0.5, 0.5, 0.5, 2, 1)
-    assert r.cost == pytest.approx(0.2)
+
+
+SPAN = "case_id string, candidate_id string, file string, line_start int, line_end int, score double"
+TRUTH = "case_id string, truth_id string, file string, line_start int, line_end int"
+OUTCOME = "case_id string, candidate_id string, assignment string, success boolean, false_positive boolean, validated_true int, validated_false int, matched_truth_ids array<string>, ground_truth_ids array<string>, prompt_tokens int, completion_tokens int, cost double"
+EXPERTS = ["memory_bounds", "integer_overflow", "taint_api", "control_state", "concurrency"]
+
+
+def replayed(spark, cases, truths, candidates, outcomes, routes, gate=0.5, **more):
+    frames = [spark.createDataFrame(x, kind) for x, kind in ((cases, "case_id string, error boolean"), (truths, TRUTH), (candidates, SPAN), (outcomes, OUTCOME), (routes, "case_id string, candidate_id string, assignment string"))]
+    return replay.end_to_end(*frames, gate, **more)
+
+
+def test_end_to_end_golden(spark):
+    matrix = [("c1", "kept", e, e == "memory_bounds", False, 0, 0, ["t1"] if e == "memory_bounds" else [], ["t1"], 10, 2, 0.01) for e in EXPERTS]
+    args = [("c1", False)], [("c1", "t1", "a.c", 4, 4), ("c1", "t2", "a.c", 20, 20)], [("c1", "kept", "a.c", 4, 4, 0.9), ("c1", "gated", "a.c", 20, 20, 0.1)], matrix, [("c1", "kept", "memory_bounds"), ("c1", "kept", "taint_api"), ("c1", "gated", "memory_bounds")]
+    r = replayed(spark, *args).first()
+    assert r.asDict() == {**r.asDict(), "case_count": 1, "analyzer_candidate_recall": 1.0, "candidate_gate_gt_retention": 0.5, "outcome_matrix_gt_coverage": 0.5, "full5_oracle_detection_recall": 0.5, "routed_detection_recall": 0.5, "logical_expert_tasks": 2, "research_physical_requests": 2, "web_batched_requests": 1, "exact_case_coverage": 0.0, "prompt_tokens": 20, "completion_tokens": 4, "average_assignments_per_routed_candidate": 2.0, "validated_outcome_precision": 1.0, "end_to_end_f1": pytest.approx(2 / 3), "realized_cost": pytest.approx(0.02)}
+    assert len(r) == 28 and tuple(r.asDict()) == replay.MEASURES
+    assert replayed(spark, *args, gate_enabled=False).first().gated_candidate_count == 2
+    with pytest.raises(assertions.DataError):
+        replayed(spark, *args[:4], [("c1", "kept", "none")])
+    with pytest.raises(assertions.DataError):
+        replayed(spark, *args[:3], [(None, *matrix[0][1:])], [])
+
+
+def plain_replay(cases, truths, candidates, outcomes, routes, gate, most):
+    """The stages one case after another."""
+    out = dict.fromkeys(replay.MEASURES, 0)
+    hits, exact, true, false = dict.fromkeys(replay.STAGES, 0), 0, 0, 0
+    for case, error in cases:
+        own = {t[1]: t for t in truths if t[0] == case}
+        out["case_count"] += 1
+        hits["truth"] += len(own)
+        if error:
+            out["analysis_error_count"] += 1
+            continue
+        before = [c for c in candidates if c[0] == case]
+        after = sorted((c for c in before if c[5] >= gate), key=lambda c: (-c[5], c[2], c[3], c[1]))[:most]
+        near = lambda cs: {k for k, t in own.items() if any(c[2] == t[2] and c[3] <= t[4] and c[4] >= t[3] for c in cs)}
+        found = {s: set() for s in replay.STAGES} | {"analyzer": near(before), "gated": near(after)}
+        web = False
+        for c in after:
+            rows = [o for o in outcomes if o[:2] == (case, c[1])]
+            out["outcome_matrix_candidate_count"] += bool(rows)
+            found["matrix"] |= {t for o in rows for t in o[8]}
+            found["oracle"] |= {t for o in rows for t in o[7]}
+            for o in [o for o in rows if (case, c[1], o[2]) in routes]:
+                web = True
+                found["routed"] |= set(o[7])
+                counted = o[5] or o[6]
+                true, false = true + (o[5] if counted else o[3]), false + (o[6] if counted else o[4])
+                for name, x in (("logical_expert_tasks", 1), ("prompt_tokens", o[9]), ("completion_tokens", o[10]), ("realized_cost", o[11])):
+                    out[name] += x
+        out["analyzer_candidate_count"] += len(before)
+        out["gated_candidate_count"] += len(after)
+        out["web_batched_requests"] += web
+        for s in replay.STAGES[1:]:
+            hits[s] += len(found[s] & set(own))
+        exact += set(own) <= found["routed"]
+    div = lambda a, b, empty=1.0: a / b if b else empty
+    n, p, r = hits["truth"], div(true, true + false), div(hits["routed"], hits["truth"])
+    return out | {
+        "ground_truth_count": n, "analyzer_truth_hits": hits["analyzer"], "gated_truth_hits": hits["gated"], "outcome_matrix_truth_hits": hits["matrix"], "full5_oracle_truth_hits": hits["oracle"], "routed_truth_hits": hits["routed"],
+        "analyzer_candidate_recall": div(hits["analyzer"], n), "candidate_gate_gt_retention": div(hits["gated"], hits["analyzer"]), "post_gate_candidate_recall": div(hits["gated"], n), "outcome_matrix_gt_coverage": div(hits["matrix"], n), "full5_oracle_detection_recall": div(hits["oracle"], n),
+        "routed_detection_recall": r, "routing_retention_vs_full5": div(hits["routed"], hits["oracle"]), "validated_outcome_precision": p, "end_to_end_f1": div(2 * p * r, p + r, 0.0), "exact_case_coverage": div(exact, len(cases)),
+        "average_assignments_per_routed_candidate": div(out["logical_expert_tasks"], out["outcome_matrix_candidate_count"], 0.0), "research_physical_requests": out["logical_expert_tasks"],
+    }
+
+
+@pytest.mark.parametrize("seed, most", [(1, 2), (2, None), (3, 1)])
+def test_end_to_end_against_plain_python(spark, seed, most):
+    rng = random.Random(seed)
+    cases = [(f"c{i}", rng.random() < 0.2) for i in range(12)]
+    span = lambda: (rng.choice("ab"), a := rng.randint(1, 40), a + rng.randint(0, 5))
+    truths = [(c, f"t{i}", *span()) for c, _ in cases[1:] for i in range(rng.randint(0, 4))]
+    candidates = [(c, f"k{i}", *span(), rng.randint(0, 4) / 4) for c, _ in cases for i in range(rng.randint(0, 6))]
+    names = lambda: [f"t{rng.randint(0, 5)}" for _ in range(rng.randint(0, 2))]
+    outcomes = [(c[0], c[1], e, rng.random() < 0.5, rng.random() < 0.3, rng.choice([0, 0, 2]), rng.choice([0, 1]), names(), names(), rng.randint(0, 9), 1, rng.randint(0, 9) / 100) for c in candidates if rng.random() < 0.7 for e in EXPERTS]
+    routes = [o[:3] for o in outcomes if rng.random() < 0.4] + [(c[0], c[1], "x") for c in candidates if not any(o[:2] == c[:2] for o in outcomes)]
+    got = replayed(spark, cases, truths, candidates, outcomes, routes, 0.5, most_per_case=most).first().asDict()
+    want = plain_replay(cases, truths, candidates, outcomes, set(routes), 0.5, most)
+    assert {k: pytest.approx(v) for k, v in want.items()} == got
+
+
+def test_end_to_end_of_nothing(spark):
+    r = replayed(spark, [], [], [], [], []).first()
+    assert (r.case_count, r.ground_truth_count, r.routed_detection_recall, r.exact_case_coverage, r.realized_cost, r.average_assignments_per_routed_candidate) == (0, 0, 1.0, 1.0, 0.0, 0.0)
 
 
 def test_support_and_points(spark):
