@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidark.functions import names, taxonomy
-from evidark.operators import preparation, splits
+from evidark.operators import cases, preparation, splits
 from evidark.plans.registry import query
 from evidark.sources.tables import SPANS, candidates, read, truths
 
@@ -130,3 +130,66 @@ def knowledge_text(spark, sf):
     e = F.struct("item_id", F.col("item_id").cast("string").alias("knowledge_id"), F.lit("T").alias("title"), F.when(F.col("item_id") % 3 == 0, "s").alias("source"), F.col("text").alias("content"))
     g = read(spark, sf, "benchmark").groupBy((F.col("item_id") % 10).alias("query_id")).agg(F.array_sort(F.collect_list(e)).alias("entries"))
     return g.select("query_id", names.knowledge_text(F.col("entries"), 400).alias("said"))
+
+
+_CRASHES = ["Heap-double-free", "Heap-use-after-free READ 8", "Integer-overflow", "Heap-buffer-overflow WRITE 4", "Null-dereference", "abort"]
+_CRASH = [("lifetime_resource", "CWE-415"), ("lifetime_resource", "CWE-416"), ("integer_overflow", "CWE-190"), ("memory_bounds", "CWE-787"), ("control_state", "CWE-476"), ("control_state", "")]
+
+
+def crash_tables(spark, sf):
+    """Crash records from orders, their patches and frames from lines, and fixed sources of numbered lines, as the tables hold none.
+
+    Every seventh line number's file is no source; a source is missing by key and file; every eleventh record's hunks name
+    a line that is not there.
+    """
+    k = F.col("o_orderkey")
+    records = read(spark, sf, "orders").select(k.alias("local_id"), F.concat(F.lit("p"), (F.col("o_custkey") % 50).cast("string")).alias("project"), F.element_at(F.array(*map(F.lit, _CRASHES)), (k % 6 + 1).cast("int")).alias("crash_type"), F.when(k % 13 != 0, F.concat(F.lit("fix"), k.cast("string"))).alias("fix_commit"))
+    line = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("local_id"), F.col("l_linenumber").cast("int").alias("j")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("int").alias("q"))
+    path = F.when(F.col("j") == 7, "doc.txt").when(F.col("j") % 2 == 1, "src/m.c").otherwise("src/n.cpp")
+    start, no = 8 * F.col("j") - 5, lambda n: F.concat(F.lit(" L"), n.cast("string"))
+    taken = F.when(F.col("p") % 3 == 0, F.array().cast("array<string>")).when(F.col("p") % 3 == 1, F.array(F.lit("-R1"), F.lit("-R2"))).otherwise(F.array(F.lit("-R1")))
+    wrong = F.when(F.col("local_id") % 11 == 0, F.lit(" X")).otherwise(no(start))
+    hunks = line.select("local_id", path.alias("old_path"), path.alias("path"), F.col("j").alias("hunk_no"), (start + F.col("s") % 5 - 2).cast("int").alias("old_start"), (F.size(taken) + 2).alias("old_count"), start.cast("int").alias("new_start"), F.lit(3).alias("new_count"),
+                        F.concat(F.lit("int f"), F.col("j").cast("string"), F.lit("(int a)")).alias("context"), F.concat(F.array(wrong), taken, F.array(F.concat(F.lit("+L"), (start + 1).cast("string")), no(start + 2))).alias("lines"))
+    file = F.when(F.col("s") % 3 == 0, F.lit("src/m.c")).when(F.col("s") % 3 == 1, F.lit("lib/src/n.cpp")).otherwise("src/other.c")
+    frames = line.select("local_id", F.col("j").alias("depth"), F.concat(F.lit("ns::g"), F.col("j").cast("string"), F.lit("(int)")).alias("function"), file.alias("file"), (F.col("q") * 2).alias("line"))
+    n = F.lit(60) + F.col("local_id") % 25
+    names = F.filter(F.array(F.struct(F.lit(0).alias("f"), F.lit("src/m.c").alias("path")), F.struct(F.lit(1).alias("f"), F.lit("src/n.cpp").alias("path"))), lambda x: (F.col("local_id") + x["f"]) % 4 != 0)
+    text = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("L"), i.cast("string"))), "\n")
+    return records, frames, hunks, records.select("local_id", F.explode(names).alias("x")).select("local_id", "x.path", text.alias("text"))
+
+
+_CRASH_SQL = f"""r AS (SELECT o_orderkey AS id, 'p' || o_custkey % 50 AS project FROM orders),
+l AS (SELECT l_orderkey AS id, CAST(l_linenumber AS INTEGER) AS j, min(l_partkey) AS p, min(l_suppkey) AS s, CAST(min(l_quantity) AS INTEGER) AS q FROM lineitem GROUP BY 1, 2),
+h AS (SELECT *, CASE WHEN j = 7 THEN 'doc.txt' WHEN j % 2 = 1 THEN 'src/m.c' ELSE 'src/n.cpp' END AS path, 8 * j - 5 AS ns, CAST(8 * j - 5 + s % 5 - 2 AS INTEGER) AS os, CAST(CASE p % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS INTEGER) AS gone FROM l WHERE id % 13 <> 0),
+fr AS (SELECT id, j, q * 2 AS line, CASE s % 3 WHEN 0 THEN 'src/m.c' WHEN 1 THEN 'src/n.cpp' END AS path FROM l),
+f AS (SELECT id, path, max(fr.line IS NOT NULL) AS seen, arg_min(fr.line, fr.j) AS line, min(fr.j) AS depth FROM (SELECT DISTINCT id, path FROM h WHERE path <> 'doc.txt') LEFT JOIN fr USING (id, path) WHERE (id + CASE path WHEN 'src/m.c' THEN 0 ELSE 1 END) % 4 <> 0 GROUP BY id, path),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY NOT seen, path) AS n FROM f) WHERE n = 1),
+near AS (SELECT h.id, arg_min(struct_pack(os, gone, j), (CASE WHEN c.seen THEN abs(os - c.line) ELSE 0 END, j)) AS x, sum(gone - 1) AS more FROM h JOIN c USING (id, path) GROUP BY h.id),
+lines AS (SELECT id, k AS pos, 0 AS sub, 'L' || k AS line FROM c, unnest(range(1, 61 + id % 25)) t(k) WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.id = c.id AND h.path = c.path AND h.ns + 1 = k) UNION ALL SELECT h.id, ns + 1, i, 'R' || i FROM h JOIN c USING (id, path), unnest(range(1, gone + 1)) t(i)),
+text AS (SELECT id, string_agg(line, chr(10) ORDER BY pos, sub) AS source FROM lines GROUP BY id),
+o AS (SELECT c.*, near.x, text.source, 60 + c.id % 25 + near.more AS total, greatest(near.x.os, 1) AS start FROM c JOIN near USING (id) JOIN text USING (id) WHERE c.id % 11 <> 0)"""
+
+
+@query("case_building", f"""WITH {_CRASH_SQL} SELECT 'crash-' || o.id AS case_id, project AS project_id, path AS file, sha256(source) AS digest, CAST(CASE WHEN coalesce(line, start) > total THEN least(start, total) ELSE coalesce(line, start) END AS INTEGER) AS line, CASE WHEN seen THEN 'g' || depth ELSE 'f' || x.j END AS function,
+  {[e for e, _ in _CRASH]}[o.id % 6 + 1] AS expert, {[c for _, c in _CRASH]}[o.id % 6 + 1] AS cwe, CASE WHEN coalesce(line, start) > total THEN 'patch-hunk-clamped' WHEN seen THEN 'crash-stack+patch' ELSE 'patch-hunk' END AS ground_truth_source, x.os AS patch_old_start, CAST(x.gone + 2 AS INTEGER) AS patch_old_count FROM o JOIN r USING (id)""")
+def case_building(spark, sf):
+    """Every crash record as a case: its vulnerable text (by digest) and the truth's line."""
+    made, _ = cases.build_cases(*crash_tables(spark, sf))
+    return made.select("case_id", "project_id", "file", F.sha2("source", 256).alias("digest"), F.col("line_start").alias("line"), "function", "expert", F.array_join("cwes", ",").alias("cwe"), "ground_truth_source", "patch_old_start", "patch_old_count")
+
+
+@query("case_failures", f"""WITH {_CRASH_SQL} SELECT r.id AS local_id, project, CASE WHEN r.id % 13 = 0 THEN '{cases.NO_FIX}' WHEN c.id IS NULL THEN '{cases.NO_FILE}' ELSE '{cases.NO_PLACE}' END AS reason FROM r LEFT JOIN c USING (id) WHERE r.id % 13 = 0 OR c.id IS NULL OR r.id % 11 = 0""")
+def case_failures(spark, sf):
+    """Records that make no case, and why."""
+    return cases.build_cases(*crash_tables(spark, sf))[1]
+
+
+@query("lines_carried", """WITH h AS (SELECT l_orderkey AS id, 20 * CAST(l_linenumber AS INTEGER) AS pos, CAST(min(l_partkey) % 4 AS INTEGER) AS old, CAST(min(l_suppkey) % 5 AS INTEGER) AS new FROM lineitem GROUP BY l_orderkey, l_linenumber),
+p AS (SELECT o_orderkey AS id, CAST(unnest(range(1, 160, 7)) AS INTEGER) AS line FROM orders), s AS (SELECT *, CASE WHEN old > 0 THEN pos ELSE pos + 1 END AS lo FROM h)
+SELECT p.id, p.line, CAST(CASE WHEN count(s.id) FILTER (lo <= line AND line < lo + old) = 0 THEN line + coalesce(sum(new - old) FILTER (lo + old <= line), 0) END AS INTEGER) AS new_line FROM p LEFT JOIN s USING (id) GROUP BY p.id, p.line""")
+def lines_carried(spark, sf):
+    """Lines of an old revision in the new one: hunks at every twentieth line, with as many old and new lines as keys say."""
+    hunks = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 20).cast("int").alias("old_start")).agg((F.min("l_partkey") % 4).cast("int").alias("old_count"), (F.min("l_suppkey") % 5).cast("int").alias("new_count"))
+    points = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.explode(F.sequence(F.lit(1), F.lit(159), F.lit(7))).alias("line"))
+    return cases.carried(points, hunks, ["id"])
