@@ -78,6 +78,7 @@ def leaf_blocks(page: str) -> list[Block]:
     out: list[Block] = []
     nodes: list[Node] = []
     open_tags: Counter[str] = Counter()
+    endless: set[str] = set()  # raw elements whose end tag does not come again
     parts: list[str] = []
     linked = 0
 
@@ -146,9 +147,11 @@ def leaf_blocks(page: str) -> list[Block]:
         if tag in VOID or (tag in FOREIGN and attributes.endswith("/")):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if end is None and tag in FOREIGN:
-                continue
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            if end is None:
+                endless.add(tag)
+                if tag in FOREIGN:
+                    continue
             inside, at = (page[at : end.start()], end.end()) if end else (page[at:], len(page))
             if tag not in DROPPED:
                 enter(tag, attributes)

@@ -15,3 +15,14 @@ from evidark.llm.blocks import leaf_blocks
 ])
 def test_text_is_kept(page, want):
     assert [b.text for b in leaf_blocks(page)] == want
+
+
+def test_many_unclosed_elements_take_time_in_proportion():
+    import time
+
+    seconds = []
+    for n in (4_000, 16_000):
+        began = time.perf_counter()
+        assert len(leaf_blocks("<svg><p>a" * n)) == n
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 9 * seconds[0] + 0.2  # a search to the page's end for each would be 16 times as long
