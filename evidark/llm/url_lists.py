@@ -2,13 +2,15 @@
 
 List entries are dated changes: at a time, a pattern is added to a list ("block" or "allow") or removed from it. A
 pattern is a host, which stands for its subdomains too, or a host and a path, which stands for that path and what is
-below it. Changes become validity intervals (from the change to the pattern's next one), and every capture is judged by
-the entries active when it was fetched: the longest active pattern decides, allow over block.
+below it. An entry is valid from its change to the pattern's next one, and every capture is judged by the
+entries active when it was fetched: the longest active pattern decides, allow over block. A change holds from its own
+second on.
 
-Captures and intervals meet on (pattern, period of ``PERIOD`` seconds): an interval is dealt to the periods it touches
-between the first and the last capture, whatever dates the list holds, so a pattern that changes often is not compared with all captures of a hot host. Captures are first reduced to distinct
-(url, time). A url gives one key for each suffix of its host from two labels on, and for each path depth that the list
-has. Joins on hot hosts are inner joins that adaptive execution can split.
+Changes and captures of a pattern are put in order of time, and each capture takes the last state that the changes before
+it left: one as-of pass over both, whatever dates they hold. The order is dealt by ranges of (pattern, time), so a pattern
+with most captures lies in many tasks; what a range leaves is carried to the pattern's next ones by a row for each.
+Captures are first reduced to distinct (url, time). A url gives one key for each suffix of its host from two labels on, and
+for each path depth that the list has.
 
 A null or unparsable url, or a null time, matches nothing (verdict "none"). Changes without a pattern or time are left
 out; of changes at one time, removal comes last. Repeated rows and null ids are kept. Empty tables give no rows, or
@@ -22,7 +24,6 @@ from pyspark.sql import functions as F
 
 from evidark.llm.common import table, whole_row, written
 
-PERIOD = 30 * 86_400
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -46,30 +47,37 @@ def keys(host_: Column, parts: Column, depth: Column) -> Column:
     return F.when(host_ != "", F.array_distinct(F.concat(suffixes, paths)))
 
 
-def intervals(changes: DataFrame) -> DataFrame:
-    """pattern, list, since, until (null: open) from pattern, list, action ("add" or "remove") and at (seconds)."""
-    told = changes.where(F.col("pattern").isNotNull() & F.col("at").isNotNull() & F.col("list").isNotNull()).select("pattern", "list", "action", "at").distinct()
-    by_time = Window.partitionBy("pattern", "list").orderBy("at", "action")
-    told = told.withColumn("before", F.lag("action").over(by_time)).where(F.col("before").isNull() | (F.col("before") != F.col("action")))
-    told = told.withColumn("until", F.lead("at").over(by_time))
-    return told.where((F.col("action") == "add") & (F.col("until").isNull() | (F.col("until") > F.col("at")))).select("pattern", "list", F.col("at").alias("since"), "until")
+LISTS = ("allow", "block")
 
 
 def judge(spark: SparkSession, captures: DataFrame, changes: DataFrame) -> DataFrame:
-    """``captures`` (with url and fetched, in seconds) with verdict, pattern and n_active in the struct ``judged``."""
-    valid = written(spark, intervals(changes), "intervals")
-    distinct = written(spark, captures.select("url", F.col("fetched").cast("long").alias("fetched")).where("url IS NOT NULL AND fetched IS NOT NULL").distinct(), "captures")
-    depth = valid.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
-    earliest, latest = distinct.agg(F.coalesce(F.min("fetched"), F.lit(0)), F.coalesce(F.max("fetched"), F.lit(0))).first()
-    period = lambda c: F.floor(c / PERIOD)
-    dealt = valid.where((F.col("since") <= latest) & (F.col("until").isNull() | (F.col("until") > earliest)))
-    dealt = dealt.withColumn("period", F.explode(F.sequence(period(F.greatest("since", F.lit(earliest))), period(F.least(F.coalesce("until", F.lit(latest)), F.lit(latest))))))
-    asked = distinct.withColumn("pattern", F.explode(keys(host(F.col("url")), segments(F.col("url")), F.lit(depth)))).withColumn("period", period(F.col("fetched")))
-    met = asked.join(dealt, ["pattern", "period"]).where((F.col("since") <= F.col("fetched")) & (F.col("until").isNull() | (F.col("fetched") < F.col("until"))))
-    best = F.max(F.struct(F.length("pattern").alias("n"), (F.col("list") == "allow").alias("allow"), "pattern")).alias("best")
-    found = met.groupBy("url", "fetched").agg(best, F.count(F.lit(1)).alias("n_active"))
+    """``captures`` (with url and fetched, in seconds) with verdict, pattern and n_active in the struct ``judged``.
+
+    ``changes``: pattern, list ("allow" or "block"), action ("add" or "remove"), at (seconds).
+    """
+    told = changes.where(F.col("pattern").isNotNull() & F.col("at").isNotNull() & F.col("list").isin(*LISTS)).select("pattern", "list", "action", F.col("at").cast("long").alias("at")).distinct()
+    told = written(spark, told, "changes")
+    depth = told.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
+    distinct = captures.select("url", F.col("fetched").cast("long").alias("at")).where("url IS NOT NULL AND at IS NOT NULL").distinct()
+    asked = distinct.withColumn("pattern", F.explode(keys(host(F.col("url")), segments(F.col("url")), F.lit(depth))))
+    asked = asked.join(told.select("pattern").distinct(), "pattern", "left_semi")
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    both = told.select("pattern", "at", "list", "action", none("url")).union(asked.select("pattern", "at", none("list"), none("action"), "url"))
+    order = ["at", F.col("url").isNotNull(), "action"]  # at one second: additions, removals, captures
+    ranged = both.repartitionByRange("pattern", "at", "url").select("*", F.spark_partition_id().alias("task"))
+    ranged = written(spark, ranged, "ordered")
+    here = Window.partitionBy("task", "pattern").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    states = [F.last(F.when(F.col("list") == x, F.col("action")), ignorenulls=True).over(here).alias(x) for x in LISTS]
+    left = ranged.groupBy("task", "pattern").agg(*[F.max(F.when(F.col("list") == x, F.struct("at", "action"))).alias(x) for x in LISTS])
+    earlier = Window.partitionBy("pattern").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    carried = left.select("task", "pattern", *[F.last(f"{x}.action", ignorenulls=True).over(earlier).alias(f"{x}_before") for x in LISTS])
+    met = ranged.select("task", "pattern", "at", "url", *states).where("url IS NOT NULL").join(carried, ["task", "pattern"])
+    active = [F.coalesce(F.coalesce(F.col(x), F.col(f"{x}_before")) == "add", F.lit(False)) for x in LISTS]
+    met = met.select("url", "at", "pattern", active[0].alias("allow"), (active[0].cast("long") + active[1].cast("long")).alias("n")).where("n > 0")
+    best = F.max(F.struct(F.length("pattern").alias("length"), "allow", "pattern")).alias("best")
+    found = met.groupBy("url", "at").agg(best, F.sum("n").alias("n_active"))
     row = captures.select(whole_row(captures).alias("row")).alias("c")
-    joined = row.join(found.alias("f"), (F.col("c.row.url") == F.col("f.url")) & (F.col("c.row.fetched").cast("long") == F.col("f.fetched")), "left")
+    joined = row.join(found.alias("f"), (F.col("c.row.url") == F.col("f.url")) & (F.col("c.row.fetched").cast("long") == F.col("f.at")), "left")
     verdict = F.when(F.col("best").isNull(), "none").when(F.col("best.allow"), "allow").otherwise("block")
     return joined.select("row", F.struct(verdict.alias("verdict"), F.col("best.pattern").alias("pattern"), F.coalesce("n_active", F.lit(0)).alias("n_active")).alias("judged"))
 

@@ -185,3 +185,32 @@ def test_list_entries_of_any_date(spark):
     assert got == {1: ("allow", 2), 2: ("block", 1), 3: ("none", 0)}
     assert url_lists.judge(spark, captures.where("false"), changes).count() == 0
     assert [r.judged.verdict for r in url_lists.judge(spark, captures, changes.where("false")).collect()] == ["none"] * 3
+
+
+def test_a_hot_pattern_in_many_tasks_and_extreme_dates(spark):
+    import random
+
+    rng = random.Random(4)
+    changes = [(p, x, rng.choice(["add", "remove"]), rng.randint(0, 60)) for p in ("hot.com", "a.hot.com", "hot.com/x", "b.org") for x in ("block", "allow") for _ in range(9)]
+    captures = [(i, rng.choice(["http://hot.com/x", "http://a.hot.com/y", "http://www.hot.com/", "https://b.org/"]), rng.choice([rng.randint(-5, 70), 30, 1_700_000_000_000, -(10**15)])) for i in range(1500)]
+
+    def state(pattern, list_, t):
+        past = sorted((at, action) for p, x, action, at in changes if (p, x) == (pattern, list_) and at <= t)
+        return bool(past) and past[-1][1] == "add"
+
+    def wanted(url, t):
+        h, _, path = url.split("//")[1].partition("/")
+        names = [".".join(h.split(".")[i:]) for i in range(h.count("."))] + ([f"{h}/{path}"] if path else [])
+        active = [(len(p), x == "allow", p) for p in names for x in ("block", "allow") if state(p, x, t)]
+        best = max(active, default=None)
+        return (None, "none", 0) if best is None else (best[2], "allow" if best[1] else "block", len(active))
+
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        out = url_lists.judge(spark, spark.createDataFrame(captures, "id int, url string, fetched long"), spark.createDataFrame(changes, "pattern string, list string, action string, at long")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {r.row.id: (r.judged.pattern, r.judged.verdict, r.judged.n_active) for r in out} == {i: wanted(u, t) for i, u, t in captures}
