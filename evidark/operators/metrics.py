@@ -83,22 +83,3 @@ def assignment_statistics(outcomes: DataFrame) -> DataFrame:
         F.bround(F.sum(F.col("cost").cast("decimal(18,6)")).cast("double") / F.count(F.lit(1)), 9).alias("mean_cost"),
         F.avg("tokens").alias("mean_tokens"),
     )
-
-
-def policy_metrics(outcomes: DataFrame, policy: DataFrame) -> DataFrame:
-    """For each policy (rows policy, candidate_id, assignment): how often it succeeds, what it costs, and its regret."""
-    worth = outcomes.withColumn("reward", F.bround(reward(), 6))
-    best = worth.groupBy("candidate_id").agg(F.max("reward").alias("best"), F.max("success").alias("solvable"))
-    chosen = policy.join(worth, ["candidate_id", "assignment"]).groupBy("policy", "candidate_id").agg(
-        F.max("success").alias("success"), F.max("false_positive").alias("false_positive"), F.sum(F.col("cost").cast("decimal(18,6)")).alias("cost"), F.max("reward").alias("reward"), F.count(F.lit(1)).alias("calls")
-    )
-    both = chosen.join(best, "candidate_id")
-    return both.groupBy("policy").agg(
-        F.count(F.lit(1)).alias("groups"),
-        F.count_if("success").alias("successes"),
-        ratio(F.count_if(F.col("success") & F.col("solvable")), F.count_if("solvable"), 1.0).alias("coverage"),
-        F.avg(F.col("false_positive").cast("double")).alias("false_positive_rate"),
-        F.sum("cost").cast("double").alias("cost"),
-        F.avg("calls").alias("mean_calls"),
-        F.bround(F.sum((F.col("best") - F.col("reward")).cast("decimal(18,6)")).cast("double") / F.count(F.lit(1)), 9).alias("mean_regret"),
-    )

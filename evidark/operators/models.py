@@ -12,6 +12,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidark.operators.fitting import GroupedModels, fit_groups
+
 VERSION = "routing-model-v1"
 
 
@@ -133,12 +135,12 @@ def fit_binary(rows: DataFrame, names: list[str], positive: str, features: str =
     return model
 
 
-def fit_by_assignment(outcomes: DataFrame, names: list[str], assignments: list[str]) -> dict[str, RoutingModel]:
-    """A success model for each of a few assignments; one that is missing raises."""
-    have = {r[0] for r in outcomes.select("assignment").distinct().collect()}
-    if missing := sorted(set(assignments) - have):
+def fit_by_assignment(outcomes: DataFrame, names: list[str], assignments: list[str]) -> GroupedModels:
+    """Success models of all assignments in one pass an iteration; one that is missing raises."""
+    model = fit_groups(outcomes.where(F.col("assignment").isin(assignments)), names, "assignment", "success")
+    if missing := sorted(set(assignments) - set(model.fitted) - set(model.constant)):
         raise ValueError(f"no outcomes for {missing}")
-    return {a: fit_binary(outcomes.where(F.col("assignment") == a), names, "success") for a in assignments}
+    return model
 
 
 def importance(model: RoutingModel, k: int = 10) -> DataFrame:

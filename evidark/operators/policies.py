@@ -8,12 +8,15 @@ nothing larger than one candidate's rows meets in one group.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidark.functions.scores import independence_of
 from evidark.operators.assertions import DataError
 from evidark.operators.metrics import expected_calibration_error, f1, ratio
+from evidark.sources.session import written
 
 KEY = ["candidate_id"]
 #: Weights of false positives, unsupported claims and cost against a success.
@@ -41,12 +44,13 @@ def ranked(outcomes: DataFrame) -> DataFrame:
     return outcomes.withColumn("place", F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("probability"), "assignment")))
 
 
-def baselines(outcomes: DataFrame, fixed: list[str], threshold: float, gate: DataFrame | None = None, single: str | None = None, pair: list[str] | None = None) -> DataFrame:
+def baselines(outcomes: DataFrame, fixed: list[str], threshold: float, gate: DataFrame | None = None, single: str | None = None, pair: list[str] | None = None, anchor_rare: DataFrame | None = None) -> DataFrame:
     """policy, candidate_id, assignment of the policies a router is compared with.
 
     full5: all; utility_top2: the best two; fixed_top2: two named ones; formula_escalation: the best two, or all where the
     chance that one of them is right is below ``threshold``; adaptive_gate: all where ``gate`` (candidate_id, escalate)
-    says so, else the best two; best_single and best_fixed2: as named.
+    says so, else the best two; best_single and best_fixed2: as named; anchor_rare: what that router chose
+    (candidate_id, assignment), of what has an outcome.
     """
     r = ranked(outcomes)
     top = F.col("place") <= 2
@@ -62,6 +66,9 @@ def baselines(outcomes: DataFrame, fixed: list[str], threshold: float, gate: Dat
         named.append(F.when(F.col("assignment") == single, "best_single"))
     if pair is not None:
         named.append(F.when(F.col("assignment").isin(pair), "best_fixed2"))
+    if anchor_rare is not None:
+        r = r.join(anchor_rare.select(*KEY, "assignment").distinct().withColumn("_anchored", F.lit(True)), [*KEY, "assignment"], "left")
+        named.append(F.when(F.col("_anchored"), "anchor_rare"))
     return r.select(F.explode(F.array_compact(F.array(*named))).alias("policy"), *KEY, "assignment")
 
 
@@ -73,41 +80,47 @@ def require_complete(outcomes: DataFrame, choice: DataFrame) -> None:
 
 
 def reward_of(success: Column, false_positive: Column, unsupported: Column, cost: Column, weights: tuple[float, float, float] = WEIGHTS) -> Column:
-    return success.cast("double") - weights[0] * false_positive - weights[1] * unsupported - weights[2] * cost.cast("double")
+    """In decimals, so that sums of it are the same in any order; costs have six places."""
+    part = lambda w, x, places: F.lit(Decimal(repr(w))).cast("decimal(8,4)") * x.cast(f"decimal(12,{places})")
+    return success.cast("int").cast("decimal(12,0)") - part(weights[0], false_positive, 0) - part(weights[1], unsupported, 0) - part(weights[2], cost, 6)
 
 
-def evaluate(outcomes: DataFrame, choice: DataFrame, top: int = 2, weights: tuple[float, float, float] = WEIGHTS, check: bool = True) -> DataFrame:
+def evaluate(outcomes: DataFrame, choice: DataFrame, top: int = 2, weights: tuple[float, float, float] = WEIGHTS, check: bool = True, full: int | None = None, expected: DataFrame | None = None) -> DataFrame:
     """One row for each policy with all its measures; costs are summed as decimals, so order does not matter.
 
-    A policy counts as escalated where it takes every assignment of the candidate; the best ``top`` suffice where they
-    match every truth of the candidate. Candidates for which a policy chose nothing count with nothing chosen.
+    A policy counts as escalated where it takes ``full`` assignments (all of the candidate's, if that is not given); the
+    best ``top`` suffice where they match every truth of the candidate. ``expected``: assignment, average_cost, of the rows
+    that a router was trained on; else of these outcomes. Candidates for which a policy chose nothing count with nothing
+    chosen.
     """
+    outcomes, choice = written(outcomes.select([c for c in outcomes.columns if c != "place"]), "outcomes"), written(choice, "choice")  # each is read by several branches
     if check:
         require_complete(outcomes, choice)
     empty = F.array().cast("array<string>")
     true, false = validated_counts(F.col("validated_true"), F.col("validated_false"), F.col("success"), F.col("false_positive"))
     o = ranked(outcomes).withColumns({"cost": F.col("cost").cast("decimal(18,6)"), "true_n": true, "false_n": false, "matched": F.coalesce("matched_truth_ids", empty), "truths": F.coalesce("ground_truth_ids", empty)})
-    average = o.groupBy("assignment").agg((F.sum("cost").cast("double") / F.count(F.lit(1))).alias("average_cost"))  # a row an assignment
+    o = written(o, "ranked")
+    average = expected if expected is not None else o.groupBy("assignment").agg((F.sum("cost").cast("double") / F.count(F.lit(1))).alias("average_cost"))  # a row an assignment
     union = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
     own = reward_of(F.col("success"), F.col("false_positive").cast("int"), F.col("unsupported"), F.col("cost"), weights)
     every = o.groupBy(*KEY).agg(
-        F.max("success").alias("any_success"), union("truths").alias("truths"), F.count(F.lit(1)).alias("assignments"), F.max(F.bround(own, 6)).alias("best"),
+        F.max("success").alias("any_success"), union("truths").alias("truths"), F.count(F.lit(1)).alias("assignments"), F.max(own).alias("best"),
         union(F.when(F.col("place") <= top, F.col("matched")).otherwise(empty)).alias("top_matched"), independence_of(F.collect_list(F.when(F.col("place") <= top, F.col("probability")))).alias("gate_confidence"),
         *[F.max(c).alias(c) for c in ("case_id",) if c in outcomes.columns],
     )
-    every = every.withColumn("sufficient", F.size(F.array_except("truths", "top_matched")) == 0)
+    every = written(every.withColumn("sufficient", F.size(F.array_except("truths", "top_matched")) == 0), "candidates")
     taken = choice.join(o.join(average, "assignment"), [*KEY, "assignment"]).groupBy("policy", *KEY).agg(
         F.count(F.lit(1)).alias("n"), F.max("success").alias("success"), F.sum(F.col("false_positive").cast("int")).alias("fp"), F.sum("unsupported").alias("unsupported"), F.sum("cost").alias("cost"),
-        F.bround(F.sum(F.col("average_cost").cast("decimal(24,12)")).cast("double"), 9).alias("expected"), union("matched").alias("matched"), F.sum("true_n").alias("true_n"), F.sum("false_n").alias("false_n"),
+        F.sum(F.col("average_cost").cast("decimal(24,12)")).alias("expected"), union("matched").alias("matched"), F.sum("true_n").alias("true_n"), F.sum("false_n").alias("false_n"),
         *[F.sum(c).alias(c) for c in ("prompt_tokens", "completion_tokens")], F.sum(F.col("latency_seconds").cast("decimal(18,6)")).alias("latency_seconds"),
     )
     names = choice.select("policy").distinct()
     grid = every.crossJoin(F.broadcast(names))  # a row a policy: a handful
     zero = lambda c: F.coalesce(c, F.lit(0))
     g = grid.join(taken, ["policy", *KEY], "left").withColumns({"matched": F.array_intersect(F.coalesce("matched", empty), F.col("truths")), "n": zero("n"), "success": F.coalesce("success", F.lit(False))})
-    escalated, reward = F.col("n") == F.col("assignments"), F.bround(reward_of(F.col("success"), zero("fp"), zero("unsupported"), zero("cost"), weights), 6)
+    escalated, reward = F.col("n") >= (F.col("assignments") if full is None else F.lit(full)), reward_of(F.col("success"), zero("fp"), zero("unsupported"), zero("cost"), weights)
     g = g.withColumns({"escalated": escalated, "reward": reward})
-    total = lambda c: F.sum(c.cast("decimal(24,9)")).cast("double")
+    total = lambda c: F.sum(c.cast("decimal(26,12)")).cast("double")
     case = F.col("case_id") if "case_id" in outcomes.columns else F.col(KEY[0])
     out = g.groupBy("policy").agg(
         F.count(F.lit(1)).alias("candidate_count"),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidark.functions.cfront.candidates import analyse_files
-from evidark.operators import graph, models
+from evidark.operators import fitting, models, policies
+from evidark.plans.outcome_queries import full_outcomes
 from evidark.plans.registry import query
+from evidark.sources.session import written
 from evidark.sources.tables import labelled, outcomes, read
 from evidark.streaming.replay import windowed_counts
 
@@ -30,16 +32,34 @@ def binary_router(spark, sf):
 
 @query("utility_models")
 def utility_models(spark, sf):
+    """A success model for every assignment, all fitted in one pass an iteration."""
     o = outcomes(spark, sf).withColumn("features", F.create_map(F.lit("tokens"), F.col("tokens").cast("double"), F.lit("p"), F.col("probability")))
-    graph.checkpoints(spark)
-    o = o.checkpoint()  # every model reads it
-    names = sorted(r[0] for r in o.select("assignment").distinct().collect())
-    fitted = models.fit_by_assignment(o, ["tokens", "p"], names)
-    out = None
-    for a, m in fitted.items():
-        one = m.predict(o.where(F.col("assignment") == a)).select("candidate_id", "assignment", F.col("scores")["yes"].alias("p"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    o = written(o, "outcomes")  # read by the fit and the prediction
+    return fitting.fit_groups(o, ["tokens", "p"], "assignment", "success").predict(o, F.col("assignment")).select("candidate_id", "assignment", "p")
+
+
+def gated(spark, sf):
+    """Outcomes with places, and every candidate's chance, by the fitted gate, that the best two suffice."""
+    o = written(policies.ranked(full_outcomes(spark, sf)), "ranked")
+    experts = sorted(r[0] for r in o.select("assignment").distinct().collect())  # event types
+    enough = fitting.best_two_suffice(o, ["candidate_id"])
+    by = o.groupBy("candidate_id").agg(F.map_from_entries(F.collect_list(F.struct("assignment", "probability"))).alias("chances"), F.transform(F.array_sort(F.collect_list(F.struct("place", "assignment"))), lambda x: x["assignment"]).alias("order"), F.max("tokens").cast("double").alias("most"))
+    rows = by.withColumn("gate", fitting.gate_features(F.create_map(F.lit("most_tokens"), F.col("most")), F.lit(0.0), F.col("chances"), F.col("order"), experts)).join(enough, "candidate_id")
+    rows = written(rows.select("candidate_id", "gate", "sufficient"), "gate")
+    return o, fitting.EscalationGate().fit(rows).transform(rows).select("candidate_id", "sufficient", "confidence")
+
+
+@query("escalation_gate")
+def escalation_gate(spark, sf):
+    return gated(spark, sf)[1]
+
+
+@query("gated_policy")
+def gated_policy(spark, sf):
+    """All measures of the policy that takes every expert where the fitted gate doubts the best two."""
+    o, chance = gated(spark, sf)
+    choice = policies.baselines(o, [], 0.0, chance.select("candidate_id", (F.col("confidence") < 0.5).alias("escalate")))
+    return policies.evaluate(o, choice.where("policy = 'adaptive_gate'"))
 
 
 # Small C functions; each document's id picks one, so that the parser sees as many files as the table has rows.

@@ -142,7 +142,7 @@ _ECE = "len(list_filter([0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUB
 
 
 def _measures() -> str:
-    real = lambda c: f"CAST(sum(CAST({c} AS DECIMAL(24,9))) AS DOUBLE)"
+    real = lambda c: f"CAST(sum(CAST({c} AS DECIMAL(26,12))) AS DOUBLE)"
     error = lambda name, rows: f"""{name}_b AS (SELECT CASE WHEN p >= 0 AND p <= 1 THEN {_ECE} END AS bin, count(*) AS n, avg(p) AS c, avg(y) AS a FROM {rows} GROUP BY 1),
 {name} AS (SELECT (SELECT round(coalesce(avg(power(p - y, 2)), 0), 9) FROM {rows}) AS brier, round(sum(CASE WHEN bin IS NOT NULL THEN n * abs(c - a) ELSE 0 END) / sum(n), 9) AS ece FROM {name}_b)"""
     return f"""avg_ AS (SELECT assignment, CAST(sum(CAST(cost AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS average FROM full_ GROUP BY assignment),
@@ -151,7 +151,7 @@ every AS (SELECT f.candidate_id, bool_or(success) AS any_success, list_distinct(
   coalesce(list_distinct(flatten(list(matched) FILTER (place <= 2))), []) AS top_matched, any_value(chance) AS chance FROM full_ f JOIN chance c ON f.candidate_id = c.candidate_id GROUP BY f.candidate_id),
 enough AS (SELECT *, list_has_all(top_matched, truths) AS sufficient FROM every),
 taken AS (SELECT policy, candidate_id, count(*) AS n, bool_or(success) AS success, sum(CAST(false_positive AS INTEGER)) AS fp, sum(unsupported) AS un, sum(CAST(cost AS DECIMAL(18,6))) AS cost,
-  round_even(CAST(sum(CAST(average AS DECIMAL(24,12))) AS DOUBLE), 9) AS expected, list_distinct(flatten(list(matched))) AS matched, sum(CASE WHEN vt <> 0 OR vf <> 0 THEN vt ELSE CAST(success AS INTEGER) END) AS tn, sum(CASE WHEN vt <> 0 OR vf <> 0 THEN vf ELSE CAST(false_positive AS INTEGER) END) AS fn,
+  sum(CAST(average AS DECIMAL(24,12))) AS expected, list_distinct(flatten(list(matched))) AS matched, sum(CASE WHEN vt <> 0 OR vf <> 0 THEN vt ELSE CAST(success AS INTEGER) END) AS tn, sum(CASE WHEN vt <> 0 OR vf <> 0 THEN vf ELSE CAST(false_positive AS INTEGER) END) AS fn,
   sum(tokens * 10) AS pt, sum(tokens) AS ct, sum(CAST(cost * 2 AS DECIMAL(18,6))) AS lat FROM choice JOIN full_ USING (candidate_id, assignment) JOIN avg_ USING (assignment) GROUP BY policy, candidate_id),
 g AS (SELECT p.policy, e.*, coalesce(n, 0) AS n, coalesce(success, FALSE) AS success, list_intersect(coalesce(matched, []), truths) AS got, coalesce(n, 0) = assignments AS escalated,
   round_even(CAST(coalesce(success, FALSE) AS DOUBLE) - 0.5 * coalesce(fp, 0) - 0.25 * coalesce(un, 0) - 1.0 * coalesce(cost, 0)::DOUBLE, 6) AS reward, expected, coalesce(cost, 0) AS cost, tn, fn, pt, ct, lat
@@ -171,7 +171,7 @@ m AS (SELECT policy, c AS candidate_count, suc::DOUBLE / c AS success_coverage,
 def policy_metrics(spark, sf):
     """All measures of the best two by probability."""
     o = full_outcomes(spark, sf)
-    return policies.evaluate(o, compared(o)).where("policy = 'utility_top2'")
+    return policies.evaluate(o, compared(o).where("policy = 'utility_top2'"))
 
 
 @query("policy_comparison", f"WITH {OUTCOMES}, {_FULL}, {_BASELINES}, {_measures()} SELECT * FROM m")

@@ -201,12 +201,9 @@ def test_text(spark):
     assert df.select(text.strip_comments(F.col("t"))).count() == 4
 
 
-def test_policy_metrics_and_pairs(spark):
+def test_pairs(spark):
     rows = [("c", "m", True, False, 0, 0.1), ("c", "i", False, True, 1, 0.2), ("d", "m", False, False, 0, 0.1), ("d", "i", True, False, 0, 0.3)]
     o = spark.createDataFrame(rows, "candidate_id string, assignment string, success boolean, false_positive boolean, unsupported int, cost double")
-    policy = o.selectExpr("'only_m' AS policy", "candidate_id", "assignment").where("assignment = 'm'")
-    r = metrics.policy_metrics(o, policy).first()
-    assert (r.groups, r.successes, r.coverage) == (2, 1, 0.5) and r.mean_regret == pytest.approx((0 + 0.7 - -0.1) / 2)
     best = calibration.best_pair(o).first()
     assert (best.a, best.b, best.covered, best.place) == ("i", "m", 2, 1)
 
