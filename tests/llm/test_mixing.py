@@ -59,3 +59,30 @@ def test_rows_that_are_alike_are_sampled_one_by_one(spark):
     assert abs(shares[0] - shares[1]) < 0.35  # neither kind goes first
     told = lambda d: sorted(map(repr, d[["doc_id", "source", "copies"]].fillna(-1).itertuples(index=False)))
     assert told(out) == told(again)
+
+
+def test_probability_follows_size(spark):
+    """Large documents are drawn in proportion to their size, the largest for certain; small ones are drawn too."""
+    rng = np.random.default_rng(8)
+    rows = [(i, "a", int(rng.integers(1, 40)), None) for i in range(6000)] + [(10_000 + i, "a", 5000, None) for i in range(3)] + [(20_000 + i, "b", 30, None) for i in range(3000)]
+    out = run(spark, rows)
+    own = out[out.source == "a"].copy()
+    whole = own.copies.min()
+    own["more"] = own.copies - whole
+    assert (own[own["size"] == 5000].more == 1).all() and set(own.more) == {0, 1}
+    rest = own.target.iloc[0] - whole * own["size"].sum()
+    small = own[own["size"] < 5000]
+    l = (rest - 15_000) / (small["size"] ** 2).sum()
+    for low, high in ((1, 10), (10, 20), (20, 30), (30, 40)):
+        g = small[(small["size"] >= low) & (small["size"] < high)]
+        want = np.minimum(1, l * g["size"])
+        assert abs(g.more.sum() - want.sum()) < 4 * np.sqrt((want * (1 - want)).sum()) + 1
+    assert abs((own.copies * own["size"]).sum() - own.target.iloc[0]) <= 40
+
+
+def test_rows_of_one_id_and_size_keep_their_own_draw(spark):
+    """What else tells rows apart decides, not their place: the same texts are taken whatever the order."""
+    rows = [(7, "t" * 3 + f"{i:04}" + " w w w", "en", "s", 1) for i in range(300)] + [(i, "x y z w", "en", "u", 1) for i in range(3000)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    got = [sorted(r.text for r in mixing.mixing_stage(spark, spark.createDataFrame(x, kind).repartition(k), "").collect()) for x, k in ((rows, 3), (rows[::-1], 5))]
+    assert got[0] == got[1] and 0 < len({t for t in got[0] if t.startswith("ttt")}) <= 300
