@@ -1,9 +1,7 @@
-"""The light analyser: regular expressions on function regions instead of flow analysis, natively but for one rule."""
+"""The light analyser: regular expressions on function regions instead of flow analysis, natively but for the regions."""
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,17 +27,39 @@ PATTERNS = {
     "toctou_signal": ("toctou", r"\b(?:access|stat|lstat)\s*\([^;]+;[\s\S]{0,300}\b(?:open|fopen|unlink|rename)\s*\("),
 }
 FILE_CHECK, FILE_USE = r"\b(?:access|stat|lstat)\s*\(", r"\b(?:open|fopen|unlink|rename)\s*\("
-REUSED = re.compile(r"\bfree\s*\(\s*([A-Za-z_]\w*)\s*\)")
+NAME = r"[A-Za-z_]\w*"
+#: A freed name that is indexed, followed or freed again later in the text.
+REUSED = rf"\bfree\s*\(\s*({NAME})\s*\)[\s\S]*?(?:\b\1\s*(?:\[|->|\.)|\bfree\s*\(\s*\1\s*\))"
+
+
+def released_then_accessed(code: Column) -> Column:
+    return F.rlike(code, F.lit(REUSED))
+
+
+def line_feeds(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n")))
+
+
+def match_lines(code: Column, pattern: str) -> Column:
+    """Of each match of a pattern, in order, the line feeds before it: what the pieces between matches and the matches hold."""
+    pieces, matches = F.split(code, pattern, -1), F.regexp_extract_all(code, F.lit(pattern), F.lit(0))
+    steps = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(line_feeds(p).alias("before"), line_feeds(m).alias("inside")))
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(steps, start, lambda a, x: F.struct((a["n"] + x["before"] + x["inside"]).alias("n"), F.array_append(a["out"], a["n"] + x["before"]).alias("out")), lambda a: a["out"])
 
 
-def reused_after_free(code: str) -> bool:
-    """Whether a freed name is indexed, followed or freed again later in the text."""
-    return any(re.search(rf"\b{m[1]}\s*(?:\[|->|\.)|\bfree\s*\(\s*{m[1]}\s*\)", code[m.end() :]) for m in REUSED.finditer(code))
+def evidence(code: Column, file: Column, line_start: Column, digest: Column) -> Column:
+    """array<struct<evidence_id, kind, file, line, expression, facts>>: every match of every signal, numbered in their order."""
+    lines = F.split(code, "\n")
 
+    def of(signal: str, kind: str, pattern: str) -> Column:
+        return F.transform(match_lines(code, pattern), lambda at, i: F.struct(F.lit(kind).alias("kind"), F.lit(signal).alias("signal"), i.alias("nth"), at.alias("at")))
 
-@F.arrow_udf(T.BooleanType())
-def released_then_accessed(code: pa.Array) -> pa.Array:
-    return pa.array([None if c is None else reused_after_free(c) for c in code.to_pylist()], pa.bool_())
+    every = F.flatten(F.array(*[of(s, k, p) for s, (k, p) in PATTERNS.items()]))
+    return F.transform(every, lambda m, i: F.struct(
+        F.concat(F.lit("EV-"), digest, F.lit("-"), (i + 1).cast("string")).alias("evidence_id"), m["kind"].alias("kind"), file.alias("file"), (line_start + m["at"]).alias("line"),
+        F.regexp_replace(F.element_at(lines, m["at"] + 1), r"^\s+|\s+$", "").alias("expression"), F.create_map(F.lit("signal"), m["signal"], F.lit("match_index"), m["nth"].cast("string")).alias("facts"),
+    ))
 
 
 REGION = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("line_start", T.IntegerType()), T.StructField("line_end", T.IntegerType()), T.StructField("code", T.StringType())]))
@@ -77,12 +97,15 @@ def risk(n: dict[str, Column]) -> Column:
 
 
 def analyse(files: DataFrame, most: int | None = None) -> DataFrame:
-    """Candidates of files (case_id, file, source), the riskiest first: functions with a signal, with their features."""
+    """Candidates of files (case_id, file, source), the riskiest first: functions with a signal, with their features and
+    the evidence of every match."""
     r = files.select("case_id", "file", F.explode(function_regions("source")).alias("f")).select("case_id", "file", "f.*")
     r = r.withColumns(counts(F.col("code")))
     n = {f"{k}_count": F.col(f"{k}_count") for k in PATTERNS}
     r = r.withColumns(derived(n, F.col("code"), F.col("line_end") - F.col("line_start") + 1))
     digest = F.sha1(F.concat_ws(":", "case_id", "file", "name", F.col("line_start").cast("string")))
-    out = r.withColumns({"score": risk(n | {k: F.col(k) for k in ("external_input_to_sink", "released_then_accessed", "toctou_pair")}), "candidate_id": F.concat(F.lit("C-"), F.substring(digest, 1, 12))}).where("score IS NOT NULL")
+    r = r.withColumns({"digest": F.substring(digest, 1, 12), "function": F.col("name")})
+    r = r.withColumn("evidence", evidence(F.col("code"), F.col("file"), F.col("line_start"), F.col("digest")))
+    out = r.withColumns({"score": risk(n | {k: F.col(k) for k in ("external_input_to_sink", "released_then_accessed", "toctou_pair")}), "candidate_id": F.concat(F.lit("C-"), F.col("digest"))}).where("score IS NOT NULL").drop("digest")
     out = out.orderBy(F.desc("score"), "file", "line_start", "candidate_id")
     return out if most is None else out.limit(most)

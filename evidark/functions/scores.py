@@ -28,12 +28,22 @@ def clipped(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(CLIP))
 
 
+def six_digits(v: Column) -> Column:
+    """A number as text with six significant digits and no zeros at the end; powers below -4 or above 5 in exponent form."""
+    told = F.format_string("%.5e", v)
+    power = F.regexp_extract(told, r"e([+-]\d+)$", 1).cast("int")
+    bare = lambda t: F.regexp_replace(F.regexp_replace(t, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    fixed = F.format_string("%.5f", v)
+    for places in range(10):  # as many as the power leaves of the six
+        fixed = F.when(power == 5 - places, F.format_string(f"%.{places}f", v)).otherwise(fixed)
+    return F.when((power < -4) | (power > 5), F.concat(bare(F.regexp_extract(told, r"^(.*)e", 1)), F.regexp_extract(told, r"(e[+-]\d+)$", 1))).otherwise(bare(fixed))
+
+
 def suspicion_reasons(features: Column, weights: dict[str, float] = SUSPICION_WEIGHTS) -> Column:
-    """"name=value" of every feature above 0, the largest contribution first, ties by name; whole values without a fraction."""
+    """"name=value" of every feature above 0, the largest contribution first, ties by name; values to six significant digits."""
     value = lambda n: F.coalesce(F.try_element_at(features, F.lit(n)), F.lit(0.0))
     parts = F.array(*[F.struct((-w * clipped(value(n))).alias("down"), F.lit(n).alias("name"), value(n).alias("value")) for n, w in weights.items()])
-    shown = lambda v: F.when(v == F.floor(v), F.floor(v).cast("string")).otherwise(F.regexp_replace(F.format_string("%.6f", v), "0+$", ""))
-    return F.transform(F.array_sort(F.filter(parts, lambda p: p["value"] > 0)), lambda p: F.concat(p["name"], F.lit("="), shown(p["value"])))
+    return F.transform(F.array_sort(F.filter(parts, lambda p: p["value"] > 0)), lambda p: F.concat(p["name"], F.lit("="), six_digits(p["value"])))
 
 
 def utility(p: Column, false_positive: Column, unsupported: Column, cost: Column, weights: tuple[float, float, float] = (0.5, 0.25, 1.0)) -> Column:

@@ -114,3 +114,25 @@ def dominators(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.groupBy("fn").agg(F.array_sort(F.collect_set(F.col("node").cast("long"))).alias("n"))
     e = edges.groupBy("fn").agg(F.collect_list(F.struct(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))).alias("e"))
     return n.join(e, "fn", "left").select("fn", F.explode(dominator_pairs("n", "e")).alias("x")).select("fn", "x.node", "x.dominator")
+
+
+def call_graph(functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """caller, callee: distinct calls that lead to one function only.
+
+    ``functions``: key, name ("::" between the steps of a qualified name). ``calls``: caller (a key), callee as written:
+    white space goes, and "->" is ".". A call means the functions whose name is what is written, or what stands behind its
+    last "." or "::", or ends with that as whole steps; a call that may mean several is dropped.
+
+    Names are indexed by their endings, one row an ending (its least and largest key tell whether it is one function's), so
+    a name that thousands of functions have costs a row, and a call a look-up for each reading.
+    """
+    steps = F.split("name", "::")
+    endings = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, i, F.size(steps)), "::"))
+    index = functions.select("key", F.explode(endings).alias("ending")).groupBy("ending").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    said = F.replace(F.regexp_replace("callee", r"\s+", ""), F.lit("->"), F.lit("."))
+    asked = calls.select("caller", said.alias("said")).distinct()
+    last = lambda mark: F.when(F.contains("said", F.lit(mark)), F.substring_index("said", mark, -1))
+    readings = F.array_distinct(F.array_compact(F.array(F.col("said"), last("."), last("::"))))
+    met = asked.select("caller", "said", F.explode(readings).alias("ending")).join(index, "ending")
+    one = met.groupBy("caller", "said").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low = high")
+    return one.select("caller", F.col("low").alias("callee")).distinct()

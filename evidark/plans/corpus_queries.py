@@ -319,12 +319,18 @@ def dominators(spark, sf):
     return graph.dominators(line, inside)
 
 
-@query("call_graph", """WITH f AS (SELECT s_suppkey, s_nationkey FROM supplier), u AS (SELECT s_nationkey, min(s_suppkey) AS callee FROM f GROUP BY s_nationkey HAVING count(*) = 1)
-SELECT c_custkey AS caller, callee FROM customer JOIN u ON c_nationkey = s_nationkey""")
+@query("call_graph", r"""WITH f AS (SELECT p_partkey AS key, CASE p_partkey % 4 WHEN 0 THEN 'f' || p_partkey % 1500 WHEN 1 THEN 'ns' || p_partkey % 7 || '::f' || p_partkey % 1500 WHEN 2 THEN 'app::ns' || p_partkey % 5 || '::g' || p_partkey % 900 ELSE 'h' || p_partkey END AS name FROM part),
+i AS (SELECT ending, min(key) AS low, max(key) AS high FROM (SELECT key, unnest(list_transform(range(1, len(string_split(name, '::')) + 1), lambda k: array_to_string(list_slice(string_split(name, '::'), k, 99), '::'))) AS ending FROM f) GROUP BY ending),
+c AS (SELECT DISTINCT l_partkey AS caller, CASE l_suppkey % 5 WHEN 0 THEN 'f' || l_partkey % 1500 WHEN 1 THEN 'this.h' || l_partkey // 2 WHEN 2 THEN 'ns' || l_suppkey % 7 || '::f' || l_partkey % 1500 WHEN 3 THEN 'x.y.g' || l_partkey % 900 ELSE 'std::h' || (l_suppkey * 4 + 3) END AS said FROM lineitem),
+r AS (SELECT caller, said, unnest(list_distinct([said, regexp_extract(said, '([^.]*)$', 1), CASE WHEN contains(said, '::') THEN string_split(said, '::')[-1] ELSE said END])) AS ending FROM c)
+SELECT DISTINCT caller, low AS callee FROM (SELECT caller, said, min(low) AS low, max(high) AS high FROM r JOIN i USING (ending) GROUP BY ALL) WHERE low = high""")
 def call_graph(spark, sf):
-    """Calls resolve to the only function of that name; names that several have are dropped."""
-    unique = read(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("callee"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    return read(spark, sf, "customer").join(unique, F.col("c_nationkey") == F.col("s_nationkey")).select(F.col("c_custkey").alias("caller"), "callee")
+    """Parts as functions, some of qualified names and some of names that others have too; lines as calls of them."""
+    k, p, s = F.col("p_partkey"), F.col("l_partkey"), F.col("l_suppkey")
+    t = lambda c: c.cast("string")
+    name = F.when(k % 4 == 0, F.concat(F.lit("f"), t(k % 1500))).when(k % 4 == 1, F.concat(F.lit("ns"), t(k % 7), F.lit("::f"), t(k % 1500))).when(k % 4 == 2, F.concat(F.lit("app::ns"), t(k % 5), F.lit("::g"), t(k % 900))).otherwise(F.concat(F.lit("h"), t(k)))
+    said = F.when(s % 5 == 0, F.concat(F.lit("f"), t(p % 1500))).when(s % 5 == 1, F.concat(F.lit("this -> h"), t(F.floor(p / 2)))).when(s % 5 == 2, F.concat(F.lit("ns"), t(s % 7), F.lit(":: f"), t(p % 1500))).when(s % 5 == 3, F.concat(F.lit("x.y->g"), t(p % 900))).otherwise(F.concat(F.lit("std::h"), t(s * 4 + 3)))
+    return graph.call_graph(read(spark, sf, "part").select(k.alias("key"), name.alias("name")), read(spark, sf, "lineitem").select(p.alias("caller"), said.alias("callee")))
 
 
 @query("anchor_route", """SELECT c_custkey, 'memory_bounds,control_state' || CASE WHEN c_acctbal / 10000 >= 0.5 AND c_acctbal / 10000 >= c_nationkey / 25.0::DOUBLE THEN ',lifetime_resource' ELSE '' END || CASE WHEN c_nationkey / 25.0::DOUBLE >= 0.6 THEN ',taint_api' ELSE '' END

@@ -201,6 +201,12 @@ def test_text(spark):
     assert df.select(text.strip_comments(F.col("t"))).count() == 4
 
 
+def test_numbers_to_six_digits(spark):
+    values = [1e-7, 12.3456789, 9.0, 2.5, 1234567.0, 0.0001234567, 999999.7, 999999.4, 0.00009999996, 100000.0, 3.0000001, 1e20, 0.1 + 0.2]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select(scores.six_digits(F.col("v")).alias("t")).collect()
+    assert [r.t for r in got] == [f"{v:g}" for v in values]
+
+
 def test_pairs(spark):
     rows = [("c", "m", True, False, 0, 0.1), ("c", "i", False, True, 1, 0.2), ("d", "m", False, False, 0, 0.1), ("d", "i", True, False, 0, 0.3)]
     o = spark.createDataFrame(rows, "candidate_id string, assignment string, success boolean, false_positive boolean, unsupported int, cost double")

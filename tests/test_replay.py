@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from evidark.__main__ import main
 from evidark.functions import lightweight
@@ -130,7 +131,30 @@ def test_light_analyser(spark):
     pair = "int g(char *n) {\n if (access(n, 0)) return 0;\n if (size < 3) lock_guard x; return fopen(n); }\n"
     [r] = lightweight.analyse(spark.createDataFrame([("e", "c.c", pair)], "case_id string, file string, source string")).collect()
     assert (r.toctou_pair, r.toctou_signal_count, r.bounds_guard_count, r.lock_signal_count, r.dangerous_sink_count, r.score) == (1.0, 1.0, 1.0, 1.0, 1.0, 4.0)
-    assert lightweight.reused_after_free("free(a); b = a->x;") and not lightweight.reused_after_free("free(a); a = 0;")
+    told = spark.createDataFrame([("free(a); b = a->x;", True), ("free(a); a = 0;", False), ("free( q );\n free (q)", True), ("a->x; free(a);", False), ("free(ab); b[0]", False), ("free(a); free(b); b.c", True)], "t string, w boolean")
+    assert all(r.v == r.w for r in told.select(lightweight.released_then_accessed(F.col("t")).alias("v"), "w").collect())
+
+
+def test_light_evidence(spark):
+    """Every match with its place, against finding them one by one; and a verdict that rests on them."""
+    import re
+
+    from evidark.operators import findings
+
+    code = "int calm(int a) {\n return a; }\nvoid f(char *p, int size) {\n  if (size < 3 ||\n      size > 9) free(p); free(p);\n\tp[0] = access(p, 1); x\n  = fopen(p);\n}\n"
+    [r] = lightweight.analyse(spark.createDataFrame([("c", "a.c", code)], "case_id string, file string, source string")).collect()
+    want = []
+    for signal, (kind, pattern) in lightweight.PATTERNS.items():
+        for i, m in enumerate(re.finditer(pattern, r.code)):
+            line = r.code[: m.start()].count("\n")
+            want.append((f"EV-{r.candidate_id[2:]}-{len(want) + 1}", kind, "a.c", r.line_start + line, r.code.split("\n")[line].strip(), {"signal": signal, "match_index": str(i)}))
+    assert [tuple(e) for e in r.evidence] == want and len(want) > 5
+    assert sum(e.kind == "toctou" for e in r.evidence) == 1
+    c = lightweight.analyse(spark.createDataFrame([("c", "a.c", code)], "case_id string, file string, source string")).withColumn("feature_schema_version", F.lit("light-v1"))
+    release = [e.evidence_id for e in r.evidence if e.kind == "release"]
+    rows = [(r.candidate_id, "a.c", "f", "memory_bounds", 5, 5, ["CWE-415"], ids, 0.9) for ids in (release, ["EV-none-1"])]
+    f = spark.createDataFrame(rows, "candidate_id string, file string, function string, expert string, line_start int, line_end int, cwes array<string>, evidence_ids array<string>, confidence double")
+    assert sorted(x.verdict for x in findings.validate(f, c).collect()) == ["rejected", "validated"]
 
 
 def test_command_line(capsys):

@@ -78,3 +78,11 @@ def test_components(spark):
     assert {r.node: r.root for r in graph.components(edges).collect()} == low
     assert graph.components(edges.limit(0)).count() == 0
     assert graph.components(edges.where("a = b").withColumn("a", F.col("b"))).collect()[0].root == "alone"
+
+
+def test_calls_resolve_to_one_function(spark):
+    functions = spark.createDataFrame([(1, "f"), (2, "ns::f"), (3, "a::b::g"), (4, "h"), (5, "x::dup"), (6, "y::dup"), (7, "xh")], "key long, name string")
+    calls = [("ns::f", None), ("f", None), ("g", 3), ("b::g", 3), ("o -> g", 3), ("o.p . h", 4), ("std:: h", 4), ("x::dup", None), ("z::dup", None), ("a::b::g", 3), ("nothing", None), ("", None)]
+    rows = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(calls)] + [(4, "g"), (99, None)], "caller long, callee string")
+    got = sorted(map(tuple, graph.call_graph(functions, rows).collect()))
+    assert got == sorted((i, k) for i, (_, k) in enumerate(calls) if k)
