@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidark.functions import names, taxonomy
-from evidark.operators import cases, preparation, splits
+from evidark.operators import cases, preparation, scenarios, splits
 from evidark.plans.registry import query
 from evidark.sources.tables import SPANS, candidates, read, truths
 
@@ -193,3 +193,31 @@ def lines_carried(spark, sf):
     hunks = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 20).cast("int").alias("old_start")).agg((F.min("l_partkey") % 4).cast("int").alias("old_count"), (F.min("l_suppkey") % 5).cast("int").alias("new_count"))
     points = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.explode(F.sequence(F.lit(1), F.lit(159), F.lit(7))).alias("line"))
     return cases.carried(points, hunks, ["id"])
+
+
+# turns are prose, so comments, quoted texts and names that tell are put around their words
+_PUT = [(r"([a-z]+)e ", r'{0}e /* FLAW {0} */ good_{0} = "bad // {0}"; '), (r"([a-z]+)s ", "{0}s x_{0} // fix\n"), ("[^ -~\n]", "u"), ("'", "`")]
+_CUT, _NAMES = r'//[^\n]*|/\*[^*]*\*/|"[^"]*"', r"\b[A-Za-z_][A-Za-z0-9_]*"
+
+
+def _put_in_sql(text: str) -> str:
+    for pattern, new in _PUT:
+        text = f"""regexp_replace({text}, '{pattern.replace("'", "''")}', '{new.replace("{0}", chr(92) + "1")}', 'g')"""
+    return text
+
+
+def _redone(text: str, pattern: str, change: str) -> str:
+    return f"array_to_string(list_transform(list_zip(regexp_split_to_array({text}, '{pattern}'), list_append(regexp_extract_all({text}, '{pattern}'), '')), lambda x: x[1] || {change}), '')"
+
+
+@query("neutral_texts", f"""WITH t AS (SELECT conv_id, turn, {_put_in_sql('text')} AS text FROM conversations), c AS (SELECT *, {_redone('text', _CUT, "CASE WHEN starts_with(x[2], '/') THEN regexp_replace(x[2], '[^' || chr(10) || ']', ' ', 'g') ELSE x[2] END")} AS bare FROM t),
+n AS (SELECT *, {_redone('bare', _NAMES, "CASE WHEN regexp_matches(x[2], '(?i)cwe[0-9]+|bad|good|flaw|fix') THEN left('n' || repeat(translate(sha256(x[2]), 'abcdef', '012345'), 1 + length(x[2]) // 64), length(x[2])) ELSE x[2] END")} AS neutral FROM c)
+SELECT conv_id, turn, sha256(neutral) AS digest, length(neutral) = length(text) AS same_length, length(neutral) - length(replace(neutral, chr(10), '')) AS line_feeds, regexp_matches(neutral, '(?i)cwe[_-]?[0-9]+|bad|good|flaw|fix') AS tells FROM n""")
+def neutral_texts(spark, sf):
+    """Turns with telling comments, names and quoted texts put into them, made neutral."""
+    told = F.col("text")
+    for pattern, new in _PUT:
+        told = F.regexp_replace(told, pattern, new.replace("{0}", "$1"))
+    rows = read(spark, sf, "conversations").select("conv_id", "turn", told.alias("text")).withColumn("neutral", scenarios.neutral_text(F.col("text")))
+    feeds = F.length("neutral") - F.length(F.replace("neutral", F.lit("\n")))
+    return rows.select("conv_id", "turn", F.sha2("neutral", 256).alias("digest"), (F.length("neutral") == F.length("text")).alias("same_length"), feeds.cast("long").alias("line_feeds"), F.rlike("neutral", F.lit(scenarios.LEAK)).alias("tells"))
