@@ -15,13 +15,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     By contraction: each round hashes vertices anew, points every vertex at its neighbour (or itself) with the smallest
     hash, and replaces both ends of each edge by what they point at. A constant share of the vertices goes each round, and
-    those whose edges are used up are not read again. Rounds are written tables; only whether edges are left reaches the
-    driver.
+    those whose edges are used up are not read again. Rounds are written tables, put together from the last and smallest
+    back to the first; only whether edges are left reaches the driver.
     """
-    links = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    labels: DataFrame | None = None
-    turn = 0
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    links = edges.where("a <> b")
+    rounds: list[DataFrame] = []
     while not links.isEmpty():
+        turn = len(rounds)
         near = links.select("a", "b").union(links.select("b", "a"))
         first = near.groupBy("a").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "b").alias("h"), F.col("b").alias("id"))).alias("m"))
         own = F.struct(F.xxhash64(F.lit(turn), "a").alias("h"), F.col("a").alias("id"))
@@ -29,15 +30,15 @@ def components(edges: DataFrame) -> DataFrame:
         for end in ("a", "b"):
             links = links.join(to.select(F.col("node").alias(end), F.col("root").alias("new")), end).drop(end).withColumnRenamed("new", end)
         links = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"edges{turn}")
-        if labels is None:
-            labels = to
-        else:
-            step = to.select(F.col("node").alias("at"), F.col("root").alias("next"))
-            labels = written(labels.join(step, labels.root == step.at, "left").select("node", F.coalesce("next", "root").alias("root")), f"labels{turn}")
-        turn += 1
+        rounds.append(to)
     every = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    if labels is None:
+    if not rounds:
         return every.select("node", F.col("node").alias("root"))
+    labels = rounds.pop()
+    while rounds:
+        step = labels.select(F.col("node").alias("at"), F.col("root").alias("next"))
+        labels = rounds.pop().join(step, F.col("root") == F.col("at"), "left").select("node", F.coalesce("next", "root").alias("root"))
+    labels = written(labels, "labels")
     lowest = labels.groupBy("root").agg(F.min("node").alias("low"))
     named = labels.join(lowest, "root").select(F.col("node").alias("at"), "low")
     return every.join(named, F.col("node") == F.col("at"), "left").select("node", F.coalesce("low", "node").alias("root"))
@@ -49,26 +50,39 @@ def checkpoints(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None, passable: Column | None = None, paths: bool = True) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None, passable: Column | None = None, paths: bool = True, steps: int = 4) -> DataFrame:
     """start, node, distance, path: shortest distance to every node, within ``depth`` steps if given; sources are at 0.
 
-    Breadth first by frontier: each round joins only the nodes found last with the edges (written once, apart by source),
-    and drops those already found; a frontier is written once and not again. ``passable`` (on ``node``) says which nodes
-    may be left again; the last node of a path is exempt. ``path`` holds the nodes from the source on; of shortest paths,
-    the first in the nodes' order. Without ``paths`` that column is not made.
+    Breadth first by frontier: a round takes ``steps`` steps in one job from the nodes found last, then drops those found
+    in rounds before, and is written once. Every node has an edge to itself, by which it stays while others go on. Inside a
+    round a node of an earlier round may be met again: its walk is then longer than its distance, so it is dropped at the
+    round's end and no shortest path goes through it; such walks end with the round.
+
+    ``passable`` (on ``node``) says which nodes may be left again; the first and the last node of a path are exempt. ``path``
+    holds the nodes from the source on; of shortest paths, the first in the nodes' order. Without ``paths`` that column is not made.
     """
-    edges = written(edges.select("src", "dst").distinct(), "edges")
-    kept = ["start", "node", "distance", *["path"] * paths]
+    edges = edges.select("src", "dst").distinct()
+    nodes = edges.select("src").union(edges.select("dst")).union(sources.select("node")).distinct()
+    edges = written(edges.withColumn("stays", F.lit(False)).union(nodes.select("src", "src", F.lit(True))), "edges")
+    told = ["path"] * paths
+    kept = ["start", "node", "distance", *told]
     first = sources.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance"), F.array("node").alias("path")).distinct()
     found = frontier = written(first.select(*kept), "frontier0")
     d = 0
     while depth is None or d < depth:
-        d += 1
-        leave = frontier if passable is None or d == 1 else frontier.where(passable)
-        step = leave.join(edges.select(F.col("src").alias("node"), "dst"), "node").drop("node").withColumnRenamed("dst", "node")
-        step = step.groupBy("start", "node").agg(F.min("path").alias("path")) if paths else step.select("start", "node").distinct()
-        step = step.join(found.select("start", "node"), ["start", "node"], "left_anti").withColumn("distance", F.lit(d))
-        frontier = written((step.withColumn("path", F.array_append("path", F.col("node"))) if paths else step).select(*kept), f"frontier{d}")
+        reached = frontier
+        for at in range(d, d + steps if depth is None else min(d + steps, depth)):
+            leaves = F.col("distance") == at
+            if passable is not None and at > 0:
+                leaves = leaves & passable
+            walked = reached.withColumn("leaves", leaves).join(edges, (F.col("node") == F.col("src")) & (F.col("stays") | F.col("leaves")))
+            walked = walked.select("start", F.col("dst").alias("node"), F.struct(F.when(F.col("stays"), F.col("distance")).otherwise(at + 1).alias("distance"), *told).alias("best"))
+            reached = walked.groupBy("start", "node").agg(F.min("best").alias("best")).select("start", "node", "best.*")
+            if paths:
+                reached = reached.withColumn("path", F.when(F.col("distance") > at, F.array_append("path", F.col("node"))).otherwise(F.col("path")))
+        new = reached.where(F.col("distance") > d).join(found.select("start", "node"), ["start", "node"], "left_anti")
+        d += steps
+        frontier = written(new.select(*kept), f"frontier{d}")
         if frontier.isEmpty():
             break
         found = found.union(frontier)
