@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evidark.plans import corpus_queries, model_queries, outcome_queries, preparation_queries, span_queries  # noqa: F401
+from evidark.plans import corpus_queries, model_queries, outcome_queries, preparation_queries, routing_queries, span_queries  # noqa: F401
 from evidark.plans.registry import ORACLES, QUERIES, Query
 
 
