@@ -89,45 +89,92 @@ def distances(edges: DataFrame, sources: DataFrame, depth: int | None = None, pa
     return found
 
 
-def dominator_sets(nodes: list, edges: list[tuple]) -> dict:
-    """Nodes that dominate each node; those not reachable from the entry are dominated by all."""
-    every = sorted(set(nodes))
-    before: dict = {x: set() for x in every}
+def dominator_tree(nodes: list, edges: list[tuple]) -> dict:
+    """The immediate dominator of each node that the entry reaches, the entry's being None; the entry is the smallest node
+    without predecessors, or the smallest of all.
+
+    Dominators meet where two nodes' chains do; nodes are visited from the entry on, after those before them, until
+    nothing changes. What is kept is one parent a node, not sets.
+    """
+    after: dict = {x: [] for x in sorted(set(nodes))}
+    before: dict = {x: [] for x in after}
     for a, b in edges:
-        before[b].add(a)
-    entry = next((x for x in every if not before[x]), every[0])
-    dom = {x: set(every) for x in every}
-    dom[entry] = {entry}
+        after[a].append(b)
+        before[b].append(a)
+    entry = next((x for x in after if not before[x]), next(iter(after)))
+    finished: list = []
+    seen, stack = {entry}, [(entry, iter(after[entry]))]
+    while stack:
+        node, rest = stack[-1]
+        new = next((x for x in rest if x not in seen), None)
+        if new is None:
+            finished.append(node)
+            stack.pop()
+        else:
+            seen.add(new)
+            stack.append((new, iter(after[new])))
+    late = {x: i for i, x in enumerate(finished)}
+    parent: dict = {entry: entry}
     changed = True
     while changed:
         changed = False
-        for x in every:
-            if x == entry:
-                continue
-            new = set.intersection(*[dom[p] for p in before[x]]) if before[x] else set(every)
-            new = new | {x}
-            if new != dom[x]:
-                dom[x], changed = new, True
-    return dom
-
-
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("node", T.LongType()), T.StructField("dominator", T.LongType())])))
-def dominator_pairs(nodes: pa.Array, edges: pa.Array) -> pa.Array:
+        for node in reversed(finished[:-1]):
+            meet = None
+            for other in before[node]:
+                if other not in parent:
+                    continue
+                if meet is None:
+                    meet = other
+                while meet != other:
+                    if late[meet] < late[other]:
+                        meet = parent[meet]
+                    else:
+                        other = parent[other]
+            if parent.get(node) != meet:
+                parent[node], changed = meet, True
+    return parent | {entry: None}
+
+
+_TREE = T.ArrayType(T.StructType([T.StructField("node", T.LongType()), T.StructField("parent", T.LongType()), T.StructField("reached", T.BooleanType())]))
+
+
+@F.arrow_udf(_TREE)
+def dominator_rows(nodes: pa.Array, edges: pa.Array) -> pa.Array:
     out = []
     for n, e in zip(nodes.to_pylist(), edges.to_pylist()):
-        dom = dominator_sets(n, [(x["src"], x["dst"]) for x in e or []])
-        out.append([{"node": x, "dominator": d} for x in sorted(dom) for d in sorted(dom[x])])
-    return pa.array(out, pa.list_(pa.struct([("node", pa.int64()), ("dominator", pa.int64())])))
+        tree = dominator_tree(n, [(x["src"], x["dst"]) for x in e or []])
+        out.append([{"node": x, "parent": tree.get(x), "reached": x in tree} for x in n])
+    return pa.array(out, pa.list_(pa.struct([("node", pa.int64()), ("parent", pa.int64()), ("reached", pa.bool_())])))
 
 
-def dominators(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """fn, node, dominator for each function's control-flow graph; the entry is the node without predecessors that is smallest.
+def dominator_trees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """fn, node, parent, reached for each function's flow graph: the immediate dominator, null for the entry and for nodes
+    that the entry does not reach. Edges to or from nodes that are not in ``nodes`` are left out.
 
-    One function is a small graph: its nodes and edges are two arrays, and the fixpoint runs on them in Arrow batches.
+    One function is a small graph: its nodes and edges are two arrays, and the tree is found in Arrow batches.
     """
     n = nodes.groupBy("fn").agg(F.array_sort(F.collect_set(F.col("node").cast("long"))).alias("n"))
     e = edges.groupBy("fn").agg(F.collect_list(F.struct(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))).alias("e"))
-    return n.join(e, "fn", "left").select("fn", F.explode(dominator_pairs("n", "e")).alias("x")).select("fn", "x.node", "x.dominator")
+    both = n.join(e, "fn", "left")
+    inside = F.filter("e", lambda x: F.array_contains("n", x["src"]) & F.array_contains("n", x["dst"]))
+    return both.select("fn", F.explode(dominator_rows("n", inside)).alias("x")).select("fn", "x.*")
+
+
+def dominators(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """fn, node, dominator: all that dominate each node, itself among them; all nodes dominate one that is not reached.
+
+    Chains of parents are doubled in all functions at once: a round joins each node's dominators so far with those of the
+    node where they end, so that rounds grow with the logarithm of the longest chain.
+    """
+    tree = written(dominator_trees(nodes, edges), "trees")
+    up = tree.where("parent IS NOT NULL").select("fn", "node", F.col("parent").alias("top"))
+    found = tree.where("reached").select("fn", "node", F.col("node").alias("dominator"))
+    while not up.isEmpty():
+        above = found.select("fn", F.col("node").alias("top"), "dominator")
+        found = written(found.union(up.join(above, ["fn", "top"]).select("fn", "node", "dominator")), "dominators")
+        up = written(up.join(up.select("fn", F.col("node").alias("top"), F.col("top").alias("next")), ["fn", "top"]).select("fn", "node", F.col("next").alias("top")), "tops")
+    lost = tree.where("NOT reached").select("fn", "node").join(tree.select("fn", F.col("node").alias("dominator")), "fn")
+    return found.union(lost)
 
 
 def call_graph(functions: DataFrame, calls: DataFrame) -> DataFrame:

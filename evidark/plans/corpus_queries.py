@@ -310,13 +310,32 @@ def path_pairs(spark, sf):
     return found.select("fact", "fn", "symbol", "source", "sink", F.array_join("path", ",").alias("path"))
 
 
-@query("dominators")
-def dominators(spark, sf):
+_DOMINATORS = """n AS (SELECT DISTINCT l_orderkey AS fn, CAST(l_linenumber AS BIGINT) AS node FROM lineitem),
+e AS (SELECT DISTINCT j.fn, j.src, j.dst FROM (SELECT l_orderkey AS fn, CAST(l_linenumber AS BIGINT) AS src, CAST(l_linenumber + 1 + l_partkey % 2 AS BIGINT) AS dst FROM lineitem) j JOIN n ON n.fn = j.fn AND n.node = j.dst),
+entry AS (SELECT n.fn, coalesce(min(n.node) FILTER (e.fn IS NULL), min(n.node)) AS node FROM n LEFT JOIN e ON e.fn = n.fn AND e.dst = n.node GROUP BY n.fn),
+avoid(fn, d, node) AS (SELECT n.fn, n.node, entry.node FROM n JOIN entry ON n.fn = entry.fn AND n.node <> entry.node UNION SELECT a.fn, a.d, e.dst FROM avoid a JOIN e ON e.fn = a.fn AND e.src = a.node AND e.dst <> a.d),
+met(fn, node) AS (SELECT fn, node FROM entry UNION SELECT m.fn, e.dst FROM met m JOIN e ON e.fn = m.fn AND e.src = m.node),
+dom AS (SELECT x.fn, x.node, d.node AS dominator FROM n x JOIN n d ON x.fn = d.fn LEFT JOIN avoid a ON a.fn = x.fn AND a.d = d.node AND a.node = x.node WHERE a.fn IS NULL)"""
+
+
+def _graphs(spark, sf):
     """Flow graphs made from orders: an order is a function, its lines are nodes in a chain with jumps by part."""
     line = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").cast("long").alias("node")).distinct()
     jump = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("fn"), F.col("l_linenumber").cast("long").alias("src"), (F.col("l_linenumber") + 1 + F.col("l_partkey") % 2).cast("long").alias("dst")).distinct()
-    inside = jump.join(line.withColumnRenamed("node", "dst"), ["fn", "dst"]).select("fn", "src", "dst")
-    return graph.dominators(line, inside)
+    return line, jump
+
+
+@query("dominators", f"WITH RECURSIVE {_DOMINATORS} SELECT fn, node, dominator FROM dom")
+def dominators(spark, sf):
+    """A node dominates another if no way from the entry avoids it."""
+    return graph.dominators(*_graphs(spark, sf))
+
+
+@query("immediate_dominators", f"""WITH RECURSIVE {_DOMINATORS}, depth AS (SELECT fn, node AS dominator, count(*) AS n FROM dom GROUP BY ALL)
+SELECT dom.fn, dom.node, arg_max(dom.dominator, n) AS parent FROM dom JOIN met ON dom.fn = met.fn AND dom.node = met.node JOIN depth ON depth.fn = dom.fn AND depth.dominator = dom.dominator WHERE dom.node <> dom.dominator GROUP BY ALL""")
+def immediate_dominators(spark, sf):
+    """Of the other dominators of a node that the entry reaches, the one that all others dominate."""
+    return graph.dominator_trees(*_graphs(spark, sf)).where("parent IS NOT NULL").select("fn", "node", "parent")
 
 
 @query("call_graph", r"""WITH f AS (SELECT p_partkey AS key, CASE p_partkey % 4 WHEN 0 THEN 'f' || p_partkey % 1500 WHEN 1 THEN 'ns' || p_partkey % 7 || '::f' || p_partkey % 1500 WHEN 2 THEN 'app::ns' || p_partkey % 5 || '::g' || p_partkey % 900 ELSE 'h' || p_partkey END AS name FROM part),

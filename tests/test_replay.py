@@ -159,4 +159,4 @@ def test_light_evidence(spark):
 
 def test_command_line(capsys):
     assert main(["list"]) == 0 and "span_overlap_join" in capsys.readouterr().out
-    assert main(["sql", "dominators"]) == 0 and capsys.readouterr().out == "none\n"
+    assert main(["sql", "softmax_router"]) == 0 and capsys.readouterr().out == "none\n"
