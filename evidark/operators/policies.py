@@ -152,3 +152,50 @@ def brier_and_error(rows: DataFrame, p: str, y: Column, brier: str, error: str)
     square = rows.agg(F.round(F.coalesce(F.avg(F.pow(F.col(p) - y.cast("double"), F.lit(2.0))), F.lit(0.0)), 9).alias(brier))
     off = expected_calibration_error(rows, p, y).select(F.round("ece", 9).alias(error))
     return square.crossJoin(F.broadcast(off))
+
+
+def false_alarms(outcomes: DataFrame, choice: DataFrame) -> DataFrame:
+    """policy, negative_candidate_count, false_positive_candidate_count, false_positive_rate, validated_false_finding_count
+    and selected_outcome_count, over the candidates none of whose outcomes has a truth (ground_truth_ids empty or null).
+
+    A candidate is a false positive of a policy if an outcome that the policy chose has a false finding (validated, or the
+    outcome's own mark where none was counted). Policies that chose nothing there have zeros, as all have without negatives.
+    """
+    true = F.coalesce(F.size("ground_truth_ids"), F.lit(0)) > 0
+    negatives = outcomes.groupBy(*KEY).agg(F.max(true).alias("_true")).where(~F.col("_true")).select(*KEY)
+    _, false = validated_counts(F.col("validated_true"), F.col("validated_false"), F.col("success"), F.col("false_positive"))
+    taken = choice.join(outcomes.select(*KEY, "assignment", false.alias("_false")), [*KEY, "assignment"]).join(negatives, KEY, "left_semi")
+    by_candidate = taken.groupBy("policy", *KEY).agg(F.sum("_false").alias("f"), F.count(F.lit(1)).alias("n"))
+    sums = by_candidate.groupBy("policy").agg(F.count_if(F.col("f") > 0).alias("hit"), F.sum("f").alias("f"), F.sum("n").alias("n"))
+    total = negatives.agg(F.count(F.lit(1)).alias("negative_candidate_count"))
+    whole = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return choice.select("policy").distinct().join(sums, "policy", "left").crossJoin(F.broadcast(total)).select(  # one row of totals
+        "policy", "negative_candidate_count", whole("hit").alias("false_positive_candidate_count"), F.coalesce(F.try_divide(whole("hit"), F.col("negative_candidate_count")), F.lit(0.0)).alias("false_positive_rate"),
+        whole("f").alias("validated_false_finding_count"), whole("n").alias("selected_outcome_count"),
+    )
+
+
+def fixed_choices(outcomes: DataFrame) -> DataFrame:
+    """kind, policy, candidate_id, assignment of every single assignment and every pair of two experts' assignments.
+
+    A policy is named by its assignments, joined by "|" in their order. ``expert`` is the assignment itself if not there.
+    Pairs are made from the assignments, a handful, and each outcome takes its place in those that hold its own.
+    """
+    o = outcomes.withColumn("_expert", F.col("expert") if "expert" in outcomes.columns else F.col("assignment"))
+    own = o.select("assignment", "_expert").distinct()
+    other = own.select(F.col("assignment").alias("_other"), F.col("_expert").alias("_of"))
+    pairs = own.join(F.broadcast(other), F.col("_expert") != F.col("_of"))  # the assignments are few
+    two = F.array_sort(F.array("assignment", "_other"))
+    pairs = pairs.select("assignment", F.lit("best_fixed2").alias("kind"), F.array_join(two, "|").alias("policy"))
+    named = pairs.union(own.select("assignment", F.lit("best_single"), "assignment")).distinct()
+    return o.select(*KEY, "assignment").join(F.broadcast(named), "assignment").select("kind", "policy", *KEY, "assignment")
+
+
+def chosen_baselines(outcomes: DataFrame) -> DataFrame:
+    """kind (best_single, best_fixed2), policy and all measures of the best of ``fixed_choices``: highest truth recall, then
+    outcome F1, then lowest realized cost, then name. To be called on development data, never on a test split.
+    """
+    choice = fixed_choices(outcomes)
+    m = evaluate(outcomes, choice.drop("kind")).withColumn("kind", F.when(F.contains("policy", F.lit("|")), "best_fixed2").otherwise("best_single"))
+    best = m.groupBy("kind").agg(F.min_by(F.struct(*m.drop("kind").columns), F.struct(-F.col("truth_recall"), -F.col("outcome_f1"), F.col("average_realized_cost"), F.col("policy"))).alias("b"))
+    return best.select("kind", "b.*")

@@ -9,6 +9,7 @@ from evidark.functions import scores
 from evidark.operators import calibration, metrics, policies, ranking, replay, splits
 from evidark.operators import spans as overlaps
 from evidark.plans.registry import query
+from evidark.sources.session import written
 from evidark.sources.tables import LABELLED, OUTCOMES, SPANS, candidates, labelled, outcomes, read, spans, truths
 
 REWARD = "CAST(success AS DOUBLE) - 0.5 * CAST(false_positive AS DOUBLE) - 0.25 * unsupported - 1.0 * cost"
@@ -123,9 +124,9 @@ def full_outcomes(spark, sf):
 _FIXED, _ESCALATE, _SINGLE = ["click", "purchase"], 0.45, "purchase"
 
 
-def compared(o):
+def compared(o, anchor_rare=None):
     gate = o.select("candidate_id", (F.col("candidate_id") % 5 == 0).alias("escalate")).distinct()
-    return policies.baselines(o, _FIXED, _ESCALATE, gate, _SINGLE, ["signup", "view"])
+    return policies.baselines(o, _FIXED, _ESCALATE, gate, _SINGLE, ["signup", "view"], anchor_rare)
 
 
 _FULL = """full_ AS (SELECT *, list_filter(['t' || candidate_id % 4, CASE WHEN candidate_id % 3 = 0 THEN 't9' END], lambda x: x IS NOT NULL) AS truths,
@@ -181,6 +182,30 @@ def policy_comparison(spark, sf):
     return policies.evaluate(o, compared(o), check=False)
 
 
+_FIXED_CHOICES = f"""{_BASELINES[: _BASELINES.index("choice AS")]}a_ AS (SELECT DISTINCT assignment FROM outcomes),
+choice AS (SELECT assignment AS policy, candidate_id, assignment FROM full_ UNION ALL SELECT least(f.assignment, a_.assignment) || '|' || greatest(f.assignment, a_.assignment), candidate_id, f.assignment FROM full_ f JOIN a_ ON f.assignment <> a_.assignment)"""
+
+
+@query("chosen_baselines", f"""WITH {OUTCOMES}, {_FULL}, {_FIXED_CHOICES}, {_measures()}, o AS (SELECT *, CASE WHEN contains(policy, '|') THEN 'best_fixed2' ELSE 'best_single' END AS kind FROM m)
+SELECT kind, policy, round(truth_recall, 9) AS truth_recall, round(outcome_f1, 9) AS outcome_f1, round(average_realized_cost, 9) AS average_realized_cost FROM o QUALIFY row_number() OVER (PARTITION BY kind ORDER BY truth_recall DESC, outcome_f1 DESC, average_realized_cost, policy) = 1""")
+def chosen_baselines(spark, sf):
+    """The single assignment and the pair that a router is compared with."""
+    best = policies.chosen_baselines(full_outcomes(spark, sf))
+    return best.select("kind", "policy", *[F.round(c, 9).alias(c) for c in ("truth_recall", "outcome_f1", "average_realized_cost")])
+
+
+@query("policy_false_alarms", f"""WITH {OUTCOMES}, {_FULL}, {_BASELINES}, every_choice AS (SELECT * FROM choice UNION ALL SELECT 'anchor_rare', candidate_id, assignment FROM full_ WHERE assignment = 'view' OR (assignment = 'click' AND probability >= 0.2)),
+negatives AS (SELECT DISTINCT candidate_id FROM full_ WHERE candidate_id % 4 = 1), total AS (SELECT count(*) AS n FROM negatives),
+t AS (SELECT policy, candidate_id, sum(CASE WHEN vt <> 0 OR vf <> 0 THEN vf ELSE CAST(false_positive AS INTEGER) END) AS f, count(*) AS n FROM every_choice JOIN full_ USING (candidate_id, assignment) JOIN negatives USING (candidate_id) GROUP BY ALL)
+SELECT policy, any_value(total.n) AS negative_candidate_count, count(*) FILTER (f > 0) AS false_positive_candidate_count, count(*) FILTER (f > 0)::DOUBLE / any_value(total.n) AS false_positive_rate, CAST(sum(f) AS BIGINT) AS validated_false_finding_count, CAST(sum(t.n) AS BIGINT) AS selected_outcome_count FROM t, total GROUP BY policy""")
+def policy_false_alarms(spark, sf):
+    """All eight policies on candidates without a truth, which every fourth is here; anchors are views, rare ones likely clicks."""
+    o = full_outcomes(spark, sf).withColumn("ground_truth_ids", F.when(F.col("candidate_id") % 4 == 1, F.array().cast("array<string>")).otherwise(F.col("ground_truth_ids")))
+    o = written(o, "outcomes")
+    anchored = o.where("assignment = 'view' OR (assignment = 'click' AND probability >= 0.2)").select("candidate_id", "assignment")
+    return policies.false_alarms(o, compared(o, anchored))
+
+
 @query("validated_counts", f"WITH {OUTCOMES}, {_FULL} SELECT candidate_id, assignment, CAST(CASE WHEN vt <> 0 OR vf <> 0 THEN vt ELSE CAST(success AS INTEGER) END AS INTEGER) AS validated_true, CAST(CASE WHEN vt <> 0 OR vf <> 0 THEN vf ELSE CAST(false_positive AS INTEGER) END AS INTEGER) AS validated_false FROM full_")
 def validated_counts(spark, sf):
     t, f = policies.validated_counts(F.col("validated_true"), F.col("validated_false"), F.col("success"), F.col("false_positive"))
