@@ -204,13 +204,10 @@ reach(id, component) USING KEY (id) AS (SELECT a, min(b) FROM linked GROUP BY a
 @query("finding_components", f"WITH RECURSIVE {SPANS}, {_TOLD} SELECT id, component FROM reach")
 def finding_components(spark, sf):
     """Components of findings that meet by lines, sink, evidence or path."""
-    from evidark.operators.findings import PLACE, causal_links
-    from evidark.operators.graph import components
-    from evidark.sources.session import written
+    from evidark.operators.findings import PLACE, caused
 
-    f = written(told_findings(spark, sf).select(F.col("finding_id").alias("key"), *PLACE, "line_start", "line_end", "sink", "evidence_ids", "trigger_path"), "findings")
-    own = f.select(F.col("key").alias("a"), F.col("key").alias("b"))
-    return components(causal_links(f).union(own)).select(F.col("node").alias("id"), F.col("root").alias("component"))
+    f = told_findings(spark, sf).select(F.col("finding_id").alias("key"), *PLACE, "line_start", "line_end", "sink", "evidence_ids", "trigger_path")
+    return caused(f).select(F.col("key").alias("id"), F.col("root").alias("component"))
 
 
 @query("fuse_groups", f"""WITH RECURSIVE {SPANS}, {_TOLD}, g AS (SELECT component, told.* FROM told JOIN reach USING (id)), best AS (SELECT component, arg_min(title, (-score, id)) AS title FROM g GROUP BY component)
