@@ -69,9 +69,15 @@ def running(rows: DataFrame, by: list[str], order: Column, bin_: Column, descend
     return joined.select(*rows.columns, *[(F.col(f"_{k}") + F.col(f"_in_{k}")).alias(f"{k}_upto") for k in sums])
 
 
-def round_robin(df: DataFrame, group: str, *order: Column) -> DataFrame:
-    """position: one row of each group in turn, groups by name."""
-    rows = ranked(df, [group], *order, name="turn")
+def round_robin(df: DataFrame, group: str, *order: Column, bin_: Column | None = None) -> DataFrame:
+    """position: one row of each group in turn, groups by name.
+
+    With ``bin_``, which grows with the one ``order`` (as in ``running``), no task orders a whole group: for few large ones.
+    """
+    if bin_ is None:
+        rows = ranked(df, [group], *order, name="turn")
+    else:
+        rows = running(df.withColumn("_one", F.lit(1)), [group], *order, bin_, turn="_one").withColumnRenamed("turn_upto", "turn").drop("_one")
     # one order over all rows is what is asked for: it is made from counts by turn, so no task sees all rows
     turns = rows.groupBy("turn").agg(F.count(F.lit(1)).alias("n"))
     before = running(turns, [], F.col("turn"), F.floor(F.col("turn") / 4096), n="n").withColumn("before", F.col("n_upto") - F.col("n"))

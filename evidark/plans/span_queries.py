@@ -178,7 +178,8 @@ def diverse_order(spark, sf):
 
 @query("round_robin", f"""WITH {SPANS}, r AS (SELECT id, expert, row_number() OVER (PARTITION BY expert ORDER BY sha256(id)) AS turn FROM truths) SELECT id, expert, turn, row_number() OVER (ORDER BY turn, expert) AS position FROM r""")
 def round_robin(spark, sf):
-    return ranking.round_robin(truths(spark, sf), "expert", F.sha2("id", 256)).select("id", "expert", "turn", "position")
+    rows = truths(spark, sf).select("id", "expert", F.sha2("id", 256).alias("digest"))
+    return ranking.round_robin(rows, "expert", F.col("digest"), bin_=F.substring("digest", 1, 3)).select("id", "expert", "turn", "position")
 
 
 def told_findings(spark, sf):

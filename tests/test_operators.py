@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidark.functions import scores, taxonomy, text
 from evidark.operators import calibration, graph, metrics, ranking, spans, splits
+from evidark.plans import catalog
 
 SPAN = "id string, case_id string, file int, line_start int, line_end int, score double, expert string"
 
@@ -220,3 +221,12 @@ def test_escalation_picks_the_cheapest_feasible(spark):
     r = calibration.escalation_calibration(g, 1.0).first()
     assert (r.confidence, r.escalated, r.cost, r.recall) == (0.2, 1, 50, 1.0)
     assert calibration.escalation_calibration(g, 0.5).first().confidence == -1.0
+
+
+def test_no_task_orders_all_rows_of_an_expert(spark):
+    """Six experts share all rows: none of them is one partition."""
+    import re
+
+    plan = catalog.queries()["round_robin"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    orders = re.findall(r"windowspecdefinition\(expert#\d+L?, (\w+)", plan)
+    assert orders and set(orders) == {"_bin"}
