@@ -1,7 +1,8 @@
 """Pairs of events on one symbol that a path joins on which nothing defines the symbol anew.
 
-Flow graphs, definitions and events of all functions are three tables; many sources walk at once in one frontier table, so
-a round costs a join and not a graph search for each pair. Pairs are made from nodes reached, never before.
+Flow graphs, definitions and events of all functions are three tables. A small function is one row and walked there; in
+large ones many sources walk at once in one frontier table, so a round costs a join and not a graph search for each pair.
+Pairs are made from nodes reached, never before.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidark.operators.graph import large_graphs, small_walks
 from evidark.sources.session import written
 
 #: Facts, the kinds of their first and second event, and whether the second must stand later in the code.
@@ -21,8 +23,17 @@ def reached(edges: DataFrame, definitions: DataFrame, sources: DataFrame) -> Dat
     """fn, symbol, start, node, distance, path: all that each source (fn, symbol, start) reaches.
 
     A path may end at a node that defines the symbol, and start at one, but not pass one. Of shortest paths, the first in
-    the nodes' order. ``edges``: fn, src, dst; ``definitions``: fn, node, symbol.
+    the nodes' order. ``edges``: fn, src, dst; ``definitions``: fn, node, symbol. Nodes are longs.
     """
+    large = large_graphs(edges, sources, ["fn"])
+    if large.isEmpty():
+        return small_walks(edges, sources, definitions, ["fn"]).select(*STATE, "node", "distance", "path")
+    few, rest = [[x.join(large, "fn", how) for x in (edges, definitions, sources)] for how in ("left_anti", "left_semi")]
+    return small_walks(few[0], few[2], few[1], ["fn"]).select(*STATE, "node", "distance", "path").union(frontiers(*rest))
+
+
+def frontiers(edges: DataFrame, definitions: DataFrame, sources: DataFrame) -> DataFrame:
+    """What ``reached`` tells, by rounds of one step in all functions at once."""
     edges = written(edges.select("fn", F.col("src").alias("node"), "dst").distinct(), "edges")
     stops = written(definitions.select("fn", "symbol", "node").distinct(), "definitions")
     kept = [*STATE, "node", "distance", "path"]

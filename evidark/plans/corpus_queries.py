@@ -244,7 +244,7 @@ def _edges(orders):
     """Flow from an order to the customer's next one (not from keys divisible by five) and to the third next (from keys divisible by three)."""
     steps = F.filter(F.array(F.when(F.col("node") % 5 != 0, F.col("place") + 1), F.when(F.col("node") % 3 == 0, F.col("place") + 3)), lambda x: x.isNotNull())
     out = orders.select("o_custkey", F.col("node").alias("src"), F.explode(steps).alias("place"))
-    return out.join(orders.select("o_custkey", "place", F.col("node").alias("dst")), ["o_custkey", "place"]).select("src", "dst")
+    return out.join(orders.select("o_custkey", "place", F.col("node").alias("dst")), ["o_custkey", "place"]).select("o_custkey", "src", "dst")
 
 
 def _paths(at: str, edge: tuple[str, str], passable: str = "TRUE", path: bool = True) -> str:
@@ -263,22 +263,22 @@ def _told(found):
 def shortest_path(spark, sf):
     """From every customer's first order on: the distance and the nodes of the first shortest path."""
     orders = _orders(spark, sf)
-    return _told(graph.distances(_edges(orders), orders.where("place = 1")))
+    return _told(graph.distances(_edges(orders), orders.where("place = 1"), by=["o_custkey"]))
 
 
 @query("path_without_definition", _paths("place = 1", ("src", "dst"), "p.node % 7 <> 0"))
 def path_without_definition(spark, sf):
     """Nodes divisible by seven define the symbol: paths may end there, not pass."""
     orders = _orders(spark, sf)
-    return _told(graph.distances(_edges(orders), orders.where("place = 1"), passable=F.col("node") % 7 != 0))
+    return _told(graph.distances(_edges(orders), orders.where("place = 1"), passable=F.col("node") % 7 != 0, by=["o_custkey"]))
 
 
 @query("backward_slice", _paths("place = n", ("dst", "src"), path=False))
 def backward_slice(spark, sf):
     """All that flows into every customer's last order."""
     orders = _orders(spark, sf)
-    back = _edges(orders).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return graph.distances(back, orders.where("place = n"), paths=False)
+    back = _edges(orders).select("o_custkey", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return graph.distances(back, orders.where("place = n"), paths=False, by=["o_custkey"])
 
 
 _FLOW = """n AS (SELECT DISTINCT l_orderkey AS fn, CAST(l_linenumber AS BIGINT) AS node FROM lineitem), l AS (SELECT l_orderkey AS fn, CAST(l_linenumber AS BIGINT) AS node, l_partkey AS p, l_suppkey AS s, l_quantity AS q, 'p' || l_suppkey % 2 AS a, 'p' || l_partkey % 2 AS b FROM lineitem),
