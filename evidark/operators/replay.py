@@ -34,11 +34,15 @@ def reached(truths: DataFrame, before: DataFrame, kept: DataFrame, rows: DataFra
     seen = before.select(*KEY, "file", "line_start", "line_end").join(kept.withColumn("_kept", F.lit(True)), KEY, "left")
     met = t.alias("t").join(seen.alias("c"), spans.overlaps("t", "c")).select("t.case_id", "t.truth_id", F.when(F.col("c._kept"), BIT["analyzer"] | BIT["gated"]).otherwise(BIT["analyzer"]).alias("mask"))
 
-    def named(outcomes: DataFrame, ids: str, stage: str) -> DataFrame:
-        return outcomes.select("case_id", F.explode(ids).alias("truth_id"), F.lit(BIT[stage]).alias("mask"))
+    def named(outcomes: DataFrame, **stages: str) -> DataFrame:
+        """Truths that columns of ids name, with their stages; of one table together, so that a task sums a truth's stages."""
+        none = F.array().cast("array<string>")
+        mark = lambda bit: lambda i: F.struct(i.alias("truth_id"), F.lit(bit).alias("mask"))
+        marked = [F.transform(F.coalesce(F.col(ids).cast("array<string>"), none), mark(BIT[stage])) for stage, ids in stages.items()]
+        return outcomes.select("case_id", F.inline(F.concat(*marked)))
 
     every = t.select("case_id", "truth_id", F.lit(BIT["truth"]).alias("mask"))
-    for part in (met, named(rows, "ground_truth_ids", "matrix"), named(rows, "matched_truth_ids", "oracle"), named(taken, "matched_truth_ids", "routed")):
+    for part in (met, named(rows, matrix="ground_truth_ids", oracle="matched_truth_ids"), named(taken, routed="matched_truth_ids")):
         every = every.unionByName(part)
     masks = every.groupBy("case_id", "truth_id").agg(F.bit_or("mask").alias("mask"))
     return masks.where(F.col("mask").bitwiseAND(BIT["truth"]) != 0)  # names that are no truth of the case count nowhere

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from evidark.functions import scores
 from evidark.operators import calibration, metrics, policies, ranking, replay, splits
-from evidark.operators import spans as overlaps
 from evidark.plans.registry import query
 from evidark.sources.session import written
 from evidark.sources.tables import LABELLED, OUTCOMES, SPANS, candidates, labelled, outcomes, read, spans, truths
@@ -476,10 +475,12 @@ def utility_end_to_end(spark, sf):
     named = lambda df: df.withColumnRenamed("id", "candidate_id")
     t, c = truths(spark, sf).withColumnRenamed("id", "truth_id"), named(candidates(spark, sf))
     cases = spans(spark, sf).select("case_id").distinct().withColumn("error", F.col("case_id") % 17 == 0)
-    near = overlaps.overlaps("c", "t")
-    met = c.alias("c").join(t.alias("t"), near).groupBy("c.case_id", "c.candidate_id").agg(F.collect_list(F.struct("t.truth_id", "t.expert")).alias("met"))
-    some = F.coalesce("met", F.array().cast("array<struct<truth_id:string,expert:string>>"))
-    rows = c.where("project % 5 <> 0").join(met, ["case_id", "candidate_id"], "left").withColumn("assignment", F.explode(F.array(*map(F.lit, _EXPERTS))))
+    # the truths of a case's file come to its candidates as one list, so candidates are dealt once
+    told = t.groupBy("case_id", "file").agg(F.collect_list(F.struct("truth_id", "expert", "line_start", "line_end")).alias("told"))
+    near = lambda x: (F.col("line_start") <= x["line_end"]) & (F.col("line_end") >= x["line_start"])
+    some = F.transform(F.coalesce(F.filter("told", near), F.array().cast("array<struct<truth_id:string,expert:string,line_start:int,line_end:int>>")), lambda x: F.struct(x["truth_id"].alias("truth_id"), x["expert"].alias("expert")))
+    rows = c.where("project % 5 <> 0").join(told, ["case_id", "file"], "left").withColumn("_met", some).drop("told").withColumn("assignment", F.explode(F.array(*map(F.lit, _EXPERTS))))
+    some = F.col("_met")
     ids = lambda a: F.transform(a, lambda x: x["truth_id"])
     rows = rows.withColumns({"ground_truth_ids": ids(some), "matched_truth_ids": ids(F.filter(some, lambda x: x["expert"] == F.col("assignment")))})
     success = F.size("matched_truth_ids") > 0
